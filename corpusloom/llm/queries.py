@@ -7,9 +7,46 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm import topk, urls
 from corpusloom.llm.common import held_out, table
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.secrets import SecretScanner, findings_table
+
+    found = SecretScanner.fit(findings_table(spark)).scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", F.length("value").alias("n_chars"), F.sha2(F.col("value").cast("binary"), 256).alias("secret_sha256"), "probability")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.toxicity import ToxicityNeighbours
+
+    docs = table(spark, sf_dir, "documents")
+    scored = ToxicityNeighbours.fit(docs, table(spark, sf_dir, "labels")).score(docs, keep=["doc_id"])
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import decontamination as d
+
+    return d.verdicts(d.matches(d.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")))
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import mixing
+
+    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"), urls.rule_table(spark)).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.quality import QualityClassifier
 
@@ -19,7 +56,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secrets": op2_secrets,
+    "op3_toxicity": op3_toxicity,
+    "op4_decontamination": op4_decontamination,
+    "op5_topk": op5_topk,
+    "op6_mixing": op6_mixing,
+    "op8_urls": op8_urls,
     "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_topk": topk.ORACLE, "op8_urls": urls.ORACLE}
