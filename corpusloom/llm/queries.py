@@ -11,6 +11,13 @@ from corpusloom.llm import topk, urls
 from corpusloom.llm.common import held_out, table
 
 
+def op1_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.lm import PseudoLikelihood
+
+    docs = table(spark, sf_dir, "documents")
+    return PseudoLikelihood.fit(docs).score(docs, keep=["doc_id"])
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.secrets import SecretScanner, findings_table
 
@@ -43,10 +50,23 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import neardup
+
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"), urls.rule_table(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import html
+
+    found = html.extracted(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.quality import QualityClassifier
 
@@ -56,12 +76,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pseudo_likelihood": op1_pseudo_likelihood,
     "op2_secrets": op2_secrets,
     "op3_toxicity": op3_toxicity,
     "op4_decontamination": op4_decontamination,
     "op5_topk": op5_topk,
     "op6_mixing": op6_mixing,
+    "op7_neardup": op7_neardup,
     "op8_urls": op8_urls,
+    "op9_html": op9_html,
     "op10_quality": op10_quality,
 }
 
