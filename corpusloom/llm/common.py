@@ -53,9 +53,10 @@ def training_labels(labels: DataFrame, column: str, limit: int, id_col: str = "d
     )
 
 
-def labelled_texts(docs: DataFrame, sample: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Texts of a bounded label sample: columns ``__id, __label, text``. Ids repeated in ``docs`` give at most ``2 * limit`` rows in all."""
-    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "__id").select("__id", "__label", "text").limit(2 * limit)
+def labelled_texts(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Texts of a bounded label sample: columns ``__id, __label, text``, one row for each id (the least text, where an id is repeated)."""
+    own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "__id")
+    return own.groupBy("__id", "__label").agg(F.min("text").alias("text"))
 
 
 def replaced_schema(df: DataFrame, keep: list[str] | None, added: list[tuple[str, T.DataType]]) -> tuple[DataFrame, list[str], T.StructType]:

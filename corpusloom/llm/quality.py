@@ -218,7 +218,7 @@ class QualityClassifier:
                 x = pooled([t or "" for t in batch.column(2).to_pylist()], carried.value, codes)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "label", "x"])
 
-        texts = labelled_texts(docs, sample, max_labelled, id_col, text_col)
+        texts = labelled_texts(docs, sample, id_col, text_col)
         schema = T.StructType([T.StructField("id", texts.schema["__id"].dataType), T.StructField("label", T.IntegerType()), T.StructField("x", T.BinaryType())])
         rows = texts.mapInArrow(run, schema).toPandas().sort_values(["id", "x"])
         x = np.frombuffer(b"".join(rows.x), np.float32).reshape(-1, width) if len(rows) else np.zeros((0, width), np.float32)

@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
 ``fit`` takes a bounded sample of labelled rows (``MAX_LABELLED``), chooses the ``MAX_TERMS`` terms whose document
-frequencies differ most between the classes (G test; a term is a lower-cased word, or the beginning of a longer word,
+frequencies are most telling of label 1 (G test; a term is a lower-cased word, or the beginning of a longer word,
 marked by ``~``), and counts the document frequency of these terms over the WHOLE corpus for the IDF. Examples with a
 non-zero vector go in an inverted index: postings by term, cut in blocks of ``BLOCK_SIZE`` examples, with the largest
 weight of each term in each block. A query bounds each block by the sum of its weights times the block maxima, reads
@@ -35,10 +35,12 @@ from corpusloom.llm.common import labelled_texts, training_labels, with_text_col
 MAX_LABELLED = 12_000
 #: Terms of the index, at most; with MAX_LABELLED it bounds the index (12 bytes a posting).
 MAX_TERMS = 2_000
-LEAST_G = 12.0
+LEAST_G = 25.0
+#: How many times as often a term must stand in texts of label 1.
+LEAST_RATIO = 4.0
 LEAST_DOCS = 4
 PREFIXES = (3, 4, 5, 6, 7)
-BLOCK_SIZE = 64
+BLOCK_SIZE = 128
 NEIGHBOURS = 15
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -95,7 +97,7 @@ def chosen_terms(texts: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
         a0, a1 = F.col("a0"), F.col("a1")
         seen, n = a0 + a1, n0 + n1
         g = 2 * (part(a0, seen * n0 / n) + part(a1, seen * n1 / n) + part(n0 - a0, (n - seen) * n0 / n) + part(n1 - a1, (n - seen) * n1 / n))
-        rows = counts.where(F.col("term").isNotNull() & (seen >= LEAST_DOCS)).withColumn("g", g).where((F.col("g") >= LEAST_G) & (a1 * n0 > a0 * n1)).orderBy(F.desc("g"), "term").limit(max_terms).collect()
+        rows = counts.where(F.col("term").isNotNull() & (seen >= LEAST_DOCS)).withColumn("g", g).where((F.col("g") >= LEAST_G) & (a1 * n0 > LEAST_RATIO * a0 * n1)).orderBy(F.desc("g"), "term").limit(max_terms).collect()
     finally:
         counts.unpersist()
     return [r.term for r in rows]
@@ -154,11 +156,10 @@ class BlockMaxIndex:
         for b in np.argsort(-upper, kind="stable"):
             if upper[b] <= 0 or len(scores) >= k and upper[b] < scores[k - 1] - 1e-12:
                 break
-            sums = np.zeros(BLOCK_SIZE)
-            for t, v in zip(terms, values, strict=True):
-                low, high = self.starts[t * blocks + b], self.starts[t * blocks + b + 1]
-                if high > low:
-                    sums[self.examples[low:high] - b * BLOCK_SIZE] += v * self.weights[low:high]
+            low = self.starts[terms * blocks + b]
+            n = self.starts[terms * blocks + b + 1] - low
+            at = np.arange(int(n.sum())) + np.repeat(low - np.cumsum(n) + n, n)
+            sums = np.bincount(self.examples[at] - b * BLOCK_SIZE, np.repeat(values, n) * self.weights[at], BLOCK_SIZE)
             if without // BLOCK_SIZE == b and without >= 0:
                 sums[without % BLOCK_SIZE] = 0
             at = np.flatnonzero(sums)
@@ -180,7 +181,7 @@ class ToxicityNeighbours:
 
     @classmethod
     def fit(cls, docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> ToxicityNeighbours:
-        texts = labelled_texts(docs, training_labels(labels, label, max_labelled, id_col), max_labelled, id_col, text_col)
+        texts = labelled_texts(docs, training_labels(labels, label, max_labelled, id_col), id_col, text_col)
         terms = chosen_terms(texts)
         ids = {t: i for i, t in enumerate(terms)}
         df, n = document_frequencies(docs, terms, text_col) if terms else (np.zeros(0), 0)
