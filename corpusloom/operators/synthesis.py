@@ -1,0 +1,201 @@
+"""Generated and converted rows: arithmetic, spelling and choice drills, starters, slices, external benchmarks.
+
+Rows are pure functions of their index, so a generator is a range with expressions: any part of it can be made anywhere, again and alike.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from corpusloom.functions.text import collapsed, glob
+
+#: The words left out of sentence content, and the offsets of the arithmetic drill (train, eval).
+SENTENCE_STOPWORDS = ["about", "after", "also", "because", "before", "being", "from", "have", "into", "more", "only", "over", "that", "their", "there", "these", "this", "those", "through", "under", "using", "were", "when", "where", "which", "while", "with", "your"]
+MATH_OFFSETS = {"train": (5, 7, 3), "eval": (17, 19, 23)}
+KINDS = ["addition", "subtraction", "multiplication", "removal"]
+SPELLING_WORDS = ["planet", "garden", "silver", "bridge", "rocket", "window", "little", "forest"]
+
+
+def math_rows(spark: SparkSession, n: int, split: str) -> DataFrame:
+    """``i, kind, expression, answer, problem, template``: the arithmetic drill; both splits use the same rule with other offsets."""
+    p, q, r = MATH_OFFSETS[split]
+    i = F.col("i")
+    rows = spark.range(n).select(F.col("id").alias("i")).withColumn("a", 3 + (i * 11 + p) % 47).withColumn("b", 2 + (i * 13 + q) % 41).withColumn("c", 1 + (i * 5 + r) % 13).withColumn("k", i % 4)
+    first = F.when(F.col("k") == 0, F.col("a")).when(F.col("k") == 1, F.col("a") + F.col("b") + F.col("c")).when(F.col("k") == 2, F.col("a")).otherwise(F.col("a") * F.col("c") + F.col("b"))
+    second = F.when(F.col("k") == 0, F.col("b")).when(F.col("k") == 1, F.col("c")).when(F.col("k") == 2, F.col("c")).otherwise(F.col("b"))
+    sign = F.when(F.col("k") == 0, "+").when(F.col("k") == 2, "*").otherwise("-")
+    named = rows.withColumn("x", first).withColumn("y", second).withColumn("sign", sign)
+    answer = F.when(F.col("sign") == "+", F.col("x") + F.col("y")).when(F.col("sign") == "*", F.col("x") * F.col("y")).otherwise(F.col("x") - F.col("y"))
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.col("k") + 1).cast("int"))
+    return named.select("i", kind.alias("kind"), F.concat_ws(" ", F.col("x").cast("string"), "sign", F.col("y").cast("string")).alias("expression"), answer.alias("answer"), F.floor(i / 4 % 4).alias("template"))
+
+
+def operand_pool(pool: DataFrame, order: str) -> DataFrame:
+    """``pool`` with ``split``: the first 80 % in order are for training, the rest for evaluation, so operands are disjoint."""
+    total = pool.count()
+    return pool.withColumn("split", F.when(F.row_number().over(Window.orderBy(order)) <= int(0.8 * total), "train").otherwise("eval"))
+
+
+def spelling_rows(spark: SparkSession, n: int, words: list[str] | None = None) -> DataFrame:
+    """``i, mode, word, answer``: length, first letter, last letter, reversed, letters apart, by index modulo 5."""
+    pool = F.array(*[F.lit(w) for w in (words or SPELLING_WORDS)])
+    size = len(words or SPELLING_WORDS)
+    rows = spark.range(n).select(F.col("id").alias("i"), (F.col("id") % 5).alias("mode"), F.element_at(pool, (F.floor(F.col("id") / 5) % size + 1).cast("int")).alias("word"))
+    w, m = F.col("word"), F.col("mode")
+    letters = F.filter(F.split(w, ""), lambda x: x != "")
+    answer = F.when(m == 0, F.length(w).cast("string")).when(m == 1, F.substring(w, 1, 1)).when(m == 2, F.substring(w, -1, 1)).when(m == 3, F.reverse(w)).otherwise(F.array_join(letters, "-"))
+    return rows.withColumn("answer", answer)
+
+
+def permuted(items: Column, k: Column) -> Column:
+    """The k-th of the 24 orders of four items, in lexicographic order of places."""
+    a = F.floor(k / 6).cast("int")
+    rest = lambda array, i: F.concat(F.slice(array, F.lit(1), i), F.slice(array, i + 2, F.size(array)))
+    pick = lambda array, i: F.element_at(array, i + 1)
+    r1 = rest(items, a)
+    b = F.floor(k % 6 / 2).cast("int")
+    r2 = rest(r1, b)
+    c = (k % 2).cast("int")
+    return F.array(pick(items, a), pick(r1, b), pick(r2, c), pick(rest(r2, c), F.lit(0)))
+
+
+def choice_rows(spark: SparkSession, facts: DataFrame, n: int, offsets: tuple[int, int] = (0, 0)) -> DataFrame:
+    """``i, number, question, options, correct`` of a drill over ``facts(number, question, correct, wrong)``: fact, order and label follow from the index."""
+    size = facts.count()
+    rows = spark.range(n).select(F.col("id").alias("i"), ((F.col("id") * 7 + offsets[0]) % size).alias("number"), ((F.col("id") * 7 + offsets[1]) % 24).alias("k"))
+    met = rows.join(F.broadcast(facts), "number").withColumn("options", permuted(F.concat(F.array("correct"), F.col("wrong")), F.col("k")))
+    label = F.element_at(F.array(*[F.lit(x) for x in "ABCD"]), F.array_position("options", F.col("correct")).cast("int"))
+    return met.select("i", "number", "question", "options", label.alias("label"))
+
+
+def templated_rows(spark: SparkSession, n: int, first: list[str], second: list[str]) -> DataFrame:
+    """``i, first, second, variant``: identity- and refusal-like rows; index runs through the first list, then the second, then variants."""
+    a, b = len(first), len(second)
+    at = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), (i + 1).cast("int"))
+    i = F.col("id")
+    return spark.range(n).select(i.alias("i"), at(first, i % a).alias("first"), at(second, F.floor(i / a) % b).alias("second"), F.floor(i / (a * b)).alias("variant"))
+
+
+def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, number, sentence`` of 40 to 320 characters, numbered within their document."""
+    parts = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "(?<=[.!?])\\s+|\\n+")).alias("pos", "raw")).select("id", "pos", collapsed("raw").alias("sentence"))
+    kept = parts.where(F.length("sentence").between(40, 320))
+    return kept.withColumn("number", F.row_number().over(Window.partitionBy("id").orderBy("pos")) - 1).select("id", "number", "sentence")
+
+
+def content_words(text: Column) -> Column:
+    return F.filter(F.regexp_extract_all(text, F.lit("[A-Za-z][A-Za-z0-9'-]*"), 0), lambda w: (F.length(w) >= 4) & ~F.lower(w).isin(SENTENCE_STOPWORDS))
+
+
+def entities(text: Column, most: int = 3) -> Column:
+    """The first capitalised words."""
+    found = F.filter(F.regexp_extract_all(text, F.lit("\\b[A-Z][A-Za-z0-9'-]{2,}\\b"), 0), lambda w: ~F.lower(w).isin(SENTENCE_STOPWORDS))
+    return F.slice(F.array_distinct(found), 1, most)
+
+
+def required_phrases(text: Column) -> Column:
+    """Up to three words to ask for: names first, then long words, then any, each once but for case."""
+    words = content_words(text)
+    pool = F.concat(entities(text), F.filter(words, lambda w: F.length(w) >= 6), words)
+    once = F.aggregate(pool, F.array().cast("array<string>"), lambda s, w: F.when((F.size(s) >= 3) | F.exists(s, lambda x: F.lower(x) == F.lower(w)), s).otherwise(F.array_append(s, w)))
+    return once
+
+
+def prefix(text: Column, most: int = 90) -> Column:
+    cut = F.substring(text, 1, most)
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.regexp_replace(cut, " [^ ]*\\z", ""), F.lit("...")))
+
+
+def ordered(rows: DataFrame, seed: int) -> DataFrame:
+    """``rows`` (id, number) with ``n`` from 1 in a seeded order."""
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"), F.col("number").cast("string")).cast("binary"))
+    return rows.withColumn("n", F.row_number().over(Window.orderBy(key, "id", "number")))
+
+
+def starter_sentences(docs: DataFrame, most: int, seed: int) -> DataFrame:
+    """The first ``most`` usable sentences in a seeded order: only that many are sorted to their end."""
+    usable = sentences(docs).where(F.size(content_words(F.col("sentence"))) >= 5)
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"), F.col("number").cast("string")).cast("binary"))
+    return ordered(usable.orderBy(key, "id", "number").limit(most), seed)
+
+
+def eval_starter(docs: DataFrame, most: int, seed: int = 42) -> DataFrame:
+    """Recall rows from held-out sentences, and a transfer row for every third."""
+    rows = starter_sentences(docs, most, seed)
+    s = F.col("sentence")
+    topic = F.when(F.size(entities(s)) > 0, F.array_join(F.slice(entities(s), 1, 2), ", ")).otherwise(F.array_join(F.slice(content_words(s), 1, 2), ", "))
+    recall = F.struct(F.lit("domain_recall").alias("category"), F.concat(F.lit("What does the domain material say about "), topic, F.lit("?")).alias("user"))
+    transfer = F.struct(F.lit("domain_transfer").alias("category"), F.concat(F.lit("Explain this held-out note in different words: "), prefix(s)).alias("user"))
+    both = F.when(F.col("n") % 3 == 0, F.array(recall, transfer)).otherwise(F.array(recall))
+    return rows.select("id", "number", "n", "sentence", F.inline(both)).select("n", "category", "user", F.col("sentence").alias("reference"), F.array_join(required_phrases(s), "|").alias("must_include"))
+
+
+def sft_starter(docs: DataFrame, most: int, templates: list[str], seed: int = 7) -> DataFrame:
+    """One row a sentence, templates in turn; the group names the source."""
+    rows = starter_sentences(docs, most, seed)
+    template = F.element_at(F.array(*[F.lit(t) for t in templates]), ((F.col("n") - 1) % len(templates) + 1).cast("int"))
+    return rows.select("n", F.replace(template, F.lit("{}"), prefix(F.col("sentence"))).alias("user"), F.col("sentence").alias("assistant"), F.concat_ws(":", F.col("id").cast("string"), F.col("number").cast("string")).alias("group"))
+
+
+def preference_starter(rows: DataFrame) -> DataFrame:
+    """``rows`` (n, user, assistant) with a rejected answer of one of four kinds, in turn; equal answers fall back to a generic one."""
+    a, kind = F.col("assistant"), (F.col("n") - 1) % 4
+    generic = F.lit("That is not something I can help with in any way.")
+    rejected = F.when(kind == 0, F.lit("I do not know.")).when(kind == 1, F.col("user")).when(kind == 2, F.substring_index(a, " ", 3)).otherwise(generic)
+    return rows.select("n", "user", F.col("assistant").alias("chosen"), F.when(F.trim(rejected) == F.trim(a), generic).otherwise(rejected).alias("rejected"))
+
+
+def sliced(rows: DataFrame, column: str, include: list[str], exclude: list[str] | None = None) -> DataFrame:
+    """Rows whose category fits an included glob and no excluded one."""
+    kept = rows.where(glob(column, include)) if include else rows
+    return kept.where(~glob(column, exclude)) if exclude else kept
+
+
+def unique_rows(rows: DataFrame, taken: DataFrame, key: Column, order: str, most: int) -> DataFrame:
+    """The first ``most`` rows with new keys: none that ``taken`` (column ``key``) has, the first of each key."""
+    keyed = rows.withColumn("key", key)
+    fresh = keyed.join(taken.select("key").distinct(), "key", "left_anti")
+    first = fresh.groupBy("key").agg(F.min(order).alias(order))
+    return fresh.join(first, ["key", order], "left_semi").orderBy(order).limit(most)
+
+
+def shuffled_head(rows: DataFrame, key: str, seed: int, most: int) -> DataFrame:
+    """A seeded sample: the ``most`` rows of least hash."""
+    return rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), key).limit(most)
+
+
+def choice_prompt(question: Column, labels: Column, choices: Column) -> Column:
+    options = F.array_join(F.zip_with(labels, choices, lambda a, b: F.concat(a, F.lit(". "), b)), "\n")
+    return F.concat(F.trim(question), F.lit("\n\n"), options, F.lit("\n\nAnswer with the single best option letter."))
+
+
+def answer_label(answer: Column, labels: Column) -> Column:
+    """A label for the answer: itself, or a place from 1, or from 0; anything else is an error."""
+    bare = F.trim(answer)
+    digits = bare.rlike("^[0-9]+$")
+    k = F.when(digits, bare.cast("int"))
+    named = F.when(F.array_contains(labels, bare), bare).when(k.between(1, F.size(labels)), F.element_at(labels, F.greatest(F.lit(1), k))).when(k == 0, F.element_at(labels, 1)).when(F.array_contains(labels, F.upper(bare)), F.upper(bare))
+    return F.when(named.isNull(), F.raise_error(F.concat(F.lit("no choice has the label "), F.coalesce(bare, F.lit("null"))))).otherwise(named)
+
+
+def external_choices(rows: DataFrame, benchmark: str, split: str) -> DataFrame:
+    """``rows`` (id, question, labels, choices, answer, category) as evaluation rows."""
+    label = answer_label(F.col("answer"), F.col("labels"))
+    named = rows.withColumn("label", label)
+    text = F.element_at("choices", F.array_position("labels", F.col("label")).cast("int"))
+    return named.select("id", choice_prompt(F.col("question"), F.col("labels"), F.col("choices")).alias("user"), F.col("label").alias("correct_choice"), F.concat(F.lit("external_"), F.coalesce("category", F.lit(benchmark))).alias("category"), F.lit(split).alias("split"), F.concat(F.col("label"), F.lit(". "), text).alias("reference"))
+
+
+def gsm_answer(text: Column) -> Column:
+    """What stands behind the answer mark."""
+    return F.trim(F.regexp_extract(text, "####\\s*([^\\n]+)", 1))
+
+
+def mixture(components: list[tuple[str, DataFrame, int]]) -> DataFrame:
+    """Union of the components' first rows by quota, each tagged with where it comes from."""
+    out = None
+    for name, rows, quota in components:
+        part = rows.limit(quota).withColumn("component", F.lit(name))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out

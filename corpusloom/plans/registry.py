@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = []
+MODULES = ["corpus", "audit", "tokens", "evaluation", "analytics"]
 
 
 def _collect(attribute: str) -> dict:
