@@ -5,7 +5,7 @@ masked position the network sums the embeddings of ``WINDOW`` tokens on each sid
 the class of the token, then the token in its class, so each conditional probability is normalised over the vocabulary. A document's score is the sum of the
 conditional log-probabilities of all its tokens, each with its true neighbours.
 
-Training is data-parallel over all partitions: in each round every task starts from the shared weights, takes Adagrad steps over
+Texts are turned into token ids once, in a stored table that training and scoring read. Training is data-parallel over all partitions: in each round every task starts from the shared weights, takes Adagrad steps over
 a random share ``MASKED`` of the positions of its texts, and the weights are averaged by the number of positions, in sums of
 blocks, so what is gathered grows with the corpus while driver and tasks hold one set of weights.
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import BLOCK, block_rows, summed_blocks, with_text_columns
+from corpusloom.llm.common import BLOCK, block_rows, stored, summed_blocks, with_text_columns
 
 WINDOW = 3
 WIDTH = 24
@@ -39,11 +39,11 @@ VOCABULARY = CLASSES * PER_CLASS
 RARE = 32
 MASKED = 0.1
 ROUNDS = 2
-BATCH = 2_048
+BATCH = 3_072
 RATE = 0.08
 TOKEN = re.compile(r"\w+|[^\w\s]")
-ROW = WIDTH + 1
-ROWS = 2 * VOCABULARY + CLASSES + 2 * WINDOW + 1
+#: The weights in a row are padded to rows of so many numbers, to be averaged in blocks.
+ROW = 256
 
 
 def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[list[str], np.ndarray]:
@@ -54,7 +54,7 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[list[str], np.n
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 seen.update(TOKEN.findall(text or ""))
-                if len(seen) > 300_000:
+                if len(seen) > 800_000:
                     yield rows(seen)
                     seen = Counter()
         yield rows(seen)
@@ -88,12 +88,22 @@ class TokenIds(dict):
         return out
 
 
-def laid_out(texts: list[str], ids: TokenIds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def token_table(docs: DataFrame, words: list[str], keep: list[str], text_col: str = "text") -> DataFrame:
+    """``keep`` and ``__tokens``, the 16-bit token ids of each text, stored."""
+    carried = docs.sparkSession.sparkContext.broadcast(words)
+    known: list[TokenIds] = []
+
+    def encode(texts: list[str]) -> list[pa.Array]:
+        if not known:
+            known.append(TokenIds(carried.value))
+        found = (TOKEN.findall(text) for text in texts)
+        return [pa.array([np.fromiter(map(known[0].__getitem__, x), np.uint16, len(x)).tobytes() for x in found], pa.binary())]
+
+    return stored(with_text_columns(docs, text_col, keep, [("__tokens", T.BinaryType())], encode), "tokens")
+
+
+def laid_out(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of all texts with ``WINDOW`` edge tokens around each text; places of the tokens; numbers of tokens."""
-    lists = []
-    for text in texts:
-        found = TOKEN.findall(text)
-        lists.append(np.fromiter(map(ids.__getitem__, found), np.int32, len(found)))
     lengths = np.array([len(x) for x in lists], np.int64)
     out = np.zeros(int(lengths.sum()) + WINDOW * (len(lists) + 1), np.int32)
     at = np.arange(int(lengths.sum())) + WINDOW * (1 + np.repeat(np.arange(len(lists)), lengths))
@@ -102,12 +112,12 @@ def laid_out(texts: list[str], ids: TokenIds) -> tuple[np.ndarray, np.ndarray, n
     return out, at, lengths
 
 
-def pieces(texts: list[str], size: int = 300_000) -> Iterator[list[str]]:
-    """Runs of texts of about ``size`` characters."""
+def pieces(blobs: list[bytes], size: int = 60_000) -> Iterator[list[np.ndarray]]:
+    """Token lists in runs of about ``size`` tokens."""
     run, held = [], 0
-    for text in texts:
-        run.append(text)
-        held += len(text)
+    for blob in blobs:
+        run.append(np.frombuffer(blob, np.uint16))
+        held += len(run[-1])
         if held >= size:
             yield run
             run, held = [], 0
@@ -120,62 +130,51 @@ OFFSETS = np.array([d for d in range(-WINDOW, WINDOW + 1) if d])
 
 @dataclass
 class WindowNetwork:
-    """Embeddings, words' output rows, classes' output rows (each with a bias), and the weights of places with the hidden bias."""
+    """Embeddings, output rows of words and classes with their biases, weights of places, hidden bias."""
 
     embed: np.ndarray
     word: np.ndarray
+    word_bias: np.ndarray
     klass: np.ndarray
+    klass_bias: np.ndarray
     place: np.ndarray
+    bias: np.ndarray
 
     @classmethod
     def initial(cls, counts: np.ndarray, seed: int = 7) -> WindowNetwork:
         rng = np.random.default_rng(seed)
-        embed = rng.normal(0, 0.3, (VOCABULARY, ROW)).astype(np.float32)
-        word = rng.normal(0, 0.05, (VOCABULARY, ROW)).astype(np.float32)
-        klass = rng.normal(0, 0.05, (CLASSES, ROW)).astype(np.float32)
-        place = np.ones((2 * WINDOW + 1, ROW), np.float32) * 0.5
-        place[-1] = 0
         by_class = counts.reshape(CLASSES, PER_CLASS)
-        word[:, WIDTH] = np.log(by_class / by_class.sum(1, keepdims=True)).reshape(-1)
-        klass[:, WIDTH] = np.log(by_class.sum(1) / by_class.sum())
-        embed[:, WIDTH] = 0
-        return cls(embed, word, klass, place)
+        parts = [
+            rng.normal(0, 0.3, (VOCABULARY, WIDTH)),
+            rng.normal(0, 0.05, (VOCABULARY, WIDTH)),
+            np.log(by_class / by_class.sum(1, keepdims=True)).reshape(-1),
+            rng.normal(0, 0.05, (CLASSES, WIDTH)),
+            np.log(by_class.sum(1) / by_class.sum()),
+            np.full((2 * WINDOW, WIDTH), 0.5),
+            np.zeros(WIDTH),
+        ]
+        return cls(*(x.astype(np.float32) for x in parts))
 
     def parts(self) -> list[np.ndarray]:
-        return [self.embed, self.word, self.klass, self.place]
+        return [self.embed, self.word, self.word_bias, self.klass, self.klass_bias, self.place, self.bias]
 
     def flat(self) -> np.ndarray:
-        return np.concatenate(self.parts())
+        """All weights in rows of ``ROW``, the last filled with zeros."""
+        whole = np.concatenate([x.reshape(-1) for x in self.parts()])
+        return np.concatenate([whole, np.zeros(-len(whole) % ROW, np.float32)]).reshape(-1, ROW)
 
     @classmethod
     def of(cls, flat: np.ndarray) -> WindowNetwork:
-        cuts = np.cumsum([VOCABULARY, VOCABULARY, CLASSES])
-        return cls(*(np.ascontiguousarray(x, np.float32) for x in np.split(flat, cuts)))
+        shapes = [(VOCABULARY, WIDTH), (VOCABULARY, WIDTH), (VOCABULARY,), (CLASSES, WIDTH), (CLASSES,), (2 * WINDOW, WIDTH), (WIDTH,)]
+        ends = np.cumsum([0, *(int(np.prod(x)) for x in shapes)])
+        whole = flat.reshape(-1)
+        return cls(*(np.ascontiguousarray(whole[a:b].reshape(x), np.float32) for a, b, x in zip(ends[:-1], ends[1:], shapes, strict=True)))
 
-    def hidden(self, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-        total = np.broadcast_to(self.place[-1, :WIDTH], (len(at), WIDTH)).copy()
-        for i, d in enumerate(OFFSETS):
-            total += self.embed[tokens[at + d], :WIDTH] * self.place[i, :WIDTH]
-        return np.tanh(total)
+    def scorer(self) -> Scorer:
+        return Scorer(self)
 
     def log_probabilities(self, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Conditional log-probability of each token at ``at`` given both sides."""
-        out = np.zeros(len(at))
-        for i in range(0, len(at), 16_384):
-            own = at[i : i + 16_384]
-            order = np.argsort(tokens[own], kind="stable")
-            own = own[order]
-            target = tokens[own]
-            h = self.hidden(tokens, own)
-            logits = h @ self.klass[:, :WIDTH].T + self.klass[:, WIDTH]
-            klass = target // PER_CLASS
-            p = logits[np.arange(len(own)), klass] - _log_sum(logits)
-            for c, low, high in _runs(klass):
-                rows = self.word[c * PER_CLASS : (c + 1) * PER_CLASS]
-                inner = h[low:high] @ rows[:, :WIDTH].T + rows[:, WIDTH]
-                p[low:high] += inner[np.arange(high - low), target[low:high] % PER_CLASS] - _log_sum(inner)
-            out[i + order] = p
-        return out
+        return self.scorer().log_probabilities(tokens, at)
 
     def step(self, tokens: np.ndarray, at: np.ndarray, squares: list[np.ndarray]) -> None:
         """One Adagrad step on the mean log loss of the tokens at ``at``."""
@@ -183,41 +182,93 @@ class WindowNetwork:
         target = tokens[at]
         klass = target // PER_CLASS
         n = len(at)
-        h = self.hidden(tokens, at)
+        near = [tokens[at + d] for d in OFFSETS]
+        inputs = [self.embed[t] for t in near]
+        total = np.broadcast_to(self.bias, (n, WIDTH)).copy()
+        for x, w in zip(inputs, self.place, strict=True):
+            total += x * w
+        h = np.tanh(total)
         grads = [np.zeros_like(x) for x in self.parts()]
-        logits = h @ self.klass[:, :WIDTH].T + self.klass[:, WIDTH]
-        error = np.exp(logits - _log_sum(logits)[:, None])
+        error = _shares(h @ self.klass.T + self.klass_bias)
         error[np.arange(n), klass] -= 1
-        grads[2][:, :WIDTH] = error.T @ h
-        grads[2][:, WIDTH] = error.sum(0)
-        back = error @ self.klass[:, :WIDTH]
+        grads[3][:] = error.T @ h
+        grads[4][:] = error.sum(0)
+        back = error @ self.klass
         for c, low, high in _runs(klass):
             rows = slice(c * PER_CLASS, (c + 1) * PER_CLASS)
-            inner = h[low:high] @ self.word[rows, :WIDTH].T + self.word[rows, WIDTH]
-            error = np.exp(inner - _log_sum(inner)[:, None])
+            error = _shares(h[low:high] @ self.word[rows].T + self.word_bias[rows])
             error[np.arange(high - low), target[low:high] % PER_CLASS] -= 1
-            grads[1][rows, :WIDTH] = error.T @ h[low:high]
-            grads[1][rows, WIDTH] = error.sum(0)
-            back[low:high] += error @ self.word[rows, :WIDTH]
+            grads[1][rows] = error.T @ h[low:high]
+            grads[2][rows] = error.sum(0)
+            back[low:high] += error @ self.word[rows]
         back *= 1 - h * h
-        grads[3][-1, :WIDTH] = back.sum(0)
-        near = np.concatenate([tokens[at + d] for d in OFFSETS])
-        values = np.concatenate([back * self.place[i, :WIDTH] for i in range(len(OFFSETS))])
-        for i, d in enumerate(OFFSETS):
-            grads[3][i, :WIDTH] = (back * self.embed[tokens[at + d], :WIDTH]).sum(0)
-        order = np.argsort(near, kind="stable")
-        ordered = near[order]
+        grads[6][:] = back.sum(0)
+        for i, x in enumerate(inputs):
+            grads[5][i] = np.einsum("ij,ij->j", back, x)
+        ids = np.concatenate(near)
+        values = np.concatenate([back * w for w in self.place])
+        order = np.argsort(ids, kind="stable")
+        ordered = ids[order]
         first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        grads[0][ordered[first], :WIDTH] = np.add.reduceat(values[order], first, axis=0)
+        grads[0][ordered[first]] = np.add.reduceat(values[order], first, axis=0)
         for x, g, s in zip(self.parts(), grads, squares, strict=True):
             g /= n
             s += g * g
             x -= RATE * g / (np.sqrt(s) + 1e-6)
 
 
-def _log_sum(logits: np.ndarray) -> np.ndarray:
-    most = logits.max(1)
-    return most + np.log(np.exp(logits - most[:, None]).sum(1))
+class Scorer:
+    """A network ready to score: embeddings times place weights are laid out once for each place."""
+
+    def __init__(self, network: WindowNetwork):
+        self.network = network
+        self.tables = [np.ascontiguousarray(network.embed * w) for w in network.place]
+        self.words = [np.ascontiguousarray(network.word[c * PER_CLASS : (c + 1) * PER_CLASS].T) for c in range(CLASSES)]
+        self.biases = network.word_bias.reshape(CLASSES, PER_CLASS)
+        self.classes = np.ascontiguousarray(network.klass.T)
+        # hidden units are within 1, so logits are within this; exp is safe without subtracting the largest
+        reach = max(np.abs(network.word).sum(1).max() + np.abs(network.word_bias).max(), np.abs(network.klass).sum(1).max() + np.abs(network.klass_bias).max())
+        self.safe = bool(reach < 60)
+
+    def log_sum(self, logits: np.ndarray) -> np.ndarray:
+        if self.safe:
+            return np.log(np.exp(logits).sum(1))
+        most = logits.max(1)
+        return most + np.log(np.exp(logits - most[:, None]).sum(1))
+
+    def log_probabilities(self, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Conditional log-probability of each token at ``at`` given both sides."""
+        out = np.zeros(len(at))
+        for i in range(0, len(at), 32_768):
+            own = at[i : i + 32_768]
+            order = np.argsort(tokens[own].astype(np.uint16), kind="stable")
+            own = own[order]
+            target = tokens[own]
+            h = self.tables[0][tokens[own + OFFSETS[0]]]
+            for table, d in zip(self.tables[1:], OFFSETS[1:], strict=True):
+                h += table[tokens[own + d]]
+            h += self.network.bias
+            np.tanh(h, out=h)
+            klass = target // PER_CLASS
+            p = np.empty(len(own), np.float32)
+            for a in range(0, len(own), 4_096):
+                logits = h[a : a + 4_096] @ self.classes + self.network.klass_bias
+                p[a : a + 4_096] = logits[np.arange(len(logits)), klass[a : a + 4_096]] - self.log_sum(logits)
+            for c, low, high in _runs(klass):
+                for a in range(low, high, 4_096):
+                    b = min(high, a + 4_096)
+                    inner = h[a:b] @ self.words[c] + self.biases[c]
+                    p[a:b] += inner[np.arange(b - a), target[a:b] % PER_CLASS] - self.log_sum(inner)
+            out[i + order] = p
+        return out
+
+
+def _shares(logits: np.ndarray) -> np.ndarray:
+    """Softmax of each row, in place."""
+    logits -= logits.max(1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(1, keepdims=True)
+    return logits
 
 
 def _runs(ordered: np.ndarray) -> list[tuple[int, int, int]]:
@@ -231,61 +282,62 @@ class PseudoLikelihood:
     network: WindowNetwork
 
     @classmethod
-    def fit(cls, docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, masked: float = MASKED) -> PseudoLikelihood:
-        """Vocabulary and network from all texts of ``docs``."""
+    def fit(cls, docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, masked: float = MASKED, keep: list[str] | None = None) -> tuple[PseudoLikelihood, DataFrame]:
+        """The model of all texts of ``docs``, and the stored token table (with the columns ``keep``) that it was trained on."""
         words, counts = vocabulary(docs, text_col)
+        tokens = token_table(docs, words, keep or [], text_col)
         flat = WindowNetwork.initial(counts).flat()
-        source = docs.select(text_col)
         for turn in range(rounds):
-            flat = averaged(source, words, flat, turn, masked)
-        return cls(words, WindowNetwork.of(flat))
+            flat = averaged(tokens.select("__tokens"), flat, turn, masked)
+        return cls(words, WindowNetwork.of(flat)), tokens
 
     def score(self, docs: DataFrame, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
         """``docs`` (or ``keep``) with ``n_tokens``, ``log_likelihood`` (sum over all tokens) and ``mean_log_likelihood``."""
-        carried = docs.sparkSession.sparkContext.broadcast(self)
-        known: list[TokenIds] = []
-
-        def score(texts: list[str]) -> list[pa.Array]:
-            model = carried.value
-            if not known:
-                known.append(TokenIds(model.words))
-            n, total = [], []
-            for run in pieces(texts):
-                tokens, at, lengths = laid_out(run, known[0])
-                p = model.network.log_probabilities(tokens, at)
-                ends = np.r_[0, np.cumsum(p)][np.r_[0, np.cumsum(lengths)]]
-                n += lengths.tolist()
-                total += np.diff(ends).tolist()
-            mean = [t / k if k else 0.0 for t, k in zip(total, n, strict=True)]
-            return [pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(mean, pa.float64())]
-
-        added = [("n_tokens", T.LongType()), ("log_likelihood", T.DoubleType()), ("mean_log_likelihood", T.DoubleType())]
-        return with_text_columns(docs, text_col, keep, added, score)
-
-
-def averaged(source: DataFrame, words: list[str], flat: np.ndarray, turn: int, masked: float) -> np.ndarray:
+        return self.score_tokens(token_table(docs, self.words, docs.columns if keep is None else keep, text_col))
+
+    def score_tokens(self, tokens: DataFrame) -> DataFrame:
+        """The same from a token table."""
+        carried = tokens.sparkSession.sparkContext.broadcast(self.network)
+        names = ["n_tokens", "log_likelihood", "mean_log_likelihood"]
+        keep = [c for c in tokens.columns if c not in ("__tokens", *names)]
+        schema = T.StructType([*(tokens.schema[c] for c in keep), T.StructField(names[0], T.LongType()), *(T.StructField(n, T.DoubleType()) for n in names[1:])])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scorer = carried.value.scorer()
+            for batch in batches:
+                n, total = [], []
+                for lists in pieces(batch.column(len(keep)).to_pylist()):
+                    tokens, at, lengths = laid_out(lists)
+                    ends = np.r_[0, np.cumsum(scorer.log_probabilities(tokens, at))][np.r_[0, np.cumsum(lengths)]]
+                    n += lengths.tolist()
+                    total += np.diff(ends).tolist()
+                mean = [t / k if k else 0.0 for t, k in zip(total, n, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(mean, pa.float64())], names=schema.fieldNames())
+
+        return tokens.select(*keep, "__tokens").mapInArrow(run, schema)
+
+
+def averaged(source: DataFrame, flat: np.ndarray, turn: int, masked: float) -> np.ndarray:
     """Weights after a round: each task trains from ``flat`` over its texts; the mean is weighted by positions."""
-    carried = source.sparkSession.sparkContext.broadcast((words, flat))
+    carried = source.sparkSession.sparkContext.broadcast(flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, flat = carried.value
-        ids, network = TokenIds(words), WindowNetwork.of(flat)
+        network = WindowNetwork.of(carried.value)
         squares = [np.full_like(x, 1e-3) for x in network.parts()]
-        task = TaskContext.get().partitionId()
         done = 0
         tokens_held, at_held, held, shift = [], [], 0, 0
 
-        def train() -> int:
+        def train(rng: np.random.Generator) -> int:
             tokens, at = np.concatenate(tokens_held), np.concatenate(at_held)
             rng.shuffle(at)
             for i in range(0, len(at), BATCH):
                 network.step(tokens, at[i : i + BATCH], squares)
             return len(at)
 
-        rng = None
+        rng = np.random.default_rng(turn)
         for batch in batches:
-            for texts in pieces([t or "" for t in batch.column(0).to_pylist()]):
-                tokens, at, _ = laid_out(texts, ids)
+            for lists in pieces(batch.column(0).to_pylist()):
+                tokens, at, _ = laid_out(lists)
                 # the masks follow the texts, so a task that runs again takes the same
                 rng = np.random.default_rng([turn, zlib.crc32(tokens.tobytes())])
                 at = at[rng.random(len(at)) < masked]
@@ -294,15 +346,12 @@ def averaged(source: DataFrame, words: list[str], flat: np.ndarray, turn: int, m
                 shift += len(tokens)
                 held += len(at)
                 if held >= 16 * BATCH:
-                    done += train()
+                    done += train(rng)
                     tokens_held, at_held, held, shift = [], [], 0, 0
         if held:
-            done += train()
-        total = np.zeros((ROWS + 1, ROW), np.float32)
-        total[:ROWS] = network.flat() * done
-        total[ROWS] = done
-        yield block_rows(total, 1024, task)
-
-    total = summed_blocks(source.mapInArrow(run, BLOCK), (ROWS + 1, ROW), 1024)
-    n = total[ROWS, 0]
-    return (total[:ROWS] / n).astype(np.float32) if n else flat
+            done += train(rng)
+        yield block_rows(np.concatenate([network.flat() * done, np.full((1, ROW), done, np.float32)]), 256, TaskContext.get().partitionId())
+
+    total = summed_blocks(source.mapInArrow(run, BLOCK), (len(flat) + 1, ROW), 256)
+    n = total[-1, 0]
+    return (total[:-1] / n).astype(np.float32) if n else flat

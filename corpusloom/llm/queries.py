@@ -14,8 +14,8 @@ from corpusloom.llm.common import held_out, table
 def op1_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.lm import PseudoLikelihood
 
-    docs = table(spark, sf_dir, "documents")
-    return PseudoLikelihood.fit(docs).score(docs, keep=["doc_id"])
+    model, tokens = PseudoLikelihood.fit(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return model.score_tokens(tokens)
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
