@@ -176,3 +176,28 @@ def honesty_status(found: DataFrame) -> DataFrame:
     return found.agg(F.max(F.when(F.col("severity") == "fail", 2).otherwise(1)).alias("w"), F.count(F.lit(1)).alias("findings")).select(F.when(F.col("w") == 2, "blocked").when(F.col("w") == 1, "caution").otherwise("ready").alias("status"), "findings")
 
 
+
+
+def pack_contamination(eval_rows: DataFrame, train_rows: DataFrame, least: float = NEAR) -> DataFrame:
+    """``kind, eval_id, train_id, similarity`` between evaluation and training rows of a pack (id, user, assistant, bucket).
+
+    Equal prompts; prompts that are alike within their behaviour bucket; and evaluation answers of 12 characters and more inside a training
+    answer, the first one of each, but for refusals and identity rows.
+    """
+    e, t = records(eval_rows, "id", "user"), records(train_rows, "id", "user")
+    exact = exact_leaks(e, t).select(F.lit("exact_prompt").alias("kind"), F.col("target_id").alias("eval_id"), F.col("reference_id").alias("train_id"), F.lit(1.0).alias("similarity"))
+    buckets = [r.bucket for r in eval_rows.select("bucket").distinct().limit(64).collect()]
+    near = None
+    for bucket in buckets:
+        part = near_leaks(records(eval_rows.where(F.col("bucket") == bucket), "id", "user"), records(train_rows.where(F.col("bucket") == bucket), "id", "user"), least)
+        near = part if near is None else near.unionByName(part)
+    found = exact if near is None else exact.unionByName(near.select(F.lit("near_prompt").alias("kind"), F.col("target_id").alias("eval_id"), F.col("reference_id").alias("train_id"), "similarity"))
+    answers = records(eval_rows.where(~F.col("bucket").isin("refusal", "identity")), "id", "assistant").where(F.length("norm") >= 12)
+    inside = contained(answers, records(train_rows, "id", "assistant")).groupBy("phrase_id").agg(F.min("text_id").alias("train_id"))
+    return found.unionByName(inside.select(F.lit("answer_in_train").alias("kind"), F.col("phrase_id").alias("eval_id"), "train_id", F.lit(1.0).alias("similarity")))
+
+
+def assert_disjoint(left: DataFrame, right: DataFrame, key: str) -> None:
+    """An error if two tables share a key."""
+    if not left.join(right.select(key), key, "left_semi").isEmpty():
+        raise ValueError(f"the tables share values of {key}")

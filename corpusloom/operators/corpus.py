@@ -212,3 +212,9 @@ def token_estimate(chars: Column, docs: Column, kind: str, vocab: int) -> Column
         return chars + 2 * docs
     share = 0.28 if vocab >= 32_000 else 0.35 if vocab >= 8_000 else 0.45 if vocab >= 2_000 else 0.60
     return F.ceil(chars * F.lit(share))
+
+
+def chunk_metadata(stats: DataFrame, chunk: int = 50_000_000) -> DataFrame:
+    """``chunk, char_start, char_end`` of a corpus text that is cut in pieces of a fixed length."""
+    n = F.ceil(F.col("num_characters") / chunk).cast("int")
+    return stats.select("num_characters", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))).alias("chunk")).select(F.col("chunk").cast("long").alias("chunk"), (F.col("chunk") * F.lit(chunk).cast("long")).alias("char_start"), F.least(F.col("num_characters"), (F.col("chunk") + 1) * F.lit(chunk).cast("long")).alias("char_end"))

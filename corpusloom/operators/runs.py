@@ -261,3 +261,49 @@ def sweep_grid(samplings: DataFrame, rates: DataFrame, steps: DataFrame) -> Data
     grid = samplings.crossJoin(F.broadcast(rates)).crossJoin(F.broadcast(steps)).withColumn("name", name)
     twice = F.count(F.lit(1)).over(Window.partitionBy("name")) > 1
     return grid.withColumn("name", F.when(twice, F.raise_error(F.concat(F.lit("two candidates are named "), F.col("name")))).otherwise(F.col("name")))
+
+
+def status_counts(runs: DataFrame) -> DataFrame:
+    return runs.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def run_rows(summaries: DataFrame, tuned: DataFrame) -> DataFrame:
+    """Runs of two kinds of report in one table; what a kind lacks is null."""
+    return summaries.withColumn("kind", F.lit("native")).unionByName(tuned.withColumn("kind", F.lit("tuned")), allowMissingColumns=True)
+
+
+def missing_groups(required: DataFrame, categories: DataFrame) -> DataFrame:
+    """Required category prefixes that no category begins with."""
+    return required.join(F.broadcast(categories.select("category").distinct()), F.col("category").startswith(F.col("prefix")), "left_anti")
+
+
+def horizon_status(ratio: Column) -> Column:
+    return F.when(ratio > 3, "block").when((ratio < 0.5) | (ratio > 1.5), "warn").otherwise("pass")
+
+
+def parse_count(text: str) -> int:
+    """100m, 2.1b or 5k as a number."""
+    bare = text.strip().lower().replace("_", "").replace(",", "")
+    unit = {"k": 10**3, "m": 10**6, "b": 10**9}.get(bare[-1:], 1)
+    value = float(bare[:-1] if unit > 1 else bare)
+    if value <= 0:
+        raise ValueError("a count is positive")
+    return round(value * unit)
+
+
+def scaled_lr(base: float, batch: int, base_batch: int = 8) -> float:
+    """Learning rate by the square root of the batch."""
+    return base * (batch / base_batch) ** 0.5
+
+
+def peak_tflops(device: Column) -> Column:
+    """Peak of a device by the first known name in its own."""
+    out = F.lit(None).cast("double")
+    for name, peak in reversed(list(PEAK_TFLOPS.items())):
+        out = F.when(device.contains(name), F.lit(peak)).otherwise(out)
+    return out
+
+
+def stage_metric(*candidates: Column) -> Column:
+    """The first of a stage's metrics that there is: summary, best checkpoint, last point."""
+    return F.coalesce(*candidates)

@@ -75,3 +75,19 @@ def quota_largest_remainder(table: DataFrame, total: int) -> DataFrame:
     left = share.join(F.broadcast(share.agg((F.lit(total) - F.sum("__floor")).alias("__left"))))
     rank = F.row_number().over(Window.orderBy(F.desc(F.col("__exact") - F.col("__floor")), F.desc("name")))
     return left.withColumn("__rank", rank).select("name", "weight", (F.col("__floor") + F.when(F.col("__rank") <= F.col("__left"), 1).otherwise(0)).cast("long").alias("quota"))
+
+
+def batches(rows: DataFrame, key: str, seed: int, size: int, ranks: int = 1) -> DataFrame:
+    """``key, position, batch, rank``: a permutation of the rows for an epoch (the seed), dealt in batches to ranks; any batch can be found again."""
+    from corpusloom.operators.corpus import running_total
+
+    place = F.conv(F.substring(order_hash(F.col(key), seed), 1, 14), 16, 10).cast("long")
+    numbered = running_total(rows.select(key).withColumn("__place", place), "__place", F.lit(1))
+    return numbered.select(key, F.col("__before").alias("position"), F.floor(F.col("__before") / size).alias("batch"), (F.floor(F.col("__before") / size) % ranks).alias("rank"))
+
+
+def rounded_split(rows: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
+    """Like ``holdout_split``, with round(n * fraction) rows, at least one on each side."""
+    n = rows.count()
+    want = max(1, min(n - 1, round(n * fraction))) if n > 1 else 0
+    return holdout_split(rows, key, (want + 0.5) / n if n else 0.0, seed)

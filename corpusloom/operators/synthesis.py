@@ -199,3 +199,47 @@ def mixture(components: list[tuple[str, DataFrame, int]]) -> DataFrame:
         part = rows.limit(quota).withColumn("component", F.lit(name))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
+
+
+#: Stages of the arithmetic drill: name, operation, operands' bounds.
+MATH_STAGES = [("add_small", "+", 1, 20), ("add_two_digit", "+", 10, 99), ("subtract_small", "-", 1, 20), ("subtract_two_digit", "-", 10, 99), ("multiply_table", "*", 2, 12), ("multiply_by_digit", "*", 2, 9), ("double", "*", 2, 2), ("round_tens", "+", 10, 90)]
+
+
+def staged_math(spark: SparkSession, n: int, stage: str, split: str, templates: int = 4) -> DataFrame:
+    """``i, expression, answer, template`` of one stage; the stage's operand pairs are parted 80 to 20 between training and evaluation."""
+    name, sign, low, high = next(s for s in MATH_STAGES if s[0] == stage)
+    span = spark.range(low, high + 1)
+    pool = span.select(F.col("id").alias("x")).crossJoin(F.broadcast(span.select(F.col("id").alias("y"))))
+    if sign == "-":
+        pool = pool.where("x >= y")
+    parted = operand_pool(pool.withColumn("pair", F.format_string("%06d-%06d", "x", "y")), "pair").where(F.col("split") == split)
+    placed = parted.withColumn("p", F.row_number().over(Window.orderBy("pair")) - 1)
+    size = placed.count()
+    rows = spark.range(n).select(F.col("id").alias("i"), (F.col("id") % templates).alias("template"), (F.floor(F.col("id") / templates) % size).cast("int").alias("p"))
+    answer = F.expr({"+": "x + y", "-": "x - y", "*": "x * y"}[sign])
+    return rows.join(F.broadcast(placed), "p").select("i", F.concat_ws(f" {sign} ", F.col("x").cast("string"), F.col("y").cast("string")).alias("expression"), answer.alias("answer"), "template")
+
+
+def profile_mix(components: dict[str, DataFrame], weights: dict[str, float], total: int, key: Column, order: str) -> DataFrame:
+    """``total`` rows by weight over components in turn, each row's key once over all of them: an earlier component has the first claim."""
+    from corpusloom.operators.splits import quota_floor
+
+    quotas = quota_floor(total, weights)
+    out, taken = None, None
+    for name, rows in components.items():
+        keys = rows.sparkSession.createDataFrame([], "key string") if taken is None else taken
+        part = unique_rows(rows, keys, key, order, quotas[name]).withColumn("component", F.lit(name))
+        taken = part.select("key") if taken is None else taken.unionByName(part.select("key"))
+        out = part if out is None else out.unionByName(part)
+    return out.drop("key")
+
+
+def skill_shards(rows: DataFrame, order: str, per_shard: int) -> DataFrame:
+    """``rows`` with the file they go to."""
+    return rows.withColumn("shard", F.floor(F.col(order) / per_shard))
+
+
+def rotated(rows: DataFrame, number: str, n: int, reserve: int) -> DataFrame:
+    """Rows numbered from 0 after a rotation by ``reserve``, so that held-out rows come from elsewhere; short lists stay."""
+    shift = reserve if n > reserve + 4 else 0
+    return rows.withColumn(number, (F.col(number) + n - shift) % n)

@@ -152,3 +152,23 @@ def preference_rows(rows: DataFrame) -> DataFrame:
     pick = lambda *names: F.coalesce(*[F.col(c) for c in names if c in rows.columns], F.lit(None).cast("string"))
     named = rows.select(strip(pick("user", "prompt")).alias("user"), strip(pick("chosen", "preferred", "winner")).alias("chosen"), strip(pick("rejected", "dispreferred", "loser")).alias("rejected"))
     return named.where("user <> '' and chosen <> '' and rejected <> '' and chosen <> rejected")
+
+
+def eval_inspection(rows: DataFrame) -> DataFrame:
+    """One row: usable items, issues (a row may have several), rules, unanswerable and repeated items, status."""
+    marked = rows.withColumn("issues", eval_issues(F.col("user"), F.col("must_include"), F.col("must_not_include")))
+    good = marked.where(F.size("issues") == 0)
+    rules = F.size("must_include") + F.size("must_not_include") + F.size("must_include_any")
+    prompts = good.groupBy(norm_ws("user").alias("p")).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated"))
+    row = good.agg(F.count(F.lit(1)).alias("items"), F.coalesce(F.sum(rules), F.lit(0)).alias("rules"), F.count(F.when(~F.col("answerable"), 1)).alias("unanswerable")).join(marked.agg(F.coalesce(F.sum(F.size("issues")), F.lit(0)).alias("invalid"))).join(prompts)
+    return row.select("items", "invalid", "rules", "unanswerable", "repeated", eval_status(F.col("items"), F.col("invalid"), F.col("rules"), F.col("unanswerable")).alias("status"))
+
+
+def quality_warnings(n: Column, duplicate_rate: Column, near_pairs: Column, entropy: Column, label: Column) -> Column:
+    """Names of the warnings about a tuning file."""
+    return flags(((n >= 32) & (entropy < 0.45), "low_entropy"), (duplicate_rate > 0.10, "duplicate_prompts"), (near_pairs > 0, "near_duplicate_prompts"), (label.startswith("skill_"), "skill_only"), (label.startswith("behavior_"), "behavior_only"))
+
+
+def merged_status(statuses: Column) -> Column:
+    """The worst of an array of statuses."""
+    return F.when(F.array_contains(statuses, "blocked"), "blocked").when(F.array_contains(statuses, "caution"), "caution").otherwise("ready")

@@ -256,7 +256,40 @@ def _drained(spark: SparkSession, result: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(result.schema).parquet(f"{folder}/out")
 
 
-QUERIES = {f.__name__: f for f in (leaderboard, best_run, registry_rank, run_compare, run_regressions, next_experiment, best_bpb, multi_seed_stats, release_gate, preflight_checks, preflight_verdicts, loss_diagnostics, loss_recommendations, loss_stability, loss_spikes, throughput_summary, lr_recommendation, bits_per_byte, category_prefix_pass, scale_plan, math_rows, spelling_rows, choice_rows, identity_rows, external_choice_convert, sentence_candidates, eval_starter, sft_starter, preference_starter, slice_by_glob, unique_prompts, shuffled_head, task_mixture, log_progress, log_progress_stream, events_window_stream)}
+def registry_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.status_counts(_summaries(spark, sf_dir))
+
+
+def release_groups_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    required = spark.createDataFrame([("bench_math",), ("identity",), ("bench_reading",), ("safety",)], "prefix string")
+    return runs.missing_groups(required, chat_pairs(spark, sf_dir))
+
+
+def staged_math(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers and operands of a stage; no operand pair is on both sides."""
+    sides = [synthesis.staged_math(spark, 400, "multiply_table", split).withColumn("split", F.lit(split)) for split in ("train", "eval")]
+    return sides[0].unionByName(sides[1])
+
+
+def profile_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.functions.text import norm_ws
+
+    pairs = chat_pairs(spark, sf_dir)
+    parts = {"skills": synthesis.sliced(pairs, "category", ["bench_*"]), "all": pairs}
+    return synthesis.profile_mix(parts, {"skills": 0.4, "all": 0.6}, 30, norm_ws("user"), "conv_id").select("conv_id", "component")
+
+
+def skill_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synthesis.skill_shards(synthesis.math_rows(spark, 1_000, "train"), "i", 300).groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+
+
+def corpus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.operators import corpus
+
+    return corpus.chunk_metadata(corpus.corpus_stats(table(spark, sf_dir, "documents")), 500_000)
+
+
+QUERIES = {f.__name__: f for f in (registry_status_counts, release_groups_missing, staged_math, profile_mix, skill_shards, corpus_chunks, leaderboard, best_run, registry_rank, run_compare, run_regressions, next_experiment, best_bpb, multi_seed_stats, release_gate, preflight_checks, preflight_verdicts, loss_diagnostics, loss_recommendations, loss_stability, loss_spikes, throughput_summary, lr_recommendation, bits_per_byte, category_prefix_pass, scale_plan, math_rows, spelling_rows, choice_rows, identity_rows, external_choice_convert, sentence_candidates, eval_starter, sft_starter, preference_starter, slice_by_glob, unique_prompts, shuffled_head, task_mixture, log_progress, log_progress_stream, events_window_stream)}
 
 _RESULTS = "r AS (SELECT o_orderpriority AS run, ['bench_math_add', 'identity', 'domain_recall', 'refusal_boundary', 'bench_choice_facts', 'bench_spelling_letters', 'chat'][(o_orderkey % 7) + 1] AS category, o_orderstatus = 'F' AS passed FROM orders)"
 _BOARD = f"{_RESULTS}, u AS (SELECT run, 'overall' AS suite, passed FROM r UNION ALL SELECT run, category, passed FROM r WHERE category LIKE 'bench_%'), b AS (SELECT run, suite, count(*) FILTER (passed) AS num_passed, count(*) AS num_examples, count(*) FILTER (passed) / count(*) AS pass_rate FROM u GROUP BY 1, 2)"
@@ -320,4 +353,10 @@ ORACLES |= {
     "slice_by_glob": f"WITH {PAIRS_SQL} SELECT category, count(*) AS n FROM pairs WHERE (category LIKE 'bench\\_%' ESCAPE '\\' OR category LIKE 'ident_ty') AND category NOT LIKE '%spelling%' GROUP BY category",
     "unique_prompts": f"WITH {PAIRS_SQL}, k AS (SELECT conv_id, {_PROMPT} AS p FROM pairs), m AS (SELECT min(conv_id) AS conv_id FROM k WHERE conv_id % 3 <> 0 AND p NOT IN (SELECT p FROM k WHERE conv_id % 3 = 0) GROUP BY p) SELECT conv_id FROM m ORDER BY conv_id LIMIT 50",
     "task_mixture": f"WITH {PAIRS_SQL} SELECT * FROM (SELECT 'math' AS component, least(5, count(*)) AS n FROM pairs WHERE category LIKE 'bench_math%' UNION ALL SELECT 'identity', least(4, count(*)) FROM pairs WHERE category = 'identity' UNION ALL SELECT 'domain', least(3, count(*)) FROM pairs WHERE category LIKE 'domain%')",
+    "registry_status_counts": f"WITH {_SUMS} SELECT status, count(*) AS n FROM s GROUP BY status",
+    "release_groups_missing": f"WITH {PAIRS_SQL} SELECT p AS prefix FROM (VALUES ('bench_math'), ('identity'), ('bench_reading'), ('safety')) t(p) WHERE NOT EXISTS (SELECT 1 FROM pairs WHERE starts_with(category, p))",
+    "staged_math": "WITH o AS (SELECT x, y, row_number() OVER (ORDER BY x, y) AS rn FROM range(2, 13) a(x), range(2, 13) b(y)), s AS (SELECT x, y, CASE WHEN rn <= 96 THEN 'train' ELSE 'eval' END AS split, rn FROM o), p AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY rn) - 1 AS p, count(*) OVER (PARTITION BY split) AS n FROM s) SELECT i, x || ' * ' || y AS expression, x * y AS answer, i % 4 AS template, split FROM range(400) t(i) JOIN p ON i // 4 % n = p",
+    "profile_mix": f"WITH {PAIRS_SQL}, k AS (SELECT conv_id, category, {_PROMPT} AS p FROM pairs), a AS (SELECT min(conv_id) AS conv_id, p FROM k WHERE category LIKE 'bench\\_%' ESCAPE '\\' GROUP BY p ORDER BY 1 LIMIT 12), b AS (SELECT min(conv_id) AS conv_id FROM k WHERE p NOT IN (SELECT p FROM a) GROUP BY p ORDER BY 1 LIMIT 18) SELECT conv_id, 'skills' AS component FROM a UNION ALL SELECT conv_id, 'all' FROM b",
+    "skill_shards": "SELECT i // 300 AS shard, count(*) AS n FROM range(1000) t(i) GROUP BY 1",
+    "corpus_chunks": "WITH c AS (SELECT sum(length(text)) + greatest(0, count(*) - 1) AS n FROM documents) SELECT i AS chunk, i * 500000 AS char_start, CAST(least(n, (i + 1) * 500000) AS BIGINT) AS char_end FROM c, range(10000) t(i) WHERE i * 500000 < n",
 }

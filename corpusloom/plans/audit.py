@@ -167,7 +167,36 @@ def mixture_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.quota_largest_remainder(named, 997)
 
 
-QUERIES = {f.__name__: f for f in (contamination_exact, contamination_contains, ngram_overlap, nearest_references, memorization_report, contamination_matrix, leak_findings, honesty_status, canary_hits, answer_phrase_hits, near_prompt_leaks, sft_pairs, conversation_messages, chat_length_distribution, category_entropy, duplicate_prompts, prompt_near_dups, prompt_jaccard_pairs, template_family, answer_style, curriculum_mix, behavior_buckets, sft_inspection, char_budget_filter, doc_split, group_split, category_weights, weighted_sample_rates, mixture_quotas)}
+def _packs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = chat_pairs(spark, sf_dir).select(F.col("conv_id").alias("id"), "user", "assistant", tuning.behavior_bucket(F.col("category")).alias("bucket"))
+    return rows.where("id % 3 = 0"), rows.where("id % 3 <> 0")
+
+
+def pack_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    evaluation, train = _packs(spark, sf_dir)
+    return con.pack_contamination(evaluation, train)
+
+
+def pack_answer_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the pack's findings, those that need no similarity."""
+    return pack_contamination(spark, sf_dir).where("kind <> 'near_prompt'").select("kind", "eval_id", "train_id")
+
+
+def eval_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.plans.evaluation import items
+
+    return tuning.eval_inspection(items(spark, sf_dir))
+
+
+def resumable_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.batches(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 5, 32, 4)
+
+
+def rounded_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.rounded_split(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 0.155, 9)
+
+
+QUERIES = {f.__name__: f for f in (pack_contamination, pack_answer_hits, eval_inspection, resumable_batches, rounded_split, contamination_exact, contamination_contains, ngram_overlap, nearest_references, memorization_report, contamination_matrix, leak_findings, honesty_status, canary_hits, answer_phrase_hits, near_prompt_leaks, sft_pairs, conversation_messages, chat_length_distribution, category_entropy, duplicate_prompts, prompt_near_dups, prompt_jaccard_pairs, template_family, answer_style, curriculum_mix, behavior_buckets, sft_inspection, char_budget_filter, doc_split, group_split, category_weights, weighted_sample_rates, mixture_quotas)}
 
 
 def _ngrams(source: str, key: str, n: int, alias: str) -> str:
@@ -213,4 +242,8 @@ ORACLES = {
     "group_split": f"WITH s AS (SELECT source, count(*) AS n, {_MD5.format(chr(39) + '7' + chr(39), 'source')} AS h FROM documents GROUP BY source), p AS (SELECT source, n, coalesce(sum(n) OVER (ORDER BY h, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, row_number() OVER (ORDER BY h, source) AS rn, sum(n) OVER () AS t, count(*) OVER () AS g FROM s) SELECT source, CASE WHEN b < greatest(1, floor(t * 0.15::DOUBLE)) AND rn < g THEN 'val' ELSE 'train' END AS split, n FROM p",
     "category_weights": "SELECT c_mktsegment, count(*) AS n, 1.0 / count(*) AS weight, 1.0 / sqrt(count(*)) AS sqrt_weight FROM customer GROUP BY 1",
     "mixture_quotas": "WITH s AS (SELECT c_mktsegment AS name, CAST(count(*) AS DOUBLE) AS weight FROM customer GROUP BY 1), e AS (SELECT *, 997.0::DOUBLE * weight / sum(weight) OVER () AS x FROM s), f AS (SELECT *, floor(x) AS fl FROM e), r AS (SELECT *, row_number() OVER (ORDER BY x - fl DESC, name DESC) AS rk, 997 - sum(fl) OVER () AS l FROM f) SELECT name, weight, CAST(fl + CASE WHEN rk <= l THEN 1 ELSE 0 END AS BIGINT) AS quota FROM r",
+    "pack_answer_hits": f"""WITH {PAIRS_SQL}, b AS (SELECT conv_id AS id, {NORM_TOKENS.format('"user"')} AS u, {NORM_TOKENS.format('assistant')} AS a, CASE WHEN category LIKE 'identity%' OR category LIKE '%refusal%' THEN 'x' ELSE 'y' END AS k FROM pairs), t AS (SELECT * FROM b WHERE id % 3 <> 0), e AS (SELECT * FROM b WHERE id % 3 = 0), m AS (SELECT u, max(id) AS id FROM t GROUP BY u) SELECT 'exact_prompt' AS kind, e.id AS eval_id, m.id AS train_id FROM e JOIN m USING (u) WHERE u <> '' UNION ALL SELECT 'answer_in_train', e.id, min(t.id) FROM e JOIN t ON contains(' ' || t.a || ' ', ' ' || e.a || ' ') WHERE e.k = 'y' AND length(e.a) >= 12 GROUP BY e.id""",
+    "eval_inspection": f"""WITH {PAIRS_SQL}, i AS (SELECT conv_id, "user" AS u FROM pairs WHERE len({TOKS.format('"user"')}) >= 2), r AS (SELECT u, conv_id, CAST(conv_id % 2 = 0 AS INTEGER) + CAST(conv_id % 3 = 0 AS INTEGER) AS base, CAST(conv_id % 5 = 0 AS INTEGER) AS grp FROM i), g AS (SELECT * FROM r WHERE base > 0), p AS (SELECT count(*) AS n FROM g GROUP BY {_norm_ws('u')}), a AS (SELECT count(*) AS items, CAST(sum(base + grp) AS BIGINT) AS rules, count(*) FILTER (conv_id % 4 = 0) AS unanswerable FROM g), x AS (SELECT count(*) FILTER (base = 0) AS invalid FROM r), d AS (SELECT CAST(sum(n - 1) AS BIGINT) AS repeated FROM p) SELECT items, invalid, rules, unanswerable, repeated, CASE WHEN items = 0 OR invalid > 0 OR rules = 0 THEN 'blocked' WHEN items < 4 OR unanswerable = 0 THEN 'caution' ELSE 'ready' END AS status FROM a, x, d""",
+    "resumable_batches": f"WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {_MD5.format(chr(39) + '5' + chr(39), 'doc_id')}) - 1 AS position FROM documents) SELECT doc_id, position, position // 32 AS batch, position // 32 % 4 AS rank FROM r",
+    "rounded_split": f"WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {_MD5.format(chr(39) + '9' + chr(39), 'doc_id')}) AS rn, count(*) OVER () AS n FROM documents) SELECT doc_id, CASE WHEN rn <= round_even(n * 0.155::DOUBLE, 0) THEN 'val' ELSE 'train' END AS split FROM r",
 }

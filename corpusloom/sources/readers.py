@@ -234,3 +234,33 @@ def newest_reports(found: DataFrame) -> DataFrame:
     """The report of each run: ``eval/`` first, else the newest ``eval*/``; from ``run, folder, modified``."""
     first = F.when(F.col("folder") == "eval", 1).otherwise(0)
     return found.groupBy("run").agg(F.max_by(F.col("folder"), F.struct(first, F.col("modified"), F.col("folder"))).alias("folder"))
+
+
+def parquet_shards(spark: SparkSession, folder: str, first: int, last: int) -> DataFrame:
+    """Numbered Parquet shards of a downloaded data set."""
+    return spark.read.parquet(*[f"{folder}/shard_{i:05d}.parquet" for i in range(first, last + 1)])
+
+
+def loaded(loader, *args, **kwargs) -> DataFrame:
+    """Rows of an injected loader, which must give a DataFrame."""
+    rows = loader(*args, **kwargs)
+    if not isinstance(rows, DataFrame):
+        raise TypeError("a loader gives a DataFrame")
+    return rows
+
+
+def valid_json_objects(spark: SparkSession, path: str) -> DataFrame:
+    """``lines, bad``: whether every line that isn't blank is a JSON object."""
+    rows = spark.read.text(path).where(F.trim("value") != "")
+    good = F.trim("value").startswith("{") & F.expr("try_parse_json(value)").isNotNull()
+    return rows.agg(F.count(F.lit(1)).alias("lines"), F.count(F.when(~good, 1)).alias("bad"))
+
+
+def manifest_slices(text: DataFrame, manifest: DataFrame, text_col: str = "text") -> DataFrame:
+    """Documents of a corpus text by the manifest's whole offsets, in order; an overlap is an error."""
+    from pyspark.sql import Window
+
+    kept = manifest.where(F.col("char_start").isNotNull() & F.col("char_end").isNotNull())
+    before = F.max("char_end").over(Window.partitionBy("path").orderBy("char_start").rowsBetween(Window.unboundedPreceding, -1))
+    checked = kept.withColumn("char_start", F.when(F.coalesce(before, F.lit(0)) > F.col("char_start"), F.raise_error(F.lit("documents overlap in the manifest"))).otherwise(F.col("char_start")))
+    return text.join(checked, "path").select("path", "char_start", F.trim(F.substring(text_col, F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))).alias("text"))

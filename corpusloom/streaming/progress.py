@@ -63,3 +63,8 @@ def job_states(active: DataFrame, discovered: DataFrame) -> DataFrame:
 def windowed_counts(rows: DataFrame, time_col: str, key: str, size: str = "1 hour", late: str = "30 minutes") -> DataFrame:
     """Counts and sums in tumbling windows of event time with a watermark; an addition for event tables."""
     return rows.withWatermark(time_col, late).groupBy(F.window(time_col, size).alias("w"), key).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), key, "n", "total")
+
+
+def tail(text: Column, n: int = 12_000) -> Column:
+    """The last characters of a log."""
+    return F.substring(text, -min(200_000, max(1, n)), min(200_000, max(1, n)))
