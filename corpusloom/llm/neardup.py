@@ -8,13 +8,15 @@ are aligned by chains of shared shingles of ``SHINGLE`` words (told apart by num
 further off the diagonal than the similarity allows, and the similarity is shared / (all of both - shared).
 
 Exact copies meet first, by a 128-bit hash of their words, and go on as one text, so a group of copies of any size is one row.
-Sketches are taken in waves. In a wave only those buckets count that hold more than one class so far; each such bucket is
-cut in chunks of at most ``CHUNK`` texts, each with the bucket's pivot (the member whose buckets are largest, the likely
-original), and within a chunk every two texts of different classes are compared until they are linked. Links become classes by
-spreading the least label. Nothing of this reaches the driver but counts.
+In a bucket of at most ``SMALL`` texts every two are compared until they are linked. In a larger one each text is compared with
+the bucket's pivot (the member whose buckets are largest, the likely original), in chunks, so that no task holds the whole
+bucket. Links become classes by spreading the least label. Nothing of this reaches the driver but counts and a bitmap of bounded size.
 
-Buckets of at most ``CHUNK`` different texts are compared exactly. In a larger bucket two texts in different chunks
-meet only through the pivot, and again, in other chunks, in the other sketches; no text is dropped from it.
+What isn't like its pivot is the rest, and is handled by refinement: two similar texts of which one isn't like the pivot share a
+shingle that the pivot lacks, or are both shorter than it. So each text of a bucket with a rest joins the buckets of its shingles
+that the pivot lacks (a text that shares less than half with the pivot, of the least under 16 hash functions: texts like
+it are unlike the pivot too), and of its length if it is shorter. Those of them that hold one of the rest are compared like
+the first ones, and large ones among them are refined again, up to ``LEVELS`` times.
 
 Defined results: a text without words (null is the empty text) is a copy of equal raw texts only; texts of fewer than
 ``SHINGLE`` words have exact copies only; ``class_id`` is the least id of the class (null ids come last, so a class of null
@@ -42,11 +44,17 @@ KEPT = 2
 SKETCHES = 8
 SHINGLE = 5
 SIMILARITY = 0.8
+SMALL = 256
 CHUNK = 256
-WAVES = ((0,), (1, 2, 3), (4, 5, 6, 7))
+#: How often large buckets are refined.
+LEVELS = 2
+#: Bits of the bitmap that is broadcast, at most (64 MB).
+MAX_BITS = 1 << 29
 WORD = re.compile(r"[^\W_]+")
 SEEDS = np.array([zlib.crc32(f"sketch {i}".encode()) * 0x9E3779B97F4A7C15 % 2**64 for i in range(SKETCHES)], np.uint64)
 
+REFINED_SEEDS = np.array([zlib.crc32(f"rest {i}".encode()) * 0x9E3779B97F4A7C15 % 2**64 for i in range(16)], np.uint64)
+
 
 class WordCodes(dict):
     """Word as written -> 32-bit hash of its lower case; emptied when it grows large."""
@@ -155,78 +163,140 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def bucket_members(rows: DataFrame) -> DataFrame:
-    """``print, i, sketch, n, weight``: distinct texts in buckets of two and more; weight: how large a text's buckets are."""
+    """``print, sketch, n, weight``: distinct texts in buckets of two and more; weight: how large a text's buckets are.
+
+    Sketches of different hash functions have different seeds, so the value alone names the bucket.
+    """
     texts = rows.groupBy("print").agg(F.first("sketches").alias("sketches"))
-    members = texts.select("print", F.posexplode("sketches").alias("i", "sketch"))
-    sizes = members.groupBy("i", "sketch").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = stored(members.join(sizes, ["i", "sketch"]), "buckets")
+    members = texts.select("print", F.explode(F.array_distinct("sketches")).alias("sketch"))
+    sizes = members.groupBy("sketch").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = stored(members.join(sizes, "sketch"), "buckets")
     weights = shared.groupBy("print").agg(F.sum(F.log("n")).alias("weight"))
-    return stored(shared.join(weights, "print"), "members")
+    return shared.join(weights, "print")
 
 
-def chunks(members: DataFrame, labels: DataFrame | None, wave: tuple[int, ...]) -> DataFrame:
-    """``i, sketch, chunk, print, label``: members of the buckets of a wave that hold more than one class."""
-    own = members.where(F.col("i").isin(list(wave)))
-    if labels is None:
-        own = own.withColumn("label", F.col("print"))
-    else:
-        own = own.join(labels.withColumnRenamed("label", "__label"), "print", "left").withColumn("label", F.coalesce("__label", "print")).drop("__label")
-    several = own.groupBy("i", "sketch").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max_by("print", F.struct("weight", "print")).alias("pivot")).where("low <> high").drop("low", "high")
-    active = own.join(several, ["i", "sketch"])
+def chunks(members: DataFrame) -> DataFrame:
+    """``sketch, chunk, print, pivot``: members of the buckets; ``pivot`` is null in small buckets, and each chunk of a large one has it."""
+    members = stored(members, "members")
+    large = members.where(F.col("n") > SMALL)
+    pivots = large.groupBy("sketch").agg(F.max_by("print", F.struct("weight", "print")).alias("pivot"))
     parts = F.ceil(F.col("n") / CHUNK).cast("int")
-    spread = F.when(F.col("print") == F.col("pivot"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("print", F.lit(wave[0])), parts).cast("int")))
-    return active.select("i", "sketch", F.explode(spread).alias("chunk"), "print", "label", (F.col("print") == F.col("pivot")).alias("pivot"))
+    spread = F.when(F.col("print") == F.col("pivot"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("print"), parts).cast("int")))
+    cut = large.join(pivots, "sketch").select("sketch", F.explode(spread).alias("chunk"), "print", "weight", "pivot")
+    small = members.where(F.col("n") <= SMALL).select("sketch", F.lit(0).alias("chunk"), "print", "weight", F.lit(None).cast("binary").alias("pivot"))
+    return stored(small.unionByName(cut), "chunks")
+
+
+def refined(chunked: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """Members of new buckets for what isn't like its pivot; none if there is no such text."""
+    rest = found.where("not linked").select(F.col("a").alias("pivot"), F.col("b").alias("print")).distinct()
+    if rest.limit(1).count() == 0:
+        return None
+    rest = stored(rest, "rest")
+    large = chunked.where(F.col("pivot").isNotNull() & (F.col("print") != F.col("pivot"))).join(rest.select("pivot").distinct(), "pivot", "left_semi").groupBy("print", "pivot").agg(F.max("weight").alias("weight"))
+    marked = large.join(rest.withColumn("rest", F.lit(True)), ["pivot", "print"], "left")
+    pivots = texts.join(rest.select("pivot").distinct(), F.col("print") == F.col("pivot"), "left_semi").select(F.col("print").alias("pivot"), F.col("words").alias("of_pivot"))
+    both = marked.join(texts, "print").join(pivots, "pivot").select("print", "pivot", "weight", F.coalesce("rest", F.lit(False)).alias("rest"), "words", "of_pivot")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                at, keys = [], []
+                for i, (pivot, words, of_pivot) in enumerate(zip(*(part.column(c).to_pylist() for c in (1, 4, 5)), strict=True)):
+                    mine, theirs = (numbered(kmers(np.frombuffer(w, np.uint32), SHINGLE)) for w in (words, of_pivot))
+                    name = np.uint64(int.from_bytes(pivot[:8], "little"))
+                    other = np.setdiff1d(mine, theirs)
+                    if 2 * len(other) > len(mine):
+                        other = np.unique(mixed(other ^ (REFINED_SEEDS[:, None] + name)).min(1))
+                    own = mixed(other ^ name).view(np.int64).tolist()
+                    if len(mine) < len(theirs):
+                        step = int(np.log(len(mine)) / np.log(1 / SIMILARITY))
+                        own += mixed(np.array([step, step + 1], np.uint64) + name).view(np.int64).tolist()
+                    at += [i] * len(own)
+                    keys += own
+                taken = part.take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([taken.column(0), pa.array(keys, pa.int64()), taken.column(2), taken.column(3)], names=["print", "sketch", "weight", "rest"])
+
+    spread = stored(both.mapInArrow(run, "print binary, sketch long, weight double, rest boolean"), "spread")
+    sizes = spread.groupBy("sketch").agg(F.count(F.lit(1)).alias("n"), F.max("rest").alias("any")).where("n > 1 and any").drop("any")
+    return spread.drop("rest").join(sizes, "sketch")
+
+
+def candidate_texts(members: DataFrame, rows: DataFrame) -> DataFrame:
+    """``print, words`` of the texts that share a bucket with another, once each, stored.
+
+    A bitmap over hashes of the wanted prints, of ``MAX_BITS`` bits at most, lets most other rows out before the shuffle; the
+    join removes those that it passes in error.
+    """
+    wanted = stored(members.select("print").distinct(), "wanted")
+    size = 1 << min(MAX_BITS.bit_length() - 1, max(16, (16 * wanted.count()).bit_length()))
+    place = F.xxhash64("print").bitwiseAND(F.lit(size - 1))
+    words = wanted.select((place / 64).cast("long").alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    bits = np.zeros(size // 64, np.int64)
+    for row in words.toLocalIterator():
+        bits[row["at"]] = row.bits
+    carried = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            keep = (carried.value[at // 64] >> (at % 64)) & 1
+            yield batch.select([0, 1]).filter(pa.array(keep.astype(bool)))
 
-def links(chunked: DataFrame, rows: DataFrame) -> DataFrame:
-    """``a, b``: labels of classes that a verified pair links, a < b."""
-    wanted = chunked.select("print").distinct()
-    words = rows.select("print", "words").join(wanted, "print", "left_semi").groupBy("print").agg(F.first("words").alias("words"))
-    keys = ["i", "sketch", "chunk"]
-    together = chunked.join(words, "print").select(*keys, "label", "pivot", "words").repartition(*keys).sortWithinPartitions(*keys, F.desc("pivot"), "label")
+    likely = rows.select("print", "words", place.alias("place")).mapInArrow(passed, "print binary, words binary")
+    return stored(likely.join(wanted, "print", "left_semi").groupBy("print").agg(F.first("words").alias("words")), "texts")
+
+
+def links(chunked: DataFrame, texts: DataFrame) -> DataFrame:
+    """``a, b, linked``: pairs of prints that are alike, as stars around the least of each chunk; and each pivot with what isn't like it."""
+    keys = ["sketch", "chunk"]
+    first = F.coalesce(F.col("print") == F.col("pivot"), F.lit(False))
+    together = chunked.join(texts, "print").select(*keys, "print", F.col("pivot").isNotNull().alias("large"), first.alias("first"), "words").repartition(*keys).sortWithinPartitions(*keys, F.desc("first"), "print")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group = None, []
-        edges: set[tuple[bytes, bytes]] = set()
+        key, group, large = None, [], False
+        out: set[tuple[bytes, bytes, bool]] = set()
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for *now, label, _, data in zip(*columns, strict=True):
+            for *now, own, is_large, _, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if now != key:
-                    edges.update(compared(group))
-                    key, group = now, []
-                group.append((label, data))
-            if len(edges) > 10_000:
-                yield rows_of(edges)
-                edges = set()
-        edges.update(compared(group))
-        yield rows_of(edges)
+                    out.update(compared(group, large))
+                    key, group, large = now, [], is_large
+                group.append((own, data))
+            if len(out) > 10_000:
+                yield rows_of(out)
+                out = set()
+        out.update(compared(group, large))
+        yield rows_of(out)
 
-    def rows_of(edges: set[tuple[bytes, bytes]]) -> pa.RecordBatch:
-        ordered = sorted(edges)
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in ordered], pa.binary()), pa.array([b for _, b in ordered], pa.binary())], names=["a", "b"])
+    def rows_of(found: set[tuple[bytes, bytes, bool]]) -> pa.RecordBatch:
+        ordered = sorted(found)
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in ordered], pa.binary()), pa.array([x[1] for x in ordered], pa.binary()), pa.array([x[2] for x in ordered], pa.bool_())], names=["a", "b", "linked"])
 
-    return together.mapInArrow(run, "a binary, b binary").distinct()
+    return stored(together.mapInArrow(run, "a binary, b binary, linked boolean"), "found")
 
 
-def compared(group: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
-    """Links of a chunk as stars around the least label: every two texts of different classes, the pivot first."""
-    if len({label for label, _ in group}) < 2:
+def compared(group: list[tuple[bytes, bytes]], large: bool) -> list[tuple[bytes, bytes, bool]]:
+    """Links of a chunk: every two texts until they are linked, or (``large``) each with the first, the pivot."""
+    if len(group) < 2:
         return []
-    root = {label: label for label, _ in group}
+    shingles = [numbered(kmers(np.frombuffer(data, np.uint32), SHINGLE)) for _, data in group]
+    if large:
+        return [(group[0][0], own, bool(aligned_similarity(shingles[0], x))) for (own, _), x in zip(group[1:], shingles[1:], strict=True)]
+    root = list(range(len(group)))
 
-    def top(x: bytes) -> bytes:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
 
-    shingles = [numbered(kmers(np.frombuffer(data, np.uint32), SHINGLE)) for _, data in group]
     for i in range(len(group)):
         for j in range(i + 1, len(group)):
-            a, b = top(group[i][0]), top(group[j][0])
+            a, b = top(i), top(j)
             if a != b and aligned_similarity(shingles[i], shingles[j]):
                 root[max(a, b)] = min(a, b)
-    return [(top(label), label) for label in root if top(label) != label]
+    return [(group[top(i)][0], group[i][0], True) for i in range(len(group)) if top(i) != i]
 
 
 def spread_labels(edges: DataFrame) -> DataFrame:
@@ -247,27 +317,21 @@ def spread_labels(edges: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, class_id, print``: one row for each row of ``docs``."""
     rows = sketched(docs, id_col, text_col)
-    members = bucket_members(rows)
-    labels: DataFrame | None = None
-    for wave in WAVES:
-        found = stored(links(stored(chunks(members, labels, wave), "chunks"), rows), "found")
-        if found.limit(1).count() == 0:
-            continue
-        moved = spread_labels(found)
-        if labels is None:
-            labels = moved.withColumnRenamed("node", "print")
-        else:
-            old = labels.withColumnRenamed("label", "node").join(moved, "node", "left").select("print", F.coalesce("label", "node").alias("label"))
-            new = moved.withColumnRenamed("node", "print").join(labels.select("print"), "print", "left_anti")
-            labels = stored(old.unionByName(new), "classes")
-    least = rows.groupBy("print").agg(F.min("doc_id").alias("least"))
-    if labels is None:
-        named = least.withColumnRenamed("least", "class_id")
-    else:
-        labelled = least.join(labels, "print", "left").withColumn("label", F.coalesce("label", "print"))
-        ids = labelled.groupBy("label").agg(F.min("least").alias("class_id"))
-        named = labelled.join(ids, "label").select("print", "class_id")
-    return rows.select("doc_id", "print").join(named, "print").select("doc_id", "class_id", "print")
+    chunked = chunks(bucket_members(rows))
+    texts = candidate_texts(chunked, rows)
+    found = links(chunked, texts)
+    edges = found.where("linked")
+    for _ in range(LEVELS):
+        members = refined(chunked, found, texts)
+        if members is None:
+            break
+        chunked = chunks(members)
+        found = links(chunked, texts)
+        edges = edges.unionByName(found.where("linked"))
+    labels = spread_labels(edges.select("a", "b").distinct()).withColumnRenamed("node", "print")
+    named = rows.groupBy("print").agg(F.min("doc_id").alias("least")).join(labels, "print", "left").withColumn("label", F.coalesce("label", "print"))
+    ids = named.groupBy("label").agg(F.min("least").alias("class_id"))
+    return rows.select("doc_id", "print").join(named.join(ids, "label").select("print", "class_id"), "print").select("doc_id", "class_id", "print")
 
 
 def kept_ids(found: DataFrame) -> DataFrame:
