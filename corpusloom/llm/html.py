@@ -4,8 +4,8 @@ Pages of a host are merged in one style tree: a node is a style path (tags with
 holds the child layouts that pages show there and the contents of its text blocks. The importance of a node is an entropy: of
 its layouts (presentation) and of its contents, each over the pages of the host that have the node, as a share of the largest
 possible. A menu that is the same on every page has next to none; a branch whose presentation and content both fall
-below ``LEAST_IMPORTANCE`` over at least ``LEAST_PAGES`` pages with different main parts is removed from each page of the host. Copies
-of one page count once, so that an article that is mirrored isn't taken for a menu.
+below ``LEAST_IMPORTANCE`` over at least ``LEAST_PAGES`` pages is removed from each page of the host. A host whose pages are
+alike as a whole shows nothing about their parts, so nothing is removed there: a mirrored article isn't taken for a menu.
 
 A host with few pages gives no evidence, so nodes have a prior as well: elements that are never content (script, style,
 nav, form and the like) and elements whose class, id or role names them as menu, advert, notice or comments weigh 0, and the
@@ -50,6 +50,9 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promoted banner menu menus nav navbar navigation breadcrumb breadcrumbs sidebar rail footer masthead topbar cookie cookies consent gdpr notice notices popup modal overlay subscribe subscription newsletter signup login share sharing social related recommended recommendations teaser teasers comment comments disqus reply replies respond responses discussion widget widgets toolbar pagination pager alert alerts disclaimer copyright skip toc tags complementary contentinfo search".split()
 )
+#: Names that make an element noise even if it is named as content too.
+STRONG_NOISE = frozenset("ad ads adv advert adverts advertisement sponsor sponsored nav navbar menu footer cookie cookies comment comments reply replies related recommended newsletter teaser teasers promo share social".split())
+CONTENT = frozenset("content article post entry story text body".split())
 HEADERS = frozenset(["header"])
 MAIN_NAMES = frozenset(["main", "article"])
 
@@ -127,7 +130,8 @@ def blocks(page: str) -> list[tuple[str, float, str]]:
             del stack[depth:]
         parent = stack[-1]
         inside = any(n.tag in MAIN_NAMES and n.importance == 1 for n in stack)
-        if hidden or parts & NOISE and tag not in ("html", "body"):
+        named = STRONG_NOISE if tag in MAIN_NAMES or parts & CONTENT else NOISE
+        if hidden or parts & named and tag not in ("html", "body"):
             importance = 0.0
         elif tag in MAIN_NAMES or "main" in parts and tag in ("div", "section") and not inside:
             noise = any(n.importance == 0 and n.tag not in NEVER for n in stack)
@@ -213,7 +217,6 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
     parsed = pages.select(host_column(F.col(url_col)).alias("host"), html_col).mapInArrow(run, schema)
     counted = parsed.groupBy("host", "path", "kind", "value").agg(F.sum("pages").alias("n"))
-    # contents that are copies of each other count once for the size of the page set
     log_sum = counted.groupBy("host", "path", "kind").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s"), F.count(F.lit(1)).alias("distinct"))
     entropy = F.when(F.col("pages") > 1, (F.log("pages") - F.col("s") / F.col("pages")) / F.log("pages")).otherwise(1.0)
     return log_sum.withColumn("e", entropy).groupBy("host", "path").agg(F.max("pages").alias("pages"), F.max("e").alias("importance"))

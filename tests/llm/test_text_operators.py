@@ -201,7 +201,7 @@ def test_main_text_of_marked_articles():
     assert html.main_text(page) == "Head & line\nOne twothree four\nFive <six> x"
 
 
-@pytest.mark.parametrize("page,text", [("", ""), ("plain  text", "plain text"), ("<p>a<p>b", "a\nb"), ("<div id=cookie-notice>x</div><div>y<br/>z</div>", "y z"), ("<article><p>open", "open"), ("<!-- never closed <p>x", ""), ("<p>1 < 2 &amp;lt;</p>", "1 < 2 &lt;"), ("<header>top</header><main><h1>H</h1>m</main><aside>s</aside>", "H\nm"), ('<div class="comments"><article><p>c</p></article></div><p>body</p>', "body"), ("<ul><li>a<li>b</ul>", "a\nb"), ("<p hidden>h</p><p style='display: none'>h</p><p>k</p>", "k")])
+@pytest.mark.parametrize("page,text", [("", ""), ("plain  text", "plain text"), ("<p>a<p>b", "a\nb"), ("<div id=cookie-notice>x</div><div>y<br/>z</div>", "y z"), ("<article><p>open", "open"), ("<!-- never closed <p>x", ""), ("<p>1 < 2 &amp;lt;</p>", "1 < 2 &lt;"), ("<header>top</header><main><h1>H</h1>m</main><aside>s</aside>", "H\nm"), ('<div class="comments"><article><p>c</p></article></div><p>body</p>', "body"), ("<ul><li>a<li>b</ul>", "a\nb"), ('<div class="post-content has-sidebar"><p>a</p></div><div class="post comment"><p>b</p></div><div class="sidebar">c</div>', "a"), ("<p hidden>h</p><p style='display: none'>h</p><p>k</p>", "k")])
 def test_main_text_of_small_pages(page, text):
     assert html.main_text(page) == text
 
