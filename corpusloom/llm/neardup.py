@@ -140,7 +140,10 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY)
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, print (hash of the words), sketches, words`` for each row, stored."""
+    """``doc_id, print (hash of the words), sketches, words`` for each row, stored.
+
+    ``words`` keeps 16 bits of each word's hash: a shingle of five then has 80, and alignment compares shingles.
+    """
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("print", T.BinaryType()), T.StructField("sketches", T.ArrayType(T.LongType())), T.StructField("words", T.BinaryType())])
 
@@ -156,7 +159,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     data = words.tobytes()
                     prints.append(hashlib.blake2b(data if found else b"raw" + (text or "").encode("utf-8", "surrogatepass"), digest_size=16, person=b"words" if found else b"raw").digest())
                     sketches.append(order_minhash(words))
-                    lists.append(data)
+                    lists.append(words.astype(np.uint16).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints, pa.binary()), pa.array(sketches, pa.list_(pa.int64())), pa.array(lists, pa.binary())], names=schema.fieldNames())
 
     return stored(docs.select(id_col, text_col).mapInArrow(run, schema), "sketches")
@@ -204,7 +207,7 @@ def refined(chunked: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame
                 part = batch.slice(start, 200)
                 at, keys = [], []
                 for i, (pivot, words, of_pivot) in enumerate(zip(*(part.column(c).to_pylist() for c in (1, 4, 5)), strict=True)):
-                    mine, theirs = (numbered(kmers(np.frombuffer(w, np.uint32), SHINGLE)) for w in (words, of_pivot))
+                    mine, theirs = (numbered(kmers(np.frombuffer(w, np.uint16), SHINGLE)) for w in (words, of_pivot))
                     name = np.uint64(int.from_bytes(pivot[:8], "little"))
                     other = np.setdiff1d(mine, theirs)
                     if 2 * len(other) > len(mine):
@@ -280,7 +283,7 @@ def compared(group: list[tuple[bytes, bytes]], large: bool) -> list[tuple[bytes,
     """Links of a chunk: every two texts until they are linked, or (``large``) each with the first, the pivot."""
     if len(group) < 2:
         return []
-    shingles = [numbered(kmers(np.frombuffer(data, np.uint32), SHINGLE)) for _, data in group]
+    shingles = [numbered(kmers(np.frombuffer(data, np.uint16), SHINGLE)) for _, data in group]
     if large:
         return [(group[0][0], own, bool(aligned_similarity(shingles[0], x))) for (own, _), x in zip(group[1:], shingles[1:], strict=True)]
     root = list(range(len(group)))
