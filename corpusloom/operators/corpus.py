@@ -27,20 +27,25 @@ def line_table(docs: DataFrame, keys: list[str] | None = None, text_col: str = "
 def corpus_stats(docs: DataFrame, keys: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """Exact corpus metrics, of all documents or for each value of ``keys``.
 
-    Documents, lines and distinct texts are aggregated apart, each with partial sums before its shuffle, and meet in one row a group.
+    Documents and lines are aggregated apart, by distinct text and by distinct line, each with partial sums before its shuffle, and meet in one row a group.
     """
     keys = keys or []
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(*keys, text.alias("text"))
-    whole = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_documents"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("__chars"), F.coalesce(F.sum(n_non_ascii("text")), F.lit(0)).alias("__wide"), F.coalesce(F.sum(F.size(lines("text"))), F.lit(0)).alias("num_lines"))
-    prints = base.groupBy(*keys, F.sha2(norm_ws("text").cast("binary"), 256).alias("p")).agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.count(F.lit(1)).alias("__texts"))
+    sums = {"__chars": F.length("text"), "__wide": n_non_ascii("text"), "num_lines": F.size(lines("text"))}
+    prints = base.groupBy(*keys, F.sha2(norm_ws("text").cast("binary"), 256).alias("p")).agg(F.count(F.lit(1)).alias("n"), *(F.sum(e).alias(name) for name, e in sums.items()))
+    whole = prints.groupBy(*keys).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("num_documents"), F.count(F.lit(1)).alias("__texts"), *(F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in sums))
     by_line = line_table(base, keys).groupBy(*keys, "line").agg(F.count(F.lit(1)).alias("n"))
     filled = F.col("line") != ""
     of_lines = by_line.groupBy(*keys).agg(F.coalesce(F.sum(F.when(filled, F.col("n"))), F.lit(0)).alias("__filled"), F.count(F.when(filled, 1)).alias("__distinct"), F.coalesce(F.sum(F.when(~filled, F.col("n"))), F.lit(0)).alias("__empty"))
     if keys:
-        joined = whole.join(prints, keys, "left").join(of_lines, keys, "left")
+        other = of_lines.select(*(F.col(k).alias(f"__{k}") for k in keys), "__filled", "__distinct", "__empty")
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+        joined = whole.join(other, same, "left")
     else:
-        joined = whole.join(prints).join(of_lines)
+        joined = whole.join(of_lines)
     n, chars = F.col("num_documents"), F.col("__chars") + F.greatest(F.lit(0), F.col("num_documents") - 1)
 
     def rate(x: Column, of: Column) -> Column:

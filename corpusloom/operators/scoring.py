@@ -293,3 +293,32 @@ def preference_metrics(rows: DataFrame, beta: float = 0.1) -> DataFrame:
     """Loss, accuracy and margin of preference rows with log-probabilities under the policy and the reference."""
     margin = F.lit(beta) * ((F.col("policy_chosen") - F.col("policy_rejected")) - (F.col("reference_chosen") - F.col("reference_rejected")))
     return rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.log1p(F.exp(-margin))).alias("loss"), F.avg(F.when(margin > 0, 1.0).otherwise(0.0)).alias("accuracy"), F.avg(margin).alias("margin"))
+
+
+def answer_match(candidates: Column, expected: Column) -> Column:
+    """Whether a candidate is one of the expected answers in normal form; null without any."""
+    normal = F.filter(F.transform(expected, normal_answer), lambda x: x != "")
+    return F.when(F.size(normal) > 0, F.arrays_overlap(candidates, normal))
+
+
+def choice_baseline(items: DataFrame, labels_col: str = "choice_labels") -> DataFrame:
+    """Mean chance of a guess over items with labels."""
+    return items.where(F.size(labels_col) > 0).agg(F.avg(1.0 / F.size(labels_col)).alias("baseline"), F.count(F.lit(1)).alias("items"))
+
+
+def skill_stage(group: Column, stage: Column) -> Column:
+    return F.when((F.coalesce(strip(group), F.lit("")) == "") | (F.coalesce(strip(stage), F.lit("")) == ""), "").otherwise(F.concat_ws(":", strip(group), strip(stage)))
+
+
+def recommendations(broken: DataFrame) -> DataFrame:
+    """``area, action, severity``: what the breakdown asks for, each pair of area and action once, the most severe first."""
+    rules = F.array(
+        F.when(F.col("echo_rate") > 0, F.struct(F.lit("format").alias("area"), F.lit("stop_prompt_echo").alias("action"), F.lit(3).alias("severity"))),
+        F.when(F.col("unsupported_rate") > 0, F.struct(F.lit("honesty").alias("area"), F.lit("remove_unsupported_claims").alias("action"), F.lit(3).alias("severity"))),
+        F.when(F.col("missing_support_rate") > 0.1, F.struct(F.lit("content").alias("area"), F.lit("add_supporting_rows").alias("action"), F.lit(2).alias("severity"))),
+        F.when(F.col("length_violation_rate") > 0.1, F.struct(F.lit("length").alias("area"), F.lit("tune_length").alias("action"), F.lit(2).alias("severity"))),
+        F.when(F.col("avg_repetition") > 0.25, F.struct(F.lit("generation").alias("area"), F.lit("reduce_repetition").alias("action"), F.lit(2).alias("severity"))),
+        F.when((F.col("pass_rate") < 0.8) & (F.col("num_examples") >= 4), F.struct(F.lit("coverage").alias("area"), F.lit("add_rows_for_weak_values").alias("action"), F.lit(1).alias("severity"))),
+    )
+    named = broken.select(F.inline(F.filter(rules, lambda x: x.isNotNull())))
+    return named.groupBy("area", "action").agg(F.max("severity").alias("severity"), F.count(F.lit(1)).alias("values"))

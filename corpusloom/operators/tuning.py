@@ -50,8 +50,11 @@ def chat_issues(rows: DataFrame) -> Column:
     return flags((blank("user"), "missing_user"), (blank("assistant"), "missing_assistant"))
 
 
-def eval_issues(user: Column, must_include: Column, must_not_include: Column) -> Column:
-    """Names of what is wrong with an eval row; a row may have several."""
+def eval_issues(user: Column, must_include: Column, must_not_include: Column, groups: Column | None = None) -> Column:
+    """Names of what is wrong with an eval row; a row may have several. Phrase groups must be lists that aren't empty, of phrases that aren't blank."""
+    if groups is not None:
+        bad = F.exists(groups, lambda g: g.isNull() | (F.size(g) == 0) | F.exists(g, lambda x: strip(x) == ""))
+        return F.concat(eval_issues(user, must_include, must_not_include), flags((F.coalesce(bad, F.lit(False)), "bad_phrase_group")))
     empty = lambda c: F.exists(c, lambda x: strip(x) == "")
     return flags((user.isNull() | (strip(user) == ""), "missing_user"), (empty(must_include), "blank_must_include"), (empty(must_not_include), "blank_must_not_include"), ((F.size(must_include) == 0) & (F.size(must_not_include) == 0), "no_rules"))
 

@@ -116,7 +116,17 @@ def preference_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.preference_metrics(rows)
 
 
-QUERIES = {f.__name__: f for f in (score_replies, token_f1, rouge_l, repetition, refusal_rate, prompt_echo, corpus_support, answer_candidates, eval_breakdown, weak_categories, eval_ci, failure_reasons, failure_clusters, skill_groups, choice_metrics, preference_metrics)}
+def eval_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.recommendations(scoring.breakdown(_scored(spark, sf_dir), ["category"]))
+
+
+def choice_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chance of a guess where an order's lines are the labels."""
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_linenumber").alias("choice_labels"))
+    return scoring.choice_baseline(items)
+
+
+QUERIES = {f.__name__: f for f in (eval_recommendations, choice_baseline, score_replies, token_f1, rouge_l, repetition, refusal_rate, prompt_echo, corpus_support, answer_candidates, eval_breakdown, weak_categories, eval_ci, failure_reasons, failure_clusters, skill_groups, choice_metrics, preference_metrics)}
 
 TOKS = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
 MATCH = "list_transform(regexp_extract_all({0}, '[A-Za-z0-9]+'), lambda x: lower(x))"
@@ -153,4 +163,6 @@ ORACLES = {
     "skill_groups": f"WITH {PAIRS_SQL} SELECT {_SKILL} AS skill, '' AS robustness, count(*) AS n FROM pairs GROUP BY 1, 2",
     "choice_metrics": "WITH v AS (SELECT l_orderkey AS item, l_linenumber AS p, -l_quantity / 10 AS mean, -l_quantity AS raw FROM lineitem WHERE l_linenumber <= 4 UNION ALL SELECT l_orderkey, l_linenumber, -l_discount * 10, -l_tax FROM lineitem WHERE l_linenumber <= 4), m AS (SELECT *, row_number() OVER (PARTITION BY item, p ORDER BY mean DESC, raw DESC) AS k FROM v), l AS (SELECT item, p, mean, raw FROM m WHERE k = 1), r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY mean DESC, raw DESC, p) AS rk, lead(mean) OVER (PARTITION BY item ORDER BY mean DESC, raw DESC, p) AS s FROM l) SELECT ['A','B','C','D'][p] AS label, count(*) AS n, avg(mean - s) AS avg_margin FROM r WHERE rk = 1 GROUP BY 1",
     "preference_metrics": "WITH m AS (SELECT 0.1::DOUBLE * ((-l_discount * 10 + l_tax * 10) - (-0.5::DOUBLE + 0.4::DOUBLE)) AS m FROM lineitem) SELECT count(*) AS n, avg(ln(1 + exp(-m))) AS loss, avg(CAST(m > 0 AS INTEGER)) AS accuracy, avg(m) AS margin FROM m",
+    "eval_recommendations": f"WITH {_SCORED}, b AS (SELECT category, {_METRICS} FROM f GROUP BY category), n AS (SELECT unnest(list_filter([CASE WHEN echo_rate > 0 THEN ['format', 'stop_prompt_echo', '3'] END, CASE WHEN unsupported_rate > 0 THEN ['honesty', 'remove_unsupported_claims', '3'] END, CASE WHEN missing_support_rate > 0.1 THEN ['content', 'add_supporting_rows', '2'] END, CASE WHEN length_violation_rate > 0.1 THEN ['length', 'tune_length', '2'] END, CASE WHEN avg_repetition > 0.25 THEN ['generation', 'reduce_repetition', '2'] END, CASE WHEN pass_rate < 0.8 AND num_examples >= 4 THEN ['coverage', 'add_rows_for_weak_values', '1'] END], lambda x: x IS NOT NULL)) AS r FROM b) SELECT r[1] AS area, r[2] AS action, CAST(r[3] AS INTEGER) AS severity, count(*) AS values FROM n GROUP BY 1, 2, 3",
+    "choice_baseline": "WITH l AS (SELECT l_orderkey, count(DISTINCT l_linenumber) AS k FROM lineitem GROUP BY 1) SELECT avg(1.0::DOUBLE / k) AS baseline, count(*) AS items FROM l",
 }

@@ -264,3 +264,60 @@ def manifest_slices(text: DataFrame, manifest: DataFrame, text_col: str = "text"
     before = F.max("char_end").over(Window.partitionBy("path").orderBy("char_start").rowsBetween(Window.unboundedPreceding, -1))
     checked = kept.withColumn("char_start", F.when(F.coalesce(before, F.lit(0)) > F.col("char_start"), F.raise_error(F.lit("documents overlap in the manifest"))).otherwise(F.col("char_start")))
     return text.join(checked, "path").select("path", "char_start", F.trim(F.substring(text_col, F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))).alias("text"))
+
+
+def preferences(spark: SparkSession, path: str) -> DataFrame:
+    """``user, chosen, rejected`` of a preference file, under any of the usual names."""
+    from corpusloom.operators.tuning import preference_rows
+
+    return preference_rows(json_lines(spark, path, PREFERENCE, "strict"))
+
+
+def default_extractors() -> dict[str, object]:
+    """Extractors for the formats whose packages are there; the others report what is missing."""
+    out: dict[str, object] = {}
+    try:
+        import io
+
+        import pypdf
+
+        out[".pdf"] = lambda content: "\n\n".join(p for p in ((page.extract_text() or "").strip() for page in pypdf.PdfReader(io.BytesIO(content)).pages) if p)
+    except ImportError:
+        pass
+    try:
+        import io
+
+        import docx
+
+        def word(content: bytes) -> str:
+            document = docx.Document(io.BytesIO(content))
+            rows = [" | ".join(c.text.strip() for c in r.cells) for t in document.tables for r in t.rows]
+            return "\n".join(x for x in [p.text.strip() for p in document.paragraphs] + rows if x)
+
+        out[".docx"] = word
+    except ImportError:
+        pass
+    return out
+
+
+def corpus(spark: SparkSession, path: str | None = None, recipe: Recipe | None = None, root: str = "", pack: Pack | None = None, read=None) -> DataFrame:
+    """Documents of a path, a recipe or a pack: one of the three. ``read`` gets the text of a pack's recipe."""
+    if sum(x is not None for x in (path, recipe, pack)) != 1:
+        raise ValueError("a corpus is a path, a recipe or a pack")
+    if pack is not None:
+        if pack.corpus_input:
+            return documents(spark, pack.corpus_input, default_extractors())
+        return corpus(spark, recipe=Recipe.parse(read(pack.corpus_recipe)), root=pack.corpus_recipe.rsplit("/", 1)[0])
+    if path is not None:
+        return documents(spark, path, default_extractors())
+    kept = recipe.candidates(spark, root).where("skip is null").select("path", "label")
+    texts = None
+    for source in recipe.sources:
+        place = source.path if source.path.startswith("/") or "://" in source.path else f"{root}/{source.path}"
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(place)
+        if source.include and hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+            found = extracted(corpus_files(spark, place), default_extractors())
+            texts = found if texts is None else texts.unionByName(found)
+    if texts is None:
+        raise ValueError("no source of the recipe is there")
+    return texts.dropDuplicates(["path"]).join(kept.dropDuplicates(["path"]), "path").where(F.col("text").isNotNull() & (strip("text") != ""))

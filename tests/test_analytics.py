@@ -143,6 +143,43 @@ def test_recipes_and_packs(spark, tmp_path):
         readers.Pack.parse('{"corpus": {"input": "a", "recipe": "b"}}', "/p")
 
 
+def test_corpus_of_path_recipe_or_pack(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s/a.txt").write_text("first")
+    (tmp_path / "s/b.txt").write_text("second")
+    (tmp_path / "r.json").write_text(json.dumps({"sources": [{"path": "s", "label": "x"}, "gone"], "exclude": ["b.*"]}))
+    assert readers.corpus(spark, str(tmp_path / "s")).count() == 2
+    recipe = readers.Recipe.parse((tmp_path / "r.json").read_text())
+    assert [(r.text, r.label) for r in readers.corpus(spark, recipe=recipe, root=str(tmp_path)).collect()] == [("first", "x")]
+    pack = readers.Pack.parse(json.dumps({"corpus": {"recipe": "r.json"}}), str(tmp_path))
+    assert readers.corpus(spark, pack=pack, read=lambda p: open(p).read()).count() == 1
+    with pytest.raises(ValueError):
+        readers.corpus(spark)
+
+
+def test_preference_files(spark, tmp_path):
+    rows = [{"prompt": "p", "winner": "a", "loser": "b"}, {"user": "u", "chosen": "same", "rejected": " same "}, {"user": "u", "chosen": "x"}]
+    (tmp_path / "p.jsonl").write_text("\n".join(json.dumps(r) for r in rows))
+    assert [tuple(r) for r in readers.preferences(spark, str(tmp_path / "p.jsonl")).collect()] == [("p", "a", "b")]
+
+
+def test_manifest_slices(spark):
+    text = spark.createDataFrame([("c", "abc\n\nde")], "path string, text string")
+    good = spark.createDataFrame([("c", 0, 3), ("c", 5, 7), ("c", None, 9)], "path string, char_start int, char_end int")
+    assert sorted(r.text for r in readers.manifest_slices(text, good).collect()) == ["abc", "de"]
+    with pytest.raises(Exception, match="overlap"):
+        readers.manifest_slices(text, spark.createDataFrame([("c", 0, 3), ("c", 2, 7)], good.schema)).collect()
+
+
+def test_small_run_helpers(spark):
+    assert runs.parse_count("2.1b") == 2_100_000_000 and runs.parse_count("100m") == 10**8
+    with pytest.raises(ValueError):
+        runs.parse_count("0")
+    assert runs.scaled_lr(1.0, 32) == 2
+    row = spark.range(1).select(runs.peak_tflops(F.lit("NVIDIA H100 PCIe")).alias("a"), runs.peak_tflops(F.lit("cpu")).alias("b"), progress.tail(F.lit("abcdef"), 2).alias("t")).first()
+    assert row.a == 756 and row.b is None and row.t == "ef"
+
+
 def test_run_folders_and_sinks(spark, tmp_path):
     for name in ("r1", "r2"):
         (tmp_path / name).mkdir()

@@ -25,6 +25,12 @@ def test_stats_of_nothing_and_of_nulls(spark):
     assert corpus.training_budget(corpus.corpus_stats(docs(spark, "x").where("false"))).first().preset == "blocked"
 
 
+def test_stats_by_a_null_key(spark):
+    table = spark.createDataFrame([(1, "a\na", None), (2, "b", "x")], "doc_id long, text string, k string")
+    got = {r.k: r.duplicate_line_rate for r in corpus.corpus_stats(table, ["k"]).collect()}
+    assert got == {None: 0.5, "x": 0.0}
+
+
 def test_quality_rules(spark):
     long = "\n".join(f"quality source line {i}" for i in range(80))
     rows = {r.doc_id: r for r in corpus.quality_filtered(docs(spark, long, "tiny", None, "x" * 600, "bad\x00" + "y" * 1200 + "\nz"), 80).collect()}
