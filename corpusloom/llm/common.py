@@ -34,6 +34,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after bounding the rows of an Arrow batch, so that a batch of long texts fits beside others in a worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    return df
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text leaves remainder 1; null ids are not held out (and never learned from)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -42,15 +48,20 @@ def held_out(doc_id: Column) -> Column:
 def training_labels(labels: DataFrame, column: str, limit: int, id_col: str = "doc_id") -> DataFrame:
     """At most ``limit`` labelled ids outside the held-out fold, by the order of a hash of the id.
 
-    Repeated labels of an id count once: the mean, rounded half up. Null ids and null labels take no part.
+    Repeated labels of an id count once: the mean, rounded half up. Null ids and null labels take no part. Where there are more
+    ids than the limit, only those whose hash is in the share that holds about one and a half times the limit are sorted.
     """
-    return (
+    span = 1 << 40
+    place = F.pmod(F.xxhash64("__id"), F.lit(span))
+    known = (
         labels.where(F.col(id_col).isNotNull() & F.col(column).isNotNull() & ~held_out(F.col(id_col)))
         .groupBy(F.col(id_col).alias("__id"))
         .agg((F.avg(F.col(column).cast("double")) >= 0.5).cast("int").alias("__label"))
-        .orderBy(F.xxhash64("__id"), "__id")
-        .limit(limit)
     )
+    total = known.count()
+    if total > 2 * limit:
+        known = known.where(place < int(span * 1.5 * limit / total))
+    return known.orderBy(place, "__id").limit(limit)
 
 
 def labelled_texts(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -73,7 +84,7 @@ def with_text_columns(df: DataFrame, text_col: str, keep: list[str] | None, adde
     """
     _, keep, schema = replaced_schema(df, keep, added)
     names = keep + [n for n, _ in added]
-    source = df.select(*keep, F.col(text_col).alias("__text"))
+    source = small_batches(df).select(*keep, F.col(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import stored
+from corpusloom.llm.common import small_batches, stored
 
 WINDOW = 10
 #: A shard is closed when it holds so many words (a longer document is a shard of its own).
-SHARD_WORDS = 800_000
+SHARD_WORDS = 400_000
 #: Benchmark words that are broadcast at a time, at most (or one item).
 ITEM_BLOCK_WORDS = 500_000
 WORD = re.compile("[0-9a-z\x80-\U0010ffff]+")
@@ -87,7 +87,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if ids:
             yield shard(ids, tokens)
 
-    return stored(docs.select(id_col, text_col).mapInArrow(run, schema), "postings")
+    return stored(small_batches(docs).select(id_col, text_col).mapInArrow(run, schema), "postings")
 
 
 def item_windows(items: list[tuple], window: int = WINDOW) -> tuple[dict[str, int], list[np.ndarray], list[str]]:
@@ -180,6 +180,12 @@ class Postings:
         return found
 
 
+def shards(batch: pa.RecordBatch) -> Iterator[list]:
+    """Rows of a batch, one at a time: only one shard's lists are held as Python objects."""
+    for i in range(batch.num_rows):
+        yield [c[i].as_py() for c in batch.columns]
+
+
 def _hits(index: DataFrame, items: list[tuple], window: int, id_type: T.DataType) -> DataFrame:
     """For each document row: id, n_words, the hit word positions as a bitmap, and the items with windows in it."""
     vocabulary, windows, owners = item_windows(items, window)
@@ -195,7 +201,7 @@ def _hits(index: DataFrame, items: list[tuple], window: int, id_type: T.DataType
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, windows, orders, owners = carried.value
         for batch in batches:
-            for terms, counts, positions, ids, starts, lengths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for terms, counts, positions, ids, starts, lengths in shards(batch):
                 postings = Postings(terms, counts, positions, vocabulary)
                 first, n = np.frombuffer(starts, np.int32), np.frombuffer(lengths, np.int32)
                 hits: dict[int, set[int]] = {}
@@ -243,7 +249,7 @@ def proximity(index: DataFrame, benchmark: DataFrame, span: int = 20, window: in
         def run(batches: Iterator[pa.RecordBatch], carried=carried, arrow_id=arrow_id, schema=schema) -> Iterator[pa.RecordBatch]:
             vocabulary, windows, orders, owners = carried.value
             for batch in batches:
-                for terms, counts, positions, ids, starts, lengths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for terms, counts, positions, ids, starts, lengths in shards(batch):
                     postings = Postings(terms, counts, positions, vocabulary)
                     first, n = np.frombuffer(starts, np.int32), np.frombuffer(lengths, np.int32)
                     rows = set()
@@ -289,3 +295,29 @@ def brute_force(docs: list[tuple], items: list[tuple], window: int = WINDOW) ->
                         of.add(str(item_id))
         out.append((doc_id, len(w), len(hit), len(of), hashlib.sha256(",".join(sorted(of)).encode()).hexdigest(), bool(hit)))
     return out
+
+
+ORACLE = r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), i AS (
+    SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+), v AS (
+    SELECT item_id, least(10, len(w)) AS n, unnest(list_transform(range(greatest(1, len(w) - 9)), lambda k: array_to_string(w[k + 1:k + least(10, len(w))], ' '))) AS g FROM i WHERE len(w) > 0
+), win AS (
+    SELECT DISTINCT item_id, n, g FROM v
+), sizes AS (
+    SELECT DISTINCT n FROM win
+), grams AS (
+    SELECT doc_id, n, unnest(range(len(w) - n + 1)) AS p, unnest(list_transform(range(len(w) - n + 1), lambda k: array_to_string(w[k + 1:k + n], ' '))) AS g FROM d, sizes WHERE len(w) >= n
+), hit AS (
+    SELECT doc_id, p, n, item_id FROM grams JOIN win USING (n, g)
+), places AS (
+    SELECT doc_id, item_id, unnest(range(p, p + n)) AS place FROM hit
+), found AS (
+    SELECT doc_id, count(DISTINCT place) AS n_hit, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id)), ',') AS items FROM places GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN found USING (doc_id)
+"""

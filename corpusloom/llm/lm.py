@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import BLOCK, block_rows, stored, summed_blocks, with_text_columns
+from corpusloom.llm.common import BLOCK, block_rows, small_batches, stored, summed_blocks, with_text_columns
 
 WINDOW = 3
 WIDTH = 24
@@ -54,7 +54,7 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[list[str], np.n
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 seen.update(TOKEN.findall(text or ""))
-                if len(seen) > 800_000:
+                if len(seen) > 400_000:
                     yield rows(seen)
                     seen = Counter()
         yield rows(seen)
@@ -65,8 +65,15 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[list[str], np.n
             lower[word.lower()] += n
         return pa.RecordBatch.from_arrays([pa.array(list(lower), pa.string()), pa.array(list(lower.values()), pa.int64())], names=["word", "n"])
 
-    counted = docs.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(VOCABULARY - RARE).collect()
+    counted = stored(small_batches(docs).select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # a histogram of the counts finds what the wanted words have at least, so that each task sorts few words and the driver gets about as many as it wants
+    size = F.floor(F.log2("n") * 32).cast("int")
+    seen, least = 0, 0
+    for row in counted.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("size")).collect():
+        seen, least = seen + row.words, row["size"]
+        if seen >= VOCABULARY - RARE:
+            break
+    top = counted.where(size >= least).orderBy(F.desc("n"), "word").limit(VOCABULARY - RARE).collect()
     counts = np.ones(VOCABULARY)
     for i, r in enumerate(top):
         counts[RARE + i] += r.n
@@ -81,7 +88,7 @@ class TokenIds(dict):
         self.words = {w: RARE + i for i, w in enumerate(words)}
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         word = token.lower()
         out = self[token] = self.words.get(word, min(len(word), RARE - 1))

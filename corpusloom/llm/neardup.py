@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import stored
+from corpusloom.llm.common import small_batches, stored
 
 K = 3
 KEPT = 2
@@ -60,7 +60,7 @@ class WordCodes(dict):
     """Word as written -> 32-bit hash of its lower case; emptied when it grows large."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         code = self[word] = zlib.crc32(word.lower().encode("utf-8", "surrogatepass"))
         return code
@@ -162,7 +162,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     lists.append(words.astype(np.uint16).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints, pa.binary()), pa.array(sketches, pa.list_(pa.int64())), pa.array(lists, pa.binary())], names=schema.fieldNames())
 
-    return stored(docs.select(id_col, text_col).mapInArrow(run, schema), "sketches")
+    return stored(small_batches(docs).select(id_col, text_col).mapInArrow(run, schema), "sketches")
 
 
 def bucket_members(rows: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import BLOCK, block_rows, labelled_texts, summed_blocks, training_labels, with_text_columns
+from corpusloom.llm.common import BLOCK, block_rows, labelled_texts, small_batches, summed_blocks, training_labels, with_text_columns
 
 BUCKETS = 8192
 DIM = 32
@@ -41,7 +41,7 @@ class TokenCodes(dict):
     """Token -> 4 * bucket + case (1 capitalised, 2 all capitals); emptied when it grows large."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         word = "0" if token[0].isdigit() else token.lower()
         case = 2 if len(token) > 1 and token.isupper() else 1 if token[0].isupper() else 0
@@ -102,7 +102,7 @@ def context_sums(docs: DataFrame, text_col: str = "text") -> np.ndarray:
                     sums[ordered[first], DIM] += np.diff(np.r_[first, len(ordered)])
         yield block_rows(sums.astype(np.float32), 1024, TaskContext.get().partitionId())
 
-    return summed_blocks(docs.select(text_col).mapInArrow(run, BLOCK), (BUCKETS, DIM + 1), 1024)
+    return summed_blocks(small_batches(docs).select(text_col).mapInArrow(run, BLOCK), (BUCKETS, DIM + 1), 1024)
 
 
 def word_vectors(sums: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import topk, urls
+from corpusloom.llm import decontamination, topk, urls
 from corpusloom.llm.common import held_out, table
 
 
@@ -34,9 +34,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from corpusloom.llm import decontamination as d
-
-    return d.verdicts(d.matches(d.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")))
+    index = decontamination.build_index(table(spark, sf_dir, "documents"))
+    return decontamination.verdicts(decontamination.matches(index, table(spark, sf_dir, "benchmark")))
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,4 +87,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {"op5_topk": topk.ORACLE, "op8_urls": urls.ORACLE}
+ORACLES: dict[str, str] = {"op4_decontamination": decontamination.ORACLE, "op5_topk": topk.ORACLE, "op8_urls": urls.ORACLE}

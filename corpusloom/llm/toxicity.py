@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import labelled_texts, training_labels, with_text_columns
+from corpusloom.llm.common import labelled_texts, small_batches, training_labels, with_text_columns
 
 #: Labelled rows that the model is fitted on, at most.
 MAX_LABELLED = 12_000
@@ -58,7 +58,7 @@ class TermIds(dict):
         self.ids = ids
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         out = self[word] = tuple(self.ids[t] for t in word_terms(word) if t in self.ids)
         return out
@@ -116,7 +116,7 @@ def document_frequencies(docs: DataFrame, terms: list[str], text_col: str = "tex
         yield pa.RecordBatch.from_arrays([pa.array([*found, -1], pa.int32()), pa.array([*found.values(), rows], pa.int64())], names=["term", "n"])
 
     out, total = np.zeros(len(terms), np.float64), 0
-    for row in docs.select(text_col).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for row in small_batches(docs).select(text_col).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         if row.term < 0:
             total = row.n
         else:
@@ -236,7 +236,7 @@ class ToxicityNeighbours:
                 counts = words[0].counts(text)
                 key = tuple(sorted(counts.items()))
                 if key not in seen:
-                    if len(seen) > 50_000:
+                    if len(seen) > 20_000:
                         seen.clear()
                     value, found = model.score_counts(counts)
                     seen[key] = value, [{"id": str(model.ids[i]), "label": int(model.index.labels[i]), "cosine": c} for i, c in found[:3]]
