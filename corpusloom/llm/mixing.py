@@ -11,9 +11,10 @@ times its source's size and the excess is shared again by weight until none is a
 range sort with counts for each partition, so any number of sources works.
 
 Rates become copies by systematic rounding: a source's documents, in buckets of about ``BUCKET_ROWS`` rows chosen by a hash
-of the id, from the longest to the shortest, get ``floor(i * rate + 1/2) - floor((i - 1) * rate + 1/2)`` copies at place i, which is the rate rounded
-down or up and never above 3; neighbours have nearly the same size, so the words taken stay near the target. A hot source has
-many buckets, so no task holds all of it.
+of the id, from the longest to the shortest, get ``floor(i * rate + u) - floor((i - 1) * rate + u)`` copies at place i, which is
+the rate rounded down or up and never above 3. The starts u of a source's buckets are spread evenly over 0 to 1, so that what one bucket
+rounds up another rounds down at the same place, and neighbours have nearly the same size: the words taken stay near the
+target. A hot source has many buckets, so no task holds all of it.
 
 Defined results: a null text has size 0; null is a source of its own, last; equal rows are told apart by place, and
 which of two rows alike in id and size gets a copy more is the same for the result's rows; an empty table gives no rows; sources of size 0
@@ -29,7 +30,7 @@ from corpusloom.llm.common import stored
 
 MOST = 3
 WEIGHTS = 3
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 NEWTON_STEPS = 80
 WORDS = "[^\\x20\\x09-\\x0D]+"
 
@@ -94,6 +95,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     joined = sized.withColumnRenamed("source", "__source").join(solved, F.col("__source").eqNullSafe(F.col("source"))).drop("__source")
     bucketed = joined.withColumn("bucket", F.pmod(F.xxhash64(F.col("doc_id")), F.col("buckets")))
     place = F.row_number().over(Window.partitionBy("source", "bucket").orderBy(F.desc("size"), F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id"))
-    rounded = F.floor(place * F.col("rate") + 0.5) - F.floor((place - 1) * F.col("rate") + 0.5)
+    start = (F.col("bucket") + 0.5) / F.col("buckets")
+    rounded = F.floor(place * F.col("rate") + start) - F.floor((place - 1) * F.col("rate") + start)
     copies = F.least(F.lit(most), F.greatest(F.lit(0), rounded)).cast("int")
     return bucketed.withColumn("copies", copies).select("doc_id", "size", "source", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
