@@ -11,7 +11,7 @@ Queries are taken in blocks of ``QUERY_BLOCK`` rows, so the broadcast is bounded
 query and shard, which are ranked by a group-limited window.
 
 Defined results: ties go to the smaller vec_id. Vectors that are null or empty, hold a null or a component that is not
-finite or whose quantised value exceeds 2^24, and rows with a null id take no part. A row never meets rows of its own id; a repeated
+finite or whose quantised value exceeds 2^28, and rows with a null id take no part. A row never meets rows of its own id; a repeated
 query id is one query (its first vector in order of components), while repeated candidate rows are candidates each.
 Vectors of another length than the query's are no candidates of it. Extra columns are ignored.
 """
@@ -29,7 +29,9 @@ from pyspark.sql import types as T
 LEAF = 128
 CHUNK = 8_192
 QUERY_BLOCK = 4_096
-LARGEST = float(2**24)
+#: Components beyond this would overflow a score of 64 bits.
+LARGEST = float(2**28)
+MISSING = -(2**63) + 1
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -74,22 +76,22 @@ class BallTree:
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """(queries, nodes): no point of the node has a larger inner product; a little is added for rounding."""
         product = queries @ self.centres.T
-        return product + np.linalg.norm(queries, axis=1)[:, None] * self.radii + 1e-7 * (1 + np.abs(product))
+        return product + np.linalg.norm(queries, axis=1)[:, None] * self.radii + 1e-7 * (1 + np.abs(product)) + 1e-9 * np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(self.centres, axis=1)
 
 
 class Best:
     """The k best (score, id) of each query so far, and the score below which nothing counts."""
 
     def __init__(self, n: int, k: int, floor: np.ndarray):
-        self.k, self.floor = k, floor.astype(np.float64)
-        self.scores = np.full((n, k), -np.inf)
+        self.k, self.floor = k, floor
+        self.scores = np.full((n, k), MISSING)
         self.ids = np.full((n, k), np.iinfo(np.int64).max)
 
     def limit(self) -> np.ndarray:
-        return np.maximum(self.floor, self.scores[:, -1])
+        return np.maximum(self.floor, self.scores[:, -1].astype(np.float64))
 
     def add(self, at: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        """Scores (len(at), m) of points ``ids`` (m), -inf where one doesn't count."""
+        """Scores (len(at), m) of points ``ids`` (m), ``MISSING`` where one doesn't count."""
         both = np.concatenate([self.scores[at], scores], axis=1)
         names = np.concatenate([self.ids[at], np.broadcast_to(ids, scores.shape)], axis=1)
         order = np.lexsort((names, -both), axis=1)[:, : self.k]
@@ -113,8 +115,8 @@ def search(tree: BallTree, points: np.ndarray, ids: np.ndarray, queries: np.ndar
         if left <= -2:
             low, high = tree.leaves[-2 - left]
             own = tree.order[low:high]
-            scores = queries[at] @ points[own].T
-            scores[query_ids[at][:, None] == ids[own]] = -np.inf
+            scores = products(queries[at], points[own])
+            scores[query_ids[at][:, None] == ids[own]] = MISSING
             best.add(at, scores, ids[own])
             read[at] += 1
             continue
@@ -125,6 +127,13 @@ def search(tree: BallTree, points: np.ndarray, ids: np.ndarray, queries: np.ndar
     return
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products as 64-bit integers, exactly: in floating point while every sum stays below 2^53."""
+    if np.abs(a).max() * np.abs(b).max() * a.shape[1] < 2.0**53:
+        return (a @ b.T).astype(np.int64)
+    return a.astype(np.int64) @ b.astype(np.int64).T
+
+
 def _pass(vectors: DataFrame, queries: pd.DataFrame, k: int, floor: np.ndarray, leaves: int | None) -> DataFrame:
     by_length = {n: (g.query_id.to_numpy(np.int64), np.array(g.v.tolist(), np.float64), floor[g.index.to_numpy()]) for n, g in queries.groupby(queries.v.map(len))}
     carried = vectors.sparkSession.sparkContext.broadcast(by_length)
@@ -142,9 +151,9 @@ def _pass(vectors: DataFrame, queries: pd.DataFrame, k: int, floor: np.ndarray,
                     points = np.array(part.v.iloc[i : i + CHUNK].tolist(), np.float64)
                     search(BallTree(points), points, ids, q, query_ids, best[n], leaves)
         for n, found in best.items():
-            full = np.isfinite(found.scores)
+            full = found.scores > MISSING
             at = np.nonzero(full)[0]
-            yield pd.DataFrame({"query_id": by_length[n][0][at], "vec_id": found.ids[full], "score": found.scores[full].astype(np.int64)})
+            yield pd.DataFrame({"query_id": by_length[n][0][at], "vec_id": found.ids[full], "score": found.scores[full]})
 
     return vectors.mapInPandas(run, FOUND)
 
@@ -157,7 +166,7 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = QUERY_BLOCK) -> DataFrame:
     """The ``k`` highest inner products of each query with ``vectors``; both are outputs of ``quantised``.
 
-    Sums are exact: components up to 2^24 are integers in float64 as long as a product stays under 2^53.
+    Sums are exact up to 2^28 in each component and 64 of them.
     """
     parts = max(1, -(-queries.count() // block))
     numbered = queries.groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v")).withColumn("__part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
