@@ -251,9 +251,29 @@ def test_mixing_meets_targets(spark):
     assert mixing.plan(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_mixing_in_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
+    rng = random.Random(11)
+    rows = [(i, "w " * rng.choice([3, 10, 40, 900]), "en", rng.choice(["a", "a", "a", "b", "c"]), 0) for i in range(2000)]
+    got = mixing.plan(spark.createDataFrame(rows, DOCS)).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    assert len(got) == 3 and all(abs(r.taken - r.target) <= 0.02 * r.target for r in got)
+
+
 # top-k
 
 
+def test_topk_of_large_components(spark):
+    rng = np.random.default_rng(13)
+    rows = [(i, [float(x) for x in rng.integers(-900_000, 900_000, 5)]) for i in range(120)] + [(200, [3e6] * 5)]
+    vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5).collect()
+    q = {i: [int(256 * x) for x in v] for i, v in rows if i != 200}
+    for r in got:
+        best = sorted((-sum(a * b for a, b in zip(q[r.query_id], v, strict=True)), i) for i, v in q.items() if i != r.query_id)
+        assert (-r.score, r.vec_id) == best[r.rank - 1]
+    assert len(got) == 15
+
+
 def test_topk_is_the_brute_force(spark):
     rng = np.random.default_rng(12)
     rows = [(i, [float(x) for x in rng.normal(0, 0.2, 6)]) for i in range(600)]
