@@ -8,15 +8,12 @@ are aligned by chains of shared shingles of ``SHINGLE`` words (told apart by num
 further off the diagonal than the similarity allows, and the similarity is shared / (all of both - shared).
 
 Exact copies meet first, by a 128-bit hash of their words, and go on as one text, so a group of copies of any size is one row.
-In a bucket of at most ``SMALL`` texts every two are compared until they are linked. In a larger one each text is compared with
-the bucket's pivot (the member whose buckets are largest, the likely original), in chunks, so that no task holds the whole
-bucket. Links become classes by spreading the least label. Nothing of this reaches the driver but counts and a bitmap of bounded size.
-
-What isn't like its pivot is the rest, and is handled by refinement: two similar texts of which one isn't like the pivot share a
-shingle that the pivot lacks, or are both shorter than it. So each text of a bucket with a rest joins the buckets of its shingles
-that the pivot lacks (a text that shares less than half with the pivot, of the least under 16 hash functions: texts like
-it are unlike the pivot too), and of its length if it is shorter. Those of them that hold one of the rest are compared like
-the first ones, and large ones among them are refined again, up to ``LEVELS`` times.
+In a bucket of at most ``SMALL`` texts every two are compared until they are linked. A larger one is first cut in chunks, each
+with the bucket's pivot (the member whose buckets are largest, the likely original), and compared chunk by chunk, so that no task holds
+the whole bucket. Links become classes by spreading the least label. What is then not of the bucket's largest class is the rest: it is
+cut in blocks, and each block meets every block of the bucket, so that any two texts of a bucket are of one class or have been
+compared. Two blocks are compared by the product of their 0/1 shingle tables, which bounds the similarity from above, and only
+pairs that can be alike are aligned. Nothing of this reaches the driver but counts and a bitmap of bounded size.
 
 Defined results: a text without words (null is the empty text) is a copy of equal raw texts only; texts of fewer than
 ``SHINGLE`` words have exact copies only; ``class_id`` is the least id of the class (null ids come last, so a class of null
@@ -46,15 +43,15 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SMALL = 256
 CHUNK = 256
-#: How often large buckets are refined.
-LEVELS = 2
+#: From so many texts on, shared shingles are counted by products of tables.
+TABLED = 12
+#: Columns of such a table.
+COLUMNS = 8192
 #: Bits of the bitmap that is broadcast, at most (64 MB).
 MAX_BITS = 1 << 29
 WORD = re.compile(r"[^\W_]+")
 SEEDS = np.array([zlib.crc32(f"sketch {i}".encode()) * 0x9E3779B97F4A7C15 % 2**64 for i in range(SKETCHES)], np.uint64)
 
-REFINED_SEEDS = np.array([zlib.crc32(f"rest {i}".encode()) * 0x9E3779B97F4A7C15 % 2**64 for i in range(16)], np.uint64)
-
 
 class WordCodes(dict):
     """Word as written -> 32-bit hash of its lower case; emptied when it grows large."""
@@ -179,51 +176,34 @@ def bucket_members(rows: DataFrame) -> DataFrame:
 
 
 def chunks(members: DataFrame) -> DataFrame:
-    """``sketch, chunk, print, pivot``: members of the buckets; ``pivot`` is null in small buckets, and each chunk of a large one has it."""
-    members = stored(members, "members")
+    """``sketch, chunk, print, first, side, label``: members of the buckets in chunks to compare; each chunk of a large one has its pivot, ``first``."""
     large = members.where(F.col("n") > SMALL)
     pivots = large.groupBy("sketch").agg(F.max_by("print", F.struct("weight", "print")).alias("pivot"))
     parts = F.ceil(F.col("n") / CHUNK).cast("int")
     spread = F.when(F.col("print") == F.col("pivot"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("print"), parts).cast("int")))
-    cut = large.join(pivots, "sketch").select("sketch", F.explode(spread).alias("chunk"), "print", "weight", "pivot")
-    small = members.where(F.col("n") <= SMALL).select("sketch", F.lit(0).alias("chunk"), "print", "weight", F.lit(None).cast("binary").alias("pivot"))
-    return stored(small.unionByName(cut), "chunks")
-
-
-def refined(chunked: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """Members of new buckets for what isn't like its pivot; none if there is no such text."""
-    rest = found.where("not linked").select(F.col("a").alias("pivot"), F.col("b").alias("print")).distinct()
-    if rest.limit(1).count() == 0:
-        return None
-    rest = stored(rest, "rest")
-    large = chunked.where(F.col("pivot").isNotNull() & (F.col("print") != F.col("pivot"))).join(rest.select("pivot").distinct(), "pivot", "left_semi").groupBy("print", "pivot").agg(F.max("weight").alias("weight"))
-    marked = large.join(rest.withColumn("rest", F.lit(True)), ["pivot", "print"], "left")
-    pivots = texts.join(rest.select("pivot").distinct(), F.col("print") == F.col("pivot"), "left_semi").select(F.col("print").alias("pivot"), F.col("words").alias("of_pivot"))
-    both = marked.join(texts, "print").join(pivots, "pivot").select("print", "pivot", "weight", F.coalesce("rest", F.lit(False)).alias("rest"), "words", "of_pivot")
+    cut = large.join(pivots, "sketch").select("sketch", F.explode(spread.cast("array<bigint>")).alias("chunk"), "print", (F.col("print") == F.col("pivot")).alias("first"))
+    small = members.where(F.col("n") <= SMALL).select("sketch", F.lit(0).cast("long").alias("chunk"), "print", F.lit(False).alias("first"))
+    return stored(small.unionByName(cut).withColumns({"side": F.lit(None).cast("int"), "label": F.lit(None).cast("binary")}), "chunks")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 200):
-                part = batch.slice(start, 200)
-                at, keys = [], []
-                for i, (pivot, words, of_pivot) in enumerate(zip(*(part.column(c).to_pylist() for c in (1, 4, 5)), strict=True)):
-                    mine, theirs = (numbered(kmers(np.frombuffer(w, np.uint16), SHINGLE)) for w in (words, of_pivot))
-                    name = np.uint64(int.from_bytes(pivot[:8], "little"))
-                    other = np.setdiff1d(mine, theirs)
-                    if 2 * len(other) > len(mine):
-                        other = np.unique(mixed(other ^ (REFINED_SEEDS[:, None] + name)).min(1))
-                    own = mixed(other ^ name).view(np.int64).tolist()
-                    if len(mine) < len(theirs):
-                        step = int(np.log(len(mine)) / np.log(1 / SIMILARITY))
-                        own += mixed(np.array([step, step + 1], np.uint64) + name).view(np.int64).tolist()
-                    at += [i] * len(own)
-                    keys += own
-                taken = part.take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([taken.column(0), pa.array(keys, pa.int64()), taken.column(2), taken.column(3)], names=["print", "sketch", "weight", "rest"])
-
-    spread = stored(both.mapInArrow(run, "print binary, sketch long, weight double, rest boolean"), "spread")
-    sizes = spread.groupBy("sketch").agg(F.count(F.lit(1)).alias("n"), F.max("rest").alias("any")).where("n > 1 and any").drop("any")
-    return spread.drop("rest").join(sizes, "sketch")
+
+def block_pairs(members: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """``sketch, chunk, print, side, label`` of large buckets of more than one class: the rest's blocks with each other and with the largest class's.
+
+    ``chunk`` names two blocks, and texts of side 0 are to be compared with those of side 1; a rest block meets itself without sides.
+    """
+    large = members.where(F.col("n") > SMALL)
+    named = stored(large.join(labels.withColumnRenamed("node", "print"), "print", "left").select("sketch", "print", F.coalesce("label", "print").alias("label")), "named")
+    sizes = named.groupBy("sketch", "label").agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.groupBy("sketch").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.max("n").alias("same"), F.sum("n").alias("n")).where("n > same")
+    blocks = most.select("sketch", "most", F.ceil((F.col("n") - F.col("same")) / CHUNK).cast("int").alias("rests"), F.ceil(F.col("same") / CHUNK).cast("int").alias("mosts"))
+    met = named.join(blocks, "sketch").withColumn("rest", F.col("label") != F.col("most"))
+    own = F.pmod(F.xxhash64("print"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("mosts"))).cast("int")
+    pairs = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rests") - 1 + F.when(F.col("rest"), F.col("mosts")).otherwise(0))))
+    place = F.when(F.col("rest"), F.col("own")).otherwise(F.col("rests") + F.col("own"))
+    side = F.when(place < F.col("other"), 0).when(place > F.col("other"), 1)
+    chunk = F.least(place, "other").cast("long") * F.lit(1 << 31) + F.greatest(place, "other")
+    out = stored(pairs.select("sketch", chunk.alias("chunk"), "print", side.alias("side"), "label"), "pairs")
+    return out if out.limit(1).count() else None
 
 
 def candidate_texts(members: DataFrame, rows: DataFrame) -> DataFrame:
@@ -252,41 +232,60 @@ def candidate_texts(members: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def links(chunked: DataFrame, texts: DataFrame) -> DataFrame:
-    """``a, b, linked``: pairs of prints that are alike, as stars around the least of each chunk; and each pivot with what isn't like it."""
+    """``a, b``: pairs of prints that are alike, enough of them to join what is alike in each chunk."""
     keys = ["sketch", "chunk"]
-    first = F.coalesce(F.col("print") == F.col("pivot"), F.lit(False))
-    together = chunked.join(texts, "print").select(*keys, "print", F.col("pivot").isNotNull().alias("large"), first.alias("first"), "words").repartition(*keys).sortWithinPartitions(*keys, F.desc("first"), "print")
+    together = chunked.join(texts, "print").select(*keys, "print", "side", "label", "first", "words").repartition(*keys).sortWithinPartitions(*keys, F.desc("first"), "print").drop("first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group, large = None, [], False
-        out: set[tuple[bytes, bytes, bool]] = set()
+        key, group = None, []
+        out: set[tuple[bytes, bytes]] = set()
         for batch in batches:
-            for *now, own, is_large, _, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if now != key:
-                    out.update(compared(group, large))
-                    key, group, large = now, [], is_large
-                group.append((own, data))
+            for sketch, chunk, *text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (sketch, chunk) != key:
+                    out.update(compared(group))
+                    key, group = (sketch, chunk), []
+                group.append(text)
             if len(out) > 10_000:
                 yield rows_of(out)
                 out = set()
-        out.update(compared(group, large))
+        out.update(compared(group))
         yield rows_of(out)
 
-    def rows_of(found: set[tuple[bytes, bytes, bool]]) -> pa.RecordBatch:
+    def rows_of(found: set[tuple[bytes, bytes]]) -> pa.RecordBatch:
         ordered = sorted(found)
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in ordered], pa.binary()), pa.array([x[1] for x in ordered], pa.binary()), pa.array([x[2] for x in ordered], pa.bool_())], names=["a", "b", "linked"])
-
-    return stored(together.mapInArrow(run, "a binary, b binary, linked boolean"), "found")
-
-
-def compared(group: list[tuple[bytes, bytes]], large: bool) -> list[tuple[bytes, bytes, bool]]:
-    """Links of a chunk: every two texts until they are linked, or (``large``) each with the first, the pivot."""
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in ordered], pa.binary()), pa.array([x[1] for x in ordered], pa.binary())], names=["a", "b"])
+
+    return stored(together.mapInArrow(run, "a binary, b binary"), "found")
+
+
+def can_be_alike(lists: list[np.ndarray], least: float = SIMILARITY) -> np.ndarray:
+    """For every two shingle lists, whether their lengths and shared shingles, in whatever order, allow the similarity ``least``."""
+    sizes = np.array([len(x) for x in lists], np.float64)
+    _, column, counts = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(lists)), sizes.astype(np.int64))
+    of_two = counts > 1
+    owner, column = owner[of_two[column]], (np.cumsum(of_two) - 1)[column[of_two[column]]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    shared = np.zeros((len(lists), len(lists)), np.float32)
+    for start in range(0, int(of_two.sum()), COLUMNS):
+        low, high = np.searchsorted(column, [start, start + COLUMNS])
+        table = np.zeros((len(lists), COLUMNS), np.float32)
+        table[owner[low:high], column[low:high] - start] = 1
+        shared += table @ table.T
+    both = sizes[:, None] + sizes
+    near = np.minimum(sizes[:, None], sizes) >= least * np.maximum(sizes[:, None], sizes)
+    return near & (shared >= least * both / (1 + least) - 1e-3)
+
+
+def compared(group: list) -> list[tuple[bytes, bytes]]:
+    """Links of a chunk of ``print, side, label, words``: every two texts (of different sides, where there are any) until they are of one class."""
     if len(group) < 2:
         return []
-    shingles = [numbered(kmers(np.frombuffer(data, np.uint16), SHINGLE)) for _, data in group]
-    if large:
-        return [(group[0][0], own, bool(aligned_similarity(shingles[0], x))) for (own, _), x in zip(group[1:], shingles[1:], strict=True)]
-    root = list(range(len(group)))
+    shingles = [numbered(kmers(np.frombuffer(g[3], np.uint16), SHINGLE)) for g in group]
+    first: dict[bytes, int] = {}
+    root = [i if g[2] is None else first.setdefault(g[2], i) for i, g in enumerate(group)]
+    sides = [g[1] for g in group]
 
     def top(i: int) -> int:
         while root[i] != i:
@@ -294,12 +293,17 @@ def compared(group: list[tuple[bytes, bytes]], large: bool) -> list[tuple[bytes,
             i = root[i]
         return i
 
+    out = []
+    alike = can_be_alike(shingles) if len(group) >= TABLED else np.ones((len(group), len(group)), bool)
     for i in range(len(group)):
-        for j in range(i + 1, len(group)):
+        for j in (np.flatnonzero(alike[i, i + 1 :]) + i + 1).tolist():
+            if sides[i] is not None and sides[i] == sides[j]:
+                continue
             a, b = top(i), top(j)
             if a != b and aligned_similarity(shingles[i], shingles[j]):
                 root[max(a, b)] = min(a, b)
-    return [(group[top(i)][0], group[i][0], True) for i in range(len(group)) if top(i) != i]
+                out.append((group[i][0], group[j][0]))
+    return out
 
 
 def spread_labels(edges: DataFrame) -> DataFrame:
@@ -320,18 +324,16 @@ def spread_labels(edges: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, class_id, print``: one row for each row of ``docs``."""
     rows = sketched(docs, id_col, text_col)
-    chunked = chunks(bucket_members(rows))
-    texts = candidate_texts(chunked, rows)
-    found = links(chunked, texts)
-    edges = found.where("linked")
-    for _ in range(LEVELS):
-        members = refined(chunked, found, texts)
-        if members is None:
-            break
-        chunked = chunks(members)
-        found = links(chunked, texts)
-        edges = edges.unionByName(found.where("linked"))
-    labels = spread_labels(edges.select("a", "b").distinct()).withColumnRenamed("node", "print")
+    members = stored(bucket_members(rows), "members")
+    texts = candidate_texts(members, rows)
+    edges = links(chunks(members), texts)
+    labels = spread_labels(edges)
+    pairs = block_pairs(members, labels) if members.where(F.col("n") > SMALL).limit(1).count() else None
+    if pairs is not None:
+        more = links(pairs.withColumn("first", F.lit(False)), texts)
+        if more.limit(1).count():
+            labels = spread_labels(edges.unionByName(more).distinct())
+    labels = labels.withColumnRenamed("node", "print")
     named = rows.groupBy("print").agg(F.min("doc_id").alias("least")).join(labels, "print", "left").withColumn("label", F.coalesce("label", "print"))
     ids = named.groupBy("label").agg(F.min("least").alias("class_id"))
     return rows.select("doc_id", "print").join(named.join(ids, "label").select("print", "class_id"), "print").select("doc_id", "class_id", "print")

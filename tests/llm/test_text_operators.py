@@ -93,6 +93,16 @@ def test_near_duplicates_of_a_large_group(spark):
     assert collections.Counter(got.values()) == {0: 1000, 1000: 1}
 
 
+def test_near_duplicates_that_differ_by_their_tails(spark):
+    rng = random.Random(8)
+    base = [f"t{rng.randrange(5000)}" for _ in range(200)]
+    other = [f"o{rng.randrange(5000)}" for _ in range(200)]
+    texts = [" ".join(base)] + [" ".join(base + [f"v{i}x{k}" for k in range(30)]) for i in range(600)]
+    texts += [" ".join(other + [f"w{i}x{k}" for k in range(30)]) for i in range(300)]
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs_of(spark, texts)).collect()}
+    assert got == {i: 0 if i <= 600 else i for i in range(901)}
+
+
 def test_near_duplicates_of_odd_rows(spark):
     long = "word other " * 40_000
     rows = [(1, None), (2, ""), (3, "!!!"), (4, "???"), (5, "???"), (6, "a b"), (7, "A b"), (8, long), (9, long), (None, "a b"), (10, "a b c d e"), (10, "a b c d e"), (None, "q q"), (None, "q q")]
