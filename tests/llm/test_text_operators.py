@@ -103,6 +103,37 @@ def test_near_duplicates_that_differ_by_their_tails(spark):
     assert got == {i: 0 if i <= 600 else i for i in range(901)}
 
 
+def test_near_duplicates_of_a_template_family_lose_no_link(spark):
+    rng = random.Random(12)
+    base = [f"t{rng.randrange(9000)}" for _ in range(200)]
+    texts = []
+    for family in range(20):
+        own = base[: 10 * family // 2] + [f"f{family}x{k}" for k in range(30)] + base[10 * family // 2 + 30 :]
+        texts += [" ".join(own + [f"f{family}v{i}x{k}" for k in range(rng.choice([2, 8, 14, 20, 26]))]) for i in range(160)]
+    rng.shuffle(texts)
+    lists = [neardup.numbered(neardup.kmers(np.array([neardup.WordCodes()[w] for w in neardup.WORD.findall(t)], np.uint32), 5)) for t in texts]
+    _, column = np.unique(np.concatenate(lists), return_inverse=True)
+    sizes = np.array([len(x) for x in lists])
+    table = np.zeros((len(texts), column.max() + 1), np.float32)
+    table[np.repeat(np.arange(len(texts)), sizes), column] = 1
+    common = table @ table.T
+    pairs = np.argwhere(np.triu(common / (sizes[:, None] + sizes - common) >= 0.8 - 1e-6, 1)).tolist()
+    links = [(i, j) for i, j in pairs if neardup.aligned_similarity(lists[i], lists[j])]
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs_of(spark, texts)).collect()}
+    missed = sum(got[i] != got[j] for i, j in links)
+    root = list(range(len(texts)))
+    for i, j in sorted(links):
+        while root[i] != i:
+            i = root[i]
+        while root[j] != j:
+            j = root[j]
+        root[max(i, j)] = min(i, j)
+    while any(root[x] != root[root[x]] for x in root):
+        root = [root[x] for x in root]
+    wrong = sum(got[i] != root[i] for i in got)
+    assert (missed, wrong, len(links) > 50_000) == (0, 0, True), f"{missed} of {len(links)} links missed, {wrong} texts in a wrong class"
+
+
 def test_near_duplicates_of_odd_rows(spark):
     long = "word other " * 40_000
     rows = [(1, None), (2, ""), (3, "!!!"), (4, "???"), (5, "???"), (6, "a b"), (7, "A b"), (8, long), (9, long), (None, "a b"), (10, "a b c d e"), (10, "a b c d e"), (None, "q q"), (None, "q q")]
