@@ -8,8 +8,10 @@ below ``LEAST_IMPORTANCE`` over at least ``LEAST_PAGES`` pages is removed from e
 alike as a whole shows nothing about their parts, so nothing is removed there: a mirrored article isn't taken for a menu.
 
 A host with few pages gives no evidence, so nodes have a prior as well: elements that are never content (script, style,
-nav, form and the like) and elements whose class, id or role names them as menu, advert, notice or comments weigh 0, and the
-page's own article or main element weighs 1, so that only blocks outside of it need the tree.
+nav, form and the like) and elements whose class, id or role names them as menu, advert, notice or comments weigh 0, the
+page's own article or main element weighs 1, and all else 0.5. All pages of a host are in its tree, and importance counts by weight: a
+branch of an article goes at half the importance at which another one goes, and a block beside an article stays where the
+tree has found it important on at least ``LEAST_PAGES`` pages.
 
 Defined results: null and empty html give the empty text, broken or unclosed markup is read as far as it goes, pages
 without any text give the empty text; repeated pages repeat their result; every page is read whole.
@@ -21,16 +23,19 @@ import html as entities
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Set
+from types import MappingProxyType
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.llm.common import stored
+
 LEAST_PAGES = 4
 LEAST_IMPORTANCE = 0.35
-#: Removed branches are broadcast when they are no more than this; else pages meet them in a join.
+#: Verdicts of the trees are broadcast when they are no more than this; else pages meet them in a join.
 MAX_BROADCAST_ROWS = 100_000
 
 PIECE = re.compile(
@@ -166,23 +171,38 @@ def importance(layouts: list[int], contents: list[int]) -> float:
     return max(entropy(layouts), entropy(contents))
 
 
-def main_text(page: str, removed: frozenset[str] = frozenset()) -> str:
-    """Text of the page's main part: its article's blocks, or else what the priors and the tree leave."""
+def main_text(page: str, removed: Mapping[str, float] = MappingProxyType({}), kept: Set[str] = frozenset()) -> str:
+    """Text of the page's main part: what the priors and the tree leave.
+
+    ``removed`` has the importance of the branches that the tree finds low; ``kept`` has what stays beside an article.
+    """
     found = blocks(page)
-    kept = [t for _, w, t in found if w == 1] or [t for p, w, t in found if w > 0 and not any(_below(p, r) for r in removed)]
-    return "\n".join(kept)
+    marked = any(w == 1 for _, w, _ in found)
+    texts = []
+    for path, weight, text in found:
+        if not weight or marked and weight < 1 and path not in kept:
+            continue
+        if not any(_below(path, r) and 2 * weight * low < LEAST_IMPORTANCE for r, low in removed.items()):
+            texts.append(text)
+    return "\n".join(texts)
 
 
 def _below(path: str, branch: str) -> bool:
     return path == branch or path.startswith(branch + "/")
 
 
+def _told(rows: list) -> tuple[dict[str, float], frozenset[str]]:
+    """Verdicts of a host as ``main_text`` takes them."""
+    low = {r["path"]: r["importance"] for r in rows if r["importance"] < LEAST_IMPORTANCE}
+    return low, frozenset(r["path"] for r in rows if r["path"] not in low)
+
+
 def host_column(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, "(?s)\\A.*?://([^/?#]*)", 1), F.lit("")))
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host, path, pages, importance`` of the nodes that priors leave open, over pages without an article of their own.
+    """``host, path, pages, importance, outside`` of the nodes that priors leave, over all pages; ``outside``: it has blocks beside an article.
 
     Tasks count (host, path, layout, content) before the shuffle; a hot host is many such keys, and a key is a sum.
     """
@@ -193,23 +213,25 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = blocks(page or "")
-                if any(w == 1 for _, w, _ in found):
-                    continue
+                marked = any(w == 1 for _, w, _ in found)
                 nodes: dict[str, list[str]] = {}
                 for path, w, text in found:
                     if w > 0:
                         nodes.setdefault(path, []).append(text)
+                for path in {p for p, w, _ in found if marked and 0 < w < 1}:
+                    seen[host, path, 2, 0] += 1
                 # every branch above a block has the blocks' layout and content too
                 branches: dict[str, tuple[list, list]] = {}
                 for path, texts in nodes.items():
                     steps = path.split("/")
+                    number = _number("\n".join(texts))
                     for i in range(2, len(steps) + 1):
                         a, b = branches.setdefault("/".join(steps[:i]), ([], []))
                         a.append((steps[i:], len(texts)))
-                        b.extend(texts)
+                        b.append(number)
                 for path, (layout, content) in branches.items():
                     seen[host, path, 0, _number(str(layout))] += 1
-                    seen[host, path, 1, _number("\n".join(content))] += 1
+                    seen[host, path, 1, _number(str(content))] += 1
                 if len(seen) > 200_000:
                     yield _rows(seen)
                     seen = Counter()
@@ -219,7 +241,8 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     counted = parsed.groupBy("host", "path", "kind", "value").agg(F.sum("pages").alias("n"))
     log_sum = counted.groupBy("host", "path", "kind").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s"), F.count(F.lit(1)).alias("distinct"))
     entropy = F.when(F.col("pages") > 1, (F.log("pages") - F.col("s") / F.col("pages")) / F.log("pages")).otherwise(1.0)
-    return log_sum.withColumn("e", entropy).groupBy("host", "path").agg(F.max("pages").alias("pages"), F.max("e").alias("importance"))
+    per_node = log_sum.withColumn("e", entropy).groupBy("host", "path")
+    return per_node.agg(F.max(F.when(F.col("kind") < 2, F.col("pages"))).alias("pages"), F.max(F.when(F.col("kind") < 2, F.col("e"))).alias("importance"), (F.max("kind") == 2).alias("outside"))
 
 
 def _number(text: str) -> int:
@@ -235,37 +258,37 @@ def _rows(seen: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["host", "path", "kind", "value", "pages"])
 
 
-def removed_branches(tree: DataFrame, least_pages: int = LEAST_PAGES, least_importance: float = LEAST_IMPORTANCE) -> DataFrame:
-    """``host, path`` of the branches that the tree removes, on hosts whose pages differ as a whole."""
+def verdicts(tree: DataFrame, least_pages: int = LEAST_PAGES, least_importance: float = LEAST_IMPORTANCE) -> DataFrame:
+    """``host, path, importance`` of the branches that the tree finds low, and of important ones beside articles, on hosts whose pages differ as a whole."""
     differs = tree.where((F.length("path") - F.length(F.translate("path", "/", "")) == 1) & (F.col("importance") >= least_importance)).select(F.col("host").alias("__host")).distinct()
-    low = tree.where((F.col("pages") >= least_pages) & (F.col("importance") < least_importance))
-    return low.join(differs, low.host == F.col("__host"), "left_semi").select("host", "path")
+    told = tree.where((F.col("pages") >= least_pages) & ((F.col("importance") < least_importance) | F.col("outside")))
+    return told.join(differs, told.host == F.col("__host"), "left_semi").select("host", "path", "importance")
 
 
 def extracted(pages: DataFrame, keep: list[str] | None = None, url_col: str = "url", html_col: str = "html", text_col: str = "text") -> DataFrame:
     """``pages`` (or the columns ``keep``) with the main text of each page."""
     spark = pages.sparkSession
-    low = removed_branches(style_tree(pages, url_col, html_col)).persist()
+    low = stored(verdicts(stored(style_tree(pages, url_col, html_col), "tree")), "verdicts")
     small = low.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
     keep = [c for c in (pages.columns if keep is None else keep) if c != text_col]
     schema = T.StructType([*(pages.schema[c] for c in keep), T.StructField(text_col, T.StringType())])
     source = pages.select(*keep, host_column(F.col(url_col)).alias("__host"), F.col(html_col).alias("__html"))
-    table: dict[str, frozenset[str]] = {}
+    told = F.collect_set(F.struct("path", "importance"))
+    table: dict[str, tuple[dict[str, float], frozenset[str]]] = {}
     if small:
-        for row in low.groupBy("host").agg(F.collect_set("path").alias("paths")).collect():
-            table[row.host] = frozenset(row.paths)
-        source = source.withColumn("__paths", F.lit(None).cast("array<string>"))
+        for row in low.groupBy("host").agg(told.alias("paths")).collect():
+            table[row.host] = _told(row.paths)
+        source = source.withColumn("__paths", F.lit(None).cast("array<struct<path:string,importance:double>>"))
     else:
-        per_host = low.groupBy("host").agg(F.collect_set("path").alias("__paths")).withColumnRenamed("host", "__h")
+        per_host = low.groupBy("host").agg(told.alias("__paths")).withColumnRenamed("host", "__h")
         source = source.join(per_host, F.col("__host") == F.col("__h"), "left").drop("__h")
-    low.unpersist()
     carried = spark.sparkContext.broadcast(table)
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = len(keep)
-            texts = [main_text(page or "", frozenset(paths) if paths else carried.value.get(host, frozenset())) for host, page, paths in zip(batch.column(k).to_pylist(), batch.column(k + 1).to_pylist(), batch.column(k + 2).to_pylist(), strict=True)]
+            texts = [main_text(page or "", *(_told(paths) if paths else carried.value.get(host, ({}, frozenset())))) for host, page, paths in zip(batch.column(k).to_pylist(), batch.column(k + 1).to_pylist(), batch.column(k + 2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(texts, pa.string())], names=names)
 
     return source.mapInArrow(run, schema)

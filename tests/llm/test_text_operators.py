@@ -257,6 +257,17 @@ def test_style_tree_removes_what_pages_of_a_host_share(spark):
     assert html.extracted(pages.where("false")).count() == 0
 
 
+def test_style_tree_decides_inside_and_beside_articles(spark):
+    page = "<article><p>Own words {0} {1}</p><div class=zq><p>Read by all who read this host</p></div></article><div class=xw><p>More {1}</p></div><div class=yv><p>Same line</p></div>"
+    rows = [(i, f"http://h.net/{i}", page.format(i, i * 7)) for i in range(12)] + [(100, "http://one.net/", page.format(1, 2))]
+    for limit in (html.MAX_BROADCAST_ROWS, 0):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(html, "MAX_BROADCAST_ROWS", limit)
+            got = {r.page_id: r.text for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert all(got[i] == f"Own words {i} {i * 7}\nMore {i * 7}" for i in range(12))
+        assert got[100] == "Own words 1 2\nRead by all who read this host"
+
+
 # mixing
 
 
