@@ -6,8 +6,9 @@ the class of the token, then the token in its class, so each conditional probabi
 conditional log-probabilities of all its tokens, each with its true neighbours.
 
 Texts are turned into token ids once, in a stored table that training and scoring read. Training is data-parallel over all partitions: in each round every task starts from the shared weights, takes Adagrad steps over
-a random share ``MASKED`` of the positions of its texts, and the weights are averaged by the number of positions, in sums of
-blocks, so what is gathered grows with the corpus while driver and tasks hold one set of weights.
+the positions of its texts that the round masks, and the weights are averaged by the number of positions, in sums of
+blocks, so what is gathered grows with the corpus while driver and tasks hold one set of weights. The rounds' masks are random and part the
+positions, so every position is a target once.
 
 Defined results: null and empty texts have no tokens, log-likelihood 0 and mean 0; texts are read whole and batch by batch;
 repeated rows score alike; columns that clash with the added ones are replaced; an empty corpus leaves the initial weights.
@@ -37,7 +38,6 @@ PER_CLASS = 64
 VOCABULARY = CLASSES * PER_CLASS
 #: Tokens 0 (edge) and 1 to 31 (rare words by length) come before the words.
 RARE = 32
-MASKED = 0.1
 ROUNDS = 2
 BATCH = 3_072
 RATE = 0.08
@@ -289,13 +289,16 @@ class PseudoLikelihood:
     network: WindowNetwork
 
     @classmethod
-    def fit(cls, docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, masked: float = MASKED, keep: list[str] | None = None) -> tuple[PseudoLikelihood, DataFrame]:
-        """The model of all texts of ``docs``, and the stored token table (with the columns ``keep``) that it was trained on."""
+    def fit(cls, docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, masked: float | None = None, keep: list[str] | None = None) -> tuple[PseudoLikelihood, DataFrame]:
+        """The model of all texts of ``docs``, and the stored token table (with the columns ``keep``) that it was trained on.
+
+        The rounds part the positions among them, or with ``masked`` each takes that random share of all.
+        """
         words, counts = vocabulary(docs, text_col)
         tokens = token_table(docs, words, keep or [], text_col)
         flat = WindowNetwork.initial(counts).flat()
         for turn in range(rounds):
-            flat = averaged(tokens.select("__tokens"), flat, turn, masked)
+            flat = averaged(tokens.select("__tokens"), flat, turn, rounds, masked)
         return cls(words, WindowNetwork.of(flat)), tokens
 
     def score(self, docs: DataFrame, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
@@ -324,7 +327,7 @@ class PseudoLikelihood:
         return tokens.select(*keep, "__tokens").mapInArrow(run, schema)
 
 
-def averaged(source: DataFrame, flat: np.ndarray, turn: int, masked: float) -> np.ndarray:
+def averaged(source: DataFrame, flat: np.ndarray, turn: int, rounds: int, masked: float | None) -> np.ndarray:
     """Weights after a round: each task trains from ``flat`` over its texts; the mean is weighted by positions."""
     carried = source.sparkSession.sparkContext.broadcast(flat)
 
@@ -346,8 +349,9 @@ def averaged(source: DataFrame, flat: np.ndarray, turn: int, masked: float) -> n
             for lists in pieces(batch.column(0).to_pylist()):
                 tokens, at, _ = laid_out(lists)
                 # the masks follow the texts, so a task that runs again takes the same
-                rng = np.random.default_rng([turn, zlib.crc32(tokens.tobytes())])
-                at = at[rng.random(len(at)) < masked]
+                own = zlib.crc32(tokens.tobytes())
+                rng = np.random.default_rng([turn, own])
+                at = at[np.random.default_rng(own).integers(0, rounds, len(at)) == turn] if masked is None else at[rng.random(len(at)) < masked]
                 tokens_held.append(tokens)
                 at_held.append(at + shift)
                 shift += len(tokens)

@@ -169,3 +169,12 @@ def test_gradient_step_lowers_the_loss():
     for _ in range(30):
         network.step(tokens, at, squares)
     assert network.log_probabilities(tokens, at).mean() > before + 1
+
+
+def test_pseudo_likelihood_is_trained_on_every_position_once(spark, monkeypatch):
+    trained, add = [], lm.summed_blocks
+    monkeypatch.setattr(lm, "summed_blocks", lambda *args: trained.append(add(*args)) or trained[-1])
+    docs = spark.createDataFrame([(i, " ".join(GOOD), "en", "s", 0) for i in range(60)], DOCS)
+    lm.PseudoLikelihood.fit(docs)
+    assert len(trained) == lm.ROUNDS and all(x[-1, 0] > 0 for x in trained)
+    assert sum(x[-1, 0] for x in trained) == sum(len(lm.TOKEN.findall(w)) for w in GOOD) * 60
