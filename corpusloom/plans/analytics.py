@@ -107,7 +107,7 @@ def loss_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def loss_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs.spike_baseline(_trace(spark, sf_dir).where("step % 40 = 0"))
+    return runs.spike_baseline(_trace(spark, sf_dir))
 
 
 def throughput_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,7 +206,7 @@ def task_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run log for each event type: stages, steps, and a last line."""
-    e = table(spark, sf_dir, "events").where("event_id % 20 = 0").withColumn("v", F.format_string("%.4f", F.coalesce("value", F.lit(0.0))))
+    e = table(spark, sf_dir, "events").withColumn("v", F.format_string("%.4f", F.coalesce("value", F.lit(0.0))))
     n = F.col("event_id")
     line = (
         F.when(n % 300 == 0, F.format_string("[%d/6] Train base model -> out", (n % 6 + 1).cast("int")))

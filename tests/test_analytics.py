@@ -220,3 +220,16 @@ def test_job_states(spark):
     schema = "out_dir string, state string, updated long"
     got = progress.job_states(spark.createDataFrame([("a", "running", 1)], schema), spark.createDataFrame([("a", "failed", 9), ("b", "done", 2), ("b", "old", 1)], schema)).collect()
     assert {r.out_dir: r.state for r in got} == {"a": "running", "b": "done"}
+
+
+def test_run_queries_read_every_event(spark):
+    import os
+    import tempfile
+
+    from corpusloom.plans import analytics
+
+    folder = tempfile.mkdtemp()
+    rows = [(i, "a", 10.0 if i != 45 else 900.0) for i in range(1, 60)] + [(i, "b", 5.0) for i in range(1, 30)]
+    spark.createDataFrame(rows, "event_id long, event_type string, value double").write.parquet(os.path.join(folder, "events.parquet"))
+    assert {r.run: r.spikes for r in analytics.loss_spikes(spark, folder).collect()} == {"a": 1, "b": 0}
+    assert analytics._log_lines(spark, folder).count() == len(rows)
