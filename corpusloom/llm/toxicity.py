@@ -1,22 +1,26 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
-``fit`` takes a bounded sample of labelled rows (``MAX_LABELLED``), chooses the ``MAX_TERMS`` terms whose document
-frequencies are most telling of label 1 (G test; a term is a lower-cased word, or the beginning of a longer word,
-marked by ``~``), and counts the document frequency of these terms over the WHOLE corpus for the IDF. Examples with a
-non-zero vector go in an inverted index: postings by term, cut in blocks of ``BLOCK_SIZE`` examples, with the largest
-weight of each term in each block. A query bounds each block by the sum of its weights times the block maxima, reads
-the blocks from the highest bound down, and stops when no bound can beat its current k-th similarity; so the k nearest
-examples are exact. Each neighbour votes with the square of its cosine, which is a distance weight; the vote is
-calibrated on the examples themselves, each left out of its own vote.
-
-Defined results: null and empty texts, and texts without any chosen term, have a zero vector; their nearest
-examples are the other zero vectors, so they score the smoothed share of label 1 among those. Ties in similarity go
-to the smaller example number. Texts of any length are read whole, repeated rows are scored one by one, extra columns
-pass through, and a column named like an output is replaced. Without labelled rows every score is 0.
+``fit`` takes a bounded sample of labelled rows (``MAX_LABELLED``). Every lower-cased word of theirs is a term. A term weighs
+``(1 + ln count) * idf * (FLOOR + relevance)``: the IDF is counted over the WHOLE corpus, the relevance is the lower confidence bound
+of the word's log odds ratio between the labels, 0 where it is negative. So words that tell toxic texts stand out, and all others
+still count, so that a copy of an example finds it whatever its words. (With relevance 0 for all, plain TF-IDF, the vote misses
+half of the toxic texts: in long texts of rare words a few telling ones don't move the cosine.)
+
+Examples go in an inverted index: postings by term, the examples in blocks of ``BLOCK_SIZE`` that share their most frequent words,
+with the largest weight of each term in each block. A query bounds each block by the sum of its weights times the
+block maxima, scores the blocks of the highest bounds first, and then those whose bound reaches its k-th similarity; so the k
+nearest examples are exact. Each neighbour votes with the square of its cosine, which is a distance weight; the vote is calibrated
+on the examples themselves, each left out of its own vote.
+
+Defined results: null and empty texts, and texts without any word of an example, have no neighbours and score the smoothed share of
+label 1 among examples alike. Ties in similarity go to the smaller example number. Texts of any length are read whole, repeated
+rows are scored one by one, extra columns pass through, and a column named like an output is replaced. Without labelled rows every
+score is 0; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -25,155 +29,158 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import labelled_texts, small_batches, training_labels, with_text_columns
-
-#: Labelled rows that the model is fitted on, at most.
-MAX_LABELLED = 12_000
-#: Terms of the index, at most; with MAX_LABELLED it bounds the index (12 bytes a posting).
-MAX_TERMS = 2_000
-LEAST_G = 25.0
-#: How many times as often a term must stand in texts of label 1.
-LEAST_RATIO = 4.0
-LEAST_DOCS = 4
-PREFIXES = (3, 4, 5, 6, 7)
-BLOCK_SIZE = 128
+from corpusloom.llm.common import BLOCK, block_rows, labelled_texts, small_batches, summed_blocks, training_labels, with_text_columns
+
+#: Labelled rows that the model is fitted on, at most; it bounds the vocabulary and the index.
+MAX_LABELLED = 5_000
+#: Share of its TF-IDF that a word keeps whose relevance is 0.
+FLOOR = 0.1
+#: Standard errors below the log odds ratio at which relevance is taken.
+ERRORS = 2.0
+BLOCK_SIZE = 64
+#: Blocks that are scored before the k-th similarity cuts the others.
+FIRST_BLOCKS = 3
 NEIGHBOURS = 15
+#: Numbers in a row of what is summed over the tasks.
+ROW = 256
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def word_terms(word: str) -> tuple[str, ...]:
-    word = word.lower()
-    return (word, *(f"{word[:n]}~" for n in PREFIXES if len(word) > n))
-
-
 class TermIds(dict):
-    """Word as written -> ids of its chosen terms; emptied when it grows large."""
+    """Word as written -> number of its term, ``len(terms)`` for words of no example; emptied when it grows large."""
 
-    def __init__(self, ids: dict[str, int]):
+    def __init__(self, terms: list[str]):
         super().__init__()
-        self.ids = ids
+        self.ids = {t: i for i, t in enumerate(terms)}
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> int:
         if len(self) > 150_000:
             self.clear()
-        out = self[word] = tuple(self.ids[t] for t in word_terms(word) if t in self.ids)
+        out = self[word] = self.ids.get(word.lower(), len(self.ids))
         return out
 
-    def counts(self, text: str) -> Counter:
-        found: Counter = Counter()
-        for word in filter(self.__getitem__, WORD.findall(text)):
-            found.update(self[word])
-        return found
-
-
-def chosen_terms(texts: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
-    """Terms of the labelled sample with the largest G statistic against the label, most telling first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_label = (Counter(), Counter())
-        rows = [0, 0]
-        for batch in batches:
-            for label, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                rows[label] += 1
-                by_label[label].update({t for w in set(WORD.findall(text or "")) for t in word_terms(w)})
-        terms = sorted(by_label[0].keys() | by_label[1].keys())
-        columns = [[*terms, None], [*(by_label[0][t] for t in terms), rows[0]], [*(by_label[1][t] for t in terms), rows[1]]]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["term", "n0", "n1"])
-
-    counts = texts.mapInArrow(run, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").cast("double").alias("a0"), F.sum("n1").cast("double").alias("a1")).persist()
-    try:
-        total = counts.where("term is null").first()
-        if total is None or not total.a0 or not total.a1:
-            return []
-        n0, n1 = total.a0, total.a1
-
-        def part(observed, expected):
-            return F.when(observed > 0, observed * F.log(observed / expected)).otherwise(F.lit(0.0))
-
-        a0, a1 = F.col("a0"), F.col("a1")
-        seen, n = a0 + a1, n0 + n1
-        g = 2 * (part(a0, seen * n0 / n) + part(a1, seen * n1 / n) + part(n0 - a0, (n - seen) * n0 / n) + part(n1 - a1, (n - seen) * n1 / n))
-        rows = counts.where(F.col("term").isNotNull() & (seen >= LEAST_DOCS)).withColumn("g", g).where((F.col("g") >= LEAST_G) & (a1 * n0 > LEAST_RATIO * a0 * n1)).orderBy(F.desc("g"), "term").limit(max_terms).collect()
-    finally:
-        counts.unpersist()
-    return [r.term for r in rows]
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the text's terms and their counts."""
+        found = WORD.findall(text)
+        ids, n = np.unique(np.fromiter(map(self.__getitem__, found), np.int32, len(found)), return_counts=True)
+        known = len(ids) - bool(len(ids) and ids[-1] == len(self.ids))
+        return ids[:known], n[:known]
 
 
 def document_frequencies(docs: DataFrame, terms: list[str], text_col: str = "text") -> tuple[np.ndarray, int]:
     """In how many texts of the whole corpus each term stands, and the number of texts."""
-    ids = {t: i for i, t in enumerate(terms)}
+    carried = docs.sparkSession.sparkContext.broadcast(terms)
+    rows = -(-(len(terms) + 2) // ROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, found, rows = TermIds(ids), Counter(), 0
+        words, found = TermIds(carried.value), np.zeros(rows * ROW)
+        n = len(words.ids)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                rows += 1
-                found.update({t for w in filter(words.__getitem__, set(WORD.findall(text or ""))) for t in words[w]})
-        yield pa.RecordBatch.from_arrays([pa.array([*found, -1], pa.int32()), pa.array([*found.values(), rows], pa.int64())], names=["term", "n"])
+                own = set(WORD.findall(text or ""))
+                # a number that comes twice, by two spellings, adds one
+                found[np.fromiter(map(words.__getitem__, own), np.int64, len(own))] += 1
+            found[n] = 0
+            found[n + 1] += batch.num_rows
+        yield block_rows(found.astype(np.float32).reshape(-1, ROW), 1024, TaskContext.get().partitionId())
+
+    total = summed_blocks(small_batches(docs).select(text_col).mapInArrow(run, BLOCK), (rows, ROW), 1024).reshape(-1)
+    return total[: len(terms)], int(total[len(terms) + 1])
+
 
-    out, total = np.zeros(len(terms), np.float64), 0
-    for row in small_batches(docs).select(text_col).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        if row.term < 0:
-            total = row.n
-        else:
-            out[row.term] = row.n
-    return out, total
+def relevance(examples: list[np.ndarray], labels: np.ndarray, n_terms: int) -> np.ndarray:
+    """Lower confidence bound of each term's log odds ratio between labels 1 and 0, not below 0."""
+    seen = np.zeros((2, n_terms))
+    for ids, label in zip(examples, labels, strict=True):
+        seen[int(label), ids] += 1
+    n = np.array([(labels == 0).sum(), (labels == 1).sum()], float)
+    if not n.all():
+        return np.zeros(n_terms)
+    inside, outside = seen + 0.5, n[:, None] - seen + 0.5
+    ratio = np.log(inside[1] / outside[1]) - np.log(inside[0] / outside[0])
+    return np.maximum(0.0, ratio - ERRORS * np.sqrt((1 / inside + 1 / outside).sum(0)))
+
+
+def ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers from each start up to its end, and how many those are."""
+    n = ends - starts
+    return np.arange(int(n.sum())) + np.repeat(starts - np.cumsum(n) + n, n), n
 
 
 @dataclass
 class BlockMaxIndex:
-    """Unit vectors by term, cut in blocks of examples, with the maximum of each term in each block."""
+    """Unit vectors by term. Entry: a term in a block; it has a maximum and a run of postings (example, weight)."""
 
-    n_terms: int
-    labels: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    bounds: np.ndarray | None = None
-    starts: np.ndarray | None = None
-    examples: np.ndarray | None = None
-    weights: np.ndarray | None = None
+    blocks: int = 1
+    terms: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # first entry of each term
+    block: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # of each entry
+    most: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    runs: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # first posting of each entry
+    examples: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
 
     @classmethod
-    def build(cls, vectors: list[dict[int, float]], labels: np.ndarray, n_terms: int) -> BlockMaxIndex:
+    def build(cls, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> BlockMaxIndex:
         blocks = max(1, -(-len(vectors) // BLOCK_SIZE))
-        rows = np.array([(t, i, w) for i, v in enumerate(vectors) for t, w in v.items()], np.float64).reshape(-1, 3)
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        term, example, weight = rows[:, 0].astype(np.int64), rows[:, 1].astype(np.int32), rows[:, 2]
-        bounds = np.zeros((n_terms, blocks))
-        np.maximum.at(bounds, (term, example // BLOCK_SIZE), weight)
-        starts = np.searchsorted(term * blocks + example // BLOCK_SIZE, np.arange(n_terms * blocks + 1)).reshape(-1)
-        return cls(n_terms, labels, bounds, starts, example, weight)
-
-    def nearest(self, query: dict[int, float], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        if not vectors:
+            return cls(blocks, np.zeros(n_terms + 1, np.int64))
+        term = np.concatenate([t for t, _ in vectors]).astype(np.int64)
+        example = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
+        order = np.argsort(term, kind="stable")
+        term, example = term[order], example[order]
+        weight = np.concatenate([w for _, w in vectors])[order].astype(np.float32)
+        place = term * blocks + example // BLOCK_SIZE
+        runs = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else np.zeros(0, np.int64)
+        most = np.maximum.reduceat(weight, runs) if len(runs) else np.zeros(0, np.float32)
+        return cls(blocks, np.searchsorted(term[runs], np.arange(n_terms + 1)), (place[runs] % blocks).astype(np.int32), most, np.r_[runs, len(term)], example, weight)
+
+    def nearest(self, terms: np.ndarray, values: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k examples nearest to a unit vector, exactly; those of cosine 0 don't count."""
-        terms = np.fromiter(query, np.int64, len(query))
-        values = np.fromiter(query.values(), np.float64, len(query))
-        blocks = self.bounds.shape[1]
-        upper = values @ self.bounds[terms]
-        found, scores = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-upper, kind="stable"):
-            if upper[b] <= 0 or len(scores) >= k and upper[b] < scores[k - 1] - 1e-12:
-                break
-            low = self.starts[terms * blocks + b]
-            n = self.starts[terms * blocks + b + 1] - low
-            at = np.arange(int(n.sum())) + np.repeat(low - np.cumsum(n) + n, n)
-            sums = np.bincount(self.examples[at] - b * BLOCK_SIZE, np.repeat(values, n) * self.weights[at], BLOCK_SIZE)
-            if without // BLOCK_SIZE == b and without >= 0:
-                sums[without % BLOCK_SIZE] = 0
-            at = np.flatnonzero(sums)
-            found, scores = np.concatenate([found, at + b * BLOCK_SIZE]), np.concatenate([scores, sums[at]])
-            order = np.lexsort((found, -scores))[:k]
-            found, scores = found[order], scores[order]
-        return found, scores
+        entries, n = ranges(self.terms[terms], self.terms[terms + 1])
+        values, block = np.repeat(values, n), self.block[entries]
+        upper = np.bincount(block, values * self.most[entries], self.blocks)
+        first = np.argsort(-upper, kind="stable")[:FIRST_BLOCKS]
+        found, cosines = self._scored(entries, values, block, first, k, without)
+        limit = cosines[k - 1] if len(cosines) == k else 0.0
+        rest = upper >= limit - 1e-6
+        rest[first] = False
+        rest = np.flatnonzero(rest & (upper > 0))
+        if not len(rest):
+            return found, cosines
+        more, others = self._scored(entries, values, block, rest, k, without)
+        return _best(np.concatenate([found, more]), np.concatenate([cosines, others]), k)
+
+    def _scored(self, entries: np.ndarray, values: np.ndarray, block: np.ndarray, chosen: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best examples of the chosen blocks."""
+        wanted = np.zeros(self.blocks, bool)
+        wanted[chosen] = True
+        keep = wanted[block]
+        at, n = ranges(self.runs[entries[keep]], self.runs[entries[keep] + 1])
+        sums = np.bincount(self.examples[at], np.repeat(values[keep], n) * self.weights[at], self.blocks * BLOCK_SIZE)
+        if without >= 0:
+            sums[without] = 0
+        found = np.flatnonzero(sums > 0)
+        return _best(found, sums[found], k)
+
+
+def _best(found: np.ndarray, cosines: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(found) > 4 * k:
+        least = np.partition(cosines, len(cosines) - k)[len(cosines) - k]
+        found, cosines = found[cosines >= least], cosines[cosines >= least]
+    order = np.lexsort((found, -cosines))[:k]
+    return found[order], cosines[order]
 
 
 @dataclass
 class ToxicityNeighbours:
     terms: list[str]
-    idf: np.ndarray
+    scale: np.ndarray
     index: BlockMaxIndex
+    labels: np.ndarray
     ids: list
     zero_score: float
     slope: float
@@ -182,64 +189,70 @@ class ToxicityNeighbours:
     @classmethod
     def fit(cls, docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> ToxicityNeighbours:
         texts = labelled_texts(docs, training_labels(labels, label, max_labelled, id_col), id_col, text_col)
-        terms = chosen_terms(texts)
-        ids = {t: i for i, t in enumerate(terms)}
-        df, n = document_frequencies(docs, terms, text_col) if terms else (np.zeros(0), 0)
-        idf = np.log((n + 1) / (df + 1)) + 1
+        schema = T.StructType([T.StructField("id", texts.schema["__id"].dataType), T.StructField("label", T.IntegerType()), T.StructField("words", T.StringType()), T.StructField("counts", T.BinaryType())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words = TermIds(ids)
             for batch in batches:
-                found = [words.counts(t or "") for t in batch.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], names=["id", "label", "t", "c"])
-
-        schema = T.StructType([T.StructField("id", texts.schema["__id"].dataType), T.StructField("label", T.IntegerType()), T.StructField("t", T.ArrayType(T.IntegerType())), T.StructField("c", T.ArrayType(T.IntegerType()))])
-        rows = sorted(((r.id, r.label, dict(sorted(zip(r.t, r.c, strict=True)))) for r in texts.mapInArrow(run, schema).collect()), key=lambda r: (r[0], sorted(r[2].items())))
-        full = [r for r in rows if r[2]]
-        zero = [r[1] for r in rows if not r[2]]
-        vectors = [unit_vector(r[2], idf) for r in full]
-        labels_of = np.array([r[1] for r in full], np.float64)
-        index = BlockMaxIndex.build(vectors, labels_of, len(terms))
-        share = sum(r[1] for r in rows) / len(rows) if rows else 0.0
-        model = cls(terms, idf, index, [r[0] for r in full], (sum(zero) + share) / (len(zero) + 1) if rows else 0.0, 1.0, 0.0)
-        votes = np.array([model.vote(v, without=i)[0] for i, v in enumerate(vectors)])
-        model.slope, model.offset = logistic(votes, labels_of)
+                found = [sorted(Counter(w.lower() for w in WORD.findall(t or "")).items()) for t in batch.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([" ".join(w for w, _ in x) for x in found], pa.string()), pa.array([np.array([n for _, n in x], np.int32).tobytes() for x in found], pa.binary())], names=schema.fieldNames())
+
+        rows = sorted(texts.mapInArrow(run, schema).collect(), key=lambda r: r.id)
+        terms = sorted({w for r in rows for w in r.words.split()})
+        number = {w: i for i, w in enumerate(terms)}
+        counted = [(np.array([number[w] for w in r.words.split()], np.int64), np.frombuffer(r["counts"], np.int32)) for r in rows]
+        df, n = document_frequencies(docs, terms, text_col) if terms else (np.zeros(0), 0)
+        given = np.array([r.label for r in rows], float)
+        scale = (np.log((n + 1) / (df + 1)) + 1) * (FLOOR + relevance([t for t, _ in counted], given, len(terms)))
+        share = float(given.mean()) if len(rows) else 0.0
+        # examples that share their most frequent words stand together, so that bounds of blocks are tight
+        full = sorted((i for i, (t, _) in enumerate(counted) if len(t)), key=lambda i: [terms[t] for t in counted[i][0][np.argsort(-df[counted[i][0]], kind="stable")[:6]]] + [str(i)])
+        zero = given[[i for i, (t, _) in enumerate(counted) if not len(t)]]
+        model = cls(terms, scale, BlockMaxIndex(), given[full], [rows[i].id for i in full], float((zero.sum() + share) / (len(zero) + 1)), 1.0, 0.0)
+        vectors = [model.vector(*counted[i]) for i in full]
+        model.index = BlockMaxIndex.build(vectors, len(terms))
+        votes = np.array([model.vote(*v, without=i)[0] for i, v in enumerate(vectors)])
+        model.slope, model.offset = logistic(votes, model.labels)
         return model
 
-    def vote(self, query: dict[int, float], without: int = -1) -> tuple[float, list[tuple[int, float]]]:
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unit vector over the terms of the examples."""
+        weights = (1 + np.log(counts)) * self.scale[terms]
+        return terms, weights / math.sqrt(float(weights @ weights))
+
+    def vote(self, terms: np.ndarray, values: np.ndarray, without: int = -1) -> tuple[float, list[tuple[int, float]]]:
         """Log odds of the distance-weighted vote, with the neighbours that cast it."""
-        found, cosines = self.index.nearest(query, NEIGHBOURS, without)
-        weights = cosines**2
-        yes = float(weights @ self.index.labels[found]) if len(found) else 0.0
+        found, cosines = self.index.nearest(terms, values, NEIGHBOURS, without)
+        weights = cosines**2 / max(float(cosines[0]) ** 2, 1e-12) if len(cosines) else cosines
+        yes = float(weights @ self.labels[found]) if len(found) else 0.0
         return math.log((yes + 0.1) / (float(weights.sum()) - yes + 0.1)), list(zip(found.tolist(), cosines.tolist(), strict=True))
 
-    def score_counts(self, counts: dict[int, int]) -> tuple[float, list[tuple[int, float]]]:
-        if not counts:
+    def score_counts(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[tuple[int, float]]]:
+        if not len(terms):
             return self.zero_score, []
-        vote, found = self.vote(unit_vector(dict(sorted(counts.items())), self.idf))
+        vote, found = self.vote(*self.vector(terms, counts))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * vote + self.offset)))), found
 
     def score(self, docs: DataFrame, keep: list[str] | None = None, text_col: str = "text", score_col: str = "score", evidence_col: str = "evidence") -> DataFrame:
         """``docs`` (or the columns ``keep``) with the score and its evidence: the nearest examples' ids, labels and cosines."""
         carried = docs.sparkSession.sparkContext.broadcast(self)
         words: list[TermIds] = []
-        seen: dict[tuple, tuple] = {}
+        seen: dict[bytes, tuple] = {}
         evidence = T.ArrayType(T.StructType([T.StructField("id", T.StringType()), T.StructField("label", T.IntegerType()), T.StructField("cosine", T.DoubleType())]))
         arrow = pa.list_(pa.struct([("id", pa.string()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
         def score(texts: list[str]) -> list[pa.Array]:
             model = carried.value
             if not words:
-                words.append(TermIds({t: i for i, t in enumerate(model.terms)}))
+                words.append(TermIds(model.terms))
             scores, proofs = [], []
             for text in texts:
-                counts = words[0].counts(text)
-                key = tuple(sorted(counts.items()))
+                # copies are scored once; a hash of 128 bits stands for the text
+                key = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
                 if key not in seen:
                     if len(seen) > 20_000:
                         seen.clear()
-                    value, found = model.score_counts(counts)
-                    seen[key] = value, [{"id": str(model.ids[i]), "label": int(model.index.labels[i]), "cosine": c} for i, c in found[:3]]
+                    value, found = model.score_counts(*words[0].counts(text))
+                    seen[key] = value, [{"id": str(model.ids[i]), "label": int(model.labels[i]), "cosine": c} for i, c in found[:3]]
                 scores.append(seen[key][0])
                 proofs.append(seen[key][1])
             return [pa.array(scores, pa.float64()), pa.array(proofs, arrow)]
@@ -247,12 +260,6 @@ class ToxicityNeighbours:
         return with_text_columns(docs, text_col, keep, [(score_col, T.DoubleType()), (evidence_col, evidence)], score)
 
 
-def unit_vector(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
-    weights = {t: (1 + math.log(c)) * float(idf[t]) for t, c in counts.items()}
-    length = math.sqrt(sum(w * w for w in weights.values()))
-    return {t: w / length for t, w in weights.items()}
-
-
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope (not negative) and offset of the ridge-penalised logistic fit of y on x, by Newton steps."""
     a, b = 1.0, 0.0
