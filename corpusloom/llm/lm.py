@@ -1,30 +1,33 @@
 """Masked pseudo-likelihood: a bidirectional window network, trained in numpy, predicts every token from both sides.
 
-The vocabulary are the most frequent words of the WHOLE corpus, counted by word; rarer words share tokens by length. For a
-masked position the network sums the embeddings of ``WINDOW`` tokens on each side, weighted by place, and a tanh layer predicts
-the class of the token, then the token in its class, so each conditional probability is normalised over the vocabulary. A document's score is the sum of the
-conditional log-probabilities of all its tokens, each with its true neighbours.
+The vocabulary is open. The most frequent words of the WHOLE corpus, counted by word, are tokens of their own; a rarer word is the token
+of its length, and then spelled: a chain of characters, counted over all rarer words of the corpus, gives the probability of the word
+among those of its length. So every word has its own probability, and a seldom but regular word is told from gibberish of that length.
 
-Texts are turned into token ids once, in a stored table that training and scoring read. Training is data-parallel over all partitions: in each round every task starts from the shared weights, takes Adagrad steps over
-the positions of its texts that the round masks, and the weights are averaged by the number of positions, in sums of
-blocks, so what is gathered grows with the corpus while driver and tasks hold one set of weights. The rounds' masks are random and part the
-positions, so every position is a target once.
+For a masked position the network sums the embeddings of ``WINDOW`` tokens on each side, weighted by place, and a tanh layer predicts
+the class of the token, then the token in its class, so each conditional probability is normalised over all tokens. A document's
+score is the sum of the conditional log-probabilities of all its words, each with its true neighbours.
+
+Texts are turned into token ids once, in a stored table that training and scoring read. A hash of the row deals the texts to rounds
+and, in a round, to shards of about ``SHARD_TOKENS`` tokens, and orders them; each shard starts from the shared weights, takes
+Adagrad steps over all its texts, and the weights are averaged by the number of positions, in sums of blocks. Shards follow from the
+corpus alone, not from how it is partitioned, and more data are more shards of the same length. So what is gathered grows with the
+corpus, driver and tasks hold one set of weights, and every position is a target once.
 
 Defined results: null and empty texts have no tokens, log-likelihood 0 and mean 0; texts are read whole and batch by batch;
-repeated rows score alike; columns that clash with the added ones are replaced; an empty corpus leaves the initial weights.
+repeated rows score alike; words of equal counts enter the vocabulary by code point; columns that clash with the added ones are
+replaced; an empty corpus leaves the initial weights; other columns only deal rows to shards.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,15 +42,77 @@ VOCABULARY = CLASSES * PER_CLASS
 #: Tokens 0 (edge) and 1 to 31 (rare words by length) come before the words.
 RARE = 32
 ROUNDS = 2
-BATCH = 3_072
+SHARD_TOKENS = 2_000_000
+#: Positions of a step, at most; a shard takes 64 steps at least, of no fewer than LEAST_BATCH.
+BATCH = 4_096
+LEAST_BATCH = 256
 RATE = 0.08
 TOKEN = re.compile(r"\w+|[^\w\s]")
 #: The weights in a row are padded to rows of so many numbers, to be averaged in blocks.
 ROW = 256
+#: Characters that the spelling tells apart; all others are one, shared by as many code points as there are.
+CHARACTERS = 255
+CODE_POINTS = 0x110000
+#: A token's id and the cost of its spelling (nats) in one number.
+PACK = float(1 << 26)
+
+
+@dataclass
+class Spelling:
+    """A chain of characters: log probability of each after each (row and column ``CHARACTERS``: any other; row + 1: the start)."""
 
+    alphabet: str
+    chain: np.ndarray
 
-def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[list[str], np.ndarray]:
-    """The most frequent words and the counts of all tokens; tasks count words, a shuffle by word adds the counts."""
+    def __post_init__(self) -> None:
+        self.places = {c: i for i, c in enumerate(self.alphabet)}
+
+    def cost(self, word: str) -> float:
+        """Negative log probability of the word among all of its length; lengths from ``RARE - 1`` on are geometric."""
+        at = [self.places.get(c, CHARACTERS) for c in word]
+        total = -float(self.chain[[CHARACTERS + 1, *at[:-1]], at].sum()) + at.count(CHARACTERS) * float(np.log(CODE_POINTS - len(self.alphabet)))
+        return total + (0.5 + 0.1 * (len(word) - RARE + 1) if len(word) >= RARE - 1 else 0.0)
+
+    @classmethod
+    def of(cls, counted: DataFrame, words: list[str]) -> Spelling:
+        """Counted over the words (``word, n``) that are not among ``words``, as often as they stand in the corpus."""
+        carried = counted.sparkSession.sparkContext.broadcast(frozenset(words))
+
+        def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int]]:
+            for batch in batches:
+                for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if word not in carried.value:
+                        yield word, n
+
+        def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: Counter = Counter()
+            for word, n in rare(batches):
+                for c in word:
+                    seen[c] += n
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["c", "n"])
+
+        top = counted.mapInArrow(letters, "c string, n long").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(CHARACTERS).collect()
+        alphabet = "".join(r.c for r in top)
+
+        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            places = {c: i for i, c in enumerate(alphabet)}
+            sums = np.zeros((CHARACTERS + 2, CHARACTERS + 1), np.float64)
+            salt = 0
+            for word, n in rare(batches):
+                before = CHARACTERS + 1
+                for c in word:
+                    at = places.get(c, CHARACTERS)
+                    sums[before, at] += n
+                    before = at
+                salt = len(word) + n
+            yield block_rows(sums.astype(np.float32), 64, salt)
+
+        sums = summed_blocks(counted.mapInArrow(pairs, BLOCK), (CHARACTERS + 2, CHARACTERS + 1), 64) + 0.1
+        return cls(alphabet, np.log(sums / sums.sum(1, keepdims=True)))
+
+
+def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[list[str], np.ndarray, Spelling, int]:
+    """The most frequent words, the counts of all tokens, the spelling of the other words, and the number of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -68,45 +133,58 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[list[str], np.n
     counted = stored(small_batches(docs).select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     # a histogram of the counts finds what the wanted words have at least, so that each task sorts few words and the driver gets about as many as it wants
     size = F.floor(F.log2("n") * 32).cast("int")
-    seen, least = 0, 0
-    for row in counted.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("size")).collect():
-        seen, least = seen + row.words, row["size"]
-        if seen >= VOCABULARY - RARE:
-            break
+    seen, least, total = 0, 0, 0
+    for row in counted.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).orderBy(F.desc("size")).collect():
+        total += row.n
+        if seen < VOCABULARY - RARE:
+            seen, least = seen + row.words, row["size"]
     top = counted.where(size >= least).orderBy(F.desc("n"), "word").limit(VOCABULARY - RARE).collect()
     counts = np.ones(VOCABULARY)
     for i, r in enumerate(top):
         counts[RARE + i] += r.n
-    return [r.word for r in top], counts
+    words = [r.word for r in top]
+    for row in counted.groupBy(F.least(F.length("word"), F.lit(RARE - 1)).alias("size")).agg(F.sum("n").alias("n")).collect():
+        counts[row["size"]] += row.n
+    for i, word in enumerate(words):
+        counts[min(len(word), RARE - 1)] -= counts[RARE + i] - 1
+    return words, counts, Spelling.of(counted, words), total
 
 
 class TokenIds(dict):
-    """Token as written -> id; emptied when it grows large."""
+    """Token as written -> id, with the cost of its spelling, packed; emptied when it grows large."""
 
-    def __init__(self, words: list[str]):
+    def __init__(self, words: list[str], spelling: Spelling):
         super().__init__()
         self.words = {w: RARE + i for i, w in enumerate(words)}
+        self.spelling = spelling
 
-    def __missing__(self, token: str) -> int:
+    def __missing__(self, token: str) -> float:
         if len(self) > 150_000:
             self.clear()
         word = token.lower()
-        out = self[token] = self.words.get(word, min(len(word), RARE - 1))
+        known = self.words.get(word)
+        out = self[token] = known * PACK if known else min(len(word), RARE - 1) * PACK + min(self.spelling.cost(word), PACK - 1)
         return out
 
+    def encoded(self, text: str) -> tuple[np.ndarray, float]:
+        """Ids of the text's tokens and the log probability of its spellings."""
+        found = TOKEN.findall(text)
+        ids, costs = np.divmod(np.fromiter(map(self.__getitem__, found), np.float64, len(found)), PACK)
+        return ids.astype(np.uint16), -float(costs.sum())
+
 
-def token_table(docs: DataFrame, words: list[str], keep: list[str], text_col: str = "text") -> DataFrame:
-    """``keep`` and ``__tokens``, the 16-bit token ids of each text, stored."""
-    carried = docs.sparkSession.sparkContext.broadcast(words)
+def token_table(docs: DataFrame, words: list[str], spelling: Spelling, keep: list[str], text_col: str = "text") -> DataFrame:
+    """``keep``, ``__tokens`` (the 16-bit token ids of each text) and ``__spelled`` (log probability of its spellings), stored."""
+    carried = docs.sparkSession.sparkContext.broadcast((words, spelling))
     known: list[TokenIds] = []
 
     def encode(texts: list[str]) -> list[pa.Array]:
         if not known:
-            known.append(TokenIds(carried.value))
-        found = (TOKEN.findall(text) for text in texts)
-        return [pa.array([np.fromiter(map(known[0].__getitem__, x), np.uint16, len(x)).tobytes() for x in found], pa.binary())]
+            known.append(TokenIds(*carried.value))
+        found = [known[0].encoded(text) for text in texts]
+        return [pa.array([ids.tobytes() for ids, _ in found], pa.binary()), pa.array([cost for _, cost in found], pa.float64())]
 
-    return stored(with_text_columns(docs, text_col, keep, [("__tokens", T.BinaryType())], encode), "tokens")
+    return stored(with_text_columns(docs, text_col, keep, [("__tokens", T.BinaryType()), ("__spelled", T.DoubleType())], encode), "tokens")
 
 
 def laid_out(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,101 +258,118 @@ class WindowNetwork:
     def scorer(self) -> Scorer:
         return Scorer(self)
 
-    def log_probabilities(self, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return self.scorer().log_probabilities(tokens, at)
+    def reach(self) -> float:
+        """Hidden units are within 1, so logits are within this."""
+        return float(max(np.abs(self.word).sum(1).max() + np.abs(self.word_bias).max(), np.abs(self.klass).sum(1).max() + np.abs(self.klass_bias).max()))
 
-    def step(self, tokens: np.ndarray, at: np.ndarray, squares: list[np.ndarray]) -> None:
-        """One Adagrad step on the mean log loss of the tokens at ``at``."""
-        at = at[np.argsort(tokens[at], kind="stable")]
-        target = tokens[at]
+    def step(self, tokens: np.ndarray, squares: list[np.ndarray]) -> int:
+        """One Adagrad step on the mean log loss of all tokens of a stretch but the ``WINDOW`` at its ends; how many they are.
+
+        Neighbours are shifts of one table of embeddings, forward and back, so each token is looked up once.
+        """
+        n = len(tokens) - 2 * WINDOW
+        own = tokens[WINDOW : WINDOW + n]
+        real = np.flatnonzero(own)
+        if not len(real):
+            return 0
+        real = real[np.argsort(own[real].astype(np.uint16), kind="stable")]
+        target = own[real]
         klass = target // PER_CLASS
-        n = len(at)
-        near = [tokens[at + d] for d in OFFSETS]
-        inputs = [self.embed[t] for t in near]
+        m = len(real)
+        inputs = self.embed[tokens]
         total = np.broadcast_to(self.bias, (n, WIDTH)).copy()
-        for x, w in zip(inputs, self.place, strict=True):
-            total += x * w
-        h = np.tanh(total)
-        grads = [np.zeros_like(x) for x in self.parts()]
-        error = _shares(h @ self.klass.T + self.klass_bias)
-        error[np.arange(n), klass] -= 1
-        grads[3][:] = error.T @ h
-        grads[4][:] = error.sum(0)
+        room = np.empty_like(total)
+        for d, w in zip(OFFSETS, self.place, strict=True):
+            total += np.multiply(inputs[WINDOW + d : WINDOW + d + n], w, out=room)
+        h = np.tanh(total[real])
+        grads = [None, np.zeros_like(self.word), np.zeros_like(self.word_bias), None, None, np.zeros_like(self.place), None]
+        safe = self.reach() < 60
+        logits = h @ self.klass.T
+        logits += self.klass_bias
+        error = _shares(logits, safe)
+        error[np.arange(m), klass] -= 1
+        grads[3], grads[4] = error.T @ h, error.sum(0)
         back = error @ self.klass
         for c, low, high in _runs(klass):
             rows = slice(c * PER_CLASS, (c + 1) * PER_CLASS)
-            error = _shares(h[low:high] @ self.word[rows].T + self.word_bias[rows])
+            logits = h[low:high] @ self.word[rows].T
+            logits += self.word_bias[rows]
+            error = _shares(logits, safe)
             error[np.arange(high - low), target[low:high] % PER_CLASS] -= 1
-            grads[1][rows] = error.T @ h[low:high]
-            grads[2][rows] = error.sum(0)
+            grads[1][rows], grads[2][rows] = error.T @ h[low:high], error.sum(0)
             back[low:high] += error @ self.word[rows]
-        back *= 1 - h * h
-        grads[6][:] = back.sum(0)
-        for i, x in enumerate(inputs):
-            grads[5][i] = np.einsum("ij,ij->j", back, x)
-        ids = np.concatenate(near)
-        values = np.concatenate([back * w for w in self.place])
-        order = np.argsort(ids, kind="stable")
-        ordered = ids[order]
+        spread = np.zeros((n, WIDTH), np.float32)
+        spread[real] = back * (1 - h * h)
+        grads[6] = spread.sum(0)
+        to_inputs = np.zeros_like(inputs)
+        for i, d in enumerate(OFFSETS):
+            near = slice(WINDOW + d, WINDOW + d + n)
+            grads[5][i] = np.einsum("ij,ij->j", spread, inputs[near])
+            to_inputs[near] += np.multiply(spread, self.place[i], out=room)
+        order = np.argsort(tokens.astype(np.uint16), kind="stable")
+        ordered = tokens[order]
         first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        grads[0][ordered[first]] = np.add.reduceat(values[order], first, axis=0)
-        for x, g, s in zip(self.parts(), grads, squares, strict=True):
-            g /= n
+        seen = ordered[first]
+        for x, g, s in zip(self.parts()[1:], grads[1:], squares[1:], strict=True):
+            g /= m
             s += g * g
-            x -= RATE * g / (np.sqrt(s) + 1e-6)
+            g /= np.sqrt(s)
+            g *= RATE
+            x -= g
+        g = np.add.reduceat(to_inputs[order], first, axis=0) / m
+        s = squares[0][seen] + g * g
+        squares[0][seen] = s
+        self.embed[seen] -= RATE * g / np.sqrt(s)
+        return m
 
 
 class Scorer:
-    """A network ready to score: embeddings times place weights are laid out once for each place."""
+    """A network ready to score."""
 
     def __init__(self, network: WindowNetwork):
         self.network = network
-        self.tables = [np.ascontiguousarray(network.embed * w) for w in network.place]
         self.words = [np.ascontiguousarray(network.word[c * PER_CLASS : (c + 1) * PER_CLASS].T) for c in range(CLASSES)]
         self.biases = network.word_bias.reshape(CLASSES, PER_CLASS)
         self.classes = np.ascontiguousarray(network.klass.T)
-        # hidden units are within 1, so logits are within this; exp is safe without subtracting the largest
-        reach = max(np.abs(network.word).sum(1).max() + np.abs(network.word_bias).max(), np.abs(network.klass).sum(1).max() + np.abs(network.klass_bias).max())
-        self.safe = bool(reach < 60)
+        self.safe = network.reach() < 60
 
     def log_sum(self, logits: np.ndarray) -> np.ndarray:
         if self.safe:
-            return np.log(np.exp(logits).sum(1))
+            return np.log(np.exp(logits) @ np.ones(logits.shape[1], np.float32))
         most = logits.max(1)
         return most + np.log(np.exp(logits - most[:, None]).sum(1))
 
-    def log_probabilities(self, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Conditional log-probability of each token at ``at`` given both sides."""
-        out = np.zeros(len(at))
-        for i in range(0, len(at), 32_768):
-            own = at[i : i + 32_768]
-            order = np.argsort(tokens[own].astype(np.uint16), kind="stable")
-            own = own[order]
-            target = tokens[own]
-            h = self.tables[0][tokens[own + OFFSETS[0]]]
-            for table, d in zip(self.tables[1:], OFFSETS[1:], strict=True):
-                h += table[tokens[own + d]]
-            h += self.network.bias
-            np.tanh(h, out=h)
+    def log_probabilities(self, tokens: np.ndarray) -> np.ndarray:
+        """Conditional log-probability of each token given both sides; 0 at edges and the ``WINDOW`` places at both ends."""
+        out = np.zeros(len(tokens))
+        for start in range(WINDOW, len(tokens) - WINDOW, 8_192):
+            n = min(8_192, len(tokens) - WINDOW - start)
+            part = tokens[start - WINDOW : start + n + WINDOW]
+            inputs = self.network.embed[part]
+            h = np.broadcast_to(self.network.bias, (n, WIDTH)).copy()
+            for d, w in zip(OFFSETS, self.network.place, strict=True):
+                h += inputs[WINDOW + d : WINDOW + d + n] * w
+            own = part[WINDOW : WINDOW + n]
+            real = np.flatnonzero(own)
+            real = real[np.argsort(own[real].astype(np.uint16), kind="stable")]
+            target = own[real]
             klass = target // PER_CLASS
-            p = np.empty(len(own), np.float32)
-            for a in range(0, len(own), 4_096):
-                logits = h[a : a + 4_096] @ self.classes + self.network.klass_bias
-                p[a : a + 4_096] = logits[np.arange(len(logits)), klass[a : a + 4_096]] - self.log_sum(logits)
+            h = np.tanh(h[real])
+            logits = h @ self.classes + self.network.klass_bias
+            p = logits[np.arange(len(real)), klass] - self.log_sum(logits)
             for c, low, high in _runs(klass):
-                for a in range(low, high, 4_096):
-                    b = min(high, a + 4_096)
-                    inner = h[a:b] @ self.words[c] + self.biases[c]
-                    p[a:b] += inner[np.arange(b - a), target[a:b] % PER_CLASS] - self.log_sum(inner)
-            out[i + order] = p
+                inner = h[low:high] @ self.words[c] + self.biases[c]
+                p[low:high] += inner[np.arange(high - low), target[low:high] % PER_CLASS] - self.log_sum(inner)
+            out[start + real] = p
         return out
 
 
-def _shares(logits: np.ndarray) -> np.ndarray:
-    """Softmax of each row, in place."""
-    logits -= logits.max(1, keepdims=True)
+def _shares(logits: np.ndarray, safe: bool) -> np.ndarray:
+    """Softmax of each row, in place; ``safe``: no logit is so large that its exponential overflows."""
+    if not safe:
+        logits -= logits.max(1, keepdims=True)
     np.exp(logits, out=logits)
-    logits /= logits.sum(1, keepdims=True)
+    logits *= 1 / (logits @ np.ones(logits.shape[1], np.float32))[:, None]
     return logits
 
 
@@ -286,30 +381,35 @@ def _runs(ordered: np.ndarray) -> list[tuple[int, int, int]]:
 @dataclass
 class PseudoLikelihood:
     words: list[str]
+    spelling: Spelling
     network: WindowNetwork
 
     @classmethod
-    def fit(cls, docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, masked: float | None = None, keep: list[str] | None = None) -> tuple[PseudoLikelihood, DataFrame]:
+    def fit(cls, docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, epochs: int = 1, keep: list[str] | None = None, shard_tokens: int = SHARD_TOKENS) -> tuple[PseudoLikelihood, DataFrame]:
         """The model of all texts of ``docs``, and the stored token table (with the columns ``keep``) that it was trained on.
 
-        The rounds part the positions among them, or with ``masked`` each takes that random share of all.
+        The rounds part the texts among them, so an epoch has every position as a target once.
         """
-        words, counts = vocabulary(docs, text_col)
-        tokens = token_table(docs, words, keep or [], text_col)
+        words, counts, spelling, total = vocabulary(docs, text_col)
+        tokens = token_table(docs, words, spelling, keep or [], text_col)
         flat = WindowNetwork.initial(counts).flat()
-        for turn in range(rounds):
-            flat = averaged(tokens.select("__tokens"), flat, turn, rounds, masked)
-        return cls(words, WindowNetwork.of(flat)), tokens
+        shards = max(1, -(-total // (rounds * shard_tokens)))
+        own = F.xxhash64(*[c for c in tokens.columns if c != "__spelled"])
+        dealt = tokens.select("__tokens", own.alias("__order"))
+        for turn in range(rounds * epochs):
+            part = dealt.where(F.pmod("__order", F.lit(rounds)) == turn % rounds)
+            flat = averaged(part.withColumn("__shard", F.pmod(F.xxhash64("__order"), F.lit(shards)).cast("int")), flat, shards)
+        return cls(words, spelling, WindowNetwork.of(flat)), tokens
 
     def score(self, docs: DataFrame, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
         """``docs`` (or ``keep``) with ``n_tokens``, ``log_likelihood`` (sum over all tokens) and ``mean_log_likelihood``."""
-        return self.score_tokens(token_table(docs, self.words, docs.columns if keep is None else keep, text_col))
+        return self.score_tokens(token_table(docs, self.words, self.spelling, docs.columns if keep is None else keep, text_col))
 
     def score_tokens(self, tokens: DataFrame) -> DataFrame:
         """The same from a token table."""
         carried = tokens.sparkSession.sparkContext.broadcast(self.network)
         names = ["n_tokens", "log_likelihood", "mean_log_likelihood"]
-        keep = [c for c in tokens.columns if c not in ("__tokens", *names)]
+        keep = [c for c in tokens.columns if c not in ("__tokens", "__spelled", *names)]
         schema = T.StructType([*(tokens.schema[c] for c in keep), T.StructField(names[0], T.LongType()), *(T.StructField(n, T.DoubleType()) for n in names[1:])])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,51 +418,41 @@ class PseudoLikelihood:
                 n, total = [], []
                 for lists in pieces(batch.column(len(keep)).to_pylist()):
                     tokens, at, lengths = laid_out(lists)
-                    ends = np.r_[0, np.cumsum(scorer.log_probabilities(tokens, at))][np.r_[0, np.cumsum(lengths)]]
+                    ends = np.r_[0, np.cumsum(scorer.log_probabilities(tokens)[at])][np.r_[0, np.cumsum(lengths)]]
                     n += lengths.tolist()
                     total += np.diff(ends).tolist()
+                total = [t + s for t, s in zip(total, batch.column(len(keep) + 1).to_pylist(), strict=True)]
                 mean = [t / k if k else 0.0 for t, k in zip(total, n, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(mean, pa.float64())], names=schema.fieldNames())
 
-        return tokens.select(*keep, "__tokens").mapInArrow(run, schema)
+        return tokens.select(*keep, "__tokens", "__spelled").mapInArrow(run, schema)
 
 
-def averaged(source: DataFrame, flat: np.ndarray, turn: int, rounds: int, masked: float | None) -> np.ndarray:
-    """Weights after a round: each task trains from ``flat`` over its texts; the mean is weighted by positions."""
+def averaged(source: DataFrame, flat: np.ndarray, shards: int) -> np.ndarray:
+    """Weights after a round over ``__tokens, __order, __shard``: each shard trains from ``flat``; the mean is weighted by positions."""
     carried = source.sparkSession.sparkContext.broadcast(flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, lists = None, []
+        for batch in batches:
+            for own, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if own != shard and lists:
+                    yield trained(shard, lists)
+                    lists = []
+                shard = own
+                lists.append(np.frombuffer(blob, np.uint16))
+        if lists:
+            yield trained(shard, lists)
+
+    def trained(shard: int, lists: list[np.ndarray]) -> pa.RecordBatch:
         network = WindowNetwork.of(carried.value)
         squares = [np.full_like(x, 1e-3) for x in network.parts()]
-        done = 0
-        tokens_held, at_held, held, shift = [], [], 0, 0
-
-        def train(rng: np.random.Generator) -> int:
-            tokens, at = np.concatenate(tokens_held), np.concatenate(at_held)
-            rng.shuffle(at)
-            for i in range(0, len(at), BATCH):
-                network.step(tokens, at[i : i + BATCH], squares)
-            return len(at)
+        tokens, at, _ = laid_out(lists)
+        size = min(BATCH, max(LEAST_BATCH, len(at) // 64))
+        done = sum(network.step(tokens[i : i + size + 2 * WINDOW], squares) for i in range(0, len(tokens) - 2 * WINDOW, size))
+        return block_rows(np.concatenate([network.flat() * done, np.full((1, ROW), done, np.float32)]), 256, shard)
 
-        rng = np.random.default_rng(turn)
-        for batch in batches:
-            for lists in pieces(batch.column(0).to_pylist()):
-                tokens, at, _ = laid_out(lists)
-                # the masks follow the texts, so a task that runs again takes the same
-                own = zlib.crc32(tokens.tobytes())
-                rng = np.random.default_rng([turn, own])
-                at = at[np.random.default_rng(own).integers(0, rounds, len(at)) == turn] if masked is None else at[rng.random(len(at)) < masked]
-                tokens_held.append(tokens)
-                at_held.append(at + shift)
-                shift += len(tokens)
-                held += len(at)
-                if held >= 16 * BATCH:
-                    done += train(rng)
-                    tokens_held, at_held, held, shift = [], [], 0, 0
-        if held:
-            done += train(rng)
-        yield block_rows(np.concatenate([network.flat() * done, np.full((1, ROW), done, np.float32)]), 256, TaskContext.get().partitionId())
-
-    total = summed_blocks(source.mapInArrow(run, BLOCK), (len(flat) + 1, ROW), 256)
+    dealt = source.repartition(shards, "__shard").sortWithinPartitions("__shard", "__order", "__tokens").select("__shard", "__tokens")
+    total = summed_blocks(dealt.mapInArrow(run, BLOCK), (len(flat) + 1, ROW), 256)
     n = total[-1, 0]
     return (total[:-1] / n).astype(np.float32) if n else flat
