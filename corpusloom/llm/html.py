@@ -39,7 +39,7 @@ LEAST_IMPORTANCE = 0.35
 MAX_BROADCAST_ROWS = 100_000
 
 PIECE = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|noscript|template|iframe|svg|math|select|textarea|object|title|head)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</(?P=raw)\s*>|.*\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/)?(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|noscript|template|iframe|svg|select|textarea|object|title|head)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</(?P=raw)\s*>|.*\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/)?(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
@@ -50,10 +50,10 @@ SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html hr legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CLOSE_P = BLOCKS - frozenset("td th tr tbody thead tfoot caption html body legend summary".split())
-NEVER = frozenset("nav footer aside form menu button dialog input label".split())
+NEVER = frozenset("nav footer aside form menu button dialog input".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NOISE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promoted banner menu menus nav navbar navigation breadcrumb breadcrumbs sidebar rail footer masthead topbar cookie cookies consent gdpr notice notices popup modal overlay subscribe subscription newsletter signup login share sharing social related recommended recommendations teaser teasers comment comments disqus reply replies respond responses discussion widget widgets toolbar pagination pager alert alerts disclaimer copyright skip toc tags complementary contentinfo search".split()
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promoted banner menu menus nav navbar navigation breadcrumb breadcrumbs sidebar rail footer masthead topbar cookie cookies consent gdpr notice notices popup modal overlay subscribe subscription newsletter signup login share sharing social related recommended recommendations teaser teasers comment comments disqus reply replies respond responses widget widgets toolbar pagination pager disclaimer copyright skip toc tags complementary contentinfo search".split()
 )
 #: Names that make an element noise even if it is named as content too.
 STRONG_NOISE = frozenset("ad ads adv advert adverts advertisement sponsor sponsored nav navbar menu footer cookie cookies comment comments reply replies related recommended newsletter teaser teasers promo share social".split())
@@ -69,21 +69,23 @@ class Node:
         self.tag, self.path, self.importance = tag, path, importance
 
 
-def _names(attrs: str) -> tuple[set[str], str, bool]:
-    """Parts of class, id and role; the classes; whether the element is hidden."""
+def _names(attrs: str) -> tuple[set[str], set[str], str, bool]:
+    """Parts of the names in class, id and role; these names; the classes; whether the element is hidden."""
     parts: set[str] = set()
+    whole: set[str] = set()
     classes, hidden = "", False
     if not attrs or attrs.isspace():
-        return parts, classes, hidden
+        return parts, whole, classes, hidden
     for key, *values in ATTRIBUTE.findall(attrs):
         key, value = key.lower(), next((v for v in values if v), "")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.IGNORECASE):
             hidden = True
         elif key in ("class", "id", "role"):
             parts.update(p.lower() for p in NAME_PARTS.findall(value))
+            whole.update(value.lower().split())
             if key == "class":
                 classes = ".".join(sorted(value.lower().split()))
-    return parts, classes, hidden
+    return parts, whole, classes, hidden
 
 
 def blocks(page: str) -> list[tuple[str, float, str]]:
@@ -120,7 +122,7 @@ def blocks(page: str) -> list[tuple[str, float, str]]:
         if match["end"]:
             depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
             if depth:
-                if tag in BLOCKS or stack[depth - 1].importance != stack[-1].importance:
+                if any(n.tag in BLOCKS for n in stack[depth:]):
                     flush()
                 del stack[depth:]
                 block = next(n for n in reversed(stack) if n.tag in BLOCKS or not n.tag)
@@ -129,14 +131,14 @@ def blocks(page: str) -> list[tuple[str, float, str]]:
             if tag == "hr":
                 flush()
             continue
-        parts, classes, hidden = _names(match["attrs"])
+        parts, whole, classes, hidden = _names(match["attrs"])
         if tag in CLOSE_P and (depth := next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in BLOCKS), 0)) and stack[depth].tag == "p":
             flush()
             del stack[depth:]
         parent = stack[-1]
         inside = any(n.tag in MAIN_NAMES and n.importance == 1 for n in stack)
-        named = STRONG_NOISE if tag in MAIN_NAMES or parts & CONTENT else NOISE
-        if hidden or parts & named and tag not in ("html", "body"):
+        named = STRONG_NOISE if inside or tag in MAIN_NAMES or parts & CONTENT else NOISE
+        if hidden or inside and whole & NOISE and not parts & CONTENT or parts & named and tag not in ("html", "body"):
             importance = 0.0
         elif tag in MAIN_NAMES or "main" in parts and tag in ("div", "section") and not inside:
             noise = any(n.importance == 0 and n.tag not in NEVER for n in stack)
@@ -148,12 +150,12 @@ def blocks(page: str) -> list[tuple[str, float, str]]:
         else:
             importance = parent.importance
         node = Node("main" if importance == 1 and tag in ("div", "section") and "main" in parts else tag, f"{parent.path}/{tag}{'.' + classes if classes else ''}", importance)
-        if tag in BLOCKS or importance != parent.importance:
+        if tag in BLOCKS:
             flush()
         if match["attrs"].endswith("/") and tag not in BLOCKS:
             continue
         stack.append(node)
-        if tag in BLOCKS or importance != parent.importance:
+        if tag in BLOCKS:
             block = node
     if at < len(page) and stack[-1].importance > 0:
         held.append(page[at:])
