@@ -11,7 +11,7 @@ times its source's size and the excess is shared again by weight until none is a
 range sort with counts for each partition, so any number of sources works.
 
 Rates become copies by systematic rounding: a source's documents, in buckets of about ``BUCKET_ROWS`` rows chosen by a hash
-of the id, from the longest to the shortest, get ``floor(i * rate + u) - floor((i - 1) * rate + u)`` copies at place i, which is
+of the id and the text, from the longest to the shortest, get ``floor(i * rate + u) - floor((i - 1) * rate + u)`` copies at place i, which is
 the rate rounded down or up and never above 3. The starts u of a source's buckets are spread evenly over 0 to 1, so that what one bucket
 rounds up another rounds down at the same place, and neighbours have nearly the same size: the words taken stay near the
 target. A hot source has many buckets, so no task holds all of it.
@@ -88,13 +88,13 @@ def tilt(size: Column, target: Column) -> Column:
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = MOST) -> DataFrame:
     """``doc_id, size, source, source_size, target, rate, copies, taken`` for every row of ``docs``."""
-    sized = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")), "sizes")
+    sized = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(id_col, text_col).alias("own")), "sizes")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     solved = targets(per_source, most).withColumn("rate", F.least(F.lit(float(most)), tilt(F.col("source_size").cast("double"), F.col("target"))))
     solved = stored(solved.withColumn("buckets", F.ceil(F.col("rows") / BUCKET_ROWS)), "rates")
     joined = sized.withColumnRenamed("source", "__source").join(solved, F.col("__source").eqNullSafe(F.col("source"))).drop("__source")
-    bucketed = joined.withColumn("bucket", F.pmod(F.xxhash64(F.col("doc_id")), F.col("buckets")))
-    place = F.row_number().over(Window.partitionBy("source", "bucket").orderBy(F.desc("size"), F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id"))
+    bucketed = joined.withColumn("bucket", F.pmod(F.xxhash64("own"), F.col("buckets")))
+    place = F.row_number().over(Window.partitionBy("source", "bucket").orderBy(F.desc("size"), "own", "doc_id"))
     start = (F.col("bucket") + 0.5) / F.col("buckets")
     rounded = F.floor(place * F.col("rate") + start) - F.floor((place - 1) * F.col("rate") + start)
     copies = F.least(F.lit(most), F.greatest(F.lit(0), rounded)).cast("int")
