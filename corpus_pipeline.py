@@ -1,9 +1,10 @@
 """A training-data pipeline over ``documents``: each stage keeps, cleans or weighs what the one before it kept.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as Parquet and read again for the
-next one. All but the last return the columns of ``documents``; the last adds ``copy``, the number of the copy from 1.
-Null texts and ids, repeated rows and empty tables go through as the operators define; a row without an id can't be
-matched by id, so the stages that remove rows by id leave it.
+next one. All but the last return the columns of ``documents``; the last adds ``copy``, the number of the copy from 1, in place
+of a column of that name. Stages know a row by a hash of all its columns, not by its id, so rows of one id or of none are
+judged each by its own text, and rows alike in all columns alike: of these, deduplication leaves one, and
+mixing numbers the copies of all of them through. Null texts and empty tables go through as the operators define.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontamination, mixing, neardup
-from corpusloom.llm.common import shared_dir, table
+from corpusloom.llm.common import stored, table, work_dir
 from corpusloom.llm.quality import QualityClassifier
 from corpusloom.llm.secrets import SecretScanner, findings_table
 
@@ -32,9 +33,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    found = decontamination.matches(decontamination.build_index(docs), table(spark, sf_dir, "benchmark"))
-    hit = found.where((F.size("hits") > 0) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    keyed = docs.withColumn("__row", F.xxhash64(*docs.columns))
+    found = decontamination.matches(decontamination.build_index(keyed, id_col="__row"), table(spark, sf_dir, "benchmark"))
+    hit = found.where(F.size("hits") > 0).select(F.col("doc_id").alias("__row")).distinct()
+    return keyed.join(hit, "__row", "left_anti").select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,10 +47,12 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it, with the number of the copy."""
     keyed = docs.withColumn("__row", F.xxhash64(*docs.columns))
-    copies = mixing.plan(docs.withColumn("__row", F.struct("doc_id", F.xxhash64(*docs.columns).alias("hash"))), id_col="__row")
-    # rows alike in all columns share a hash; the most copies that one of them gets go to each
-    wanted = copies.where("copies > 0").groupBy(F.col("doc_id.hash").alias("__row")).agg(F.max("copies").alias("__copies"))
-    return keyed.join(wanted, "__row").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("copy"))
+    wanted = mixing.plan(keyed, id_col="__row").groupBy(F.col("doc_id").alias("__row")).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__n")).where("__copies > 0")
+    wanted = stored(wanted, "copies")
+    taken = keyed.join(wanted, "__row")
+    if wanted.where("__n > 1").limit(1).count():
+        taken = taken.where("__n = 1").unionByName(taken.where("__n > 1").dropDuplicates(["__row"]))
+    return taken.select(*(c for c in docs.columns if c != "copy"), F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("copy"))
 
 
 STAGES = [
@@ -66,7 +70,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another over ``documents``."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/corpusloom/pipeline-{uuid.uuid4().hex}"
+    folder = f"{work_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")

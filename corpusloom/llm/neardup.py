@@ -17,7 +17,9 @@ pairs that can be alike are aligned. Nothing of this reaches the driver but coun
 
 Defined results: a text without words (null is the empty text) is a copy of equal raw texts only; texts of fewer than
 ``SHINGLE`` words have exact copies only; ``class_id`` is the least id of the class (null ids come last, so a class of null
-ids has class null); rows that share an id keep a row each; extra columns play no part; texts are read whole.
+ids has class null); rows that share an id keep a row each; extra columns play no part; texts are read whole; an empty table has
+no classes. ``deduplicated`` knows a row by its id and a hash of all its columns, so rows of one id or of none are told apart by
+their texts, and of rows alike in all columns one stays.
 """
 
 from __future__ import annotations
@@ -30,11 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import small_batches, stored
+from corpusloom.llm.common import delete, small_batches, stored, stored_at
 
 K = 3
 KEPT = 2
@@ -137,12 +139,12 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY)
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, print (hash of the words), sketches, words`` for each row, stored.
+    """``doc_id, row (hash of all columns), print (hash of the words), sketches, words`` for each row, stored.
 
     ``words`` keeps 16 bits of each word's hash: a shingle of five then has 80, and alignment compares shingles.
     """
     id_type = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("print", T.BinaryType()), T.StructField("sketches", T.ArrayType(T.LongType())), T.StructField("words", T.BinaryType())])
+    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("row", T.LongType()), T.StructField("print", T.BinaryType()), T.StructField("sketches", T.ArrayType(T.LongType())), T.StructField("words", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes()
@@ -150,16 +152,21 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 prints, sketches, lists = [], [], []
-                for text in part.column(1).to_pylist():
+                for text in part.column(2).to_pylist():
                     found = WORD.findall(text or "")
                     words = np.fromiter(map(codes.__getitem__, found), np.uint32, len(found))
                     data = words.tobytes()
                     prints.append(hashlib.blake2b(data if found else b"raw" + (text or "").encode("utf-8", "surrogatepass"), digest_size=16, person=b"words" if found else b"raw").digest())
                     sketches.append(order_minhash(words))
                     lists.append(words.astype(np.uint16).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints, pa.binary()), pa.array(sketches, pa.list_(pa.int64())), pa.array(lists, pa.binary())], names=schema.fieldNames())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(prints, pa.binary()), pa.array(sketches, pa.list_(pa.int64())), pa.array(lists, pa.binary())], names=schema.fieldNames())
 
-    return stored(small_batches(docs).select(id_col, text_col).mapInArrow(run, schema), "sketches")
+    return stored(small_batches(docs).select(id_col, row_key(docs), text_col).mapInArrow(run, schema), "sketches")
+
+
+def row_key(docs: DataFrame) -> Column:
+    """Hash of all columns; with the id it names a row, or rows alike in all columns."""
+    return F.xxhash64(*docs.columns).alias("row")
 
 
 def bucket_members(rows: DataFrame) -> DataFrame:
@@ -308,21 +315,23 @@ def compared(group: list) -> list[tuple[bytes, bytes]]:
 
 def spread_labels(edges: DataFrame) -> DataFrame:
     """``node, label``: least node of each component, by spreading least labels and jumping to labels' labels."""
+    spark = edges.sparkSession
     edges = stored(edges, "links")
     both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y")))
-    labels = stored(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("y")).select("node", F.least("node", "y").alias("label")), "labels")
+    labels, path = stored_at(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("y")).select("node", F.least("node", "y").alias("label")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("jump"))
         now = labels.join(near, "node", "left").join(jump, "label", "left")
-        now = stored(now.select("node", F.least("label", "near", "jump").alias("label"), (F.least("label", "near", "jump") < F.col("label")).alias("moved")), "labels")
-        labels = now.select("node", "label")
+        now, later = stored_at(now.select("node", F.least("label", "near", "jump").alias("label"), (F.least("label", "near", "jump") < F.col("label")).alias("moved")), "labels")
+        delete(spark, path)
+        labels, path = now.select("node", "label"), later
         if now.where("moved").limit(1).count() == 0:
             return labels
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, class_id, print``: one row for each row of ``docs``."""
+def grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, row, print`` of the rows, and ``print, label`` of the texts that are like others; stored both."""
     rows = sketched(docs, id_col, text_col)
     members = stored(bucket_members(rows), "members")
     texts = candidate_texts(members, rows)
@@ -333,23 +342,33 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         more = links(pairs.withColumn("first", F.lit(False)), texts)
         if more.limit(1).count():
             labels = spread_labels(edges.unionByName(more).distinct())
-    labels = labels.withColumnRenamed("node", "print")
+    return rows.select("doc_id", "row", "print"), labels.withColumnRenamed("node", "print")
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, class_id, print``: one row for each row of ``docs``."""
+    rows, labels = grouped(docs, id_col, text_col)
     named = rows.groupBy("print").agg(F.min("doc_id").alias("least")).join(labels, "print", "left").withColumn("label", F.coalesce("label", "print"))
     ids = named.groupBy("label").agg(F.min("least").alias("class_id"))
-    return rows.select("doc_id", "print").join(named.join(ids, "label").select("print", "class_id"), "print").select("doc_id", "class_id", "print")
+    # stored, so that the last join is one of two tables whose large partitions adaptive execution can split: a print may be a third of all rows
+    known = stored(named.join(ids, "label").select("print", "class_id"), "named")
+    return rows.join(known, "print").select("doc_id", "class_id", "print")
 
 
-def kept_ids(found: DataFrame) -> DataFrame:
-    """``doc_id`` of the document that stays of each class: its least id."""
-    return found.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
+def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, row, n`` of the row that stays of each class: the one of the least id (none comes last), then hash; ``n`` rows are alike in all columns."""
+    rows, labels = grouped(docs, id_col, text_col)
+    alike = rows.groupBy("print", "doc_id", "row").agg(F.count(F.lit(1)).alias("n"))
+    first = alike.groupBy("print").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "n")).alias("kept"))
+    named = first.join(labels, "print", "left").withColumn("label", F.coalesce("label", "print"))
+    return named.groupBy("label").agg(F.min("kept").alias("kept")).select("kept.doc_id", "kept.row", "kept.n")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each class; rows without an id can't be told apart and stay, repeated rows of an id stay once."""
-    keys = kept_ids(classes(docs, id_col, text_col))
-    named = docs.where(F.col(id_col).isNotNull())
-    first = named.join(keys.withColumnRenamed("doc_id", id_col), id_col, "left_semi")
-    repeated = named.groupBy(id_col).count().where("count > 1").limit(1).count() > 0
-    if repeated:
-        first = first.dropDuplicates([id_col])
-    return first.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    """``docs`` with one row of each class."""
+    kept = stored(kept_rows(docs, id_col, text_col), "kept").withColumnsRenamed({"doc_id": "__id", "row": "__row"})
+    found = docs.withColumn("__own", row_key(docs)).join(kept, (F.col("__own") == F.col("__row")) & F.col(id_col).eqNullSafe(F.col("__id")))
+    single = found.where("n = 1").select(docs.columns)
+    if kept.where("n > 1").limit(1).count() == 0:
+        return single
+    return single.unionByName(found.where("n > 1").dropDuplicates(["__own", "__id"]).select(docs.columns))
