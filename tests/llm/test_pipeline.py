@@ -4,7 +4,8 @@ import random
 
 import corpus_pipeline as cp
 import pytest
-from corpusloom.llm import queries
+from pyspark.sql import functions as F
+from corpusloom.llm import mixing, queries
 from corpusloom.llm.decontamination import brute_force
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -62,6 +63,24 @@ def test_stages_keep_columns_and_take_effect(spark, folder):
     assert mixed.columns == [*before, "copy"]
     copies = mixed.groupBy("doc_id").count().collect()
     assert max(r["count"] for r in copies if r.doc_id is not None) <= 3
+    clash = cp.STAGES[-1][1](spark, docs.withColumn("copy", F.lit("old")), folder)
+    assert clash.columns == mixed.columns and clash.where("copy < 1").count() == 0
+
+
+def test_decontamination_judges_rows_not_ids(spark, tmp_path):
+    spark.createDataFrame([(1, "leaked words of an item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, "some leaked words of an item here"), (1, "a clean text"), (None, "leaked words of an item"), (None, "clean as well"), (2, None), (2, "")]
+    kept = cp.decontaminate(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()
+    assert sorted(map(str, (tuple(r) for r in kept))) == sorted(map(str, [(1, "a clean text"), (None, "clean as well"), (2, None), (2, "")]))
+
+
+def test_mixing_numbers_the_copies_of_rows_alike(spark):
+    rows = [(1, "same words here", "a")] * 6 + [(i, "other words " * 4, "b") for i in range(10, 14)]
+    mixed = cp.mix(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "").collect()
+    copies = sorted(r["copy"] for r in mixed if r.doc_id == 1)
+    assert copies == list(range(1, len(copies) + 1)) and 0 < len(copies) <= 18
+    plan = mixing.plan(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("doc_id = 1").collect()
+    assert len(copies) == sum(r.copies for r in plan)
 
 
 def test_run_is_its_stages(spark, folder):

@@ -141,10 +141,19 @@ def test_near_duplicates_of_odd_rows(spark):
     got = sorted(neardup.classes(frame).select("doc_id", "class_id").collect(), key=str)
     assert collections.Counter(tuple(r) for r in got) == collections.Counter({(1, 1): 1, (2, 1): 1, (3, 3): 1, (4, 4): 1, (5, 4): 1, (6, 6): 1, (7, 6): 1, (8, 8): 1, (9, 8): 1, (None, 6): 1, (10, 10): 2, (None, None): 2})
     kept = neardup.deduplicated(frame)
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 3, 4, 6, 8, 10]
+    assert collections.Counter(r.doc_id for r in kept.collect()) == collections.Counter([1, 3, 4, 6, 8, 10, None])
     assert neardup.classes(frame.where("false")).count() == 0
 
 
+def test_deduplication_leaves_a_row_of_each_text(spark):
+    a, b, c = "one two three four five six", "seven eight nine ten eleven twelve", "other words that stand for themselves here"
+    rows = [(3, a, "x"), (5, a, "x"), (5, b, "x"), (None, c, "x"), (None, c, "y"), (None, "no id at all but its own words", "x"), (7, b, "y"), (9, b + " end", "z"), (9, b + " end", "z")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    for parts in (1, 5):
+        kept = [tuple(r)[:2] for r in neardup.deduplicated(frame.repartition(parts)).collect()]
+        assert collections.Counter(kept) == collections.Counter([(3, a), (5, b), (None, c), (None, "no id at all but its own words"), (9, b + " end")])
+
+
 def test_alignment_keeps_order_and_band():
     a = np.arange(100, dtype=np.uint64)
     assert neardup.aligned_similarity(a, a) == 1
@@ -163,7 +172,7 @@ def scanner(spark):
 
 def test_forest_expression_equals_the_driver_and_tells_held_out_findings(spark, scanner):
     other = secrets.findings_table(spark, secrets.example_findings(600, seed=99))
-    rows = other.select(secrets.features(F.col("value"), F.col("left"), F.col("right"), F.col("path")).alias("x"), "label").select("x", "label", scanner.forest.probability(F.col("x")).alias("p")).collect()
+    rows = other.select(secrets.features(F.col("value"), F.col("left"), F.col("right"), F.col("path"), scanner.told).alias("x"), "label").select("x", "label", scanner.forest.probability(F.col("x")).alias("p")).collect()
     x, p = np.array([r.x for r in rows]), np.array([r.p for r in rows])
     assert x.shape[1] == secrets.FEATURES
     assert np.allclose(p, scanner.forest.predict(x))
@@ -187,6 +196,21 @@ def test_secrets_are_found_in_place_and_masked(spark, scanner):
     assert scanner.scan(frame.drop("source")).count() == len([v for x in found.values() for v in x])
 
 
+def test_runs_of_any_length_are_candidates(spark, scanner):
+    long = "a" * 70_000 + "7" * 70_000
+    found = scanner.scan(docs_of(spark, [f"x {long} y", "b" * 100_000, "7" * 300 + "q"]), rejected=True).collect()
+    assert sorted((r.doc_id, len(r.value)) for r in found) == [(0, 140_000), (2, 301)]
+
+
+def test_words_beside_findings_are_learned(spark):
+    rows = [("a1b2c3d4e5f6a7b8", "zorb is ", " end", "vault", 1)] * 30 + [("a1b2c3d4e5f6a7b8", "quux is ", " end", "attic", 0)] * 30
+    told = secrets.told_words(secrets.findings_table(spark, rows).collect())
+    assert told["left"]["zorb"] > 1 > -1 > told["left"]["quux"] and "is" not in told["left"]
+    model = secrets.SecretScanner.fit(secrets.findings_table(spark, rows))
+    docs = spark.createDataFrame([(1, "zorb is a1b2c3d4e5f6a7b8 end", "vault"), (2, "quux is a1b2c3d4e5f6a7b8 end", "attic")], "doc_id long, text string, source string")
+    assert [r.doc_id for r in model.scan(docs).collect()] == [1]
+
+
 def test_candidates_are_those_of_the_pattern(spark, scanner):
     text = 'x token: abc123def z9z9z9z9z9z9z9z9z9 password="hunter22" -----BEGIN RSA PRIVATE KEY----- end'
     found = scanner.scan(docs_of(spark, [text]), rejected=True).orderBy("start").collect()
@@ -247,6 +271,11 @@ def test_main_text_of_small_pages(page, text):
     assert html.main_text(page) == text
 
 
+def test_main_text_keeps_what_only_looks_like_noise():
+    page = '<article><p>One</p><section class="discussion"><p>Two</p></section><div class="alert">Three</div><p class="notice-board">Four</p><p>Energy is <math><mi>E</mi></math> here, a <label>name</label> <span class="ad">buy</span> too</p><p class="notice">Gone</p></article>'
+    assert html.main_text(page) == "One\nTwo\nThree\nFour\nEnergy is E here, a name too"
+
+
 def test_style_tree_removes_what_pages_of_a_host_share(spark):
     rows = [(i, f"http://h.net/{i}", f"<div class=top><p>Same words everywhere</p></div><div class=txt><p>Own words {i} {i * 7}</p></div>") for i in range(12)]
     rows += [(100 + i, "http://copy.net/", "<div class=txt><p>A mirrored article</p></div>") for i in range(12)] + [(200, "http://one.net/", "<div class=top><p>Kept</p></div>"), (201, None, None), (202, "http://h.net/x", "")]
@@ -314,31 +343,42 @@ def test_mixing_in_many_buckets(spark, monkeypatch):
 # top-k
 
 
+def plain_top_k(rows, k=5):
+    """Every query row against all other rows, in Python integers."""
+    q = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i is not None and v is not None and None not in v and all(np.isfinite(v))]
+    want = []
+    for at, (i, own) in enumerate(q):
+        if i % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(own, v, strict=True)), j) for other, (j, v) in enumerate(q) if other != at and len(v) == len(own))[:k]
+            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    return sorted(want)
+
+
 def test_topk_of_large_components(spark):
     rng = np.random.default_rng(13)
-    rows = [(i, [float(x) for x in rng.integers(-900_000, 900_000, 5)]) for i in range(120)] + [(200, [3e6] * 5)]
+    rows = [(i, [float(x) for x in rng.integers(-900_000, 900_000, 5)]) for i in range(120)] + [(200, [2e6, 0.0, 0.0, 1.0, 0.0]), (201, [3e6] * 5), (202, [0.0, 0.0, 0.0, 1e7, 0.0]), (250, [0.0, 0.0, 0.0, 0.0, 2e7])]
     vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     got = topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5).collect()
-    q = {i: [int(256 * x) for x in v] for i, v in rows if i != 200}
-    for r in got:
-        best = sorted((-sum(a * b for a, b in zip(q[r.query_id], v, strict=True)), i) for i, v in q.items() if i != r.query_id)
-        assert (-r.score, r.vec_id) == best[r.rank - 1]
-    assert len(got) == 15
+    assert sorted(tuple(r) for r in got) == plain_top_k(rows) and len(got) == 25
+    small = [(0, [1.0, 0.0]), (1, [2e6, 0.0]), (2, [1.0, 1.0])]
+    vectors = topk.quantised(spark.createDataFrame(small, "vec_id long, embedding array<double>"))
+    assert [r.vec_id for r in topk.top_k(vectors, vectors.where("vec_id = 0"), 5).orderBy("rank").collect()] == [1, 2]
+
+
+def test_topk_stops_where_a_score_exceeds_64_bits(spark):
+    for large in (1e12, 1e30):
+        vectors = topk.quantised(spark.createDataFrame([(0, [large]), (1, [large])], "vec_id long, embedding array<double>"))
+        with pytest.raises(Exception, match="64 bits"):
+            topk.top_k(vectors, vectors.where("vec_id = 0"), 5).collect()
 
 
 def test_topk_is_the_brute_force(spark):
     rng = np.random.default_rng(12)
     rows = [(i, [float(x) for x in rng.normal(0, 0.2, 6)]) for i in range(600)]
     rows += [(600 + i, rows[0][1]) for i in range(300)]  # a large group of copies
-    rows += [(1000, None), (1001, []), (1002, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1003, [float("nan")] * 6), (1004, [float("inf")] * 6), (None, [1.0] * 6), (1050, [0.5, 0.5]), (1100, [0.25, -0.5]), (1150, rows[3][1]), (1150, rows[4][1])]
+    rows += [(1000, None), (1001, []), (1050, []), (1002, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1003, [float("nan")] * 6), (1004, [float("inf")] * 6), (None, [1.0] * 6), (1050, [0.5, 0.5]), (1100, [0.25, -0.5]), (1150, rows[3][1]), (1150, rows[4][1]), (1200, rows[5][1]), (1200, rows[5][1])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1)).repartition(5)
     vectors = topk.quantised(frame)
     got = topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5, block=7).collect()
-    q = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()]
-    want = []
-    for i in sorted({i for i, _ in q if i % 50 == 0}):
-        own = min((v.tolist() for j, v in q if j == i))
-        best = sorted((-int(v @ np.array(own)), j) for j, v in q if j != i and len(v) == len(own))[:5]
-        want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
-    assert sorted(tuple(r) for r in got) == want
+    assert sorted(tuple(r) for r in got) == plain_top_k(rows)
     assert topk.top_k(vectors.where("false"), vectors.where("false")).count() == 0
