@@ -8,7 +8,8 @@ For a masked position the network sums the embeddings of ``WINDOW`` tokens on ea
 the class of the token, then the token in its class, so each conditional probability is normalised over all tokens. A document's
 score is the sum of the conditional log-probabilities of all its words, each with its true neighbours.
 
-Texts are turned into token ids once, in a stored table that training and scoring read. A hash of the row deals the texts to rounds
+Texts are tokenised once, into stored chunks with a dictionary each; counting and numbering then touch a word once a chunk. The token
+ids go in a stored table that training and scoring read. A hash of the row deals the texts to rounds
 and, in a round, to shards of about ``SHARD_TOKENS`` tokens, and orders them; each shard starts from the shared weights, takes
 Adagrad steps over all its texts, and the weights are averaged by the number of positions, in sums of blocks. Shards follow from the
 corpus alone, not from how it is partitioned, and more data are more shards of the same length. So what is gathered grows with the
@@ -21,10 +22,12 @@ replaced; an empty corpus leaves the initial weights; other columns only deal ro
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import BLOCK, block_rows, small_batches, stored, summed_blocks, with_text_columns
+from corpusloom.llm.common import BLOCK, block_rows, small_batches, stored, summed_blocks
 
 WINDOW = 3
 WIDTH = 24
@@ -53,8 +56,10 @@ ROW = 256
 #: Characters that the spelling tells apart; all others are one, shared by as many code points as there are.
 CHARACTERS = 255
 CODE_POINTS = 0x110000
-#: A token's id and the cost of its spelling (nats) in one number.
-PACK = float(1 << 26)
+#: Share of the long words that are longer still, by each character.
+LONGER = 0.9
+#: Tokens after which a chunk is closed.
+CHUNK_TOKENS = 1_000_000
 
 
 @dataclass
@@ -66,12 +71,18 @@ class Spelling:
 
     def __post_init__(self) -> None:
         self.places = {c: i for i, c in enumerate(self.alphabet)}
+        costs = (-self.chain).tolist()
+        self.first = dict(zip(self.alphabet, costs[CHARACTERS + 1], strict=False))
+        self.pairs = {a + b: x for a, row in zip(self.alphabet, costs, strict=False) for b, x in zip(self.alphabet, row, strict=False)}
 
     def cost(self, word: str) -> float:
         """Negative log probability of the word among all of its length; lengths from ``RARE - 1`` on are geometric."""
-        at = [self.places.get(c, CHARACTERS) for c in word]
-        total = -float(self.chain[[CHARACTERS + 1, *at[:-1]], at].sum()) + at.count(CHARACTERS) * float(np.log(CODE_POINTS - len(self.alphabet)))
-        return total + (0.5 + 0.1 * (len(word) - RARE + 1) if len(word) >= RARE - 1 else 0.0)
+        try:
+            total = self.first[word[0]] + sum(map(self.pairs.__getitem__, map(add, word, word[1:])))
+        except KeyError:
+            at = [self.places.get(c, CHARACTERS) for c in word]
+            total = -float(self.chain[[CHARACTERS + 1, *at[:-1]], at].sum()) + at.count(CHARACTERS) * float(np.log(CODE_POINTS - len(self.alphabet)))
+        return total - (math.log1p(-LONGER) + (len(word) - RARE + 1) * math.log(LONGER) if len(word) >= RARE - 1 else 0.0)
 
     @classmethod
     def of(cls, counted: DataFrame, words: list[str]) -> Spelling:
@@ -111,26 +122,61 @@ class Spelling:
         return cls(alphabet, np.log(sums / sums.sum(1, keepdims=True)))
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[list[str], np.ndarray, Spelling, int]:
+class LocalIds(dict):
+    """Token as written -> number of its lower case in the chunk's dictionary ``words``."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.words: dict[str, int] = {}
+
+    def __missing__(self, token: str) -> int:
+        out = self[token] = self.words.setdefault(token.lower(), len(self.words))
+        return out
+
+
+def token_chunks(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """Texts in chunks of about ``CHUNK_TOKENS`` tokens, stored: the columns ``keep`` as lists, ``__words`` (a line each), ``__local`` (32-bit numbers of words), ``__lengths``."""
+    schema = T.StructType([*(T.StructField(c, T.ArrayType(docs.schema[c].dataType)) for c in keep), T.StructField("__words", T.StringType()), T.StructField("__local", T.BinaryType()), T.StructField("__lengths", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, parts, kept, held = LocalIds(), [], [], 0
+        for batch in batches:
+            start = 0
+            for i, text in enumerate(batch.column(len(keep)).to_pylist()):
+                found = TOKEN.findall(text or "")
+                parts.append(np.fromiter(map(codes.__getitem__, found), np.int32, len(found)))
+                held += len(found) + 8
+                if held >= CHUNK_TOKENS:
+                    kept.append(batch.slice(start, i + 1 - start))
+                    yield chunk(codes, parts, kept)
+                    codes, parts, kept, held, start = LocalIds(), [], [], 0, i + 1
+            if start < batch.num_rows:
+                kept.append(batch.slice(start))
+        if parts:
+            yield chunk(codes, parts, kept)
+
+    def chunk(codes: LocalIds, parts: list[np.ndarray], kept: list[pa.RecordBatch]) -> pa.RecordBatch:
+        columns = []
+        for k in range(len(keep)):
+            values = pa.chunked_array([x.column(k) for x in kept]).combine_chunks()
+            columns.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
+        lengths = np.array([len(x) for x in parts], np.int64)
+        blobs = ["\n".join(codes.words), np.concatenate(parts).tobytes(), lengths.tobytes()]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([blobs[0]], pa.string()), pa.array([blobs[1]], pa.binary()), pa.array([blobs[2]], pa.binary())], names=schema.fieldNames())
+
+    return stored(small_batches(docs).select(*keep, text_col).mapInArrow(run, schema), "chunks")
+
+
+def vocabulary(chunks: DataFrame) -> tuple[list[str], np.ndarray, Spelling, int]:
     """The most frequent words, the counts of all tokens, the spelling of the other words, and the number of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(TOKEN.findall(text or ""))
-                if len(seen) > 400_000:
-                    yield rows(seen)
-                    seen = Counter()
-        yield rows(seen)
-
-    def rows(seen: Counter) -> pa.RecordBatch:
-        lower: Counter = Counter()
-        for word, n in seen.items():
-            lower[word.lower()] += n
-        return pa.RecordBatch.from_arrays([pa.array(list(lower), pa.string()), pa.array(list(lower.values()), pa.int64())], names=["word", "n"])
-
-    counted = stored(small_batches(docs).select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+            for words, local in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                names = words.split("\n") if words else []
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(np.bincount(np.frombuffer(local, np.int32), minlength=len(names)), pa.int64())], names=["word", "n"])
+
+    counted = stored(chunks.select("__words", "__local").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     # a histogram of the counts finds what the wanted words have at least, so that each task sorts few words and the driver gets about as many as it wants
     size = F.floor(F.log2("n") * 32).cast("int")
     seen, least, total = 0, 0, 0
@@ -150,41 +196,33 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[list[str], np.n
     return words, counts, Spelling.of(counted, words), total
 
 
-class TokenIds(dict):
-    """Token as written -> id, with the cost of its spelling, packed; emptied when it grows large."""
-
-    def __init__(self, words: list[str], spelling: Spelling):
-        super().__init__()
-        self.words = {w: RARE + i for i, w in enumerate(words)}
-        self.spelling = spelling
-
-    def __missing__(self, token: str) -> float:
-        if len(self) > 150_000:
-            self.clear()
-        word = token.lower()
-        known = self.words.get(word)
-        out = self[token] = known * PACK if known else min(len(word), RARE - 1) * PACK + min(self.spelling.cost(word), PACK - 1)
-        return out
-
-    def encoded(self, text: str) -> tuple[np.ndarray, float]:
-        """Ids of the text's tokens and the log probability of its spellings."""
-        found = TOKEN.findall(text)
-        ids, costs = np.divmod(np.fromiter(map(self.__getitem__, found), np.float64, len(found)), PACK)
-        return ids.astype(np.uint16), -float(costs.sum())
+def codes_of(names: list[str], known: dict[str, int], spelling: Spelling) -> tuple[np.ndarray, np.ndarray]:
+    """Token id of each word, and the cost of its spelling."""
+    ids = [known.get(w) or min(len(w), RARE - 1) for w in names]
+    return np.array(ids, np.uint16), np.array([spelling.cost(w) if i < RARE else 0.0 for i, w in zip(ids, names, strict=True)], np.float64)
 
 
-def token_table(docs: DataFrame, words: list[str], spelling: Spelling, keep: list[str], text_col: str = "text") -> DataFrame:
-    """``keep``, ``__tokens`` (the 16-bit token ids of each text) and ``__spelled`` (log probability of its spellings), stored."""
-    carried = docs.sparkSession.sparkContext.broadcast((words, spelling))
-    known: list[TokenIds] = []
+def token_table(chunks: DataFrame, words: list[str], spelling: Spelling) -> DataFrame:
+    """A row for each text: the kept columns, ``__tokens`` (its 16-bit token ids) and ``__spelled`` (log probability of its spellings); stored."""
+    carried = chunks.sparkSession.sparkContext.broadcast((words, spelling))
+    keep = [c for c in chunks.columns if c not in ("__words", "__local", "__lengths")]
+    schema = T.StructType([*(T.StructField(c, chunks.schema[c].dataType.elementType) for c in keep), T.StructField("__tokens", T.BinaryType()), T.StructField("__spelled", T.DoubleType())])
 
-    def encode(texts: list[str]) -> list[pa.Array]:
-        if not known:
-            known.append(TokenIds(*carried.value))
-        found = [known[0].encoded(text) for text in texts]
-        return [pa.array([ids.tobytes() for ids, _ in found], pa.binary()), pa.array([cost for _, cost in found], pa.float64())]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, spelling = carried.value
+        known = {w: RARE + i for i, w in enumerate(words)}
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own, local, lengths = (batch.column(len(keep) + i)[row].as_py() for i in range(3))
+                ids, costs = codes_of(own.split("\n") if own else [], known, spelling)
+                local, ends = np.frombuffer(local, np.int32), np.cumsum(np.frombuffer(lengths, np.int64))
+                tokens, sums = ids[local], np.r_[0.0, np.cumsum(costs[local])]
+                starts = np.r_[0, ends[:-1]]
+                blobs = [tokens[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
+                columns = [batch.column(k).slice(row, 1).flatten() for k in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(blobs, pa.binary()), pa.array(sums[starts] - sums[ends], pa.float64())], names=schema.fieldNames())
 
-    return stored(with_text_columns(docs, text_col, keep, [("__tokens", T.BinaryType()), ("__spelled", T.DoubleType())], encode), "tokens")
+    return stored(chunks.mapInArrow(run, schema), "tokens")
 
 
 def laid_out(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -342,8 +380,8 @@ class Scorer:
     def log_probabilities(self, tokens: np.ndarray) -> np.ndarray:
         """Conditional log-probability of each token given both sides; 0 at edges and the ``WINDOW`` places at both ends."""
         out = np.zeros(len(tokens))
-        for start in range(WINDOW, len(tokens) - WINDOW, 8_192):
-            n = min(8_192, len(tokens) - WINDOW - start)
+        for start in range(WINDOW, len(tokens) - WINDOW, 4_096):
+            n = min(4_096, len(tokens) - WINDOW - start)
             part = tokens[start - WINDOW : start + n + WINDOW]
             inputs = self.network.embed[part]
             h = np.broadcast_to(self.network.bias, (n, WIDTH)).copy()
@@ -390,8 +428,9 @@ class PseudoLikelihood:
 
         The rounds part the texts among them, so an epoch has every position as a target once.
         """
-        words, counts, spelling, total = vocabulary(docs, text_col)
-        tokens = token_table(docs, words, spelling, keep or [], text_col)
+        chunks = token_chunks(docs, keep or [], text_col)
+        words, counts, spelling, total = vocabulary(chunks)
+        tokens = token_table(chunks, words, spelling)
         flat = WindowNetwork.initial(counts).flat()
         shards = max(1, -(-total // (rounds * shard_tokens)))
         own = F.xxhash64(*[c for c in tokens.columns if c != "__spelled"])
@@ -403,7 +442,7 @@ class PseudoLikelihood:
 
     def score(self, docs: DataFrame, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
         """``docs`` (or ``keep``) with ``n_tokens``, ``log_likelihood`` (sum over all tokens) and ``mean_log_likelihood``."""
-        return self.score_tokens(token_table(docs, self.words, self.spelling, docs.columns if keep is None else keep, text_col))
+        return self.score_tokens(token_table(token_chunks(docs, docs.columns if keep is None else keep, text_col), self.words, self.spelling))
 
     def score_tokens(self, tokens: DataFrame) -> DataFrame:
         """The same from a token table."""

@@ -202,7 +202,7 @@ def test_pseudo_likelihood_is_normalised_and_prefers_the_corpus(spark):
     text = lambda: " ".join(" ".join(random.Random(rng.randrange(40)).choices(GOOD, k=6)) for _ in range(20))
     docs = spark.createDataFrame([(i, text(), "en", "s", 0) for i in range(150)], DOCS)
     model, _ = lm.PseudoLikelihood.fit(docs, epochs=4)
-    ids, _ = lm.TokenIds(model.words, model.spelling).encoded("the quiet river runs past")
+    ids, _ = lm.codes_of("the quiet river runs past".split(), {w: lm.RARE + i for i, w in enumerate(model.words)}, model.spelling)
     tokens, at, _ = lm.laid_out([ids])
     total = 0.0
     for w in range(lm.VOCABULARY):
@@ -242,10 +242,8 @@ def test_spelling_is_a_distribution_over_the_words_of_a_length(spark):
 
 def test_a_rare_word_is_told_from_gibberish_of_its_length(spark):
     docs = spark.createDataFrame([(i, f"the stone{c}bridge") for i, c in enumerate("abcdefghij" * 3)], "doc_id long, text string")
-    with pytest.MonkeyPatch.context() as patch:
-        patch.setattr(lm, "VOCABULARY", lm.VOCABULARY)
-        words, counts, spelling, total = lm.vocabulary(docs)
-    assert total == 60 and counts[lm.RARE :].sum() >= 60
+    words, counts, spelling, total = lm.vocabulary(lm.token_chunks(docs, []))
+    assert total == 60 and set(words) == {"the", *(f"stone{c}bridge" for c in "abcdefghij")} and counts[lm.RARE :].sum() == 60 + lm.VOCABULARY - lm.RARE
     rare = lm.Spelling.of(spark.createDataFrame([(f"stone{c}bridge", 3) for c in "abcdefghij"], "word string, n long"), [])
     assert rare.cost("stonezbridge") < rare.cost("xqzkjvwpqxzk") - 10
 
