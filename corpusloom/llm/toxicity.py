@@ -36,14 +36,18 @@ from pyspark.sql import types as T
 from corpusloom.llm.common import BLOCK, block_rows, labelled_texts, small_batches, summed_blocks, training_labels, with_text_columns
 
 #: Labelled rows that the model is fitted on, at most; it bounds the vocabulary and the index.
-MAX_LABELLED = 5_000
+MAX_LABELLED = 4_000
 #: Share of its TF-IDF that a word keeps whose relevance is 0.
 FLOOR = 0.1
 #: Standard errors below the log odds ratio at which relevance is taken.
 ERRORS = 2.0
-BLOCK_SIZE = 64
+BLOCK_SIZE = 128
+#: Share of the examples from which on a term is frequent.
+FREQUENT = 1 / 16
+#: Queries whose frequent terms are taken in one product.
+TOGETHER = 64
 #: Blocks that are scored before the k-th similarity cuts the others.
-FIRST_BLOCKS = 3
+FIRST_BLOCKS = 2
 NEIGHBOURS = 15
 #: Numbers in a row of what is summed over the tasks.
 ROW = 256
@@ -113,9 +117,12 @@ def ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 @dataclass
 class BlockMaxIndex:
-    """Unit vectors by term. Entry: a term in a block; it has a maximum and a run of postings (example, weight)."""
+    """Unit vectors by term. A frequent term's postings are a row of weights over all examples; another's are entries: a term in a block, with a
+    maximum and a run of postings (example, weight)."""
 
     blocks: int = 1
+    dense_of: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # row of a frequent term, -1 of others
+    dense: np.ndarray = field(default_factory=lambda: np.zeros((0, BLOCK_SIZE), np.float32))
     terms: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # first entry of each term
     block: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # of each entry
     most: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
@@ -126,41 +133,56 @@ class BlockMaxIndex:
     @classmethod
     def build(cls, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> BlockMaxIndex:
         blocks = max(1, -(-len(vectors) // BLOCK_SIZE))
-        if not vectors:
-            return cls(blocks, np.zeros(n_terms + 1, np.int64))
-        term = np.concatenate([t for t, _ in vectors]).astype(np.int64)
+        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)]).astype(np.int64)
         example = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
-        order = np.argsort(term, kind="stable")
-        term, example = term[order], example[order]
-        weight = np.concatenate([w for _, w in vectors])[order].astype(np.float32)
+        weight = np.concatenate([np.zeros(0), *(w for _, w in vectors)]).astype(np.float32)
+        often = np.flatnonzero(np.bincount(term, minlength=n_terms) >= max(FREQUENT * len(vectors), 1))
+        dense_of = np.full(n_terms, -1, np.int32)
+        dense_of[often] = np.arange(len(often))
+        dense = np.zeros((len(often), blocks * BLOCK_SIZE), np.float32)
+        is_dense = dense_of[term] >= 0
+        dense[dense_of[term[is_dense]], example[is_dense]] = weight[is_dense]
+        order = np.flatnonzero(~is_dense)
+        order = order[np.argsort(term[order], kind="stable")]
+        term, example, weight = term[order], example[order], weight[order]
         place = term * blocks + example // BLOCK_SIZE
         runs = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else np.zeros(0, np.int64)
         most = np.maximum.reduceat(weight, runs) if len(runs) else np.zeros(0, np.float32)
-        return cls(blocks, np.searchsorted(term[runs], np.arange(n_terms + 1)), (place[runs] % blocks).astype(np.int32), most, np.r_[runs, len(term)], example, weight)
+        return cls(blocks, dense_of, dense, np.searchsorted(term[runs], np.arange(n_terms + 1)), (place[runs] % blocks).astype(np.int32), most, np.r_[runs, len(term)], example, weight)
 
-    def nearest(self, terms: np.ndarray, values: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def of_frequent(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the frequent terms add to the cosines of each query with all examples, in one product."""
+        table = np.zeros((len(queries), len(self.dense)), np.float32)
+        for i, (terms, values) in enumerate(queries):
+            rows = self.dense_of[terms]
+            table[i, rows[rows >= 0]] = values[rows >= 0]
+        return table @ self.dense
+
+    def nearest(self, terms: np.ndarray, values: np.ndarray, k: int, without: int = -1, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k examples nearest to a unit vector, exactly; those of cosine 0 don't count."""
-        entries, n = ranges(self.terms[terms], self.terms[terms + 1])
-        values, block = np.repeat(values, n), self.block[entries]
-        upper = np.bincount(block, values * self.most[entries], self.blocks)
+        frequent = self.of_frequent([(terms, values)])[0] if frequent is None else frequent
+        rare = self.dense_of[terms] < 0
+        entries, n = ranges(self.terms[terms[rare]], self.terms[terms[rare] + 1])
+        values, block = np.repeat(values[rare], n), self.block[entries]
+        upper = frequent.reshape(self.blocks, BLOCK_SIZE).max(1) + np.bincount(block, values * self.most[entries], self.blocks)
         first = np.argsort(-upper, kind="stable")[:FIRST_BLOCKS]
-        found, cosines = self._scored(entries, values, block, first, k, without)
+        found, cosines = self._scored(entries, values, block, first, frequent, k, without)
         limit = cosines[k - 1] if len(cosines) == k else 0.0
         rest = upper >= limit - 1e-6
         rest[first] = False
         rest = np.flatnonzero(rest & (upper > 0))
         if not len(rest):
             return found, cosines
-        more, others = self._scored(entries, values, block, rest, k, without)
+        more, others = self._scored(entries, values, block, rest, frequent, k, without)
         return _best(np.concatenate([found, more]), np.concatenate([cosines, others]), k)
 
-    def _scored(self, entries: np.ndarray, values: np.ndarray, block: np.ndarray, chosen: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
+    def _scored(self, entries: np.ndarray, values: np.ndarray, block: np.ndarray, chosen: np.ndarray, frequent: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
         """The k best examples of the chosen blocks."""
         wanted = np.zeros(self.blocks, bool)
         wanted[chosen] = True
         keep = wanted[block]
         at, n = ranges(self.runs[entries[keep]], self.runs[entries[keep] + 1])
-        sums = np.bincount(self.examples[at], np.repeat(values[keep], n) * self.weights[at], self.blocks * BLOCK_SIZE)
+        sums = np.where(np.repeat(wanted, BLOCK_SIZE), frequent, 0.0) + np.bincount(self.examples[at], np.repeat(values[keep], n) * self.weights[at], self.blocks * BLOCK_SIZE)
         if without >= 0:
             sums[without] = 0
         found = np.flatnonzero(sums > 0)
@@ -219,18 +241,23 @@ class ToxicityNeighbours:
         weights = (1 + np.log(counts)) * self.scale[terms]
         return terms, weights / math.sqrt(float(weights @ weights))
 
-    def vote(self, terms: np.ndarray, values: np.ndarray, without: int = -1) -> tuple[float, list[tuple[int, float]]]:
+    def vote(self, terms: np.ndarray, values: np.ndarray, without: int = -1, frequent: np.ndarray | None = None) -> tuple[float, list[tuple[int, float]]]:
         """Log odds of the distance-weighted vote, with the neighbours that cast it."""
-        found, cosines = self.index.nearest(terms, values, NEIGHBOURS, without)
+        found, cosines = self.index.nearest(terms, values, NEIGHBOURS, without, frequent)
         weights = cosines**2 / max(float(cosines[0]) ** 2, 1e-12) if len(cosines) else cosines
         yes = float(weights @ self.labels[found]) if len(found) else 0.0
         return math.log((yes + 0.1) / (float(weights.sum()) - yes + 0.1)), list(zip(found.tolist(), cosines.tolist(), strict=True))
 
-    def score_counts(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[tuple[int, float]]]:
-        if not len(terms):
-            return self.zero_score, []
-        vote, found = self.vote(*self.vector(terms, counts))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * vote + self.offset)))), found
+    def score_all(self, counted: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[tuple[int, float]]]]:
+        """Score and neighbours of each of some texts, by their terms and counts."""
+        out: list[tuple[float, list[tuple[int, float]]]] = [(self.zero_score, [])] * len(counted)
+        full = [i for i, (terms, _) in enumerate(counted) if len(terms)]
+        for low in range(0, len(full), TOGETHER):
+            vectors = [self.vector(*counted[i]) for i in full[low : low + TOGETHER]]
+            for i, vector, frequent in zip(full[low : low + TOGETHER], vectors, self.index.of_frequent(vectors), strict=True):
+                vote, found = self.vote(*vector, frequent=frequent)
+                out[i] = 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * vote + self.offset)))), found
+        return out
 
     def score(self, docs: DataFrame, keep: list[str] | None = None, text_col: str = "text", score_col: str = "score", evidence_col: str = "evidence") -> DataFrame:
         """``docs`` (or the columns ``keep``) with the score and its evidence: the nearest examples' ids, labels and cosines."""
@@ -244,17 +271,14 @@ class ToxicityNeighbours:
             model = carried.value
             if not words:
                 words.append(TermIds(model.terms))
-            scores, proofs = [], []
-            for text in texts:
-                # copies are scored once; a hash of 128 bits stands for the text
-                key = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                if key not in seen:
-                    if len(seen) > 20_000:
-                        seen.clear()
-                    value, found = model.score_counts(*words[0].counts(text))
-                    seen[key] = value, [{"id": str(model.ids[i]), "label": int(model.labels[i]), "cosine": c} for i, c in found[:3]]
-                scores.append(seen[key][0])
-                proofs.append(seen[key][1])
+            # copies are scored once; a hash of 128 bits stands for the text
+            keys = [hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest() for text in texts]
+            if len(seen) > 20_000:
+                seen.clear()
+            new = {key: text for key, text in zip(keys, texts, strict=True) if key not in seen}
+            for key, (value, found) in zip(new, model.score_all([words[0].counts(t) for t in new.values()]), strict=True):
+                seen[key] = value, [{"id": str(model.ids[i]), "label": int(model.labels[i]), "cosine": c} for i, c in found[:3]]
+            scores, proofs = [seen[key][0] for key in keys], [seen[key][1] for key in keys]
             return [pa.array(scores, pa.float64()), pa.array(proofs, arrow)]
 
         return with_text_columns(docs, text_col, keep, [(score_col, T.DoubleType()), (evidence_col, evidence)], score)

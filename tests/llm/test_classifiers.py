@@ -107,7 +107,9 @@ def test_toxicity_on_held_out_rows(frames):
     assert next(r for r in rows if r.doc_id == 1000).score == model.zero_score
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("frequent", [0.0, 1 / 6, 2.0])
+def test_block_max_search_is_exact(frequent, monkeypatch):
+    monkeypatch.setattr(toxicity, "FREQUENT", frequent)
     rng = np.random.default_rng(2)
     for size in (0, 1, 63, 700):
         vectors = []
@@ -116,6 +118,7 @@ def test_block_max_search_is_exact():
             w = rng.integers(1, 4, len(terms)).astype(float)
             vectors.append((terms, w / np.linalg.norm(w)))
         index = toxicity.BlockMaxIndex.build(vectors, 40)
+        assert size < 2 or len(index.dense) == (40 if not frequent else 0 if frequent > 1 else len(index.dense))
         whole = np.zeros((size, 40))
         for i, (terms, w) in enumerate(vectors):
             whole[i, terms] = w
