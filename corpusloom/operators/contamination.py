@@ -6,6 +6,7 @@ table meets another as a whole. A phrase is looked for through its own run of wo
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,25 +41,42 @@ def exact_leaks(targets: DataFrame, references: DataFrame) -> DataFrame:
     return targets.select(F.col("id").alias("target_id"), "norm").join(last, "norm").select("target_id", "reference_id")
 
 
-def near_leaks(targets: DataFrame, references: DataFrame, least: float = NEAR) -> DataFrame:
-    """The most similar reference of each target that has no equal one, if it is similar enough; first wins.
+LEAST_OVERLAP = 0.35
+MOST_COMPARED = 2_000
 
-    Pairs share a word; those whose word sets overlap by less than .35 count with that, the others with the larger of it and the matching ratio.
+
+def near_candidates(left: DataFrame, right: DataFrame, by: str | None = None, least: float = LEAST_OVERLAP) -> DataFrame:
+    """``left_id, right_id`` of texts (id, toks) whose word sets may agree by ``least`` and more; with ``by``, of equal values of that column only.
+
+    To agree by ``least``, two word sets must share one of the rarest words of each, so pairs meet on those: a frequent word makes no pairs.
     """
+    own = [by] if by else []
+    sides = [df.select("id", *own, F.array_distinct("toks").alias("words")) for df in (left, right)]
+    counts = sides[0].select(F.explode("words").alias("w")).unionByName(sides[1].select(F.explode("words").alias("w"))).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        placed = df.select(F.col("id").alias(name), *own, F.size("words").alias("n"), F.explode("words").alias("w")).join(counts, "w")
+        rank = F.row_number().over(Window.partitionBy(name, *own).orderBy("df", "w"))
+        return placed.withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select(name, *own, "w")
+
+    return keyed(sides[0], "left_id").join(keyed(sides[1], "right_id"), ["w", *own]).select("left_id", "right_id").distinct()
+
+
+def prompt_similarity(a: Column, b: Column, words_a: Column, words_b: Column) -> Column:
+    """Agreement of two normalised texts: that of their word sets where it is below .35, else the larger of it and the matching ratio."""
+    j = set_jaccard(words_a, words_b)
+    return F.when(j < LEAST_OVERLAP, j).otherwise(F.greatest(j, sequence_ratio(a, b)))
+
+
+def near_leaks(targets: DataFrame, references: DataFrame, least: float = NEAR, by: str | None = None) -> DataFrame:
+    """The most similar reference of each target that has no equal one, if it is similar enough; first wins. ``by``: only references of equal values of a column."""
+    own = [by] if by else []
     rest = targets.join(references.select("norm").distinct(), "norm", "left_anti")
-    left = rest.select(F.col("id").alias("target_id"), F.col("norm").alias("a"), F.array_distinct("toks").alias("sa"))
-    right = references.select(F.col("id").alias("reference_id"), F.col("norm").alias("b"), F.array_distinct("toks").alias("sb"))
-    # to overlap by .35, two word sets must share one of the rarest two thirds of the words
-    counts = right.select(F.explode("sb").alias("w")).unionByName(left.select(F.explode("sa").alias("w"))).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-
-    def keyed(df: DataFrame, key: str, words: str) -> DataFrame:
-        placed = df.select(key, F.size(words).alias("n"), F.explode(words).alias("w")).join(counts, "w")
-        rank = F.row_number().over(Window.partitionBy(key).orderBy("df", "w"))
-        return placed.withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * 0.35) + 1).select(key, "w")
-
-    pairs = keyed(left, "target_id", "sa").join(keyed(right, "reference_id", "sb"), "w").select("target_id", "reference_id").distinct()
-    met = pairs.join(left, "target_id").join(right, "reference_id").withColumn("j", set_jaccard(F.col("sa"), F.col("sb"))).where(F.col("j") >= 0.35)
-    scored = met.withColumn("similarity", F.greatest(F.col("j"), sequence_ratio("a", "b"))).where(F.col("similarity") >= least)
+    left = rest.select(F.col("id").alias("target_id"), F.col("norm").alias("a"), F.array_distinct("toks").alias("sa")).dropDuplicates(["target_id"])
+    right = references.select(F.col("id").alias("reference_id"), F.col("norm").alias("b"), F.array_distinct("toks").alias("sb")).dropDuplicates(["reference_id"])
+    pairs = near_candidates(rest.select("id", *own, "toks"), references.select("id", *own, "toks"), by).toDF("target_id", "reference_id")
+    met = pairs.join(left, "target_id").join(right, "reference_id").where(set_jaccard(F.col("sa"), F.col("sb")) >= LEAST_OVERLAP)
+    scored = met.withColumn("similarity", prompt_similarity(F.col("a"), F.col("b"), F.col("sa"), F.col("sb"))).where(F.col("similarity") >= least)
     return scored.groupBy("target_id").agg(F.max_by(F.struct("similarity", "reference_id"), F.struct("similarity", -F.col("reference_id"))).alias("m")).select("target_id", "m.reference_id", "m.similarity")
 
 
@@ -80,17 +98,83 @@ def contained(phrases: DataFrame, texts: DataFrame) -> DataFrame:
     return met.where(F.concat(F.lit(" "), F.col("norm"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))).select("phrase_id", "text_id")
 
 
+def within(phrases: DataFrame, texts: DataFrame) -> DataFrame:
+    """``phrase_id, text_id``: phrases that stand in a normalised text anywhere, within words too.
+
+    All but the first and last word of a phrase are whole words of the text, so phrases of three words and more meet texts on a run of
+    these (up to four), by hash; shorter phrases are asked of every text, and ``specific`` ones are never so short.
+    """
+    inner = 4
+    n = F.size("toks")
+    p = phrases.select(F.col("id").alias("phrase_id"), F.col("norm").alias("phrase"), n.alias("n"), F.slice("toks", F.lit(2), F.greatest(F.lit(0), F.least(F.lit(inner), n - 2))).alias("run"))
+    long = p.where("n >= 3").select("phrase_id", "phrase", F.size("run").alias("k"), F.xxhash64(F.array_join("run", " ")).alias("h"))
+    wanted = sorted(r.k for r in long.select("k").distinct().collect())
+    text = texts.select(F.col("id").alias("text_id"), "norm")
+    holds = F.col("norm").contains(F.col("phrase"))
+    out = text.join(F.broadcast(p.where("n < 3").limit(MOST_SHORT + 1)), holds).select("phrase_id", "text_id")
+    if p.where("n < 3").limit(MOST_SHORT + 1).count() > MOST_SHORT:
+        raise ValueError(f"more than {MOST_SHORT} phrases of fewer than three words")
+    if wanted:
+        size = F.size("toks")
+        hashed = lambda k: F.when(size >= k, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), size - k + 1)), lambda i: F.xxhash64(F.array_join(F.slice("toks", i, k), " "))))).otherwise(F.array().cast("array<bigint>"))
+        runs = texts.select(F.col("id").alias("text_id"), F.inline(F.array(*[F.struct(F.lit(k).alias("k"), hashed(k).alias("hs")) for k in wanted]))).select("text_id", "k", F.explode("hs").alias("h"))
+        met = runs.join(long, ["h", "k"]).select("phrase_id", "phrase", "text_id").distinct().join(text, "text_id")
+        out = out.unionByName(met.where(holds).select("phrase_id", "text_id"))
+    return out
+
+
+#: Phrases of one or two words that ``within`` asks of every text, at most.
+MOST_SHORT = 1_000
+
+
 def nested_phrases(found: DataFrame, phrases: DataFrame) -> DataFrame:
     """Phrases that are parts of phrases that were found count as found."""
-    hit = phrases.join(found.select(F.col("phrase_id").alias("id")).distinct(), "id", "left_semi").select(F.col("norm").alias("outer"))
-    return phrases.join(F.broadcast(hit), F.col("outer").contains(F.col("norm"))).select(F.col("id").alias("phrase_id")).distinct()
+    hit = phrases.join(found.select(F.col("phrase_id").alias("id")).distinct(), "id", "left_semi")
+    return within(phrases, hit).select("phrase_id").distinct()
 
 
 def answer_hits(phrases: DataFrame, answers: DataFrame) -> DataFrame:
     """``phrase_id, answer_id``: the first answer whose normalised text holds a specific phrase anywhere."""
-    own = phrases.where(specific(F.col("norm"))).select(F.col("id").alias("phrase_id"), F.col("norm").alias("phrase"))
-    met = answers.select(F.col("id").alias("answer_id"), "norm").join(F.broadcast(own), F.col("norm").contains(F.col("phrase")))
-    return met.groupBy("phrase_id").agg(F.min("answer_id").alias("answer_id"))
+    met = within(phrases.where(specific(F.col("norm"))), answers)
+    return met.groupBy("phrase_id").agg(F.min("text_id").alias("answer_id"))
+
+
+def support_phrases(items: DataFrame, id_col: str) -> DataFrame:
+    """``id, text``: what an evaluation row asks for: its expected answers, required phrases, and those of its groups."""
+    parts = F.concat(*[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("expected", "must_include") if c in items.columns], F.flatten(F.coalesce(F.col("must_include_any"), F.array().cast("array<array<string>>"))))
+    return items.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(parts)).alias("text")).where("trim(text) <> ''")
+
+
+def answer_texts(items: DataFrame, id_col: str) -> DataFrame:
+    """``id, text``: the reference answer of a row, or else what it must include."""
+    must = F.concat(F.coalesce("must_include", F.array().cast("array<string>")), F.flatten(F.coalesce("must_include_any", F.array().cast("array<array<string>>"))))
+    has = F.trim(F.coalesce("reference_answer", F.lit(""))) != ""
+    return items.select(F.col(id_col).alias("id"), F.explode(F.when(has, F.array("reference_answer")).otherwise(must)).alias("text"))
+
+
+def chat_records(rows: DataFrame, id_col: str = "conv_id") -> DataFrame:
+    """``id, line, source, kind, category, text, norm, toks``: two records of a chat row, the prompt and the answer."""
+    base = rows.select(F.col(id_col).alias("line"), F.coalesce(F.col("category"), F.lit("chat")).alias("category"), F.inline(F.array(F.struct(F.lit("prompt").alias("kind"), F.col("user").alias("text")), F.struct(F.lit("answer").alias("kind"), F.col("assistant").alias("text")))))
+    return _recorded(base, "chat_sft")
+
+
+def eval_records(items: DataFrame, id_col: str) -> DataFrame:
+    """The prompt of an evaluation row and each specific phrase that it asks for, as records."""
+    prompts = items.select(F.col(id_col).alias("line"), F.lit("prompt").alias("kind"), F.coalesce(F.col("category"), F.lit("eval")).alias("category"), F.col("user").alias("text"))
+    asked = support_phrases(items, id_col).join(items.select(F.col(id_col).alias("id"), F.coalesce(F.col("category"), F.lit("eval")).alias("category")), "id")
+    phrases = asked.where(specific(F.array_join(tokens("text"), " "))).select(F.col("id").alias("line"), F.lit("support").alias("kind"), "category", "text")
+    return _recorded(prompts.unionByName(phrases), "eval")
+
+
+def reply_records(replies: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Generated replies as records."""
+    return _recorded(replies.select(F.col(id_col).alias("line"), F.lit("reply").alias("kind"), F.lit(None).cast("string").alias("category"), F.col(text_col).alias("text")), "generated_answers")
+
+
+def _recorded(rows: DataFrame, source: str) -> DataFrame:
+    named = rows.where(F.trim(F.coalesce("text", F.lit(""))) != "").withColumn("source", F.lit(source))
+    norm = named.withColumn("toks", tokens("text")).withColumn("norm", F.array_join("toks", " "))
+    return norm.withColumn("id", F.xxhash64("source", "kind", "line", "text"))
 
 
 def overlap_rates(targets: DataFrame, references: DataFrame, n: int) -> DataFrame:
@@ -135,20 +219,117 @@ def matrix_risk(exact: Column, near: Column, overlap: Column, longest: Column, n
     )
 
 
-def matrix_pair(name: str, references: DataFrame, targets: DataFrame, n: int = 8) -> DataFrame:
-    """One row of the contamination matrix: hits, the largest overlap and run over the targets, and the risk.
+def longest_overlap(target: Column, reference: Column, most: int = 120) -> Column:
+    """Tokens of the longest run of a target's first tokens that stands in a reference between word borders; both are token arrays."""
+    return _longest_run(F.slice(target, 1, most), F.array_join(reference, " "))
+
 
-    References count as one text for n-grams, so that a corpus of any number of documents is one reference.
+@F.pandas_udf("long")
+def _longest_run(tokens_of: pd.Series, text: pd.Series) -> pd.Series:
+    def one(words: list[str], whole: str) -> int:
+        whole, best = f" {whole} ", 0
+        if words is None or whole == "  ":
+            return 0
+        for start in range(len(words)):
+            # a run is only looked at if it is longer than the best
+            while start + best < len(words) and f" {' '.join(words[start:start + best + 1])} " in whole:
+                best += 1
+        return best
+
+    return pd.Series([one(w, t) for w, t in zip(tokens_of, text, strict=True)], dtype="int64")
+
+
+def comparable(a: Column, b: Column) -> Column:
+    """Whether two normalised texts are compared by similarity: neither too short, nor one too long."""
+    return (F.length(a) >= LEAST_PROMPT) & (F.length(b) >= LEAST_PROMPT) & (F.greatest(F.length(a), F.length(b)) <= MOST_COMPARED)
+
+
+def text_hit(reference: Column, target: Column) -> Column:
+    """Whether a target of 24 characters and more is the reference, or stands in it between word borders."""
+    inside = F.concat(F.lit(" "), reference, F.lit(" ")).contains(F.concat(F.lit(" "), target, F.lit(" ")))
+    return (F.length(target) >= LEAST_PROMPT) & (reference != "") & inside
+
+
+def record_matches(references: DataFrame, targets: DataFrame, n: int = 8, near: float = NEAR) -> DataFrame:
+    """``target_id, reference_id, exact, near, similarity, overlap_rate, longest`` of records that share an n-gram, words, or stand one in the other.
+
+    Records of a pair that shares none of these have no hit and a similarity under .35, so they are never laid out.
+    """
+    one, other = targets.select("id", "norm", "toks"), references.select("id", "norm", "toks")
+    grams = lambda df, name: df.select(F.col("id").alias(name), F.explode(distinct_ngrams(F.col("toks"), n)).alias("g"))
+    shared = grams(one, "target_id").join(grams(other, "reference_id"), "g").groupBy("target_id", "reference_id").agg(F.count(F.lit(1)).alias("shared"))
+    close = near_candidates(one.where(F.length("norm") >= LEAST_PROMPT), other.where(F.length("norm") >= LEAST_PROMPT)).toDF("target_id", "reference_id")
+    inside = contained(one.where(F.length("norm") >= LEAST_PROMPT), other).toDF("target_id", "reference_id")
+    pairs = shared.select("target_id", "reference_id").unionByName(close).unionByName(inside).distinct()
+    met = pairs.join(shared, ["target_id", "reference_id"], "left").join(one.toDF("target_id", "a", "ta"), "target_id").join(other.toDF("reference_id", "b", "tb"), "reference_id")
+    sized = met.withColumn("grams", F.size(distinct_ngrams(F.col("ta"), n))).withColumn("exact", text_hit(F.col("b"), F.col("a")))
+    alike = F.when(comparable(F.col("a"), F.col("b")), prompt_similarity(F.col("a"), F.col("b"), F.array_distinct("ta"), F.array_distinct("tb"))).when(F.col("exact"), 1.0).otherwise(0.0)
+    scored = sized.withColumn("similarity", alike).withColumn("overlap_rate", F.when(F.col("grams") > 0, F.coalesce("shared", F.lit(0)) / F.col("grams")).otherwise(0.0)).withColumn("longest", longest_overlap(F.col("ta"), F.col("tb")))
+    hit = ~F.col("exact") & (F.length("a") >= LEAST_PROMPT) & (F.col("similarity") >= near)
+    return scored.select("target_id", "reference_id", "exact", hit.alias("near"), "similarity", "overlap_rate", "longest")
+
+
+def match_rank() -> Column:
+    """What orders matches: exact, then overlap, run and similarity."""
+    return F.struct("exact", "overlap_rate", "longest", "similarity")
+
+
+def interesting(n: int) -> Column:
+    return F.col("exact") | F.col("near") | (F.col("overlap_rate") > 0) | (F.col("longest") >= n)
+
+
+def matrix_pair(name: str, references: DataFrame, targets: DataFrame, n: int = 8, near: float = NEAR) -> DataFrame:
+    """One row of the contamination matrix between two tables of records: hits, the largest figures of the targets' best references, the risk.
+
+    A target's best reference is the one of the highest ``match_rank``, the least id of equal ones.
+    """
+    found = record_matches(references, targets, n, near)
+    best = found.groupBy("target_id").agg(F.max(F.col("exact").cast("int")).alias("hit"), F.max(F.col("near").cast("int")).alias("close"), F.max_by(match_rank(), F.struct(match_rank(), -F.col("reference_id"))).alias("m"))
+    row = best.agg(F.coalesce(F.sum("hit"), F.lit(0)).alias("exact_hits"), F.coalesce(F.sum("close"), F.lit(0)).alias("near_hits"), F.coalesce(F.max("m.similarity"), F.lit(0.0)).alias("max_similarity"), F.coalesce(F.max("m.overlap_rate"), F.lit(0.0)).alias("max_overlap_rate"), F.coalesce(F.max("m.longest"), F.lit(0)).alias("max_longest"))
+    return _matrix_row(name, row, references, targets, n)
+
+
+def corpus_matrix_pair(name: str, corpus: DataFrame, targets: DataFrame, n: int = 8) -> DataFrame:
+    """The same against a corpus (id, norm, toks), which is one reference of any size: n-grams and runs count wherever they stand.
+
+    A run is one of n-grams that follow each other in the target, so it may be put together from several places of the corpus.
     """
-    eligible = targets.where(F.length("norm") >= LEAST_PROMPT)
-    exact = contained(eligible, references).select("phrase_id").distinct().agg(F.count(F.lit(1)).alias("exact_hits"))
-    overlap = overlap_rates(targets, references, n).agg(F.coalesce(F.max("overlap_rate"), F.lit(0.0)).alias("max_overlap_rate"))
-    runs = memorization(targets, references, n).agg(F.coalesce(F.max("longest"), F.lit(0)).alias("max_longest"))
+    exact = contained(targets.where(F.length("norm") >= LEAST_PROMPT), corpus).select("phrase_id").distinct().agg(F.count(F.lit(1)).alias("exact_hits"))
+    overlap = overlap_rates(targets, corpus, n).agg(F.coalesce(F.max("overlap_rate"), F.lit(0.0)).alias("max_overlap_rate"))
+    runs = memorization(targets, corpus, n).agg(F.coalesce(F.max("longest"), F.lit(0)).alias("max_longest"))
+    row = exact.join(overlap).join(runs).select("exact_hits", F.lit(0).cast("long").alias("near_hits"), F.when(F.col("exact_hits") > 0, 1.0).otherwise(0.0).alias("max_similarity"), "max_overlap_rate", "max_longest")
+    return _matrix_row(name, row, corpus, targets, n)
+
+
+def _matrix_row(name: str, row: DataFrame, references: DataFrame, targets: DataFrame, n: int) -> DataFrame:
     sizes = targets.agg(F.count(F.lit(1)).alias("target_items")).join(references.agg(F.count(F.lit(1)).alias("reference_items")))
-    row = sizes.join(exact).join(overlap).join(runs)
     checked = (F.col("target_items") > 0) & (F.col("reference_items") > 0)
-    risk = F.when(~checked, "not_checked").otherwise(matrix_risk(F.col("exact_hits"), F.lit(0), F.col("max_overlap_rate"), F.col("max_longest"), n))
-    return row.select(F.lit(name).alias("pair"), "reference_items", "target_items", "exact_hits", "max_overlap_rate", "max_longest", risk.alias("risk"))
+    risk = F.when(~checked, "not_checked").otherwise(matrix_risk(F.col("exact_hits"), F.col("near_hits"), F.col("max_overlap_rate"), F.col("max_longest"), n))
+    return sizes.join(row).select(F.lit(name).alias("pair"), "reference_items", "target_items", "exact_hits", "near_hits", "max_similarity", "max_overlap_rate", "max_longest", risk.alias("risk"))
+
+
+def contamination_matrix(corpus: DataFrame, chat: DataFrame, evaluation: DataFrame, generated: DataFrame | None = None, n: int = 8, near: float = NEAR) -> DataFrame:
+    """The five pairs of corpus, tuning rows, evaluation rows and generated replies (records, or none)."""
+    none = chat.limit(0)
+    generated = none if generated is None else generated
+    rows = [
+        corpus_matrix_pair("base_corpus_vs_sft", corpus, chat, n),
+        corpus_matrix_pair("base_corpus_vs_eval", corpus, evaluation, n),
+        matrix_pair("sft_vs_eval", chat, evaluation, n, near),
+        matrix_pair("generated_vs_sft", chat, generated, n, near),
+        corpus_matrix_pair("generated_vs_base_corpus", corpus, generated, n),
+    ]
+    out = rows[0]
+    for row in rows[1:]:
+        out = out.unionByName(row)
+    return out
+
+
+def best_matches(references: DataFrame, targets: DataFrame, k: int = 5, n: int = 8, near: float = NEAR) -> DataFrame:
+    """The ``k`` targets whose best references are of the highest rank, among those worth a look: a report's nearest neighbours."""
+    found = record_matches(references, targets, n, near)
+    best = found.groupBy("target_id").agg(F.max_by(F.struct("reference_id", "exact", "near", "similarity", "overlap_rate", "longest"), F.struct(match_rank(), -F.col("reference_id"))).alias("m")).select("target_id", "m.*")
+    return best.where(interesting(n)).orderBy(F.desc("exact"), F.desc("overlap_rate"), F.desc("longest"), F.desc("similarity"), "target_id").limit(k)
 
 
 def nearest_neighbours(targets: DataFrame, references: DataFrame, n: int = 8, k: int = 5) -> DataFrame:
@@ -176,23 +357,26 @@ def honesty_status(found: DataFrame) -> DataFrame:
     return found.agg(F.max(F.when(F.col("severity") == "fail", 2).otherwise(1)).alias("w"), F.count(F.lit(1)).alias("findings")).select(F.when(F.col("w") == 2, "blocked").when(F.col("w") == 1, "caution").otherwise("ready").alias("status"), "findings")
 
 
-
-
 def pack_contamination(eval_rows: DataFrame, train_rows: DataFrame, least: float = NEAR) -> DataFrame:
     """``kind, eval_id, train_id, similarity`` between evaluation and training rows of a pack (id, user, assistant, bucket).
 
-    Equal prompts; prompts that are alike within their behaviour bucket; and evaluation answers of 12 characters and more inside a training
-    answer, the first one of each, but for refusals and identity rows.
+    Equal prompts; prompts that are alike within their behaviour bucket, or among all training rows where these have none of the bucket; and
+    what an evaluation row must include (``must_include``, or else its answer), of 12 characters and more, inside a training answer, the
+    first one of each row, but for refusals and identity rows.
     """
     e, t = records(eval_rows, "id", "user"), records(train_rows, "id", "user")
     exact = exact_leaks(e, t).select(F.lit("exact_prompt").alias("kind"), F.col("target_id").alias("eval_id"), F.col("reference_id").alias("train_id"), F.lit(1.0).alias("similarity"))
-    buckets = [r.bucket for r in eval_rows.select("bucket").distinct().limit(64).collect()]
-    near = None
-    for bucket in buckets:
-        part = near_leaks(records(eval_rows.where(F.col("bucket") == bucket), "id", "user"), records(train_rows.where(F.col("bucket") == bucket), "id", "user"), least)
-        near = part if near is None else near.unionByName(part)
-    found = exact if near is None else exact.unionByName(near.select(F.lit("near_prompt").alias("kind"), F.col("target_id").alias("eval_id"), F.col("reference_id").alias("train_id"), "similarity"))
-    answers = records(eval_rows.where(~F.col("bucket").isin("refusal", "identity")), "id", "assistant").where(F.length("norm") >= 12)
+    known = train_rows.select(F.coalesce("bucket", F.lit("")).alias("bucket")).distinct().withColumn("known", F.lit(True))
+    whole = "*"
+    block = eval_rows.select("id", F.coalesce("bucket", F.lit("")).alias("bucket")).join(F.broadcast(known), "bucket", "left").select("id", F.when(F.col("known"), F.col("bucket")).otherwise(whole).alias("block"))
+    own = train_rows.select("id", F.explode(F.array(F.coalesce("bucket", F.lit("")), F.lit(whole))).alias("block"))
+    if block.where(F.col("block") == whole).limit(1).count() == 0:
+        own = own.where(F.col("block") != whole)
+    near = near_leaks(e.join(block, "id"), t.join(own, "id"), least, "block")
+    found = exact.unionByName(near.select(F.lit("near_prompt").alias("kind"), F.col("target_id").alias("eval_id"), F.col("reference_id").alias("train_id"), "similarity"))
+    asked = F.when(F.size("must_include") > 0, F.col("must_include")).otherwise(F.array("assistant")) if "must_include" in eval_rows.columns else F.array("assistant")
+    kept = eval_rows.where(~F.coalesce("bucket", F.lit("")).isin("refusal", "identity", "honesty")).select("id", F.explode(asked).alias("text"))
+    answers = records(kept, "id", "text").where(F.length("norm") >= 12)
     inside = contained(answers, records(train_rows, "id", "assistant")).groupBy("phrase_id").agg(F.min("text_id").alias("train_id"))
     return found.unionByName(inside.select(F.lit("answer_in_train").alias("kind"), F.col("phrase_id").alias("eval_id"), "train_id", F.lit(1.0).alias("similarity")))
 

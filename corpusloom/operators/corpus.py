@@ -174,20 +174,46 @@ def training_budget(stats: DataFrame) -> DataFrame:
     return stats.select(pick("blocked", "smoke", "overfit-check", "tiny", "small-preview").alias("preset"), tokens.alias("estimated_tokens"), context.cast("long").alias("context_size"), F.greatest(F.lit(0), tokens - context).alias("estimated_windows"), batch.cast("long").alias("batch_size"), steps.cast("long").alias("base_steps"), (context * batch).cast("long").alias("tokens_per_step"), passes.alias("estimated_passes"))
 
 
-def running_total(df: DataFrame, order: str, value: Column, buckets: int = 64) -> DataFrame:
-    """``df`` with ``__before``: the sum of ``value`` over all rows that come before in the order of a numeric column.
+#: Rows of a range that is summed in one task, about, and ranges at most.
+RANGE_ROWS, RANGES = 1_000_000, 65_536
 
-    Rows are cut in ranges of the column; each range is summed by itself, so no task holds the whole table, and the
-    ranges' totals (at most ``buckets`` rows) are summed before them.
+
+def running_total(df: DataFrame, order: str, value: Column, ties: list[str] | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``df`` with ``__before``: the sum of ``value`` over all rows that come before in the order of a numeric column, then of ``ties``.
+
+    Rows are cut in ranges of about ``range_rows`` rows, at quantiles of the column, so they are even however the column is spread;
+    each range is summed by itself, so no task holds the whole table, and the ranges' totals (``RANGES`` rows at most) are summed before them.
     """
-    ends = df.agg(F.min(order).alias("low"), F.max(order).alias("high"))
-    wide = df.crossJoin(F.broadcast(ends)).withColumn("__range", F.when(F.col("high") > F.col("low"), F.least(F.lit(buckets - 1), F.floor((F.col(order) - F.col("low")) * buckets / (F.col("high") - F.col("low") + 1)))).otherwise(F.lit(0)).cast("int")).drop("low", "high").withColumn("__value", value)
+    n = df.count()
+    ranges = max(1, min(RANGES, -(-n // range_rows)))
+    cuts: list = []
+    if ranges > 1:
+        found = df.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], max(10_000, 20 * ranges))).first()[0]
+        cuts = sorted(set(found or []))
+    wide = df.withColumn("__value", value).withColumn("__range", _range_of(F.col(order), cuts))
     totals = wide.groupBy("__range").agg(F.sum("__value").alias("__total"))
     before = totals.select("__range", F.coalesce(F.sum("__total").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
-    inside = F.coalesce(F.sum("__value").over(Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("__value").over(Window.partitionBy("__range").orderBy(order, *(ties or [])).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return wide.join(F.broadcast(before), "__range").withColumn("__before", inside + F.col("__start")).drop("__range", "__start", "__value")
 
 
+def _range_of(value: Column, cuts: list) -> Column:
+    """How many of the sorted ``cuts`` a value is above, by halving; a null is in the first range."""
+    if not cuts:
+        return F.lit(0)
+    array, top = F.lit(cuts), len(cuts)
+    steps = F.sequence(F.lit(1), F.lit(top.bit_length()))
+    start = F.struct(F.lit(0).alias("low"), F.lit(top).alias("high"))
+
+    def halve(state: Column, _: Column) -> Column:
+        middle = F.floor((state["low"] + state["high"]) / 2).cast("int")
+        above = F.element_at(array, F.least(middle + 1, F.lit(top))) < value
+        on = state["low"] < state["high"]
+        return F.struct(F.when(on & above, middle + 1).otherwise(state["low"]).alias("low"), F.when(on & ~above, middle).otherwise(state["high"]).alias("high"))
+
+    return F.coalesce(F.aggregate(steps, start, halve, lambda s: s["low"]), F.lit(0))
+
+
 def document_offsets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Where each non-blank stripped document stands in the corpus text, documents in order of id, joined by a blank line."""
     kept = docs.select(F.col(id_col), strip(F.coalesce(F.col(text_col), F.lit(""))).alias("text")).where("text <> ''").select(id_col, F.length("text").cast("long").alias("num_characters"), F.size(lines("text")).alias("num_lines"))

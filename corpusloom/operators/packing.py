@@ -1,18 +1,22 @@
 """Windows, shards and packed rows of token streams.
 
-Packing depends on order, so it runs over one group at a time; groups (a split, a category or a salted part of them) are
-what is spread over the cluster, and each group's rows stream through one task in order.
+Packing depends on order, so it is a fold over a group's rows. Groups (a split, a source, a category) are cut in strands of a stated
+number of tokens; strands are what is spread over the cluster, and each one's rows stream through a task in order.
 """
 
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import flags
+
 IGNORED = -100
 
 
@@ -27,113 +31,326 @@ def window_counts(sizes: Column, context: int) -> Column:
     return F.greatest(F.lit(0), sizes - context)
 
 
-def shard_plan(lengths: DataFrame, order_col: str, size_col: str, per_shard: int, group_col: str) -> DataFrame:
+def streamed(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[tuple], Folder], schema: str) -> DataFrame:
+    """Fold the rows of each key in order; a group streams through its task, which holds a folder's state and no group.
+
+    ``start`` makes a folder for a key; its ``add`` takes the part of a batch that is of the group and its ``close`` ends it; both yield rows.
+    """
+    names = [x.split()[0] for x in schema.replace(", ", ",").split(",")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, folder = None, None
+        for frame in frames:
+            at = 0
+            changes = np.flatnonzero((frame[keys].shift() != frame[keys]).any(axis=1).to_numpy()) if len(frame) else []
+            for low, high in zip(changes, [*changes[1:], len(frame)], strict=True):
+                part = frame.iloc[low:high]
+                own = tuple(part.iloc[0][k] for k in keys)
+                if own != key:
+                    if folder is not None:
+                        yield table(key, folder.close())
+                    key, folder = own, start(own)
+                yield table(key, folder.add(part))
+                at = high
+            assert at == len(frame)
+        if folder is not None:
+            yield table(key, folder.close())
+
+    def table(key: tuple, found: Iterator[list]) -> pd.DataFrame:
+        return pd.DataFrame([[*key, *row] for row in found], columns=names)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+class Folder:
+    """State of a fold over a group's rows."""
+
+    def add(self, part: pd.DataFrame) -> Iterator[list]:
+        raise NotImplementedError
+
+    def close(self) -> Iterator[list]:
+        raise NotImplementedError
+
+
+def stranded(rows: DataFrame, order_col: str, size_col: str, per_strand: int) -> DataFrame:
+    """``rows`` with ``strand``: runs of the order of about ``per_strand`` tokens, which are folded apart.
+
+    A fold depends on all rows before it, so one over a whole corpus would be one task; strands bound it, at the cost of an unfilled shard
+    or row at the end of each. With one strand the result is that of a single pass.
+    """
+    from corpusloom.operators.corpus import running_total
+
+    return running_total(rows, order_col, F.col(size_col)).withColumn("strand", F.floor(F.col("__before") / per_strand)).drop("__before")
+
+
+def numbered_over_strands(rows: DataFrame, group_col: str, number_col: str) -> DataFrame:
+    """``rows`` (group, strand, number within the strand) with the number counted on over the group's strands."""
+    sizes = rows.groupBy(group_col, "strand").agg((F.max(number_col) + 1).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(group_col).orderBy("strand").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col(group_col).alias("__group"), F.col("strand").alias("__strand"), before.alias("__start"))
+    met = rows.join(starts, F.col(group_col).eqNullSafe(F.col("__group")) & (F.col("strand") == F.col("__strand")))
+    return met.withColumn(number_col, F.col(number_col) + F.col("__start")).drop("__group", "__strand", "__start", "strand")
+
+
+class ShardSizes(Folder):
+    """Sizes of the shards that documents go to, from the documents' sizes."""
+
+    def __init__(self, per_shard: int, size_col: str):
+        self.per_shard, self.size_col = per_shard, size_col
+        self.held = self.docs = self.number = 0
+
+    def shard(self, tokens: int, docs: int, aligned: bool) -> list:
+        self.number += 1
+        return [self.number - 1, tokens, docs, aligned]
+
+    def add(self, part: pd.DataFrame) -> Iterator[list]:
+        for size in part[self.size_col].tolist():
+            if self.held and self.held + size > self.per_shard:
+                yield self.shard(self.held, self.docs, True)
+                self.held = self.docs = 0
+            if size > self.per_shard:
+                full, rest = divmod(int(size), self.per_shard)
+                for _ in range(full):
+                    yield self.shard(self.per_shard, 1, False)
+                self.held, self.docs = rest, int(rest > 0)
+            else:
+                self.held, self.docs = self.held + int(size), self.docs + 1
+
+    def close(self) -> Iterator[list]:
+        if self.held:
+            yield self.shard(self.held, self.docs, True)
+
+
+PER_STRAND = 1_000_000_000
+
+
+def _kinds(rows: DataFrame, *names: str) -> str:
+    return ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
+
+
+def shard_plan(lengths: DataFrame, order_col: str, size_col: str, per_shard: int, group_col: str, per_strand: int = PER_STRAND) -> DataFrame:
     """``group, shard, tokens, documents, aligned`` where documents go to shards of ``per_shard`` tokens in order.
 
     A shard is closed when the next document would not fit; a longer document is split, and its shards are not aligned.
     """
+    rows = stranded(lengths.select(group_col, order_col, size_col), order_col, size_col, per_strand)
+    found = streamed(rows, [group_col, "strand"], [order_col], lambda _: ShardSizes(per_shard, size_col), f"{_kinds(rows, group_col, 'strand')}, shard long, tokens long, documents long, aligned boolean")
+    return numbered_over_strands(found, group_col, "shard")
+
+
+class ShardTokens(Folder):
+    """The shards themselves: token ids cut to ``per_shard``, document by document where they fit."""
+
+    def __init__(self, per_shard: int):
+        self.per_shard, self.held, self.n, self.number = per_shard, [], 0, 0
+        self.docs, self.aligned = 0, True
+
+    def shard(self) -> list:
+        ids = np.concatenate(self.held)
+        out = [self.number, ids.tolist(), len(ids), self.docs, self.aligned, hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()]
+        self.number, self.held, self.n, self.docs, self.aligned = self.number + 1, [], 0, 0, True
+        return out
+
+    def add(self, part: pd.DataFrame) -> Iterator[list]:
+        for ids in part["ids"]:
+            ids = np.asarray(ids, np.int32)
+            if not len(ids):
+                continue
+            if self.n and len(ids) <= self.per_shard < self.n + len(ids):
+                yield self.shard()
+            long = len(ids) > self.per_shard
+            while len(ids):
+                room = self.per_shard - self.n
+                self.held.append(ids[:room])
+                self.n, self.docs = self.n + min(room, len(ids)), self.docs + 1
+                self.aligned = self.aligned and not long
+                ids = ids[room:]
+                if self.n >= self.per_shard:
+                    yield self.shard()
+
+    def close(self) -> Iterator[list]:
+        if self.n:
+            yield self.shard()
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        held, docs = 0, 0
-        for size in frame.sort_values(order_col)[size_col]:
-            if held and held + size > per_shard:
-                out.append([held, docs, True])
-                held, docs = 0, 0
-            if size > per_shard:
-                full, rest = divmod(int(size), per_shard)
-                out += [[per_shard, 1, False] for _ in range(full)]
-                held, docs = rest, int(rest > 0)
+
+SHARD = "shard long, tokens array<int>, num_tokens long, documents long, aligned boolean, sha256 string"
+
+
+def token_shards(encoded: DataFrame, order_col: str, per_shard: int, group_col: str | None = None, per_strand: int = PER_STRAND) -> DataFrame:
+    """Shards of ``per_shard`` token ids from ``order_col, ids``, with their sha256; a shard is what a task holds."""
+    if per_shard < 2:
+        raise ValueError("a shard has two tokens at least")
+    group = group_col or "__all"
+    rows = encoded if group_col else encoded.withColumn(group, F.lit(0))
+    rows = stranded(rows.select(group, order_col, "ids", F.size("ids").alias("__size")), order_col, "__size", per_strand)
+    found = streamed(rows.select(group, "strand", order_col, "ids"), [group, "strand"], [order_col], lambda _: ShardTokens(per_shard), f"{_kinds(rows, group, 'strand')}, {SHARD}")
+    numbered = numbered_over_strands(found, group, "shard")
+    return numbered if group_col else numbered.drop(group)
+
+
+class PackedRows(Folder):
+    """Best-fit rows of ``width`` tokens from documents in order, with a buffer of the shortest documents' lengths kept sorted."""
+
+    def __init__(self, width: int, buffer: int, parts: bool):
+        self.width, self.buffer, self.parts = width, buffer, parts
+        self.waiting: list[tuple[int, int]] = []
+        self.texts: dict[int, np.ndarray] = {}
+        self.room, self.row, self.next = width, [], 0
+        self.rows = self.source = self.dropped = 0
+
+    def put(self, ids: np.ndarray) -> None:
+        # of equal lengths, the one that came first goes first where it fits, and is cut first
+        bisect.insort(self.waiting, (len(ids), -self.next))
+        self.texts[-self.next] = ids
+        self.next += 1
+
+    def take(self, at: int) -> np.ndarray:
+        return self.texts.pop(self.waiting.pop(at)[1])
+
+    def add(self, part: pd.DataFrame) -> Iterator[list]:
+        # where only sizes are asked for, a document is that many places of one zero
+        texts = (np.asarray(ids, np.int32) for ids in part["ids"]) if self.parts else (np.broadcast_to(np.int32(0), int(n)) for n in part["__size"])
+        for ids in texts:
+            if len(ids) < 2:
+                continue
+            self.source += len(ids)
+            while len(ids) > self.width:
+                yield from self.full(ids[: self.width])
+                ids = ids[self.width :]
+            if len(ids) >= 2:
+                self.put(ids)
             else:
-                held, docs = held + int(size), docs + 1
-        if held:
-            out.append([held, docs, True])
-        key = frame[group_col].iloc[0]
-        return pd.DataFrame([[key, i, *row] for i, row in enumerate(out)], columns=[group_col, "shard", "tokens", "documents", "aligned"])
+                self.dropped += len(ids)
+            while len(self.waiting) >= self.buffer:
+                yield from self.place()
 
-    kind = lengths.schema[group_col].dataType.simpleString()
-    return lengths.groupBy(group_col).applyInPandas(run, f"{group_col} {kind}, shard long, tokens long, documents long, aligned boolean")
+    def full(self, ids: np.ndarray) -> Iterator[list]:
+        self.rows += 1
+        if self.parts:
+            yield [self.rows - 1, ids.tolist()]
+
+    def place(self) -> Iterator[list]:
+        """Put one document, or a part, in the open row."""
+        at = bisect.bisect_right(self.waiting, (self.room, 1)) - 1
+        if at >= 0:
+            ids = self.take(at)
+            self.row.append(ids)
+            self.room -= len(ids)
+        else:
+            ids = self.take(bisect.bisect_right(self.waiting, (self.waiting[0][0], 1)) - 1)
+            self.row.append(ids[: self.room])
+            rest = ids[self.room :]
+            self.room = 0
+            if len(rest) >= 2:
+                self.put(rest)
+            else:
+                self.dropped += len(rest)
+        if not self.room:
+            row, self.row, self.room = self.row, [], self.width
+            yield from self.full(np.concatenate(row) if self.parts else row[0])
+
+    def close(self) -> Iterator[list]:
+        while self.waiting:
+            yield from self.place()
+        self.dropped += self.width - self.room
+        yield [-1, []] if self.parts else [self.rows, self.source, self.dropped]
 
 
-def packed_rows(lengths: DataFrame, order_col: str, size_col: str, context: int, group_col: str, buffer: int = 1024) -> DataFrame:
+def packed_rows(lengths: DataFrame, order_col: str, size_col: str, context: int, group_col: str, buffer: int = 1024, per_strand: int = PER_STRAND) -> DataFrame:
     """``group, rows, source_tokens, dropped_tokens``: best-fit packing of documents in rows of context + 1 tokens.
 
     The longest buffered document that fits goes next; if none does, the shortest is cut to fill the row. Parts of one token, and the
-    last row if it isn't full, are dropped and counted. The buffer is kept sorted, so that a fit is found by bisection.
+    last row if it isn't full, are dropped and counted.
     """
-    width = context + 1
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        waiting: list[int] = []
-        rows = source = dropped = 0
-        feed: Iterator[int] = iter(int(s) for s in frame.sort_values(order_col)[size_col])
-        more = True
-
-        def refill() -> None:
-            nonlocal rows, source, dropped, more
-            while more and len(waiting) < buffer:
-                size = next(feed, None)
-                if size is None:
-                    more = False
-                    return
-                if size < 2:
-                    continue
-                source += size
-                full = (size - 1) // width if size > width else 0
-                rows += full
-                rest = size - full * width
-                if rest >= 2:
-                    bisect.insort(waiting, rest)
-                else:
-                    dropped += rest
-
-        refill()
-        while waiting:
-            room = width
-            while room:
-                refill()
-                if not waiting:
-                    break
-                i = bisect.bisect_right(waiting, room) - 1
-                if i >= 0:
-                    room -= waiting.pop(i)
-                else:
-                    rest = waiting.pop(0) - room
-                    room = 0
-                    if rest >= 2:
-                        bisect.insort(waiting, rest)
-                    else:
-                        dropped += rest
-            if room:
-                dropped += width - room
-                break
-            rows += 1
-        return pd.DataFrame([[frame[group_col].iloc[0], rows, source, dropped]], columns=[group_col, "rows", "source_tokens", "dropped_tokens"])
-
-    kind = lengths.schema[group_col].dataType.simpleString()
-    return lengths.groupBy(group_col).applyInPandas(run, f"{group_col} {kind}, rows long, source_tokens long, dropped_tokens long")
+    sized = lengths.select(group_col, order_col, F.col(size_col).alias("__size"))
+    rows = stranded(sized, order_col, "__size", per_strand).select(group_col, "strand", order_col, "__size")
+    found = streamed(rows, [group_col, "strand"], [order_col], lambda _: PackedRows(context + 1, buffer, False), f"{_kinds(rows, group_col, 'strand')}, rows long, source_tokens long, dropped_tokens long")
+    return found.groupBy(group_col).agg(*(F.sum(c).alias(c) for c in ("rows", "source_tokens", "dropped_tokens")))
 
 
-def best_fit_decreasing(lengths: DataFrame, order_col: str, size_col: str, capacity: int, category_col: str) -> DataFrame:
-    """``category, order, bin``: longest examples first, each in the fullest bin of its category with room; longer ones are skipped."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        ordered = frame[frame[size_col] <= capacity].sort_values([size_col, order_col], ascending=[False, True])
-        room: list[tuple[int, int]] = []
-        bins, out = 0, []
-        for key, size in zip(ordered[order_col], ordered[size_col], strict=True):
-            i = bisect.bisect_left(room, (int(size), -1))
-            if i < len(room):
-                left, number = room.pop(i)
+def packed_token_rows(encoded: DataFrame, order_col: str, context: int, group_col: str, buffer: int = 1024, per_strand: int = PER_STRAND) -> DataFrame:
+    """``group, row, ids``: the rows of ``packed_rows`` themselves, context + 1 token ids each."""
+    rows = stranded(encoded.select(group_col, order_col, "ids", F.size("ids").alias("__size")), order_col, "__size", per_strand)
+    found = streamed(rows.select(group_col, "strand", order_col, "ids"), [group_col, "strand"], [order_col], lambda _: PackedRows(context + 1, buffer, True), f"{_kinds(rows, group_col, 'strand')}, row long, ids array<int>")
+    return numbered_over_strands(found.where("row >= 0"), group_col, "row")
+
+
+class BestFit(Folder):
+    """Bins of a category: examples come longest first, each goes to the fullest bin with room."""
+
+    def __init__(self, capacity: int, order_col: str, size_col: str):
+        self.capacity, self.order_col, self.size_col = capacity, order_col, size_col
+        self.room: list[tuple[int, int]] = []
+        self.bins = 0
+
+    def add(self, part: pd.DataFrame) -> Iterator[list]:
+        for key, size in zip(part[self.order_col].tolist(), part[self.size_col].tolist(), strict=True):
+            i = bisect.bisect_left(self.room, (int(size), -1))
+            if i < len(self.room):
+                left, number = self.room.pop(i)
             else:
-                left, number = capacity, bins
-                bins += 1
-            bisect.insort(room, (left - int(size), number))
-            out.append([frame[category_col].iloc[0], key, number])
-        return pd.DataFrame(out, columns=[category_col, order_col, "bin"])
-
-    kinds = {c: lengths.schema[c].dataType.simpleString() for c in (category_col, order_col)}
-    return lengths.groupBy(category_col).applyInPandas(run, f"{category_col} {kinds[category_col]}, {order_col} {kinds[order_col]}, bin long")
+                left, number = self.capacity, self.bins
+                self.bins += 1
+            if left > size:
+                bisect.insort(self.room, (left - int(size), number))
+            yield [key, number]
+
+    def close(self) -> Iterator[list]:
+        return iter(())
+
+
+def best_fit_decreasing(lengths: DataFrame, order_col: str, size_col: str, capacity: int, category_col: str) -> DataFrame:
+    """``category, order, bin``: longest examples first, each in the fullest bin of its category with room; longer ones are skipped.
+
+    A category's rows stream through its task in order; what is held are the bins that still have room.
+    """
+    kept = lengths.where(F.col(size_col) <= capacity).select(category_col, order_col, F.col(size_col).alias("__size"), (-F.col(size_col)).alias("__order"))
+    return streamed(kept, [category_col], ["__order", order_col], lambda _: BestFit(capacity, order_col, "__size"), f"{_kinds(lengths, category_col, order_col)}, bin long")
+
+
+def packing_stats(bins: DataFrame, lengths: DataFrame, order_col: str, size_col: str, capacity: int, category_col: str) -> DataFrame:
+    """``category, sequences, examples, examples_per_sequence, tokens, padded, efficiency`` of packed examples; categories never share a sequence."""
+    met = bins.join(lengths.select(F.col(order_col), F.col(size_col).alias("__size")), order_col)
+    row = met.groupBy(category_col).agg(F.count_distinct("bin").alias("sequences"), F.count(F.lit(1)).alias("examples"), F.sum("__size").alias("tokens"))
+    places = F.col("sequences") * capacity
+    return row.select(category_col, "sequences", "examples", (F.col("examples") / F.col("sequences")).alias("examples_per_sequence"), "tokens", (places - F.col("tokens")).alias("padded"), (F.col("tokens") / places).alias("efficiency"))
+
+
+def packing_warnings(runs: DataFrame) -> DataFrame:
+    """``run, warning`` of runs (run, packing, sampling, packed_sequences, mixed_sequences, examples_per_sequence): best-fit rows with several examples, or of several categories where sampling goes by category."""
+    fit = F.col("packing") == "bos_bestfit"
+    mixed = fit & (F.col("mixed_sequences") > 0) & (F.col("sampling") != "uniform") & (F.col("mixed_sequences") / F.greatest(F.lit(1), F.col("packed_sequences")) >= 0.5)
+    named = flags((fit & (F.col("examples_per_sequence") > 1.1), "several_examples_in_a_context"), (mixed, "sequences_mix_categories"))
+    return runs.select("run", F.explode(named).alias("warning"))
+
+
+def token_stream(encoded: DataFrame, order_col: str) -> DataFrame:
+    """``order_col, ids, start``: documents' ids and where they stand in the stream of all."""
+    from corpusloom.operators.corpus import running_total
+
+    return running_total(encoded.select(order_col, "ids"), order_col, F.size("ids")).withColumnRenamed("__before", "start")
+
+
+def random_windows(shards: DataFrame, context: int, n: int, seed: int) -> DataFrame:
+    """``draw, shard, start``: ``n`` windows of ``context`` + 1 tokens, a shard by its number of windows and a place in it evenly.
+
+    ``shards`` has ``shard, num_tokens``. A draw is a number of all windows; draws and shards meet by equal parts of these numbers and then by range.
+    """
+    from corpusloom.operators.corpus import running_total
+    from corpusloom.operators.splits import order_hash
+
+    counted = shards.select("shard", window_counts(F.col("num_tokens"), context).alias("__n")).where("__n > 0")
+    placed = running_total(counted, "shard", F.col("__n"))
+    total = counted.agg(F.sum("__n")).first()[0] or 0
+    if not total:
+        raise ValueError("no shard has a window")
+    cells = max(1, min(4_096, total))
+    width = -(-total // cells)
+    ranged = placed.withColumn("__cell", F.explode(F.sequence(F.floor(F.col("__before") / width), F.floor((F.col("__before") + F.col("__n") - 1) / width))))
+    u = F.conv(F.substring(order_hash(F.col("id"), seed), 1, 12), 16, 10).cast("double") / float(16**12)
+    draws = shards.sparkSession.range(n).select(F.col("id").alias("draw"), F.floor(u * total).alias("__at")).withColumn("__cell", F.floor(F.col("__at") / width))
+    inside = (F.col("__at") >= F.col("__before")) & (F.col("__at") < F.col("__before") + F.col("__n"))
+    return draws.join(ranged, "__cell").where(inside).select("draw", "shard", (F.col("__at") - F.col("__before")).alias("start"))
 
 
 def masked_labels(prompt: Column, answer: Column) -> Column:

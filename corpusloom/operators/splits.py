@@ -33,13 +33,33 @@ def holdout_split(rows: DataFrame, key: str, fraction: float, seed: int) -> Data
 
 def group_split(rows: DataFrame, group: str, fraction: float, seed: int) -> DataFrame:
     """``rows`` with ``split``: whole groups go to ``val`` in order of hash until it has ``fraction`` of the rows; one group at least stays in ``train``."""
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).withColumn("h", order_hash(F.col(group), seed))
-    total = sizes.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("groups"))
-    order = Window.orderBy("h", group)
-    placed = sizes.withColumn("before", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("rn", F.row_number().over(order)).join(F.broadcast(total))
-    target = F.greatest(F.lit(1), F.floor(F.col("total") * F.lit(fraction)))
-    chosen = placed.select(group, F.when((F.col("before") < target) & (F.col("rn") < F.col("groups")), "val").otherwise("train").alias("split"))
-    return rows.join(chosen, group)
+    from corpusloom.operators.corpus import running_total
+
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).withColumn("__place", hash_place(F.col(group), seed))
+    total = sizes.agg(F.sum("n").alias("total"), F.max(F.struct("__place", group)).alias("last")).first()
+    if total.total is None:
+        return rows.withColumn("split", F.lit("train"))
+    target = max(1, int(total.total * fraction))
+    placed = running_total(sizes, "__place", F.col("n"), [group])
+    is_last = (F.col("__place") == total["last"]["__place"]) & F.col(group).eqNullSafe(F.lit(total["last"][group]))
+    chosen = placed.select(F.col(group).alias("__group"), F.when((F.col("__before") < target) & ~is_last, "val").otherwise("train").alias("split"))
+    return rows.join(chosen, F.col(group).eqNullSafe(F.col("__group"))).drop("__group")
+
+
+def hash_place(key: Column, seed: int) -> Column:
+    """The order's hash as a number, for ranges."""
+    return F.conv(F.substring(order_hash(key, seed), 1, 14), 16, 10).cast("long")
+
+
+def example_split(rows: DataFrame, key: str, group: str, fraction: float, seed: int) -> tuple[DataFrame, str]:
+    """Chat or preference rows with ``split``, and how: one example is on both sides, groups go whole if every row has one and there are two, else rows go by themselves."""
+    n = rows.limit(2).count()
+    if n < 2:
+        return rows.withColumn("split", F.explode(F.array(F.lit("train"), F.lit("val")))), "single_example"
+    row = rows.agg(F.count(F.when(F.coalesce(F.trim(group), F.lit("")) == "", 1)).alias("bare"), F.count_distinct(group).alias("groups")).first()
+    if row.bare == 0 and row.groups >= 2:
+        return group_split(rows, group, fraction, seed), "group"
+    return holdout_split(rows, key, fraction, seed), "random"
 
 
 def category_weights(rows: DataFrame, category: str, power: float = 1.0) -> DataFrame:
@@ -52,13 +72,18 @@ def weighted_sample(rows: DataFrame, key: str, weight: str, draws: int, seed: in
 
     Rows and uniforms meet by equal hundredths of the total weight and then by range.
     """
+    from corpusloom.operators.corpus import running_total
+
     cells = 256
     total = rows.agg(F.sum(weight)).first()[0]
-    order = Window.orderBy(key)
-    placed = rows.withColumn("__to", F.sum(weight).over(order) / F.lit(total)).withColumn("__from", F.col("__to") - F.col(weight) / F.lit(total))
+    if not total:
+        raise ValueError("nothing to draw from")
+    named = rows.withColumn("__place", hash_place(F.col(key), seed))
+    placed = running_total(named, "__place", F.col(weight).cast("double"), [key]).withColumn("__from", F.col("__before") / F.lit(float(total))).withColumn("__to", F.col("__from") + F.col(weight) / F.lit(float(total))).drop("__before", "__place")
     ranged = placed.withColumn("__cell", F.explode(F.sequence(F.floor(F.col("__from") * cells), F.floor(F.least(F.col("__to"), F.lit(0.9999999)) * cells))))
     uniforms = rows.sparkSession.range(draws).select(F.col("id").alias("draw"), (F.conv(F.substring(order_hash(F.col("id"), seed), 1, 12), 16, 10).cast("double") / float(16**12)).alias("u")).withColumn("__cell", F.floor(F.col("u") * cells))
-    return uniforms.join(ranged, "__cell").where((F.col("u") >= F.col("__from")) & (F.col("u") < F.col("__to"))).drop("__cell", "__from", "__to", "u")
+    # the last range takes what rounding leaves above it
+    return uniforms.join(ranged, "__cell").where((F.col("u") >= F.col("__from")) & ((F.col("u") < F.col("__to")) | (F.col("__to") > 1 - 1e-12))).drop("__cell", "__from", "__to", "u")
 
 
 def quota_floor(total: int, weights: dict[str, float]) -> dict[str, int]:
@@ -81,8 +106,7 @@ def batches(rows: DataFrame, key: str, seed: int, size: int, ranks: int = 1) ->
     """``key, position, batch, rank``: a permutation of the rows for an epoch (the seed), dealt in batches to ranks; any batch can be found again."""
     from corpusloom.operators.corpus import running_total
 
-    place = F.conv(F.substring(order_hash(F.col(key), seed), 1, 14), 16, 10).cast("long")
-    numbered = running_total(rows.select(key).withColumn("__place", place), "__place", F.lit(1))
+    numbered = running_total(rows.select(key).withColumn("__place", hash_place(F.col(key), seed)), "__place", F.lit(1), [key])
     return numbered.select(key, F.col("__before").alias("position"), F.floor(F.col("__before") / size).alias("batch"), (F.floor(F.col("__before") / size) % ranks).alias("rank"))
 
 

@@ -42,14 +42,50 @@ def memorization_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("risk", con.memorization_risk(F.col("overlap_rate"), F.col("longest"), F.lit(0)))
 
 
-def contamination_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, items = _records(spark, sf_dir, "documents", "doc_id"), _records(spark, sf_dir, "benchmark", "item_id")
+def _matrix_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Corpus, chat, evaluation and generated records: benchmark items ask for a phrase of theirs; generated replies are others' answers, some with a word more."""
     pairs = chat_pairs(spark, sf_dir)
-    prompts = con.records(pairs, "conv_id", "user")
-    rows = [con.matrix_pair("base_corpus_vs_sft", docs, prompts), con.matrix_pair("base_corpus_vs_eval", docs, items), con.matrix_pair("sft_vs_eval", prompts, items)]
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("user"), F.lit("bench").alias("category"), F.array(F.array_join(F.slice(F.split("text", " "), 3, 5), " ")).alias("must_include"), F.lit(None).cast("array<array<string>>").alias("must_include_any"))
+    replies = pairs.where("conv_id % 3 = 0").select("conv_id", F.when(F.col("conv_id") % 2 == 0, F.concat("assistant", F.lit(" indeed"))).otherwise(F.concat(F.lit("well "), F.col("user"))).alias("reply"))
+    return _records(spark, sf_dir, "documents", "doc_id"), con.chat_records(pairs), con.eval_records(items, "item_id"), con.reply_records(replies, "conv_id", "reply")
+
+
+def contamination_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return con.contamination_matrix(*_matrix_tables(spark, sf_dir))
+
+
+def matrix_corpus_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix's pairs with the corpus."""
+    corpus, chat, evaluation, generated = _matrix_tables(spark, sf_dir)
+    rows = [con.corpus_matrix_pair(n, corpus, t) for n, t in (("sft", chat), ("eval", evaluation), ("generated", generated))]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
+def matrix_best_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best matches of generated replies among the chat rows: where an answer was taken over."""
+    _, chat, _, generated = _matrix_tables(spark, sf_dir)
+    found = con.record_matches(chat, generated)
+    best = found.where("exact or near").groupBy("target_id").agg(F.max_by(F.struct("exact", "near", "overlap_rate", "longest"), F.struct(con.match_rank(), -F.col("reference_id"))).alias("m"))
+    return generated.select(F.col("id").alias("target_id"), "line").join(best, "target_id").select("line", "m.exact", "m.near", "m.overlap_rate", "m.longest")
+
+
+def support_phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What evaluation rows ask for, found in answers and in the corpus."""
+    from corpusloom.plans.evaluation import items
+
+    asked = con.support_phrases(items(spark, sf_dir), "conv_id")
+    return asked.groupBy("id").agg(F.count(F.lit(1)).alias("phrases"))
+
+
+def nested_phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of the prompts' first words that count as found since the whole was."""
+    pairs = chat_pairs(spark, sf_dir)
+    cut = lambda low, n: pairs.select((F.col("conv_id") * 10 + low).alias("id"), F.array_join(F.slice(F.split(F.col("user"), " "), low, n), " ").alias("t"))
+    phrases = con.records(cut(1, 8).unionByName(cut(2, 4)).unionByName(cut(3, 3)), "id", "t")
+    found = phrases.where("id % 10 = 1 and id % 30 = 1").select(F.col("id").alias("phrase_id"))
+    return con.nested_phrases(found, phrases)
+
+
 def leak_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _records(spark, sf_dir, "benchmark", "item_id")
     chat = con.records(chat_pairs(spark, sf_dir), "conv_id", "user")
@@ -67,15 +103,24 @@ def canary_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answer_phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First three words and more of the prompts that stand in some answer."""
+    """Three words within each answer, some cut at their ends, and the first answer that holds them."""
     pairs = chat_pairs(spark, sf_dir)
-    phrases = con.records(pairs.select("conv_id", F.array_join(F.slice(F.split(F.col("user"), " "), 1, 5), " ").alias("t")), "conv_id", "t")
+    words = F.slice(F.split(F.col("assistant"), " "), 2, 6)
+    phrase = F.array_join(words, " ")
+    phrases = con.records(pairs.select("conv_id", F.when(F.col("conv_id") % 2 == 0, phrase).otherwise(F.expr("substring(array_join(slice(split(assistant, ' '), 2, 6), ' '), 2)")).alias("t")), "conv_id", "t")
     return con.answer_hits(phrases, con.records(pairs, "conv_id", "assistant"))
 
 
+def _asked(spark: SparkSession, sf_dir: str, least_words: int) -> DataFrame:
+    """Prompts of ``least_words`` different words and more, and every third again with a word more or a letter less."""
+    pairs = chat_pairs(spark, sf_dir).where(F.size(F.array_distinct(F.expr("regexp_extract_all(lower(user), '[a-z0-9]+', 0)"))) >= least_words).select("conv_id", "user")
+    more = pairs.where("conv_id % 3 = 0").select((F.col("conv_id") + 1_000_000).alias("conv_id"), F.concat("user", F.lit(" please")).alias("user"))
+    return pairs.unionByName(more)
+
+
 def near_prompt_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = chat_pairs(spark, sf_dir)
-    targets, references = pairs.where("conv_id % 2 = 0"), pairs.where("conv_id % 2 = 1")
+    asked = _asked(spark, sf_dir, 4)
+    targets, references = asked.where("conv_id >= 1000000"), asked.where("conv_id < 1000000")
     return con.near_leaks(con.records(targets, "conv_id", "user"), con.records(references, "conv_id", "user"))
 
 
@@ -97,25 +142,18 @@ def category_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicate_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.duplicate_prompts(table(spark, sf_dir, "conversations").where("role = 'user'"), "text")
+    """Prompts and openings that come more than once, but for case and white space."""
+    said = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("  "), F.upper(F.expr("split(text, ' ')[0]")))).otherwise(F.expr("split(text, ' ')[0]")).alias("text"))
+    return dedup.duplicate_prompts(said, "text")
 
 
 def prompt_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.near_prompts(chat_pairs(spark, sf_dir), "conv_id")
+    return dedup.near_prompts(_asked(spark, sf_dir, 2), "conv_id")
 
 
 def prompt_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of different prompts with the same first token and word sets that agree by .5 and more."""
-    return dedup.near_prompts(chat_pairs(spark, sf_dir), "conv_id", least=0.999).select("left_id", "right_id").limit(0).unionByName(_jaccard_pairs(spark, sf_dir))
-
-
-def _jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from corpusloom.functions.text import set_jaccard, tokens
-
-    keyed = chat_pairs(spark, sf_dir).select("conv_id", norm_ws("user").alias("p"), F.array_distinct(tokens("user")).alias("t")).withColumn("first", F.col("t")[0])
-    left = keyed.select(F.col("conv_id").alias("left_id"), F.col("p").alias("a"), F.col("t").alias("ta"), "first")
-    right = keyed.select(F.col("conv_id").alias("right_id"), F.col("p").alias("b"), F.col("t").alias("tb"), "first")
-    return left.join(right, "first").where((F.col("left_id") < F.col("right_id")) & (F.col("a") != F.col("b")) & (set_jaccard(F.col("ta"), F.col("tb")) >= 0.5)).select("left_id", "right_id")
+    """Near prompts of so many words that one more leaves their word sets alike."""
+    return dedup.near_prompts(_asked(spark, sf_dir, 12), "conv_id")
 
 
 def template_family(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,8 +206,11 @@ def mixture_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _packs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Evaluation and training rows; some evaluation rows repeat a training prompt or ask for what a training answer holds; one bucket has no training rows."""
     rows = chat_pairs(spark, sf_dir).select(F.col("conv_id").alias("id"), "user", "assistant", tuning.behavior_bucket(F.col("category")).alias("bucket"))
-    return rows.where("id % 3 = 0"), rows.where("id % 3 <> 0")
+    train = rows.where("id % 3 <> 0 and bucket <> 'spelling'")
+    again = train.where("id % 5 = 0").select((F.col("id") + 1_000_000).alias("id"), F.concat("user", F.when(F.col("id") % 2 == 0, F.lit("")).otherwise(F.lit(" please"))).alias("user"), F.array_join(F.slice(F.split("assistant", " "), 2, 6), " ").alias("assistant"), F.when(F.col("id") % 4 == 0, F.lit("spelling")).otherwise(F.col("bucket")).alias("bucket"))
+    return rows.where("id % 3 = 0").unionByName(again), train
 
 
 def pack_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,7 +237,7 @@ def rounded_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.rounded_split(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 0.155, 9)
 
 
-QUERIES = {f.__name__: f for f in (pack_contamination, pack_answer_hits, eval_inspection, resumable_batches, rounded_split, contamination_exact, contamination_contains, ngram_overlap, nearest_references, memorization_report, contamination_matrix, leak_findings, honesty_status, canary_hits, answer_phrase_hits, near_prompt_leaks, sft_pairs, conversation_messages, chat_length_distribution, category_entropy, duplicate_prompts, prompt_near_dups, prompt_jaccard_pairs, template_family, answer_style, curriculum_mix, behavior_buckets, sft_inspection, char_budget_filter, doc_split, group_split, category_weights, weighted_sample_rates, mixture_quotas)}
+QUERIES = {f.__name__: f for f in (matrix_corpus_pairs, matrix_best_matches, support_phrase_hits, nested_phrase_hits, pack_contamination, pack_answer_hits, eval_inspection, resumable_batches, rounded_split, contamination_exact, contamination_contains, ngram_overlap, nearest_references, memorization_report, contamination_matrix, leak_findings, honesty_status, canary_hits, answer_phrase_hits, near_prompt_leaks, sft_pairs, conversation_messages, chat_length_distribution, category_entropy, duplicate_prompts, prompt_near_dups, prompt_jaccard_pairs, template_family, answer_style, curriculum_mix, behavior_buckets, sft_inspection, char_budget_filter, doc_split, group_split, category_weights, weighted_sample_rates, mixture_quotas)}
 
 
 def _ngrams(source: str, key: str, n: int, alias: str) -> str:
@@ -230,8 +271,17 @@ ORACLES = {
     "conversation_messages": "WITH k AS (SELECT conv_id, turn, lower(role) AS role, text FROM conversations WHERE lower(role) IN ('system', 'user', 'assistant', 'tool')), g AS (SELECT conv_id, count(*) AS n, string_agg(upper(role[1]) || role[2:] || ': ' || text, chr(10) ORDER BY turn) AS r, max_by(role, turn) AS l FROM k GROUP BY conv_id) SELECT conv_id, n AS n_messages, md5(r) AS rendered_md5 FROM g WHERE l = 'assistant'",
     "chat_length_distribution": "WITH w AS (SELECT role, length(text) AS c, len(regexp_extract_all(text, '\\S+')) AS w FROM conversations) SELECT role, count(*) AS n, CAST(min(c) AS INTEGER) AS min_chars, CAST(max(c) AS INTEGER) AS max_chars, avg(c) AS avg_chars, CAST(min(w) AS INTEGER) AS min_words, CAST(max(w) AS INTEGER) AS max_words, avg(w) AS avg_words FROM w GROUP BY role",
     "category_entropy": "WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source), p AS (SELECT n / sum(n) OVER () AS p FROM c) SELECT count(*) AS categories, CASE WHEN count(*) > 1 THEN sum(-p * log2(p)) ELSE 0.0 END AS entropy, CASE WHEN count(*) > 1 THEN sum(-p * log2(p)) / log2(count(*)) ELSE 0.0 END AS entropy_normalized FROM p",
-    "duplicate_prompts": f"SELECT {_norm_ws('text')} AS prompt, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY 1 HAVING count(*) > 1",
-    "prompt_jaccard_pairs": f"""WITH {PAIRS_SQL}, k AS (SELECT conv_id, {_norm_ws('"user"')} AS p, {TOKS.format('"user"')}[1] AS f, list_distinct({TOKS.format('"user"')}) AS t FROM pairs) SELECT l.conv_id AS left_id, r.conv_id AS right_id FROM k l JOIN k r ON l.f = r.f AND l.conv_id < r.conv_id AND l.p <> r.p WHERE len(list_intersect(l.t, r.t)) / len(list_distinct(list_concat(l.t, r.t))) >= 0.5""",
+    "duplicate_prompts": "SELECT lower(split_part(text, ' ', 1)) AS prompt, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY 1 HAVING count(*) > 1",
+    "prompt_jaccard_pairs": f"""WITH {PAIRS_SQL}, q AS (SELECT conv_id, "user" AS u FROM pairs WHERE len(list_distinct({TOKS.format('"user"')})) >= 12), z AS (SELECT conv_id, u FROM q UNION ALL SELECT conv_id + 1000000, u || ' please' FROM q WHERE conv_id % 3 = 0), k AS (SELECT conv_id, {_norm_ws('u')} AS p, {TOKS.format('u')}[1] AS f, list_distinct({TOKS.format('u')}) AS t FROM z), m AS (SELECT l.conv_id AS left_id, r.conv_id AS right_id, len(list_intersect(l.t, r.t)) / len(list_distinct(list_concat(l.t, r.t))) AS similarity FROM k l JOIN k r ON l.f = r.f AND l.conv_id < r.conv_id AND l.p <> r.p) SELECT left_id, right_id, similarity FROM m WHERE similarity >= 0.9""",
+    "matrix_corpus_pairs": f"""WITH {PAIRS_SQL}, t0 AS (SELECT 'sft' AS pair, "user" AS text FROM pairs UNION ALL SELECT 'sft', assistant FROM pairs UNION ALL SELECT 'eval', text FROM benchmark UNION ALL SELECT 'eval', p FROM (SELECT array_to_string(string_split(text, ' ')[3:7], ' ') AS p FROM benchmark) WHERE len({TOKS.format('p')}) >= 3 AND length({NORM_TOKENS.format('p')}) >= 18 UNION ALL SELECT 'generated', CASE WHEN conv_id % 2 = 0 THEN assistant || ' indeed' ELSE 'well ' || "user" END FROM pairs WHERE conv_id % 3 = 0),
+ rec AS (SELECT row_number() OVER () AS id, pair, {TOKS.format('text')} AS t, {NORM_TOKENS.format('text')} AS n FROM t0 WHERE trim(text, ' \n\r\t') <> ''), {_ngrams('documents', 'doc_id', 8, 'b')}, cg AS (SELECT DISTINCT g FROM b), c AS (SELECT id, ' ' || array_to_string(t, ' ') || ' ' AS n FROM b_t WHERE len(t) > 0),
+ g AS (SELECT id, pair, unnest(range(len(t) - 7)) AS pos, unnest(list_transform(range(len(t) - 7), lambda i: array_to_string(t[i + 1:i + 8], ' '))) AS g FROM rec WHERE len(t) >= 8), h AS (SELECT id, pair, pos, g.g, cg.g IS NOT NULL AS hit FROM g LEFT JOIN cg ON g.g = cg.g), o AS (SELECT id, pair, count(DISTINCT g) FILTER (hit) / count(DISTINCT g) AS rate FROM h GROUP BY id, pair), i AS (SELECT id, pair, pos - row_number() OVER (PARTITION BY id ORDER BY pos) AS isl FROM h WHERE hit), runs AS (SELECT pair, max(n) + 7 AS longest FROM (SELECT id, pair, isl, count(*) AS n FROM i GROUP BY ALL) GROUP BY pair),
+ e AS (SELECT pair, count(*) AS exact_hits FROM rec WHERE length(rec.n) >= 24 AND EXISTS (SELECT 1 FROM c WHERE contains(c.n, ' ' || rec.n || ' ')) GROUP BY pair), s AS (SELECT pair, (SELECT count(*) FROM c) AS reference_items, count(*) AS target_items FROM rec GROUP BY pair), f AS (SELECT pair, reference_items, target_items, coalesce(exact_hits, 0) AS exact_hits, coalesce((SELECT max(rate) FROM o WHERE o.pair = s.pair), 0.0) AS max_overlap_rate, coalesce(longest, 0) AS max_longest FROM s LEFT JOIN e USING (pair) LEFT JOIN runs USING (pair))
+ SELECT *, 0 AS near_hits, CASE WHEN exact_hits > 0 THEN 1.0 ELSE 0.0 END AS max_similarity, CASE WHEN exact_hits > 0 OR max_overlap_rate >= 0.80 OR max_longest >= 40 THEN 'high' WHEN max_overlap_rate >= 0.35 OR max_longest >= 16 THEN 'medium' WHEN max_overlap_rate > 0 OR max_longest >= 8 THEN 'low' ELSE 'clean' END AS risk FROM f""",
+    "answer_phrase_hits": f"""WITH {PAIRS_SQL}, p AS (SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN x ELSE substring(x, 2) END AS x FROM (SELECT conv_id, array_to_string(string_split(assistant, ' ')[2:7], ' ') AS x FROM pairs)), n AS (SELECT conv_id AS phrase_id, {NORM_TOKENS.format('x')} AS phrase FROM p), a AS (SELECT conv_id AS answer_id, {NORM_TOKENS.format('assistant')} AS t FROM pairs) SELECT phrase_id, min(answer_id) AS answer_id FROM n JOIN a ON contains(t, phrase) WHERE length(phrase) >= 18 AND len(string_split(phrase, ' ')) >= 3 AND phrase NOT IN ('not in the provided material', 'provided domain material') GROUP BY phrase_id""",
+    "nested_phrase_hits": f"""WITH {PAIRS_SQL}, p AS (SELECT conv_id * 10 + 1 AS id, array_to_string(string_split("user", ' ')[1:8], ' ') AS x FROM pairs UNION ALL SELECT conv_id * 10 + 2, array_to_string(string_split("user", ' ')[2:5], ' ') FROM pairs UNION ALL SELECT conv_id * 10 + 3, array_to_string(string_split("user", ' ')[3:5], ' ') FROM pairs), n AS (SELECT id, {NORM_TOKENS.format('x')} AS n FROM p), h AS (SELECT n FROM n WHERE id % 30 = 1 AND n <> '') SELECT DISTINCT n.id AS phrase_id FROM n JOIN h ON contains(h.n, n.n) WHERE n.n <> ''""",
+    "support_phrase_hits": f"""WITH {PAIRS_SQL}, i AS (SELECT conv_id, {TOKS.format('"user"')} AS t FROM pairs WHERE len({TOKS.format('"user"')}) >= 2) SELECT conv_id AS id, len(list_distinct(list_concat(CASE WHEN conv_id % 2 = 0 THEN [t[1]] ELSE [] END, CASE WHEN conv_id % 5 = 0 THEN [t[1], t[2]] ELSE [] END))) AS phrases FROM i WHERE conv_id % 2 = 0 OR conv_id % 5 = 0""",
+    "weighted_sample_rates": f"WITH c AS (SELECT c_mktsegment AS k, 1.0 / sqrt(count(*)) AS w FROM customer GROUP BY 1), p AS (SELECT k, w, CAST('0x' || substring({_MD5.format(chr(39) + '3' + chr(39), 'k')}, 1, 14) AS BIGINT) AS o, sum(w) OVER () AS total FROM c), r AS (SELECT k, coalesce(sum(w) OVER (ORDER BY o, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / total AS f, sum(w) OVER (ORDER BY o, k) / total AS t FROM p), u AS (SELECT CAST('0x' || substring({_MD5.format(chr(39) + '3' + chr(39), 'i')}, 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE AS u FROM range(5000) AS x(i)) SELECT k AS c_mktsegment, count(*) AS n FROM u JOIN r ON u >= f AND (u < t OR t > 1 - 1e-12) GROUP BY k",
     "template_family": "SELECT regexp_replace(regexp_replace(lower(p_brand) || '-' || p_size, '[-_]\\d+$', ''), '[-_]\\d+$', '') AS family, count(*) AS n FROM part GROUP BY 1",
     "answer_style": f"WITH {PAIRS_SQL} SELECT CASE WHEN contains(assistant, 'Scratchpad:') AND contains(assistant, 'Final answer:') THEN 'scratchpad' ELSE 'direct' END AS style, count(*) AS n FROM pairs GROUP BY 1",
     "curriculum_mix": f"WITH {PAIRS_SQL}, b AS (SELECT CASE WHEN regexp_matches(category, 'math|spelling|choice|mmlu|gsm|arc|bench_') THEN 's' WHEN regexp_matches(category, 'identity|refusal') THEN 'b' ELSE 'd' END AS k FROM pairs), a AS (SELECT count(*) AS n, avg(CAST(k = 's' AS INTEGER)) AS skill, avg(CAST(k = 'b' AS INTEGER)) AS behavior, avg(CAST(k = 'd' AS INTEGER)) AS domain FROM b) SELECT *, CASE WHEN n = 0 THEN 'unknown' WHEN skill > 0 AND behavior > 0 AND least(skill, behavior) >= 0.20 THEN 'mixed_behavior_skill_sft' WHEN skill >= 0.7 THEN 'skill_sft' WHEN behavior >= 0.7 THEN 'behavior_sft' WHEN domain >= 0.7 THEN 'domain_sft' WHEN skill > 0 AND behavior > 0 THEN 'mixed_behavior_skill_sft' ELSE 'mixed_sft' END AS label FROM a",
@@ -242,7 +292,7 @@ ORACLES = {
     "group_split": f"WITH s AS (SELECT source, count(*) AS n, {_MD5.format(chr(39) + '7' + chr(39), 'source')} AS h FROM documents GROUP BY source), p AS (SELECT source, n, coalesce(sum(n) OVER (ORDER BY h, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, row_number() OVER (ORDER BY h, source) AS rn, sum(n) OVER () AS t, count(*) OVER () AS g FROM s) SELECT source, CASE WHEN b < greatest(1, floor(t * 0.15::DOUBLE)) AND rn < g THEN 'val' ELSE 'train' END AS split, n FROM p",
     "category_weights": "SELECT c_mktsegment, count(*) AS n, 1.0 / count(*) AS weight, 1.0 / sqrt(count(*)) AS sqrt_weight FROM customer GROUP BY 1",
     "mixture_quotas": "WITH s AS (SELECT c_mktsegment AS name, CAST(count(*) AS DOUBLE) AS weight FROM customer GROUP BY 1), e AS (SELECT *, 997.0::DOUBLE * weight / sum(weight) OVER () AS x FROM s), f AS (SELECT *, floor(x) AS fl FROM e), r AS (SELECT *, row_number() OVER (ORDER BY x - fl DESC, name DESC) AS rk, 997 - sum(fl) OVER () AS l FROM f) SELECT name, weight, CAST(fl + CASE WHEN rk <= l THEN 1 ELSE 0 END AS BIGINT) AS quota FROM r",
-    "pack_answer_hits": f"""WITH {PAIRS_SQL}, b AS (SELECT conv_id AS id, {NORM_TOKENS.format('"user"')} AS u, {NORM_TOKENS.format('assistant')} AS a, CASE WHEN category LIKE 'identity%' OR category LIKE '%refusal%' THEN 'x' ELSE 'y' END AS k FROM pairs), t AS (SELECT * FROM b WHERE id % 3 <> 0), e AS (SELECT * FROM b WHERE id % 3 = 0), m AS (SELECT u, max(id) AS id FROM t GROUP BY u) SELECT 'exact_prompt' AS kind, e.id AS eval_id, m.id AS train_id FROM e JOIN m USING (u) WHERE u <> '' UNION ALL SELECT 'answer_in_train', e.id, min(t.id) FROM e JOIN t ON contains(' ' || t.a || ' ', ' ' || e.a || ' ') WHERE e.k = 'y' AND length(e.a) >= 12 GROUP BY e.id""",
+    "pack_answer_hits": f"""WITH {PAIRS_SQL}, b AS (SELECT conv_id AS id, "user" AS u0, assistant AS a0, CASE WHEN category LIKE 'bench_choice%' THEN 'choice' WHEN category LIKE 'bench_math%' THEN 'math' WHEN category LIKE 'bench_spelling%' THEN 'spelling' WHEN category LIKE 'identity%' THEN 'identity' WHEN category LIKE '%refusal%' THEN 'refusal' ELSE 'other' END AS k FROM pairs), t0 AS (SELECT * FROM b WHERE id % 3 <> 0 AND k <> 'spelling'), e0 AS (SELECT * FROM b WHERE id % 3 = 0 UNION ALL SELECT id + 1000000, u0 || CASE WHEN id % 2 = 0 THEN '' ELSE ' please' END, array_to_string(string_split(a0, ' ')[2:7], ' '), CASE WHEN id % 4 = 0 THEN 'spelling' ELSE k END FROM t0 WHERE id % 5 = 0), t AS (SELECT id, k, {NORM_TOKENS.format('u0')} AS u, {NORM_TOKENS.format('a0')} AS a FROM t0), e AS (SELECT id, k, {NORM_TOKENS.format('u0')} AS u, {NORM_TOKENS.format('a0')} AS a FROM e0), m AS (SELECT u, max(id) AS id FROM t GROUP BY u) SELECT 'exact_prompt' AS kind, e.id AS eval_id, m.id AS train_id FROM e JOIN m USING (u) WHERE u <> '' UNION ALL SELECT 'answer_in_train', e.id, min(t.id) FROM e JOIN t ON contains(' ' || t.a || ' ', ' ' || e.a || ' ') WHERE e.k NOT IN ('refusal', 'identity') AND length(e.a) >= 12 GROUP BY e.id""",
     "eval_inspection": f"""WITH {PAIRS_SQL}, i AS (SELECT conv_id, "user" AS u FROM pairs WHERE len({TOKS.format('"user"')}) >= 2), r AS (SELECT u, conv_id, CAST(conv_id % 2 = 0 AS INTEGER) + CAST(conv_id % 3 = 0 AS INTEGER) AS base, CAST(conv_id % 5 = 0 AS INTEGER) AS grp FROM i), g AS (SELECT * FROM r WHERE base > 0), p AS (SELECT count(*) AS n FROM g GROUP BY {_norm_ws('u')}), a AS (SELECT count(*) AS items, CAST(sum(base + grp) AS BIGINT) AS rules, count(*) FILTER (conv_id % 4 = 0) AS unanswerable FROM g), x AS (SELECT count(*) FILTER (base = 0) AS invalid FROM r), d AS (SELECT CAST(sum(n - 1) AS BIGINT) AS repeated FROM p) SELECT items, invalid, rules, unanswerable, repeated, CASE WHEN items = 0 OR invalid > 0 OR rules = 0 THEN 'blocked' WHEN items < 4 OR unanswerable = 0 THEN 'caution' ELSE 'ready' END AS status FROM a, x, d""",
     "resumable_batches": f"WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {_MD5.format(chr(39) + '5' + chr(39), 'doc_id')}) - 1 AS position FROM documents) SELECT doc_id, position, position // 32 AS batch, position // 32 % 4 AS rank FROM r",
     "rounded_split": f"WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {_MD5.format(chr(39) + '9' + chr(39), 'doc_id')}) AS rn, count(*) OVER () AS n FROM documents) SELECT doc_id, CASE WHEN rn <= round_even(n * 0.155::DOUBLE, 0) THEN 'val' ELSE 'train' END AS split FROM r",

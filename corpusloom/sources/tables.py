@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which driver and executors share; a local one only where that is unset and all runs in one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="corpusloom-")
+    return folder
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over as many tasks as there are cores, where a scan has fewer splits (a file of one row group); else as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def chat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conv_id, user, assistant, category``: pairs of the conversations, with categories dealt by id as the fixtures have them."""
     names = F.array(*[F.lit(c) for c in CATEGORIES])
