@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions.text import distinct_ngrams, ngrams, preview, set_jaccard, tokens
 from corpusloom.operators.dedup import sequence_ratio
@@ -224,7 +225,7 @@ def longest_overlap(target: Column, reference: Column, most: int = 120) -> Colum
     return _longest_run(F.slice(target, 1, most), F.array_join(reference, " "))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _longest_run(tokens_of: pd.Series, text: pd.Series) -> pd.Series:
     def one(words: list[str], whole: str) -> int:
         whole, best = f" {whole} ", 0
@@ -385,3 +386,10 @@ def assert_disjoint(left: DataFrame, right: DataFrame, key: str) -> None:
     """An error if two tables share a key."""
     if not left.join(right.select(key), key, "left_semi").isEmpty():
         raise ValueError(f"the tables share values of {key}")
+
+
+def phrases_in(phrases: list[str], text: str, spark) -> list[str]:
+    """Which phrases stand in one text, by the same rule as in tables."""
+    p = records(spark.createDataFrame(list(enumerate(phrases)), "id long, text string"), "id", "text")
+    found = contained(p, records(spark.createDataFrame([(0, text)], "id long, text string"), "id", "text"))
+    return [phrases[i] for i in sorted(r.phrase_id for r in found.collect())]

@@ -49,3 +49,23 @@ def metadata_stats(per_file: DataFrame) -> DataFrame:
 def write_shards(shards: DataFrame, path: str, order_col: str) -> None:
     """One folder of text for each shard, documents in order; files of an earlier import are replaced."""
     shards.repartition("shard").sortWithinPartitions("shard", order_col).select("shard", F.concat("text", F.lit("\n")).alias("value")).write.mode("overwrite").partitionBy("shard").text(path)
+
+
+#: Rows that an import's report lists, at most.
+REPORT_ROWS = 10_000
+
+
+def import_report(imported: DataFrame, order_col: str, most: int = REPORT_ROWS) -> DataFrame:
+    """The first rows with their reasons, in order: what a report lists of an import of any size."""
+    return imported.orderBy(order_col).limit(most).select(order_col, "reason", F.coalesce(F.length("text"), F.lit(0)).alias("num_characters"))
+
+
+def imported_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Corpus statistics of imported documents in one pass over them; near duplicates were left to the import, and count as none.
+
+    Lines and documents are aggregated by hash over the cluster, so no set of lines is held and none is cut off.
+    """
+    from corpusloom.operators.corpus import corpus_stats
+
+    none = F.lit(0)
+    return corpus_stats(docs.where(F.trim(F.coalesce(text_col, F.lit(""))) != ""), None, text_col).select("*", none.cast("double").alias("near_duplicate_document_rate"), none.cast("long").alias("near_duplicate_document_pairs"), none.cast("long").alias("near_duplicate_documents_checked"))

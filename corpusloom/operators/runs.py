@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import flags
+from corpusloom.operators.packing import Folder, streamed
 
 #: Prefixes of benchmark suites, ranks of statuses, severities.
 SUITES = ["bench_", "mmlu", "arc", "gsm8k", "external_"]
@@ -122,17 +126,34 @@ def stability(trace: DataFrame) -> DataFrame:
     return row.select("run", "max_grad", "final_grad", "spikes", F.when(warned, "warn").otherwise("stable").alias("status"))
 
 
-def spike_baseline(trace: DataFrame, beta: float = 0.95, threshold: float = 1.5) -> DataFrame:
-    """``run, baseline, spikes`` of an exponential mean of the losses in order; a loss above ``threshold`` times the mean before it is a spike."""
-    ordered = trace.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("step", "train_loss"))).alias("points"))
-    zero = F.struct(F.lit(None).cast("double").alias("b"), F.lit(0).alias("n"))
+class _Spikes(Folder):
+    """Exponential mean of losses in order, and the losses above it."""
+
+    def __init__(self, beta: float, threshold: float):
+        self.beta, self.threshold = beta, threshold
+        self.mean: float | None = None
+        self.spikes = 0
+
+    def add(self, part: pd.DataFrame) -> Iterator[list]:
+        for x in part["train_loss"].tolist():
+            if self.mean is None or not self.mean > 0:
+                self.mean = x
+                continue
+            self.spikes += x > self.threshold * self.mean
+            self.mean = self.beta * self.mean + (1 - self.beta) * x
+        return iter(())
+
+    def close(self) -> Iterator[list]:
+        yield [self.mean, self.spikes]
 
-    def add(state: Column, point: Column) -> Column:
-        b, x = state["b"], point["train_loss"]
-        fresh = b.isNull() | (b <= 0)
-        return F.struct(F.when(fresh, x).otherwise(beta * b + (1 - beta) * x).alias("b"), (state["n"] + F.when(~fresh & (x > threshold * b), 1).otherwise(0)).alias("n"))
 
-    return ordered.select("run", F.aggregate("points", zero, add).alias("s")).select("run", F.col("s.b").alias("baseline"), F.col("s.n").cast("long").alias("spikes"))
+def spike_baseline(trace: DataFrame, beta: float = 0.95, threshold: float = 1.5) -> DataFrame:
+    """``run, baseline, spikes`` of an exponential mean of the losses in order; a loss above ``threshold`` times the mean before it is a spike.
+
+    A run's points stream through its task in order of their steps; two numbers are held.
+    """
+    points = trace.where(F.col("train_loss").isNotNull()).select("run", "step", "train_loss")
+    return streamed(points, ["run"], ["step"], lambda _: _Spikes(beta, threshold), "run string, baseline double, spikes long")
 
 
 def lr_recommendation(sweep: DataFrame, least_lr: float, beta: float = 0.9) -> DataFrame:
@@ -307,3 +328,142 @@ def peak_tflops(device: Column) -> Column:
 def stage_metric(*candidates: Column) -> Column:
     """The first of a stage's metrics that there is: summary, best checkpoint, last point."""
     return F.coalesce(*candidates)
+
+
+#: Groups of a skill release (name, category prefixes, least pass rate), least rates of their stages, and other thresholds.
+RELEASE_GROUPS = [("identity", ["identity"], 0.60), ("refusal", ["refusal"], 0.75), ("choice", ["bench_choice", "mmlu_", "arc_"], 0.50), ("math", ["bench_math_", "gsm8k"], 0.30), ("spelling", ["bench_spelling_"], 0.40)]
+STAGE_GATES = {"math": 0.20, "spelling": 0.30}
+LEAST_STAGE_EXAMPLES, LEAST_CHOICES, LEAST_EXTERNAL = 8, 20, 50
+BENIGN_THRESHOLD, CHOICE_THRESHOLD, EXTERNAL_THRESHOLD, TUNED_THRESHOLD = 0.80, 0.15, 0.30, 0.60
+
+
+def external_gate_results(reports: DataFrame, threshold: float = EXTERNAL_THRESHOLD) -> DataFrame:
+    """``reports`` (run, name, choice_accuracy, pass_rate, num_examples) with the ``score`` that counts, its key and the threshold."""
+    score = F.coalesce("choice_accuracy", "pass_rate")
+    key = F.when(F.col("choice_accuracy").isNotNull(), "choice_accuracy").otherwise("pass_rate")
+    return reports.select("run", "name", F.coalesce("num_examples", F.lit(0)).alias("num_examples"), score.alias("score"), key.alias("score_key"), "pass_rate", "choice_accuracy", F.lit(threshold).alias("threshold"))
+
+
+def external_issues(results: DataFrame, long_run: DataFrame) -> DataFrame:
+    """``run, issue, severity`` of outside evaluations without a score, under their threshold, or too small for a long run (``run, long_run``)."""
+    severe = F.when(F.col("long_run"), "block").otherwise("warn")
+    empty = (F.col("num_examples") <= 0) | F.col("score").isNull()
+    issue = F.when(empty, F.struct(F.lit("empty").alias("what"), severe.alias("severity"))).when(F.col("score") < F.col("threshold"), F.struct(F.lit("below").alias("what"), severe.alias("severity"))).when(F.col("long_run") & (F.col("num_examples") < LEAST_EXTERNAL), F.struct(F.lit("small").alias("what"), F.lit("warn").alias("severity")))
+    found = results.join(long_run, "run").withColumn("i", issue).where("i is not null")
+    return found.select("run", F.concat_ws(":", F.lit("external"), "name", "i.what").alias("issue"), F.col("i.severity").alias("severity"))
+
+
+def release_honesty_issue(long_run: Column, profile: Column, prompt_hits: Column, support_hits: Column) -> Column:
+    """The issue of a long release run whose evaluation stands in the base corpus; null for other runs."""
+    bad = long_run & (profile != "research") & (F.coalesce(prompt_hits, F.lit(0)) + F.coalesce(support_hits, F.lit(0)) > 0)
+    return F.when(bad, F.lit("release_data_honesty"))
+
+
+def release_group_issues(categories: DataFrame, tuned: DataFrame) -> DataFrame:
+    """``run, issue`` of a skill release: groups of categories that lack held-out or tuning examples, or pass too few of them.
+
+    Both tables have ``run, category, num_passed, num_examples``; a tuning group has to pass ``TUNED_THRESHOLD``.
+    """
+    groups = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*[F.lit(p) for p in prefixes]).alias("prefixes"), F.lit(least).alias("least")) for name, prefixes, least in RELEASE_GROUPS])
+
+    def rates(rows: DataFrame, kind: str) -> DataFrame:
+        runs = rows.select("run").distinct().select("run", F.inline(groups))
+        met = runs.join(rows, "run").where(F.exists("prefixes", lambda p: F.col("category").startswith(p)))
+        summed = met.groupBy("run", "name").agg(F.sum("num_passed").alias("p"), F.sum("num_examples").alias("n"))
+        return runs.join(summed, ["run", "name"], "left").select("run", "name", (F.col("p") / F.col("n")).alias("rate"), (F.col("least") if kind == "eval" else F.lit(TUNED_THRESHOLD)).alias("least"), F.lit(kind).alias("kind"))
+
+    both = rates(categories, "eval").unionByName(rates(tuned, "sft"))
+    bad = both.where(F.col("rate").isNull() | (F.col("rate") < F.col("least")))
+    return bad.select("run", F.concat_ws("_", "kind", "name", F.when(F.col("rate").isNull(), "missing").otherwise("low")).alias("issue"))
+
+
+def release_stage_issues(stages: DataFrame) -> DataFrame:
+    """``run, issue`` of stages (run, group, stage, num_passed, num_examples) that pass too few of enough examples."""
+    least = F.create_map(*[F.lit(v) for kv in STAGE_GATES.items() for v in kv])
+    named = stages.withColumn("least", F.try_element_at(least, F.col("group")))
+    bad = named.where(F.col("least").isNotNull() & (F.col("num_examples") >= LEAST_STAGE_EXAMPLES) & (F.col("num_passed") / F.col("num_examples") < F.col("least")))
+    return bad.select("run", F.concat_ws(":", F.lit("stage"), "group", "stage").alias("issue"))
+
+
+def behavior_issues(summaries: DataFrame) -> DataFrame:
+    """``run, issue`` of evaluation summaries: benign questions that are refused, and choices hardly above chance over enough of them."""
+    named = flags(
+        (F.coalesce(F.col("benign_non_refusal_rate") < BENIGN_THRESHOLD, F.lit(False)), "over_refusal"),
+        (F.coalesce((F.col("choice_examples") >= LEAST_CHOICES) & (F.col("choice_adjusted") < CHOICE_THRESHOLD), F.lit(False)), "choice_near_chance"),
+    )
+    return summaries.select("run", F.explode(named).alias("issue"))
+
+
+def external_specs(specs: list[str]) -> list[tuple[str, str]]:
+    """``name=path`` of outside evaluations; an empty part or a name that comes twice is an error."""
+    out: list[tuple[str, str]] = []
+    for spec in specs:
+        name, _, path = spec.partition("=")
+        if not name.strip() or not path.strip():
+            raise ValueError(f"an outside evaluation is name=path: {spec}")
+        if name.strip() in {n for n, _ in out}:
+            raise ValueError(f"two outside evaluations are named {name.strip()}")
+        out.append((name.strip(), path.strip()))
+    return out
+
+
+def external_evals(tables: dict[str, DataFrame], convert, score) -> DataFrame:
+    """Summaries of outside evaluations, one row for each name: ``convert`` makes evaluation rows of a table, ``score`` a summary of them."""
+    out = None
+    for name, rows in tables.items():
+        row = score(convert(rows, name)).withColumn("name", F.lit(name))
+        out = row if out is None else out.unionByName(row, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("there are no outside evaluations")
+    return out
+
+
+def seeds_of(first: int, n: int) -> list[int]:
+    """Seeds of a run that is repeated."""
+    if n < 1:
+        raise ValueError("a run has one seed at least")
+    return [first + i for i in range(n)]
+
+
+#: Metrics that are followed over seeds.
+SEED_METRICS = ["eval_pass_rate", "eval_non_choice_pass_rate", "sft_fit_rate", "base_val_bpb", "sft_val_bpb", "base_val_loss", "sft_val_loss"]
+
+
+def multi_seed_rows(summaries: DataFrame) -> DataFrame:
+    """One row a seed from run summaries with nested ``eval, sft_fit, base, sft, long_run_gate``: the score, the metrics, the gate's status."""
+    return summaries.select(
+        "seed",
+        F.concat_ws("/", F.coalesce("eval.num_passed", F.lit(0)).cast("string"), F.coalesce("eval.num_examples", F.lit(0)).cast("string")).alias("eval_score"),
+        F.col("eval.pass_rate").alias("eval_pass_rate"),
+        F.col("eval.non_choice_pass_rate").alias("eval_non_choice_pass_rate"),
+        F.col("sft_fit.pass_rate").alias("sft_fit_rate"),
+        *(stage_metric(*(F.col(f"{s}.{c}") for c in (f"best_val_{m}", f"val_{m}", f"final_val_{m}"))).alias(f"{s}_val_{m}") for s in ("base", "sft") for m in ("bpb", "loss")),
+        F.col("long_run_gate.status").alias("gate"),
+    )
+
+
+def multi_seed_run(summaries: DataFrame) -> DataFrame:
+    """Statistics of the followed metrics over the seeds of a run."""
+    return multi_seed(multi_seed_rows(summaries), SEED_METRICS)
+
+
+def compare_rows(summaries: DataFrame) -> DataFrame:
+    """One flat row a run for comparisons, from its nested summary (``run, eval, sft_fit, config, tokenizer, base, sft``); what a part lacks is unknown or null."""
+    known = lambda c: F.coalesce(c, F.lit("unknown"))
+    out = [
+        F.col("run"),
+        known(F.coalesce("tokenizer.tokenizer_type", "config.tokenizer_type")).alias("tokenizer_type"),
+        F.concat_ws("/", F.col("eval.num_passed").cast("string"), F.col("eval.num_examples").cast("string")).alias("eval_score"),
+        *(F.col(f"eval.{c}").alias(c) for c in ("pass_rate", "non_choice_pass_rate", "domain_pass_rate", "refusal_pass_rate", "support_rate", "echo_rate")),
+        F.col("sft_fit.pass_rate").alias("fit_rate"),
+    ]
+    for s in ("base", "sft"):
+        for m in ("loss", "bpb"):
+            out.append(stage_metric(*(F.col(f"{s}.{c}") for c in (f"best_val_{m}", f"val_{m}", f"final_val_{m}"))).alias(f"{s}_val_{m}"))
+        out += [F.coalesce(f"{s}.best_checkpoint_step", f"{s}.best_step").alias(f"{s}_best_step"), known(F.col(f"{s}.stop_reason")).alias(f"{s}_stop_reason"), known(F.col(f"{s}.loss_status")).alias(f"{s}_loss_status"), F.col(f"{s}.effective_batch_size").alias(f"{s}_effective_batch_size")]
+    return summaries.select(*out, known(F.col("base.memorization_status")).alias("memorization_status"), F.col("base.num_parameters").alias("num_parameters"), F.col("config.context_size").alias("context_size"), known(F.col("config.device")).alias("device"), F.coalesce("sft.truncated_examples", F.lit(0)).alias("truncated_examples"), F.coalesce("sft.skipped_long_examples", F.lit(0)).alias("skipped_long_examples"))
+
+
+def best_sweep_row(rows: DataFrame, metric: str, loss: str = "sft_final_val_loss") -> DataFrame:
+    """The row of a sweep with the highest metric, of equal ones that of the least loss (nothing counts as 0), then of the first name."""
+    return rows.where(F.col(metric).isNotNull()).orderBy(F.desc(metric), F.coalesce(loss, F.lit(0.0)), "name").limit(1)

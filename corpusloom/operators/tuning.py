@@ -175,3 +175,13 @@ def quality_warnings(n: Column, duplicate_rate: Column, near_pairs: Column, entr
 def merged_status(statuses: Column) -> Column:
     """The worst of an array of statuses."""
     return F.when(F.array_contains(statuses, "blocked"), "blocked").when(F.array_contains(statuses, "caution"), "caution").otherwise("ready")
+
+
+def completion_prompt(messages: Column) -> Column:
+    """Messages of an interface as a prompt that ends where the assistant speaks; an unknown role, or a part that is no text, is an error."""
+    known = F.forall(messages, lambda m: m["role"].isin("system", "user", "assistant") & m["content"].isNotNull())
+    lines = F.transform(messages, lambda m: F.concat(F.initcap(m["role"]), F.lit(": "), m["content"]))
+    text = F.array_join(lines, "\n")
+    ends = F.size(lines) > 0
+    last = F.when(ends, F.element_at(lines, -1)).otherwise("")
+    return F.when(~known, F.raise_error(F.lit("a message has a role of system, user or assistant, and a text"))).when(last == "Assistant:", text).when(ends, F.concat(text, F.lit("\nAssistant:"))).otherwise(F.lit("Assistant:"))

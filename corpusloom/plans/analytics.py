@@ -320,6 +320,18 @@ def _permuted(items: str, k: str) -> str:
     return f"[{items}[{a} + 1], ({r1})[{b} + 1], ({r2})[{c} + 1], ({rest('(' + r2 + ')', c)})[1]]"
 
 
+_V = "printf('%.4f', coalesce(value, 0.0))"
+_LOG = f"""e AS (SELECT event_type AS run, event_id AS n, {_V} AS v FROM events), k AS (SELECT run, n, v, CASE WHEN n % 300 = 0 THEN 'stage' WHEN n % 460 = 0 THEN 'sft' WHEN n % 100 = 0 THEN 'base' WHEN n % 1540 = 0 THEN 'eval' END AS kind FROM e),
+named AS (SELECT run, kind, n, CASE kind WHEN 'stage' THEN 'base' ELSE kind END AS stage, CASE kind WHEN 'stage' THEN n % 6 + 1 WHEN 'eval' THEN 7 ELSE n END AS current, CASE kind WHEN 'stage' THEN 6 WHEN 'eval' THEN 9 ELSE 10000 END AS total, CASE WHEN kind IN ('sft', 'base') THEN CAST(v AS DOUBLE) END AS train_loss, CASE WHEN kind IN ('sft', 'base') THEN CAST(v AS DOUBLE) END AS val_loss, CASE WHEN kind = 'base' THEN 1.25 END AS val_bpb, CASE kind WHEN 'sft' THEN 2500.0 WHEN 'base' THEN 812.0 END AS tokens_per_sec FROM k WHERE kind IS NOT NULL AND (kind NOT IN ('sft', 'base') OR v NOT LIKE '-%')),
+latest AS (SELECT run, kind, unnest(max_by(struct_pack(n := n, stage := stage, current := current, total := total, percent := CAST(round_even(current * 100.0::DOUBLE / total, 2) AS DOUBLE), train_loss := train_loss, val_loss := val_loss, val_bpb := CAST(val_bpb AS DOUBLE), tokens_per_sec := CAST(tokens_per_sec AS DOUBLE)), n)) FROM named GROUP BY run, kind)"""
+_STOPS = "('" + "','".join(synthesis.SENTENCE_STOPWORDS) + "')"
+_STARTER = f"""p AS (SELECT doc_id AS id, unnest(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+')) AS raw, generate_subscripts(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), 1) AS pos FROM documents),
+c AS (SELECT id, pos, regexp_replace(trim(raw, ' \n\t\r'), '\\s+', ' ', 'g') AS s FROM p), z AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS number, s FROM c WHERE length(s) BETWEEN 40 AND 320),
+w AS (SELECT * FROM z WHERE len(list_filter(regexp_extract_all(s, '[A-Za-z][A-Za-z0-9''-]*'), lambda x: length(x) >= 4 AND lower(x) NOT IN {_STOPS})) >= 5),
+o AS (SELECT id, number, s, row_number() OVER (ORDER BY md5('7:' || id || ':' || number), id, number) AS n FROM w),
+rows AS (SELECT CAST(n AS INTEGER) AS n, replace(['What does the source say about this: {{}}', 'Explain: {{}}', 'Summarise the note: {{}}', 'Answer from the material: {{}}', 'Complete the idea: {{}}'][(n - 1) % 5 + 1], '{{}}', CASE WHEN length(s) <= 90 THEN s ELSE regexp_replace(substring(s, 1, 90), ' [^ ]*$', '') || '...' END) AS "user", s AS assistant, id || ':' || number AS "group" FROM o WHERE n <= 60)"""
+
+
 ORACLES = {
     "leaderboard": f"WITH {_BOARD} SELECT CAST(row_number() OVER (ORDER BY CASE WHEN suite = 'overall' THEN 0 ELSE 1 END, suite, pass_rate DESC, num_passed DESC, run) AS INTEGER) AS place, run, suite, num_passed || '/' || num_examples AS score, pass_rate, num_passed, num_examples FROM b",
     "best_run": f"WITH {_BOARD} SELECT run, pass_rate FROM b WHERE suite = 'overall' ORDER BY pass_rate DESC, num_passed DESC, num_examples DESC, run LIMIT 1",
@@ -339,7 +351,14 @@ ORACLES = {
     "bits_per_byte": "SELECT sum(l_tax) AS nats, CAST(sum(l_linenumber - 1) AS BIGINT) AS bytes, sum(l_tax) / (sum(l_linenumber - 1) * ln(2.0::DOUBLE)) AS bits_per_byte FROM lineitem WHERE l_linenumber > 1",
     "category_prefix_pass": f"WITH {_RESULTS} SELECT count(*) FILTER (passed) AS num_passed, count(*) AS num_examples, count(*) FILTER (passed) / count(*) AS pass_rate FROM r WHERE category LIKE 'bench_%' OR category LIKE 'refusal%'",
     "math_rows": "WITH o(split, p, q, r) AS (VALUES ('train', 5, 7, 3), ('eval', 17, 19, 23)), v AS (SELECT split, i, 3 + (i * 11 + p) % 47 AS a, 2 + (i * 13 + q) % 41 AS b, 1 + (i * 5 + r) % 13 AS c, i % 4 AS k FROM range(2000) t(i), o), x AS (SELECT *, CASE k WHEN 0 THEN a WHEN 1 THEN a + b + c WHEN 2 THEN a ELSE a * c + b END AS x, CASE k WHEN 0 THEN b WHEN 1 THEN c WHEN 2 THEN c ELSE b END AS y, CASE k WHEN 0 THEN '+' WHEN 2 THEN '*' ELSE '-' END AS s FROM v) SELECT i, ['addition', 'subtraction', 'multiplication', 'removal'][k + 1] AS kind, x || ' ' || s || ' ' || y AS expression, CASE s WHEN '+' THEN x + y WHEN '*' THEN x * y ELSE x - y END AS answer, CAST(i // 4 % 4 AS BIGINT) AS template, split FROM x",
-    "spelling_rows": "WITH v AS (SELECT i, i % 5 AS mode, ['planet', 'garden', 'silver', 'bridge', 'rocket', 'window', 'little', 'forest'][(i // 5) % 8 + 1] AS word FROM range(1000) t(i)) SELECT i, mode, word, CASE mode WHEN 0 THEN CAST(length(word) AS VARCHAR) WHEN 1 THEN word[1] WHEN 2 THEN word[-1] WHEN 3 THEN reverse(word) ELSE array_to_string(string_split(word, ''), '-') END AS answer FROM v",
+    "spelling_rows": "WITH v AS (SELECT i, i % 5 AS mode, ['planet', 'garden', 'silver', 'bridge', 'rocket', 'window', 'little', 'forest'][(i // 5) % 8 + 1] AS word FROM range(1000) t(i)) SELECT i, mode, word, CASE mode WHEN 0 THEN array_to_string(string_split(word, ''), ' ') WHEN 1 THEN CAST(length(word) AS VARCHAR) WHEN 2 THEN reverse(word) WHEN 3 THEN word[1] ELSE word[-1] END AS answer FROM v",
+    "loss_spikes": f"WITH {_TRACE}, o AS (SELECT run, list(struct_pack(b := CAST(NULL AS DOUBLE), n := CAST(0 AS BIGINT), x := train_loss) ORDER BY step) AS p FROM t GROUP BY run), f AS (SELECT run, list_reduce(list_prepend(struct_pack(b := CAST(NULL AS DOUBLE), n := CAST(0 AS BIGINT), x := CAST(NULL AS DOUBLE)), p), lambda a, e: struct_pack(b := CASE WHEN a.b IS NULL OR a.b <= 0 THEN e.x ELSE 0.95::DOUBLE * a.b + (1 - 0.95::DOUBLE) * e.x END, n := a.n + CASE WHEN a.b > 0 AND e.x > 1.5 * a.b THEN 1 ELSE 0 END, x := e.x)) AS s FROM o) SELECT run, s.b AS baseline, s.n AS spikes FROM f",
+    "lr_recommendation": "WITH RECURSIVE p AS (SELECT i, 1e-5::DOUBLE * pow(1e5::DOUBLE, i / 99.0::DOUBLE) AS lr, CASE WHEN i < 70 THEN 5 - i / 20.0::DOUBLE ELSE i / 10.0::DOUBLE - 3 END AS loss FROM range(100) t(i)), s AS (SELECT CAST(0 AS BIGINT) AS i, lr, loss AS s FROM p WHERE i = 0 UNION ALL SELECT p.i, p.lr, 0.9::DOUBLE * s.s + (1 - 0.9::DOUBLE) * p.loss FROM s JOIN p ON p.i = s.i + 1), m AS (SELECT min(s) AS least, arg_min(lr, s) AS best_lr FROM s), c AS (SELECT arg_max(lr, i) AS ceiling, any_value(best_lr) AS best_lr FROM s, m WHERE s <= 1.2::DOUBLE * least AND i >= 5) SELECT ceiling, best_lr, greatest(1e-5::DOUBLE, least(best_lr, ceiling / 3)) AS lr FROM c",
+    "scale_plan": "WITH d AS (SELECT CAST(d AS INTEGER) AS depth, CAST(64 * d AS INTEGER) AS width, 32000 * 64 * d + d * ((64 * d) * (64 * d) * 2 + 2 * (64 * d) * 64 * greatest(1, d // 4) + 3 * (64 * d) * (256 * d * 2 // 3) + 2 * (64 * d)) + 64 * d AS parameters FROM range(4, 65) t(d)) SELECT depth, width, parameters, CAST(parameters * 20 AS BIGINT) AS tokens FROM d ORDER BY abs(parameters - 100000000), depth LIMIT 1",
+    "log_progress": f"WITH {_LOG} SELECT run, kind, n, stage, current, total, percent, train_loss, val_loss, val_bpb, tokens_per_sec FROM latest",
+    "log_progress_stream": f"WITH {_LOG} SELECT run, kind, n, stage, current, total, percent, train_loss, val_loss, val_bpb, tokens_per_sec FROM latest",
+    "sft_starter": f"WITH {_STARTER} SELECT * FROM rows",
+    "preference_starter": f"WITH {_STARTER}, k AS (SELECT n, \"user\", assistant, CASE (n - 1) % 4 WHEN 0 THEN 'I do not know.' WHEN 1 THEN \"user\" WHEN 2 THEN array_to_string(string_split(assistant, ' ')[1:3], ' ') ELSE 'That is not something I can help with in any way.' END AS r FROM rows) SELECT n, \"user\", assistant AS chosen, CASE WHEN trim(r) = trim(assistant) THEN 'That is not something I can help with in any way.' ELSE r END AS rejected FROM k",
     "choice_rows": f"WITH {_FACTS}, v AS (SELECT i, (i * 7) % (SELECT count(*) FROM f) AS number, (i * 7) % 24 AS k FROM range(600) t(i)), m AS (SELECT i, question, correct, {_permuted('list_prepend(correct, wrong)', 'k')} AS o FROM v JOIN f USING (number)) SELECT i, question, array_to_string(o, '|') AS options, ['A', 'B', 'C', 'D'][list_position(o, correct)] AS label FROM m",
     "identity_rows": "SELECT i, ['name', 'maker', 'limits'][i % 3 + 1] AS first, ['Who are you?', 'What is your {}?', 'Tell me about your {}.', 'State your {}.'][(i // 3) % 4 + 1] AS second, CAST(i // 12 AS BIGINT) AS variant FROM range(500) t(i)",
     "external_choice_convert": f"WITH {_FACTS}, m AS (SELECT number, question, correct, {_permuted('list_prepend(correct, wrong)', '(number % 24)')} AS o FROM f) SELECT number AS id, md5(question || chr(10) || chr(10) || 'A. ' || o[1] || chr(10) || 'B. ' || o[2] || chr(10) || 'C. ' || o[3] || chr(10) || 'D. ' || o[4] || chr(10) || chr(10) || 'Answer with the single best option letter.') AS user_md5, ['A', 'B', 'C', 'D'][list_position(o, correct)] AS correct_choice, 'external_geo' AS category, ['A', 'B', 'C', 'D'][list_position(o, correct)] || '. ' || correct AS reference FROM m",

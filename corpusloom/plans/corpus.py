@@ -130,7 +130,7 @@ def near_dup_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def import_filter_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return imports.import_rows(table(spark, sf_dir, "documents"), "doc_id", min_chars=200, max_rows=500).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return imports.import_rows(table(spark, sf_dir, "documents"), "doc_id", min_chars=200).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def import_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +141,20 @@ def import_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imports.metadata_stats(import_shards(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (corpus_stats, corpus_by_lang, corpus_by_source, doc_quality, quality_histogram, quality_vs_labels, min_quality_filter, readiness_checks, readiness_verdict, corpus_warnings, training_budget, token_estimates, exact_dup_groups, duplicate_lines_top, doc_offsets, corpus_preview, evenly_spaced_sample, near_dup_pairs, near_dup_rate, import_filter_reasons, import_shards, import_totals)}
+def import_head_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The importer's head limit, a feature of it: it bounds the rows that are looked at, not those taken."""
+    return imports.import_rows(table(spark, sf_dir, "documents"), "doc_id", min_chars=200, max_rows=150).where("reason = 'included'").select("doc_id", F.length("text").alias("n_chars"))
+
+
+def readiness_with_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checks with the rate of near duplicates and the documents that were left out."""
+    docs = table(spark, sf_dir, "documents")
+    near = dedup.near_rate(docs, dedup.near_pairs(docs)).select("near_duplicate_rate")
+    gone = corpus.quality_filtered(docs.select("doc_id", "text"), 0).agg(F.count(F.when(~F.col("included"), 1)).alias("gone"))
+    return corpus.readiness_checks(corpus_stats(spark, sf_dir).join(near).join(gone), F.col("near_duplicate_rate"), F.col("gone"))
+
+
+QUERIES = {f.__name__: f for f in (corpus_stats, corpus_by_lang, corpus_by_source, doc_quality, quality_histogram, quality_vs_labels, min_quality_filter, readiness_checks, readiness_verdict, corpus_warnings, training_budget, token_estimates, exact_dup_groups, duplicate_lines_top, doc_offsets, corpus_preview, evenly_spaced_sample, near_dup_pairs, near_dup_rate, import_filter_reasons, import_head_reasons, readiness_with_near, import_shards, import_totals)}
 
 _STATS = _stats_sql(None).strip()
 _CHECKS = f"""st AS ({_STATS}), c AS (
@@ -182,7 +195,8 @@ SELECT preset, t AS estimated_tokens, c AS context_size, greatest(0, t - c) AS e
     "doc_offsets": f"WITH {_PLACED} SELECT doc_id, CAST(s AS BIGINT) AS char_start, CAST(s + n AS BIGINT) AS char_end, n AS num_characters FROM f",
     "corpus_preview": f"WITH {_PLACED} SELECT doc_id, CAST(s AS BIGINT) AS char_start, CAST(least(s + n, 20000) - s AS BIGINT) AS chars FROM f WHERE s < 20000",
     "evenly_spaced_sample": "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position, count(*) OVER () AS n FROM documents) SELECT doc_id, position FROM r WHERE n <= 101 OR position IN (SELECT CAST(round_even(i * ((SELECT count(*) FROM documents) - 1) / 100.0, 0) AS BIGINT) FROM range(101) t(i))",
-    "import_filter_reasons": f"WITH h AS (SELECT * FROM documents ORDER BY doc_id LIMIT 500) SELECT CASE WHEN text IS NULL THEN 'text_column_not_string' WHEN {STRIP.format('text')} = '' THEN 'empty_text' WHEN length({STRIP.format('text')}) < 200 THEN 'below_min_chars' ELSE 'included' END AS reason, count(*) AS n FROM h GROUP BY 1",
+    "import_head_reasons": f"SELECT doc_id, length({STRIP.format('text')}) AS n_chars FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 150) WHERE length({STRIP.format('text')}) >= 200",
+    "import_filter_reasons": f"WITH h AS (SELECT * FROM documents) SELECT CASE WHEN text IS NULL THEN 'text_column_not_string' WHEN {STRIP.format('text')} = '' THEN 'empty_text' WHEN length({STRIP.format('text')}) < 200 THEN 'below_min_chars' ELSE 'included' END AS reason, count(*) AS n FROM h GROUP BY 1",
     "import_shards": f"WITH {_TAKEN} {_SHARDS}",
     "import_totals": f"WITH {_TAKEN}, s AS ({_SHARDS}) SELECT count(*) AS num_files, CAST(sum(num_documents) AS BIGINT) AS num_documents, CAST(sum(num_characters) AS BIGINT) AS num_characters, CAST(sum(num_lines) AS BIGINT) AS num_lines FROM s",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["corpus", "audit", "tokens", "evaluation", "analytics"]
+MODULES = ["corpus", "audit", "tokens", "evaluation", "analytics", "packs"]
 
 
 def _collect(attribute: str) -> dict:

@@ -88,8 +88,10 @@ def label_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slices of texts by manifest offsets, stripped of spaces."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(packing.token_slices(F.col("text"), F.lit(5), F.lit(60)).cast("binary")).alias("slice_md5"))
+    """Slices of texts by a manifest's offsets, stripped of spaces: each document in two halves."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    manifest = table(spark, sf_dir, "documents").select("doc_id", "text", F.inline(F.array(F.struct(F.lit(0).alias("char_start"), half.alias("char_end")), F.struct(half.alias("char_start"), F.length("text").alias("char_end")))))
+    return manifest.select("doc_id", "char_start", F.md5(packing.token_slices(F.col("text"), F.col("char_start"), F.col("char_end")).cast("binary")).alias("slice_md5"))
 
 
 QUERIES = {f.__name__: f for f in (char_vocab, byte_token_counts, token_byte_lengths, piece_counts, bpe_train, bpe_encode_stats, token_windows, window_pairs, token_shards, packed_rows, packing_balance, sft_bestfit, sft_skipped_long, label_audit, document_slices)}
@@ -105,5 +107,12 @@ ORACLES = {
     "packing_balance": "SELECT source, CAST(sum(length(text) + 2) AS BIGINT) AS accounted FROM documents GROUP BY source",
     "sft_skipped_long": f"""WITH {PAIRS_SQL}, l AS (SELECT category, length("user") + length(assistant) + 2 AS t FROM pairs) SELECT category, count(*) FILTER (t > 513) AS skipped, count(*) FILTER (t <= 513) AS kept FROM l GROUP BY category""",
     "label_audit": f"""WITH {PAIRS_SQL} SELECT category, CAST(sum(length(assistant)) AS BIGINT) AS supervised, CAST(sum(length("user")) AS BIGINT) AS masked FROM pairs GROUP BY category""",
-    "document_slices": "SELECT doc_id, md5(trim(substring(text, 6, 55), ' ')) AS slice_md5 FROM documents",
+    "document_slices": "WITH h AS (SELECT doc_id, text, CAST(length(text) // 2 AS INTEGER) AS h FROM documents) SELECT doc_id, 0 AS char_start, md5(trim(substring(text, 1, h), ' ')) AS slice_md5 FROM h UNION ALL SELECT doc_id, h, md5(trim(substring(text, h + 1), ' ')) FROM h",
+    "token_shards": """WITH RECURSIVE d AS (SELECT source AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, CAST(length(text) + 2 AS BIGINT) AS s FROM documents), n AS (SELECT g, max(k) AS n FROM d GROUP BY g),
+r AS (SELECT g, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS held, CAST(0 AS BIGINT) AS docs, CAST([] AS STRUCT(t BIGINT, d BIGINT, a BOOLEAN)[]) AS out FROM n
+UNION ALL SELECT r.g, r.k + 1, CASE WHEN s > 20000 THEN s % 20000 WHEN held > 0 AND held + s > 20000 THEN s ELSE held + s END, CASE WHEN s > 20000 THEN CAST(s % 20000 > 0 AS BIGINT) WHEN held > 0 AND held + s > 20000 THEN 1 ELSE docs + 1 END,
+ list_concat(list_concat(out, CASE WHEN held > 0 AND held + s > 20000 THEN [struct_pack(t := held, d := docs, a := true)] ELSE [] END), CASE WHEN s > 20000 THEN list_transform(range(s // 20000), lambda x: struct_pack(t := CAST(20000 AS BIGINT), d := CAST(1 AS BIGINT), a := false)) ELSE [] END)
+ FROM r JOIN d ON d.g = r.g AND d.k = r.k + 1),
+f AS (SELECT r.g, list_concat(out, CASE WHEN held > 0 THEN [struct_pack(t := held, d := docs, a := true)] ELSE [] END) AS out FROM r JOIN n ON r.g = n.g AND r.k = n.n), u AS (SELECT g, unnest(range(len(out))) AS shard, unnest(out) AS o FROM f)
+SELECT g AS source, shard, o.t AS tokens, o.d AS documents, o.a AS aligned FROM u""",
 }

@@ -68,3 +68,31 @@ def windowed_counts(rows: DataFrame, time_col: str, key: str, size: str = "1 hou
 def tail(text: Column, n: int = 12_000) -> Column:
     """The last characters of a log."""
     return F.substring(text, -min(200_000, max(1, n)), min(200_000, max(1, n)))
+
+
+def log_plan(states: DataFrame, logs: DataFrame, progress: DataFrame, n: int = 50_000) -> DataFrame:
+    """``run, state, running, log_tail, stage, percent``: what a page shows of each run, from jobs (``out_dir`` is the run), log texts and the latest events."""
+    last = progress.groupBy("run").agg(F.max_by(F.struct("stage", "percent"), "n").alias("e"))
+    shown = tail(F.coalesce("log", F.lit("")), max(1_000, min(200_000, n)))
+    return states.select(F.col("out_dir").alias("run"), "state").join(logs, "run", "left").join(last, "run", "left").select("run", "state", (F.col("state") == "running").alias("running"), shown.alias("log_tail"), "e.stage", "e.percent")
+
+
+def server_events(parts: DataFrame, id_col: str, order_col: str, text_col: str) -> DataFrame:
+    """``id, number, line``: a reply's parts as server-sent events in order: the role first, then each part, then the end mark.
+
+    ``number`` orders the lines; it works on a table of parts and, part by part, on a stream.
+    """
+    part = F.struct(F.lit("assistant").alias("role"), F.col(text_col).alias("content"))
+    lines = parts.select(id_col, (F.col(order_col) + 1).alias("number"), F.concat(F.lit("data: "), F.to_json(part), F.lit("\n\n")).alias("line"))
+    ends = parts.groupBy(id_col).agg((F.max(order_col) + 2).alias("number")).select(id_col, "number", F.lit("data: [DONE]\n\n").alias("line"))
+    return lines.unionByName(ends)
+
+
+def heartbeat(spark, path: str, state: dict) -> None:
+    """Rewrite a small file that says where a long job stands; a reader sees the last one."""
+    import json
+    import time
+
+    from corpusloom.sources.sinks import write_text
+
+    write_text(spark, path, json.dumps({**state, "updated_at": time.time()}, sort_keys=True))
