@@ -93,32 +93,34 @@ def numbered_over_strands(rows: DataFrame, group_col: str, number_col: str) -> D
 
 
 class ShardSizes(Folder):
-    """Sizes of the shards that documents go to, from the documents' sizes."""
+    """Sizes of the shards that documents go to, from the documents' sizes: what ``ShardTokens`` makes of their ids."""
 
     def __init__(self, per_shard: int, size_col: str):
         self.per_shard, self.size_col = per_shard, size_col
         self.held = self.docs = self.number = 0
+        self.aligned = True
 
-    def shard(self, tokens: int, docs: int, aligned: bool) -> list:
+    def shard(self) -> list:
+        out = [self.number, min(self.held, self.per_shard), self.docs, self.aligned]
         self.number += 1
-        return [self.number - 1, tokens, docs, aligned]
+        self.held = max(0, self.held - self.per_shard)
+        self.docs, self.aligned = int(self.held > 0), self.held == 0
+        return out
 
     def add(self, part: pd.DataFrame) -> Iterator[list]:
         for size in part[self.size_col].tolist():
-            if self.held and self.held + size > self.per_shard:
-                yield self.shard(self.held, self.docs, True)
-                self.held = self.docs = 0
-            if size > self.per_shard:
-                full, rest = divmod(int(size), self.per_shard)
-                for _ in range(full):
-                    yield self.shard(self.per_shard, 1, False)
-                self.held, self.docs = rest, int(rest > 0)
-            else:
-                self.held, self.docs = self.held + int(size), self.docs + 1
+            if size <= 0:
+                continue
+            if self.held and size <= self.per_shard < self.held + size:
+                yield self.shard()
+            self.held, self.docs = self.held + int(size), self.docs + 1
+            self.aligned = self.aligned and size <= self.per_shard
+            while self.held >= self.per_shard:
+                yield self.shard()
 
     def close(self) -> Iterator[list]:
         if self.held:
-            yield self.shard(self.held, self.docs, True)
+            yield self.shard()
 
 
 PER_STRAND = 1_000_000_000
@@ -131,7 +133,8 @@ def _kinds(rows: DataFrame, *names: str) -> str:
 def shard_plan(lengths: DataFrame, order_col: str, size_col: str, per_shard: int, group_col: str, per_strand: int = PER_STRAND) -> DataFrame:
     """``group, shard, tokens, documents, aligned`` where documents go to shards of ``per_shard`` tokens in order.
 
-    A shard is closed when the next document would not fit; a longer document is split, and its shards are not aligned.
+    A shard is closed when the next document would not fit; a document longer than a shard fills the open one and goes on in the next, and
+    these are not aligned.
     """
     rows = stranded(lengths.select(group_col, order_col, size_col), order_col, size_col, per_strand)
     found = streamed(rows, [group_col, "strand"], [order_col], lambda _: ShardSizes(per_shard, size_col), f"{_kinds(rows, group_col, 'strand')}, shard long, tokens long, documents long, aligned boolean")

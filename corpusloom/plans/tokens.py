@@ -109,10 +109,10 @@ ORACLES = {
     "label_audit": f"""WITH {PAIRS_SQL} SELECT category, CAST(sum(length(assistant)) AS BIGINT) AS supervised, CAST(sum(length("user")) AS BIGINT) AS masked FROM pairs GROUP BY category""",
     "document_slices": "WITH h AS (SELECT doc_id, text, CAST(length(text) // 2 AS INTEGER) AS h FROM documents) SELECT doc_id, 0 AS char_start, md5(trim(substring(text, 1, h), ' ')) AS slice_md5 FROM h UNION ALL SELECT doc_id, h, md5(trim(substring(text, h + 1), ' ')) FROM h",
     "token_shards": """WITH RECURSIVE d AS (SELECT source AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, CAST(length(text) + 2 AS BIGINT) AS s FROM documents), n AS (SELECT g, max(k) AS n FROM d GROUP BY g),
-r AS (SELECT g, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS held, CAST(0 AS BIGINT) AS docs, CAST([] AS STRUCT(t BIGINT, d BIGINT, a BOOLEAN)[]) AS out FROM n
-UNION ALL SELECT r.g, r.k + 1, CASE WHEN s > 20000 THEN s % 20000 WHEN held > 0 AND held + s > 20000 THEN s ELSE held + s END, CASE WHEN s > 20000 THEN CAST(s % 20000 > 0 AS BIGINT) WHEN held > 0 AND held + s > 20000 THEN 1 ELSE docs + 1 END,
- list_concat(list_concat(out, CASE WHEN held > 0 AND held + s > 20000 THEN [struct_pack(t := held, d := docs, a := true)] ELSE [] END), CASE WHEN s > 20000 THEN list_transform(range(s // 20000), lambda x: struct_pack(t := CAST(20000 AS BIGINT), d := CAST(1 AS BIGINT), a := false)) ELSE [] END)
- FROM r JOIN d ON d.g = r.g AND d.k = r.k + 1),
-f AS (SELECT r.g, list_concat(out, CASE WHEN held > 0 THEN [struct_pack(t := held, d := docs, a := true)] ELSE [] END) AS out FROM r JOIN n ON r.g = n.g AND r.k = n.n), u AS (SELECT g, unnest(range(len(out))) AS shard, unnest(out) AS o FROM f)
+r AS (SELECT g, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS held, CAST(0 AS BIGINT) AS docs, true AS al, CAST([] AS STRUCT(t BIGINT, d BIGINT, a BOOLEAN)[]) AS out FROM n
+UNION ALL SELECT g, k, (h1 + s) % 20000, CASE WHEN h1 + s < 20000 THEN d1 + 1 ELSE CAST((h1 + s) % 20000 > 0 AS BIGINT) END, CASE WHEN h1 + s < 20000 THEN a1 ELSE (h1 + s) % 20000 = 0 END,
+ list_concat(o1, list_transform(range((h1 + s) // 20000), lambda x: struct_pack(t := CAST(20000 AS BIGINT), d := CASE WHEN x = 0 THEN d1 + 1 ELSE 1 END, a := x = 0 AND a1 AND s <= 20000)))
+ FROM (SELECT r.g, r.k + 1 AS k, s, CASE WHEN c THEN 0 ELSE held END AS h1, CASE WHEN c THEN 0 ELSE docs END AS d1, c OR al AS a1, list_concat(out, CASE WHEN c THEN [struct_pack(t := held, d := docs, a := al)] ELSE [] END) AS o1 FROM (SELECT r.*, s, held > 0 AND s <= 20000 AND held + s > 20000 AS c FROM r JOIN d ON d.g = r.g AND d.k = r.k + 1) r)),
+f AS (SELECT r.g, list_concat(out, CASE WHEN held > 0 THEN [struct_pack(t := held, d := docs, a := al)] ELSE [] END) AS out FROM r JOIN n ON r.g = n.g AND r.k = n.n), u AS (SELECT g, unnest(range(len(out))) AS shard, unnest(out) AS o FROM f)
 SELECT g AS source, shard, o.t AS tokens, o.d AS documents, o.a AS aligned FROM u""",
 }

@@ -58,7 +58,7 @@ def test_generated_rows(spark):
     for r in sy.math_rows(spark, 200, "eval").collect():
         assert eval(r.expression) == r.answer and r.answer >= 0
     for r in sy.spelling_rows(spark, 40).collect():
-        assert r.answer == [str(len(r.word)), r.word[0], r.word[-1], r.word[::-1], "-".join(r.word)][r.mode]
+        assert r.answer == [" ".join(r.word), str(len(r.word)), r.word[::-1], r.word[0], r.word[-1]][r.mode]
     import itertools
 
     orders = spark.range(24).select("id", sy.permuted(F.array(*map(F.lit, "wxyz")), F.col("id")).alias("o")).orderBy("id").collect()

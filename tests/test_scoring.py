@@ -1,5 +1,8 @@
 """Scores, breakdowns and failures."""
 
+import random
+import re
+
 import pytest
 from corpusloom.operators import scoring as sc
 from pyspark.sql import functions as F
@@ -52,7 +55,7 @@ def test_lcs_is_the_table(spark):
 
 
 def test_candidates(spark):
-    r = spark.createDataFrame([("Let me see.\nFinal answer: 1,200\nDone",), ("",)], "t string").select(sc.answer_candidates("t").alias("c")).collect()
+    r = spark.createDataFrame([("Let me see.\nFinal answer: 1,200\nDone",), ("",)], "t string").select(sc.answer_forms(F.col("t")).alias("c")).collect()
     assert r[0].c == ["let me see final answer 1200 done", "done", "final answer 1200", "1200"] and r[1].c == []
 
 
@@ -72,3 +75,52 @@ def test_choices(spark):
     rows = spark.createDataFrame([(1, "A", 0, -1.0, -2.0), (1, "B", 1, -1.0, -2.0), (1, "B", 1, -3.0, -1.0), (1, "C", 2, -4.0, -4.0)], "item long, label string, position int, mean double, raw double")
     r = sc.choice_predictions(rows).first()
     assert r.label == "A" and r.margin == 0
+
+
+def plain_forms(text):
+    """The rule of answer candidates in plain Python."""
+    marked = re.compile(r"(?:final\s+answer|answer|result|therefore)\s*[:=]\s*(.+)$", re.IGNORECASE)
+    found = [text.strip()]
+    for line in reversed([x.strip() for x in text.splitlines() if x.strip()]):
+        found.append(line)
+        if hit := marked.search(line):
+            found.append(hit[1].strip())
+            break
+    found += re.findall(r"[-+]?\d+(?:[.,]\d+)*(?:\.\d+)?%?", text)[-1:] + re.findall(r"[A-Za-z0-9]+", text)[-1:]
+    cut = (" ".join(re.findall(r"[-+]?\d+(?:\.\d+)?%?|[a-z0-9]+", x.strip().lower().replace(",", ""))) for x in found)
+    return list(dict.fromkeys(x for x in cut if x))
+
+
+def test_answer_forms_are_the_plain_ones(spark):
+    rng = random.Random(4)
+    parts = ["Answer: 7", "result = 1,200.5 kg", "so", "-3.5%", "therefore: yes", "\n", "\n\n", "  ", "final answer", "12", "a, b", "."]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", "\n", ""]) for _ in range(rng.randint(0, 7))) for _ in range(300)] + ["", " \n "]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("t", sc.answer_forms(F.col("t")).alias("f")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r.f == plain_forms(r.t), r.t
+
+
+def test_findings_decide_whether_a_row_passes(spark):
+    none = []
+    base = ("ask", "it is 12 units", none, none, none, none, None, None, None, None)
+    schema = "user string, reply string, must_include array<string>, must_include_any array<array<string>>, must_not_include array<string>, required_entities array<string>, min_words int, max_words int, min_chars int, max_chars int, normalized_answers array<string>, normalized_answer_required boolean, require_corpus_support boolean, corpus_support_rate double, correct_choice string, choice_predicted string, reference_answer string, answerable boolean"
+    extra = [
+        ([], False, False, None, None, None, None, True),
+        (["12"], True, False, None, None, None, None, True),
+        (["13"], True, False, None, None, None, None, True),
+        (["13"], False, True, 0.1, None, None, None, True),
+        (None, None, True, None, "A", "B", "wholly other words", True),
+        (None, True, True, 0.25, "A", "A", "it is 12 units", False),
+    ]
+    rows = sc.scored(spark.createDataFrame([(*base, *x) for x in extra], schema)).select("passed", sc.failure_reasons().alias("r")).collect()
+    assert [r.passed for r in rows] == [True, True, False, False, True, False]
+    assert [r.r for r in rows] == [[], [], ["normalized_answer_mismatch"], ["weak_corpus_support"], ["wrong_choice", "low_reference_overlap"], ["normalized_answer_mismatch"]]
+
+
+def test_bootstrap_draws_the_law_of_the_plain_one(spark):
+    rng = random.Random(3)
+    values = [rng.random() < 0.7 for _ in range(120)]
+    row = sc.bootstrap_ci(spark.createDataFrame([("a", v) for v in values], "k string, passed boolean"), "k").first()
+    low, high = sc.exact_bootstrap(values)
+    assert abs(row.low - low) < 0.03 and abs(row.high - high) < 0.03
