@@ -57,41 +57,74 @@ def tokens_per_parameter(planned: Column, parameters: Column, ratio: Column) ->
     return F.when(planned.isNotNull() & (parameters > 0), planned / parameters).otherwise(ratio)
 
 
+#: Metrics of a comparison, with how a change of each is judged below.
+COMPARED = ["pass_rate", "val_loss", "domain_rate", "refusal_rate", "support_rate", "echo_rate", "fit_rate", "bpb", "base_bpb", "truncated", "skipped"]
+
+
 def compared(runs: DataFrame) -> DataFrame:
-    """The best run and its baseline in one row: ``best, baseline`` and the deltas of their metrics.
+    """The best run and its baseline in one row: ``best, baseline``, the best's metrics and memorization status, and the deltas of the metrics.
 
-    Runs rank by pass rate, then by lower validation loss; the baseline is the next one.
+    Runs rank by pass rate, then by lower validation loss; the baseline is the next one. Metrics that ``runs`` lacks are null.
     """
+    for name in [m for m in COMPARED if m not in runs.columns]:
+        runs = runs.withColumn(name, F.lit(None).cast("double"))
+    if "memorization" not in runs.columns:
+        runs = runs.withColumn("memorization", F.lit("low"))
     order = Window.orderBy(F.desc("pass_rate"), "val_loss", "run")
-    metrics = ["pass_rate", "val_loss", "support_rate", "echo_rate", "fit_rate", "bpb"]
     ahead = runs.withColumn("rank", F.row_number().over(order)).withColumn("baseline", F.lead("run").over(order))
-    for m in metrics:
+    for m in COMPARED:
         ahead = ahead.withColumn(f"{m}_delta", F.col(m) - F.lead(m).over(order))
-    return ahead.where("rank = 1").select(F.col("run").alias("best"), "baseline", *metrics, *(f"{m}_delta" for m in metrics))
+    return ahead.where("rank = 1").select(F.col("run").alias("best"), "baseline", "memorization", *COMPARED, *(f"{m}_delta" for m in COMPARED))
+
+
+def regression_rules() -> list[tuple[str, str, Column]]:
+    """Name, severity and condition of what may have got worse; a condition on a missing metric doesn't hold."""
+    delta = lambda m: F.col(f"{m}_delta")
+    rules = [
+        ("small_eval_gain", "warn", delta("pass_rate") < 0.02),
+        ("small_domain_gain", "warn", delta("domain_rate") < 0.02),
+        ("refusal_dropped", "fail", delta("refusal_rate") < -0.05),
+        ("support_dropped", "fail", delta("support_rate") < -0.05),
+        ("echo_worsened", "fail", delta("echo_rate") > 0.02),
+        ("fit_dropped", "warn", delta("fit_rate") < -0.05),
+        ("bpb_rose", "warn", delta("bpb") > 0.10),
+        ("more_truncated", "warn", delta("truncated") > 0),
+        ("more_skipped", "warn", delta("skipped") > 0),
+        ("memorization", "fail", F.lower("memorization") != "low"),
+    ]
+    return [(name, severity, F.coalesce(F.col("baseline").isNotNull() & condition, F.lit(False))) for name, severity, condition in rules]
 
 
 def regression_issues(row: DataFrame) -> DataFrame:
     """``best, baseline, issue, severity`` for the limits that the deltas cross."""
-    named = [
-        ("small_eval_gain", "warn", F.col("pass_rate_delta") < 0.02),
-        ("support_dropped", "fail", F.col("support_rate_delta") < -0.05),
-        ("echo_worsened", "fail", F.col("echo_rate_delta") > 0.02),
-        ("fit_dropped", "warn", F.col("fit_rate_delta") < -0.05),
-        ("bpb_rose", "warn", F.col("bpb_delta") > 0.10),
-    ]
-    found = F.filter(F.array(*[F.when(F.col("baseline").isNotNull() & c, F.struct(F.lit(n).alias("issue"), F.lit(s).alias("severity"))) for n, s, c in named]), lambda x: x.isNotNull())
+    found = F.filter(F.array(*[F.when(c, F.struct(F.lit(n).alias("issue"), F.lit(s).alias("severity"))) for n, s, c in regression_rules()]), lambda x: x.isNotNull())
     return row.select("best", "baseline", F.explode(found).alias("i")).select("best", "baseline", "i.issue", "i.severity")
 
 
-def next_experiment(row: DataFrame) -> DataFrame:
-    """The first rule that fits the comparison: what to do next."""
-    failing = (F.col("support_rate_delta") < -0.05) | (F.col("echo_rate_delta") > 0.02)
+def champion_status(row: DataFrame) -> DataFrame:
+    """``best, status``: warn without a baseline, fail or warn by the gravest issue, else pass."""
+    fails, any_issue = F.lit(False), F.lit(False)
+    for _, severity, condition in regression_rules():
+        any_issue = any_issue | condition
+        fails = fails | condition if severity == "fail" else fails
+    return row.select("best", F.when(F.col("baseline").isNull(), "warn").when(fails, "fail").when(any_issue, "warn").otherwise("pass").alias("status"))
+
+
+def next_experiment(row: DataFrame, best_base: Column | None = None, best_sft: Column | None = None) -> DataFrame:
+    """The first rule that fits the comparison: what to do next. ``best_base`` and ``best_sft`` name the runs of least bits per byte, if there are."""
+    failing = F.lit(False)
+    for _, severity, condition in regression_rules():
+        failing = failing | condition if severity == "fail" else failing
+    other = lambda c: F.lit(False) if c is None else F.coalesce(c != F.col("best"), F.lit(False))
     choice = (
         F.when(F.col("baseline").isNull(), "add_comparison_run")
         .when(failing, "repair_before_scaling")
         .when(F.col("fit_rate") < 0.70, "increase_fit")
-        .when(F.col("pass_rate") >= 0.70, "harder_eval")
-        .otherwise("improve_answer_data")
+        .when(other(best_base), "separate_compression_from_behavior")
+        .when(other(best_sft), "inspect_sft_quality")
+        .when((F.col("pass_rate") >= 0.70) & F.coalesce(F.col("domain_rate") >= 0.50, F.lit(True)), "harder_eval")
+        .when(F.col("domain_rate") < 0.25, "improve_answer_data")
+        .otherwise("improve_data")
     )
     return row.select("best", "baseline", choice.alias("next"))
 
@@ -227,28 +260,48 @@ def release_gate(runs: DataFrame, long_run: Column) -> DataFrame:
 
 
 def preflight(runs: DataFrame) -> DataFrame:
-    """``run, check_name, status`` of data, budget, tuning and eval checks before a long run."""
-    long_run = F.col("long_run")
-    worse = F.when(long_run, "block").otherwise("warn")
-
-    def check(name: str, bad: Column, status: Column = worse) -> Column:
-        return F.struct(F.lit(name).alias("check_name"), F.when(bad, status).otherwise("pass").alias("status"))
-
-    epochs = F.col("tokens_seen") / F.greatest(F.lit(1), F.col("dataset_tokens"))
-    ratio = F.col("planned_tokens") / F.greatest(F.lit(1), F.col("parameters") * 20)
-    rows = F.array(
-        check("documents", F.col("documents") < 100),
-        check("duplicate_documents", F.col("duplicate_rate") > 0.10),
-        check("near_duplicates", F.col("near_duplicate_rate") > 0.15),
-        check("duplicate_lines", F.col("duplicate_line_rate") > 0.30),
-        check("vocabulary", F.col("vocab") < 512),
-        F.struct(F.lit("epochs").alias("check_name"), F.when(epochs > 30, "block").when(epochs > 12, "warn").otherwise("pass").alias("status")),
-        F.struct(F.lit("token_budget").alias("check_name"), F.when(ratio > 3, "block").when((ratio < 0.5) | (ratio > 1.5), "warn").otherwise("pass").alias("status")),
-        check("sft_rows", F.col("sft_rows") < 300),
-        check("eval_rows", F.col("eval_rows") < 80),
-        check("unanswerable", F.col("unanswerable") < 2, F.lit("warn")),
-    )
-    return runs.select("run", F.inline(rows))
+    """``run, check_name, status`` of data, tokenizer, budget, tuning and evaluation checks before a run; checks that a run has no use for are left out."""
+    long_run, release = F.col("long_run"), F.col("release")
+    c = F.col
+    low = lambda x: F.coalesce(x, F.lit(0))
+    never, always = F.lit(False), F.lit(True)
+    ratio = c("planned_tokens") / c("target_tokens")
+    bpe = c("tokenizer").contains("bpe")
+    short = (c("target_ratio") < 20) | F.coalesce(ratio < 0.90, never)
+    rules = [
+        ("corpus_readiness", always, c("readiness") == "blocked", c("readiness") == "caution"),
+        ("documents", always, c("documents") == 0, long_run & (c("documents") < 100)),
+        ("duplicate_documents", always, long_run & (c("duplicate_rate") > 0.10), c("duplicate_rate") > 0.03),
+        ("near_duplicate_documents", always, long_run & (c("near_duplicate_rate") > 0.15), c("near_duplicate_rate") > 0.05),
+        ("duplicate_lines", always, long_run & (c("duplicate_line_rate") > 0.30), c("duplicate_line_rate") > 0.15),
+        ("corpus_size", always, c("characters") == 0, long_run & (c("characters") < 1_000_000)),
+        ("document_split", always, ~c("dataset_mode").isin("sharded", "packed") & (c("split_mode") != "document") & long_run, (c("dataset_mode") == "sharded") | (~c("dataset_mode").isin("sharded", "packed") & (c("split_mode") != "document"))),
+        ("bpe_vocab_size", bpe, long_run & (low(c("vocab")) < 512), low(c("vocab")) < 1024),
+        ("tokenizer_corpus_fit", bpe, never, low(c("chars_per_token")) < 2),
+        ("explicit_vocab", bpe & long_run & c("vocab").isNull(), never, always),
+        ("tokenizer_type", ~bpe, never, long_run),
+        ("compute_optimal_horizon", always, F.coalesce(ratio > 3, never), F.coalesce((ratio < 0.5) | (ratio > 1.5), always)),
+        ("release_token_budget", always, long_run & release & short, never),
+        ("corpus_model_fit", always, F.coalesce(c("target_epochs") > 30, never), F.coalesce(c("target_epochs") > 12, always)),
+        ("base_exposure", always, c("epochs").isNull() | (long_run & (c("epochs") > 30)), (c("epochs") > 12) | (long_run & (c("epochs") < 0.25))),
+        ("effective_batch", always, never, c("effective_batch") < 8),
+        ("base_lr", always, low(c("base_lr")) <= 0, c("base_lr") > 0.003),
+        ("sft_readiness", always, c("sft_status") == "blocked", c("sft_status") == "caution"),
+        ("sft_rows", always, long_run & (c("sft_rows") < 300), c("sft_rows") < 500),
+        ("sft_duplicates", always, long_run & (c("sft_duplicate_rate") > 0.25), c("sft_duplicate_rate") > 0.10),
+        ("sft_answer_words", always, never, long_run & (c("sft_answer_words") < 6)),
+        ("sft_epochs", always, long_run & (c("sft_epochs") > 60), F.coalesce(c("sft_epochs") > 25, always)),
+        ("sft_lr", always, low(c("sft_lr")) <= 0, long_run & (c("sft_lr") > c("base_lr"))),
+        ("category_balance", always, never, long_run & (c("categories") < 4)),
+        ("eval_readiness", always, (c("eval_status") == "blocked") & long_run, c("eval_status").isin("blocked", "caution")),
+        ("eval_rows", always, long_run & (c("eval_rows") < 80), c("eval_rows") < 100),
+        ("eval_rules", always, long_run & (c("eval_rows") > 0) & (c("eval_rules") < c("eval_rows")), (c("eval_rows") > 0) & (c("eval_rules") < c("eval_rows"))),
+        ("unanswerable", always, never, long_run & (c("unanswerable") < 2)),
+        ("eval_splits", always, never, long_run & (c("splits") < 2)),
+        ("release_groups", release, c("missing_groups") > 0, never),
+    ]
+    rows = F.array(*[F.when(of, F.struct(F.lit(name).alias("check_name"), F.when(block, "block").when(warn, "warn").otherwise("pass").alias("status"))) for name, of, block, warn in rules])
+    return runs.select("run", F.inline(F.filter(rows, lambda x: x.isNotNull())))
 
 
 def preflight_status(checks: DataFrame) -> DataFrame:

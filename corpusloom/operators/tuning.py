@@ -185,3 +185,18 @@ def completion_prompt(messages: Column) -> Column:
     ends = F.size(lines) > 0
     last = F.when(ends, F.element_at(lines, -1)).otherwise("")
     return F.when(~known, F.raise_error(F.lit("a message has a role of system, user or assistant, and a text"))).when(last == "Assistant:", text).when(ends, F.concat(text, F.lit("\nAssistant:"))).otherwise(F.lit("Assistant:"))
+
+
+def record_messages(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``messages`` in normal form, from ``messages`` or from ``user, assistant``: roles in lower case, known ones only, a ``system`` text and ``tools`` first.
+
+    What a row has of these columns counts; rows that don't end with the assistant go.
+    """
+    has = lambda c: c in rows.columns
+    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    given = F.col("messages") if has("messages") else F.lit(None).cast("array<struct<role:string,content:string>>")
+    pair = F.when(F.col("user").isNotNull() & F.col("assistant").isNotNull(), F.array(message("user", strip("user")), message("assistant", strip("assistant")))) if has("user") and has("assistant") else F.lit(None).cast("array<struct<role:string,content:string>>")
+    known = F.filter(F.transform(F.coalesce(given, pair), lambda m: F.struct(F.lower(m["role"]).alias("role"), m["content"].alias("content"))), lambda m: m["role"].isin(ROLES) & m["content"].isNotNull())
+    first = [F.when(F.trim(F.coalesce(F.col(c), F.lit(""))) != "", F.array(message("system", F.concat(F.lit("Tools: "), F.col(c)) if c == "tools" else F.col(c)))).otherwise(F.array().cast("array<struct<role:string,content:string>>")) for c in ("system", "tools") if has(c)]
+    whole = F.concat(*first, known) if first else known
+    return rows.withColumn("messages", whole).where((F.size("messages") > 0) & (F.element_at("messages", -1)["role"] == "assistant"))

@@ -41,6 +41,11 @@ def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((key * 5 % 9) / 100.0).alias("echo_rate"),
         (0.6 + (key % 4) / 10.0).alias("fit_rate"),
         F.when(key % 2 == 0, 1 + (key % 5) / 10.0).alias("bpb"),
+        F.when(key % 4 != 1, (key * 7 % 10) / 12.0).alias("domain_rate"),
+        ((key * 3 % 8) / 10.0).alias("refusal_rate"),
+        (key % 3).alias("truncated"),
+        (key * 5 % 4).alias("skipped"),
+        F.when(key % 7 == 3, "high").otherwise("low").alias("memorization"),
         key.alias("key"),
     )
 
@@ -53,12 +58,28 @@ def run_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.compared(_summaries(spark, sf_dir))
 
 
+def champion_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The champion of each priority's rivals: every nation against the ones before it."""
+    rows, out = _summaries(spark, sf_dir), None
+    for k in range(1, 13):
+        part = runs.champion_status(runs.compared(rows.where(F.col("key") < k))).withColumn("rivals", F.lit(k))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def run_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.regression_issues(run_compare(spark, sf_dir))
 
 
 def next_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs.next_experiment(run_compare(spark, sf_dir))
+    """What to do next, with the run of least bits per byte, for growing sets of runs."""
+    rows, out = _summaries(spark, sf_dir), None
+    for k in range(1, 13):
+        own = rows.where(F.col("key") < k)
+        row = runs.compared(own).crossJoin(F.broadcast(runs.best_bpb(own).withColumnRenamed("run", "least")))
+        part = runs.next_experiment(row, F.col("least")).withColumn("rivals", F.lit(k))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def best_bpb(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +98,14 @@ def release_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _preflights(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("key")
-    return _summaries(spark, sf_dir).select("run", (key % 2 == 0).alias("long_run"), (key * 20).alias("documents"), (key / 100.0).alias("duplicate_rate"), (key / 120.0).alias("near_duplicate_rate"), (key / 50.0).alias("duplicate_line_rate"), (key * 64).alias("vocab"), (key * 1000).alias("tokens_seen"), F.lit(700).alias("dataset_tokens"), (key * 400).alias("planned_tokens"), F.lit(250).alias("parameters"), (key * 30).alias("sft_rows"), (key * 8).alias("eval_rows"), (key % 4).alias("unanswerable"))
+    status = lambda k: F.element_at(F.array(F.lit("ready"), F.lit("caution"), F.lit("blocked")), (k % 3 + 1).cast("int"))
+    return _summaries(spark, sf_dir).select(
+        "run", (key % 2 == 0).alias("long_run"), (key % 5 == 0).alias("release"), status(key).alias("readiness"), (key * 20).alias("documents"), (key / 100.0).alias("duplicate_rate"), (key / 120.0).alias("near_duplicate_rate"), (key / 50.0).alias("duplicate_line_rate"), (key * 70_000).alias("characters"),
+        F.when(key % 3 == 0, "sharded").when(key % 3 == 1, "packed").otherwise("memory").alias("dataset_mode"), F.when(key % 4 < 2, "document").otherwise("window").alias("split_mode"), F.when(key % 4 == 3, "char").otherwise("hf_bpe").alias("tokenizer"), F.when(key % 6 != 0, key * 64).alias("vocab"), (key / 5.0).alias("chars_per_token"),
+        (key * 400).alias("planned_tokens"), F.lit(5_000).alias("target_tokens"), (key + 10).alias("target_ratio"), F.when(key % 8 != 0, key * 2).alias("target_epochs"), F.when(key % 9 != 0, key * 1.5 - 2).alias("epochs"), key.alias("effective_batch"), ((key - 3) / 5000.0).alias("base_lr"),
+        status(key + 1).alias("sft_status"), (key * 30).alias("sft_rows"), (key / 80.0).alias("sft_duplicate_rate"), (key / 2.0).alias("sft_answer_words"), F.when(key % 10 != 0, key * 4).alias("sft_epochs"), ((key - 1) / 6000.0).alias("sft_lr"), (key % 7).alias("categories"),
+        status(key + 2).alias("eval_status"), (key * 8).alias("eval_rows"), (key * 9 - 20).alias("eval_rules"), (key % 4).alias("unanswerable"), (key % 3).alias("splits"), (key % 2).alias("missing_groups"),
+    )
 
 
 def preflight_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,23 +317,66 @@ def corpus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.chunk_metadata(corpus.corpus_stats(table(spark, sf_dir, "documents")), 500_000)
 
 
-QUERIES = {f.__name__: f for f in (registry_status_counts, release_groups_missing, staged_math, profile_mix, skill_shards, corpus_chunks, leaderboard, best_run, registry_rank, run_compare, run_regressions, next_experiment, best_bpb, multi_seed_stats, release_gate, preflight_checks, preflight_verdicts, loss_diagnostics, loss_recommendations, loss_stability, loss_spikes, throughput_summary, lr_recommendation, bits_per_byte, category_prefix_pass, scale_plan, math_rows, spelling_rows, choice_rows, identity_rows, external_choice_convert, sentence_candidates, eval_starter, sft_starter, preference_starter, slice_by_glob, unique_prompts, shuffled_head, task_mixture, log_progress, log_progress_stream, events_window_stream)}
+QUERIES = {f.__name__: f for f in (champion_status, registry_status_counts, release_groups_missing, staged_math, profile_mix, skill_shards, corpus_chunks, leaderboard, best_run, registry_rank, run_compare, run_regressions, next_experiment, best_bpb, multi_seed_stats, release_gate, preflight_checks, preflight_verdicts, loss_diagnostics, loss_recommendations, loss_stability, loss_spikes, throughput_summary, lr_recommendation, bits_per_byte, category_prefix_pass, scale_plan, math_rows, spelling_rows, choice_rows, identity_rows, external_choice_convert, sentence_candidates, eval_starter, sft_starter, preference_starter, slice_by_glob, unique_prompts, shuffled_head, task_mixture, log_progress, log_progress_stream, events_window_stream)}
 
 _RESULTS = "r AS (SELECT o_orderpriority AS run, ['bench_math_add', 'identity', 'domain_recall', 'refusal_boundary', 'bench_choice_facts', 'bench_spelling_letters', 'chat'][(o_orderkey % 7) + 1] AS category, o_orderstatus = 'F' AS passed FROM orders)"
 _BOARD = f"{_RESULTS}, u AS (SELECT run, 'overall' AS suite, passed FROM r UNION ALL SELECT run, category, passed FROM r WHERE category LIKE 'bench_%'), b AS (SELECT run, suite, count(*) FILTER (passed) AS num_passed, count(*) AS num_examples, count(*) FILTER (passed) / count(*) AS pass_rate FROM u GROUP BY 1, 2)"
 _SUMS = """g AS (SELECT CAST(c_nationkey AS BIGINT) AS k, round(avg(CAST(c_acctbal > 0 AS INTEGER)), 4) AS pass_rate, avg(CAST(c_acctbal > 0 AS INTEGER)) AS raw FROM customer GROUP BY 1),
 s AS (SELECT printf('run-%02d', k) AS run, ['approved', 'warn', 'blocked', 'ungated', 'other'][k % 5 + 1] AS status, pass_rate, CASE WHEN k % 3 = 0 THEN round(raw * 0.9::DOUBLE, 4) END AS sft_fit_rate, 1 + (k * 7 % 11) / 10.0::DOUBLE AS val_loss, 0.5::DOUBLE + (k * 3 % 7) / 20.0::DOUBLE AS support_rate,
- (k * 5 % 9) / 100.0::DOUBLE AS echo_rate, 0.6::DOUBLE + (k % 4) / 10.0::DOUBLE AS fit_rate, CASE WHEN k % 2 = 0 THEN 1 + (k % 5) / 10.0::DOUBLE END AS bpb, k FROM g)"""
-_METRICS = ["pass_rate", "val_loss", "support_rate", "echo_rate", "fit_rate", "bpb"]
-_COMPARE = f"{_SUMS}, o AS (SELECT *, row_number() OVER w AS rk, lead(run) OVER w AS baseline, " + ", ".join(f"{m} - lead({m}) OVER w AS {m}_delta" for m in _METRICS) + " FROM s WINDOW w AS (ORDER BY pass_rate DESC, val_loss, run)), c AS (SELECT run AS best, baseline, " + ", ".join([*_METRICS, *(f"{m}_delta" for m in _METRICS)]) + " FROM o WHERE rk = 1)"
-_GATE = f"{_SUMS}, q AS (SELECT run, k % 2 = 1 AS long, list_filter([CASE WHEN k % 6 = 0 THEN 'preflight:block' END, CASE WHEN k % 8 = 0 THEN 'data_honesty:block' END, CASE WHEN coalesce(sft_fit_rate, 0) < 0.70 THEN CASE WHEN k % 2 = 1 THEN 'sft_fit:block' ELSE 'sft_fit:warn' END END, CASE WHEN 0.4::DOUBLE + (k % 3) / 10.0::DOUBLE < 0.50 THEN CASE WHEN k % 2 = 1 THEN 'sft_heldout_fit:block' ELSE 'sft_heldout_fit:warn' END END, CASE WHEN pass_rate < 0.30 THEN CASE WHEN k % 2 = 1 THEN 'eval_pass:block' ELSE 'eval_pass:warn' END END, CASE WHEN 0.7::DOUBLE + (k % 2) / 10.0::DOUBLE < 0.75 THEN CASE WHEN k % 2 = 1 THEN 'refusal:block' ELSE 'refusal:warn' END END, CASE WHEN echo_rate > 0.05 THEN 'prompt_echo:block' END, CASE WHEN (k % 10) / 100.0::DOUBLE > 0.05 THEN 'unsupported_claims:warn' END], lambda x: x IS NOT NULL) AS i FROM s)"
+ (k * 5 % 9) / 100.0::DOUBLE AS echo_rate, 0.6::DOUBLE + (k % 4) / 10.0::DOUBLE AS fit_rate, CASE WHEN k % 2 = 0 THEN 1 + (k % 5) / 10.0::DOUBLE END AS bpb, CASE WHEN k % 4 <> 1 THEN (k * 7 % 10) / 12.0::DOUBLE END AS domain_rate, (k * 3 % 8) / 10.0::DOUBLE AS refusal_rate, CAST(k % 3 AS DOUBLE) AS truncated, CAST(k * 5 % 4 AS DOUBLE) AS skipped, CASE WHEN k % 7 = 3 THEN 'high' ELSE 'low' END AS memorization, CAST(NULL AS DOUBLE) AS base_bpb, k FROM g)"""
+_METRICS = ["pass_rate", "val_loss", "domain_rate", "refusal_rate", "support_rate", "echo_rate", "fit_rate", "bpb", "base_bpb", "truncated", "skipped"]
 
 
-def _pf(name: str, bad: str, status: str = "CASE WHEN k % 2 = 0 THEN 'block' ELSE 'warn' END") -> str:
-    return f"SELECT run, '{name}' AS check_name, CASE WHEN {bad} THEN {status} ELSE 'pass' END AS status FROM s"
+def _compared_sql(rows: str) -> str:
+    deltas = ", ".join(f"{m} - lead({m}) OVER w AS {m}_delta" for m in _METRICS)
+    return f"SELECT run AS best, baseline, memorization, {', '.join([*_METRICS, *(f'{m}_delta' for m in _METRICS)])} FROM (SELECT *, row_number() OVER w AS rk, lead(run) OVER w AS baseline, {deltas} FROM {rows} WINDOW w AS (ORDER BY pass_rate DESC, val_loss, run)) WHERE rk = 1"
+
+
+_COMPARE = f"{_SUMS}, c AS ({_compared_sql('s')})"
+_GROWING = f"{_SUMS}, c AS ({' UNION ALL '.join(f'SELECT {k} AS rivals, * FROM ({_compared_sql(f"(SELECT * FROM s WHERE k < {k})")})' for k in range(1, 13))})"
+_FAILS = "baseline IS NOT NULL AND (coalesce(refusal_rate_delta < -0.05, false) OR coalesce(support_rate_delta < -0.05, false) OR coalesce(echo_rate_delta > 0.02, false) OR memorization <> 'low')"
+_WARNS = "baseline IS NOT NULL AND (coalesce(pass_rate_delta < 0.02, false) OR coalesce(domain_rate_delta < 0.02, false) OR coalesce(fit_rate_delta < -0.05, false) OR coalesce(bpb_delta > 0.10, false) OR truncated_delta > 0 OR skipped_delta > 0)"
+_GATE = f"{_SUMS}, q AS (SELECT run, k % 2 = 1 AS long, list_filter([CASE WHEN k % 6 = 0 THEN 'preflight:block' END, CASE WHEN k % 8 = 0 THEN 'data_honesty:block' END, CASE WHEN coalesce(sft_fit_rate, 0) < 0.70 THEN CASE WHEN k % 2 = 1 THEN 'sft_fit:block' ELSE 'sft_fit:warn' END END, CASE WHEN 0.4::DOUBLE + (k % 3) / 10.0::DOUBLE < 0.50 THEN CASE WHEN k % 2 = 1 THEN 'sft_heldout_fit:block' ELSE 'sft_heldout_fit:warn' END END, CASE WHEN pass_rate < 0.30 THEN CASE WHEN k % 2 = 1 THEN 'eval_pass:block' ELSE 'eval_pass:warn' END END, CASE WHEN 0.7::DOUBLE + (k % 2) / 10.0::DOUBLE < 0.75 THEN CASE WHEN k % 2 = 1 THEN 'refusal:block' ELSE 'refusal:warn' END END, CASE WHEN echo_rate > 0.05 THEN 'prompt_echo:block' END, CASE WHEN (k % 10) / 100.0::DOUBLE > 0.05 THEN 'unsupported_claims:warn' END], lambda x: x IS NOT NULL) AS i FROM s)"
 
 
-_PREFLIGHT = f"{_SUMS}, p AS (" + " UNION ALL ".join([_pf("documents", "k * 20 < 100"), _pf("duplicate_documents", "k / 100.0::DOUBLE > 0.10"), _pf("near_duplicates", "k / 120.0::DOUBLE > 0.15"), _pf("duplicate_lines", "k / 50.0::DOUBLE > 0.30"), _pf("vocabulary", "k * 64 < 512"), "SELECT run, 'epochs', CASE WHEN k * 1000 / 700.0::DOUBLE > 30 THEN 'block' WHEN k * 1000 / 700.0::DOUBLE > 12 THEN 'warn' ELSE 'pass' END FROM s", "SELECT run, 'token_budget', CASE WHEN k * 400 / 5000.0::DOUBLE > 3 THEN 'block' WHEN k * 400 / 5000.0::DOUBLE < 0.5 OR k * 400 / 5000.0::DOUBLE > 1.5 THEN 'warn' ELSE 'pass' END FROM s", _pf("sft_rows", "k * 30 < 300"), _pf("eval_rows", "k * 8 < 80"), _pf("unanswerable", "k % 4 < 2", "'warn'")]) + ")"
+def _pf(name: str, block: str, warn: str, of: str = "true") -> str:
+    return f"SELECT run, '{name}' AS check_name, CASE WHEN {block} THEN 'block' WHEN {warn} THEN 'warn' ELSE 'pass' END AS status FROM s WHERE {of}"
+
+
+_LONG, _RELEASE, _BPE = "k % 2 = 0", "k % 5 = 0", "k % 4 <> 3"
+_EPOCHS = "(k * 1.5::DOUBLE - 2)"
+_PREFLIGHT = f"{_SUMS}, p AS (" + " UNION ALL ".join([
+    _pf("corpus_readiness", "k % 3 = 2", "k % 3 = 1"),
+    _pf("documents", "k = 0", f"{_LONG} AND k * 20 < 100"),
+    _pf("duplicate_documents", f"{_LONG} AND k / 100.0::DOUBLE > 0.10", "k / 100.0::DOUBLE > 0.03"),
+    _pf("near_duplicate_documents", f"{_LONG} AND k / 120.0::DOUBLE > 0.15", "k / 120.0::DOUBLE > 0.05"),
+    _pf("duplicate_lines", f"{_LONG} AND k / 50.0::DOUBLE > 0.30", "k / 50.0::DOUBLE > 0.15"),
+    _pf("corpus_size", "k = 0", f"{_LONG} AND k * 70000 < 1000000"),
+    _pf("document_split", f"k % 3 = 2 AND k % 4 >= 2 AND {_LONG}", "k % 3 = 0 OR (k % 3 = 2 AND k % 4 >= 2)"),
+    _pf("bpe_vocab_size", f"{_LONG} AND (k % 6 = 0 OR k * 64 < 512)", "k % 6 = 0 OR k * 64 < 1024", _BPE),
+    _pf("tokenizer_corpus_fit", "false", "k / 5.0::DOUBLE < 2", _BPE),
+    _pf("explicit_vocab", "false", "true", f"{_BPE} AND {_LONG} AND k % 6 = 0"),
+    _pf("tokenizer_type", "false", _LONG, f"NOT {_BPE}"),
+    _pf("compute_optimal_horizon", "k * 400 / 5000.0::DOUBLE > 3", "k * 400 / 5000.0::DOUBLE < 0.5 OR k * 400 / 5000.0::DOUBLE > 1.5"),
+    _pf("release_token_budget", f"{_LONG} AND {_RELEASE} AND (k + 10 < 20 OR k * 400 / 5000.0::DOUBLE < 0.90)", "false"),
+    _pf("corpus_model_fit", "k % 8 <> 0 AND k * 2 > 30", "k % 8 = 0 OR k * 2 > 12"),
+    _pf("base_exposure", f"k % 9 = 0 OR ({_LONG} AND {_EPOCHS} > 30)", f"{_EPOCHS} > 12 OR ({_LONG} AND {_EPOCHS} < 0.25)"),
+    _pf("effective_batch", "false", "k < 8"),
+    _pf("base_lr", "k <= 3", "(k - 3) / 5000.0::DOUBLE > 0.003"),
+    _pf("sft_readiness", "(k + 1) % 3 = 2", "(k + 1) % 3 = 1"),
+    _pf("sft_rows", f"{_LONG} AND k * 30 < 300", "k * 30 < 500"),
+    _pf("sft_duplicates", f"{_LONG} AND k / 80.0::DOUBLE > 0.25", "k / 80.0::DOUBLE > 0.10"),
+    _pf("sft_answer_words", "false", f"{_LONG} AND k / 2.0::DOUBLE < 6"),
+    _pf("sft_epochs", f"{_LONG} AND k % 10 <> 0 AND k * 4 > 60", "k % 10 = 0 OR k * 4 > 25"),
+    _pf("sft_lr", "k <= 1", f"{_LONG} AND (k - 1) / 6000.0::DOUBLE > (k - 3) / 5000.0::DOUBLE"),
+    _pf("category_balance", "false", f"{_LONG} AND k % 7 < 4"),
+    _pf("eval_readiness", f"(k + 2) % 3 = 2 AND {_LONG}", "(k + 2) % 3 > 0"),
+    _pf("eval_rows", f"{_LONG} AND k * 8 < 80", "k * 8 < 100"),
+    _pf("eval_rules", f"{_LONG} AND k > 0 AND k * 9 - 20 < k * 8", "k > 0 AND k * 9 - 20 < k * 8"),
+    _pf("unanswerable", "false", f"{_LONG} AND k % 4 < 2"),
+    _pf("eval_splits", "false", f"{_LONG} AND k % 3 < 2"),
+    _pf("release_groups", "k % 2 > 0", "false", _RELEASE),
+]) + ")"
 _TRACE = "t AS (SELECT event_type AS run, event_id AS step, 1 + value / 100 AS train_loss, CASE WHEN event_id % 5 = 0 THEN 1.2::DOUBLE + value / 90 END AS val_loss, value / 10 AS grad_norm, event_id * 0.25::DOUBLE AS seconds FROM events WHERE value IS NOT NULL)"
 _DIAG = f"{_TRACE}, b AS (SELECT run, arg_min(step, step) AS first_step, arg_max(step, step) AS final_step, arg_min(train_loss, step) AS ft, arg_max(train_loss, step) AS lt, max_by(struct_pack(v := val_loss), step).v AS lv, min_by(struct_pack(s := step, v := val_loss), struct_pack(v := val_loss, s := step)) FILTER (val_loss IS NOT NULL) AS m FROM t GROUP BY run), e AS (SELECT run, count(*) AS n FROM t JOIN b USING (run) WHERE step > m.s GROUP BY run), d AS (SELECT run, first_step, final_step, m.s AS best_step, m.v AS best_val_loss, lv - lt AS final_gap, lv - m.v AS val_regression, ft - lt AS train_improvement, coalesce(n, 0) AS evals_after_best FROM b LEFT JOIN e USING (run))"
 _FACTS = "f AS (SELECT CAST(n_nationkey AS BIGINT) AS number, 'Which region has ' || n_name || '?' AS question, r_name AS correct, list_filter((SELECT list(r_name ORDER BY r_name) FROM region), lambda x: x <> r_name)[1:3] AS wrong FROM nation JOIN region ON n_regionkey = r_regionkey)"
@@ -337,8 +408,9 @@ ORACLES = {
     "best_run": f"WITH {_BOARD} SELECT run, pass_rate FROM b WHERE suite = 'overall' ORDER BY pass_rate DESC, num_passed DESC, num_examples DESC, run LIMIT 1",
     "registry_rank": f"WITH {_SUMS}, r AS (SELECT run, status, pass_rate, sft_fit_rate, CASE status WHEN 'approved' THEN 4 WHEN 'warn' THEN 3 WHEN 'blocked' THEN 2 WHEN 'ungated' THEN 1 ELSE 0 END AS rk FROM s) SELECT run, status, pass_rate, sft_fit_rate, CAST(row_number() OVER (ORDER BY rk DESC, run) AS INTEGER) AS place, row_number() OVER (ORDER BY rk DESC, coalesce(pass_rate, 0) DESC, coalesce(sft_fit_rate, 0) DESC, run) = 1 AS best FROM r",
     "run_compare": f"WITH {_COMPARE} SELECT * FROM c",
-    "run_regressions": f"WITH {_COMPARE}, i AS (SELECT best, baseline, unnest(list_filter([CASE WHEN pass_rate_delta < 0.02 THEN 'small_eval_gain:warn' END, CASE WHEN support_rate_delta < -0.05 THEN 'support_dropped:fail' END, CASE WHEN echo_rate_delta > 0.02 THEN 'echo_worsened:fail' END, CASE WHEN fit_rate_delta < -0.05 THEN 'fit_dropped:warn' END, CASE WHEN bpb_delta > 0.10 THEN 'bpb_rose:warn' END], lambda x: x IS NOT NULL)) AS i FROM c WHERE baseline IS NOT NULL) SELECT best, baseline, string_split(i, ':')[1] AS issue, string_split(i, ':')[2] AS severity FROM i",
-    "next_experiment": f"WITH {_COMPARE} SELECT best, baseline, CASE WHEN baseline IS NULL THEN 'add_comparison_run' WHEN support_rate_delta < -0.05 OR echo_rate_delta > 0.02 THEN 'repair_before_scaling' WHEN fit_rate < 0.70 THEN 'increase_fit' WHEN pass_rate >= 0.70 THEN 'harder_eval' ELSE 'improve_answer_data' END AS next FROM c",
+    "run_regressions": f"WITH {_COMPARE}, i AS (SELECT best, baseline, unnest(list_filter([CASE WHEN pass_rate_delta < 0.02 THEN 'small_eval_gain:warn' END, CASE WHEN domain_rate_delta < 0.02 THEN 'small_domain_gain:warn' END, CASE WHEN refusal_rate_delta < -0.05 THEN 'refusal_dropped:fail' END, CASE WHEN support_rate_delta < -0.05 THEN 'support_dropped:fail' END, CASE WHEN echo_rate_delta > 0.02 THEN 'echo_worsened:fail' END, CASE WHEN fit_rate_delta < -0.05 THEN 'fit_dropped:warn' END, CASE WHEN bpb_delta > 0.10 THEN 'bpb_rose:warn' END, CASE WHEN truncated_delta > 0 THEN 'more_truncated:warn' END, CASE WHEN skipped_delta > 0 THEN 'more_skipped:warn' END, CASE WHEN memorization <> 'low' THEN 'memorization:fail' END], lambda x: x IS NOT NULL)) AS i FROM c WHERE baseline IS NOT NULL) SELECT best, baseline, string_split(i, ':')[1] AS issue, string_split(i, ':')[2] AS severity FROM i",
+    "champion_status": f"WITH {_GROWING} SELECT best, CASE WHEN baseline IS NULL THEN 'warn' WHEN {_FAILS} THEN 'fail' WHEN {_WARNS} THEN 'warn' ELSE 'pass' END AS status, CAST(rivals AS INTEGER) AS rivals FROM c",
+    "next_experiment": f"WITH {_GROWING}, b AS (SELECT r AS rivals, CASE WHEN count(*) >= 2 THEN arg_min(run, struct_pack(b := bpb, r := run)) END AS least FROM range(1, 13) x(r) JOIN s ON k < r AND bpb IS NOT NULL GROUP BY r) SELECT best, baseline, CASE WHEN baseline IS NULL THEN 'add_comparison_run' WHEN {_FAILS} THEN 'repair_before_scaling' WHEN fit_rate < 0.70 THEN 'increase_fit' WHEN coalesce(least <> best, false) THEN 'separate_compression_from_behavior' WHEN pass_rate >= 0.70 AND coalesce(domain_rate >= 0.50, true) THEN 'harder_eval' WHEN domain_rate < 0.25 THEN 'improve_answer_data' ELSE 'improve_data' END AS next, CAST(rivals AS INTEGER) AS rivals FROM c LEFT JOIN b USING (rivals)",
     "best_bpb": f"WITH {_SUMS} SELECT CASE WHEN count(*) >= 2 THEN (SELECT run FROM s WHERE bpb IS NOT NULL ORDER BY bpb, run LIMIT 1) END AS run FROM s WHERE bpb IS NOT NULL",
     "multi_seed_stats": f"WITH {_SUMS}, l AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, {m} AS v FROM s WHERE {m} IS NOT NULL" for m in ("pass_rate", "sft_fit_rate", "val_loss", "bpb")) + ") SELECT metric, count(*) AS n, avg(v) AS mean, coalesce(stddev_samp(v), 0.0) AS std, min(v) AS min, max(v) AS max FROM l GROUP BY metric",
     "release_gate": f"WITH {_GATE} SELECT run, CASE WHEN len(list_filter(i, lambda x: x LIKE '%:block')) > 0 THEN 'blocked' WHEN len(i) > 0 THEN 'warn' ELSE 'approved' END AS status, array_to_string(i, ',') AS issues FROM q",

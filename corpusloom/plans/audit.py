@@ -133,6 +133,14 @@ def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.select("conv_id", F.size("messages").cast("long").alias("n_messages"), F.md5(tuning.render_messages(F.col("messages")).cast("binary")).alias("rendered_md5"))
 
 
+def record_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs as records with a system text and tools here and there."""
+    n = F.col("conv_id")
+    rows = chat_pairs(spark, sf_dir).select("conv_id", F.when(n % 9 != 0, F.col("user")).alias("user"), "assistant", F.when(n % 2 == 0, "be brief").otherwise(" ").alias("system"), F.when(n % 3 == 0, "[]").alias("tools"))
+    found = tuning.record_messages(rows)
+    return found.select("conv_id", F.md5(tuning.render_messages(F.col("messages")).cast("binary")).alias("rendered_md5"))
+
+
 def chat_length_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tuning.length_distribution(table(spark, sf_dir, "conversations"), ["role"], "text")
 
@@ -237,7 +245,7 @@ def rounded_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.rounded_split(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 0.155, 9)
 
 
-QUERIES = {f.__name__: f for f in (matrix_corpus_pairs, matrix_best_matches, support_phrase_hits, nested_phrase_hits, pack_contamination, pack_answer_hits, eval_inspection, resumable_batches, rounded_split, contamination_exact, contamination_contains, ngram_overlap, nearest_references, memorization_report, contamination_matrix, leak_findings, honesty_status, canary_hits, answer_phrase_hits, near_prompt_leaks, sft_pairs, conversation_messages, chat_length_distribution, category_entropy, duplicate_prompts, prompt_near_dups, prompt_jaccard_pairs, template_family, answer_style, curriculum_mix, behavior_buckets, sft_inspection, char_budget_filter, doc_split, group_split, category_weights, weighted_sample_rates, mixture_quotas)}
+QUERIES = {f.__name__: f for f in (record_messages, matrix_corpus_pairs, matrix_best_matches, support_phrase_hits, nested_phrase_hits, pack_contamination, pack_answer_hits, eval_inspection, resumable_batches, rounded_split, contamination_exact, contamination_contains, ngram_overlap, nearest_references, memorization_report, contamination_matrix, leak_findings, honesty_status, canary_hits, answer_phrase_hits, near_prompt_leaks, sft_pairs, conversation_messages, chat_length_distribution, category_entropy, duplicate_prompts, prompt_near_dups, prompt_jaccard_pairs, template_family, answer_style, curriculum_mix, behavior_buckets, sft_inspection, char_budget_filter, doc_split, group_split, category_weights, weighted_sample_rates, mixture_quotas)}
 
 
 def _ngrams(source: str, key: str, n: int, alias: str) -> str:
@@ -269,6 +277,7 @@ ORACLES = {
     "canary_hits": f"WITH {PAIRS_SQL} SELECT conv_id AS id, printf('pico-canary-%04d-%02d', conv_id % 10000, conv_id % 100) AS canary FROM pairs WHERE conv_id % 97 = 3",
     "sft_pairs": f'WITH {PAIRS_SQL} SELECT conv_id, "user", assistant, category FROM pairs',
     "conversation_messages": "WITH k AS (SELECT conv_id, turn, lower(role) AS role, text FROM conversations WHERE lower(role) IN ('system', 'user', 'assistant', 'tool')), g AS (SELECT conv_id, count(*) AS n, string_agg(upper(role[1]) || role[2:] || ': ' || text, chr(10) ORDER BY turn) AS r, max_by(role, turn) AS l FROM k GROUP BY conv_id) SELECT conv_id, n AS n_messages, md5(r) AS rendered_md5 FROM g WHERE l = 'assistant'",
+    "record_messages": f"""WITH {PAIRS_SQL} SELECT conv_id, md5(CASE WHEN conv_id % 2 = 0 THEN 'System: be brief' || chr(10) ELSE '' END || CASE WHEN conv_id % 3 = 0 THEN 'System: Tools: []' || chr(10) ELSE '' END || 'User: ' || trim("user", ' \n\t\r') || chr(10) || 'Assistant: ' || trim(assistant, ' \n\t\r')) AS rendered_md5 FROM pairs WHERE conv_id % 9 <> 0""",
     "chat_length_distribution": "WITH w AS (SELECT role, length(text) AS c, len(regexp_extract_all(text, '\\S+')) AS w FROM conversations) SELECT role, count(*) AS n, CAST(min(c) AS INTEGER) AS min_chars, CAST(max(c) AS INTEGER) AS max_chars, avg(c) AS avg_chars, CAST(min(w) AS INTEGER) AS min_words, CAST(max(w) AS INTEGER) AS max_words, avg(w) AS avg_words FROM w GROUP BY role",
     "category_entropy": "WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source), p AS (SELECT n / sum(n) OVER () AS p FROM c) SELECT count(*) AS categories, CASE WHEN count(*) > 1 THEN sum(-p * log2(p)) ELSE 0.0 END AS entropy, CASE WHEN count(*) > 1 THEN sum(-p * log2(p)) / log2(count(*)) ELSE 0.0 END AS entropy_normalized FROM p",
     "duplicate_prompts": "SELECT lower(split_part(text, ' ', 1)) AS prompt, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY 1 HAVING count(*) > 1",

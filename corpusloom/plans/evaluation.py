@@ -225,6 +225,7 @@ _VARIANT = "list_transform(regexp_extract_all(hex(encode({0})), '[0-9A-F]{{2}}')
 ORACLES = {
     "score_replies": f"WITH {_SCORED} SELECT conv_id, missing, missing_any, forbidden, missing_entities, violations, echo, CASE WHEN tot > 0 THEN got / tot ELSE 1.0 END AS support_rate, passed FROM f",
     "token_f1": f"""WITH {PAIRS_SQL}, t AS (SELECT conv_id, "user" AS u, {TOKS.format('assistant')} AS a, {TOKS.format('"user"')} AS b FROM pairs), x AS (SELECT conv_id, w, count(*) AS n FROM (SELECT conv_id, unnest(a) AS w FROM t) GROUP BY 1, 2), y AS (SELECT conv_id, w, count(*) AS n FROM (SELECT conv_id, unnest(b) AS w FROM t) GROUP BY 1, 2), s AS (SELECT conv_id, sum(least(x.n, y.n)) AS s FROM x JOIN y USING (conv_id, w) GROUP BY conv_id) SELECT conv_id, CASE WHEN u = '' THEN NULL WHEN coalesce(s, 0) > 0 THEN 2.0::DOUBLE * s / (len(a) + len(b)) ELSE 0.0 END AS f1 FROM t LEFT JOIN s USING (conv_id)""",
+    "rouge_l": f"""WITH {PAIRS_SQL}, t AS (SELECT conv_id, "user" AS u, {TOKS.format('assistant')} AS a, {TOKS.format('"user"')} AS b FROM pairs), l AS (SELECT conv_id, u, a, b, list_reduce(list_prepend(struct_pack(r := list_transform(range(len(b) + 1), lambda x: CAST(0 AS BIGINT)), w := ''), list_transform(a, lambda x: struct_pack(r := CAST([] AS BIGINT[]), w := x))), lambda s, e: struct_pack(r := list_reduce(list_prepend([CAST(0 AS BIGINT)], list_transform(range(1, len(b) + 1), lambda j: [s.r[j], s.r[j + 1], CAST(b[j] = e.w AS BIGINT)])), lambda k, x: list_append(k, greatest(k[len(k)], x[2], x[1] + x[3]))), w := e.w)).r[len(b) + 1] AS n FROM t) SELECT conv_id, CASE WHEN u = '' THEN NULL WHEN len(a) > 0 AND len(b) > 0 THEN n / len(b) ELSE 0.0 END AS rouge_l FROM l""",
     "repetition": f"WITH t AS (SELECT doc_id, {TOKS.format('text')} AS t FROM documents) SELECT doc_id, {_REP.format('t')} AS ngram_rate, CASE WHEN len(t) > 0 THEN len(list_distinct(t)) / len(t) ELSE 1.0 END AS unique_rate FROM t",
     "refusal_rate": f"SELECT role, avg(CAST({_REFUSAL.format('text')} AS INTEGER)) AS rate, count(*) AS n FROM conversations GROUP BY role",
     "prompt_echo": f"""WITH {PAIRS_SQL}, e AS (SELECT conv_id, "user" AS u, CASE WHEN conv_id % 10 = 1 THEN "user" || ' ' || assistant WHEN conv_id % 10 = 2 THEN assistant || chr(10) || 'User: x' ELSE assistant END AS r FROM pairs) SELECT conv_id, array_to_string({_ECHO}, ',') AS reasons FROM e""",
