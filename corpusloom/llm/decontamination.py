@@ -12,7 +12,8 @@ Words: A-Z lower-cased, then maximal runs of characters that are 0-9, a-z or abo
 words of an item; an item of fewer words, but not none, is one window. Defined results: null and empty texts have no
 words and no hits; items without words, and items with a null id, occur nowhere; several rows of one item_id are one
 item with the windows of all; each document row is judged by itself, so repeated rows repeat their result. Texts of
-any length are indexed whole. Columns other than id and text play no part.
+any length are indexed whole. Without items nothing is hit, and an empty corpus has no rows. Of terms of equal count the one that comes
+first in a window goes first, which changes no result. Columns other than id and text play no part.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +48,7 @@ def words(text: str | None) -> list[str]:
 def index_schema(id_type: T.DataType) -> T.StructType:
     return T.StructType(
         [
+            T.StructField("shard", T.LongType()),
             T.StructField("terms", T.StringType()),
             T.StructField("counts", T.BinaryType()),
             T.StructField("positions", T.BinaryType()),
@@ -61,7 +64,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = index_schema(docs.schema[id_col].dataType)
     arrow_id = pa.list_(docs.select(id_col).limit(0).toArrow().schema.field(0).type)
 
-    def shard(ids: list, tokens: list[list[str]]) -> pa.RecordBatch:
+    def shard(number: int, ids: list, tokens: list[list[str]]) -> pa.RecordBatch:
         vocabulary: dict[str, int] = {}
         lengths = np.array([len(t) for t in tokens], np.int32)
         starts = (np.cumsum(lengths + GAP) - lengths - GAP).astype(np.int32)
@@ -70,22 +73,24 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         order = np.argsort(codes, kind="stable")
         counts = np.bincount(codes, minlength=len(vocabulary)).astype(np.int32)
         blobs = [pa.array([x.tobytes()], pa.binary()) for x in (counts, at[order], starts, lengths)]
-        return pa.RecordBatch.from_arrays([pa.array([" ".join(vocabulary)], pa.string()), blobs[0], blobs[1], pa.array([ids], arrow_id), blobs[2], blobs[3]], names=schema.fieldNames())
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([" ".join(vocabulary)], pa.string()), blobs[0], blobs[1], pa.array([ids], arrow_id), blobs[2], blobs[3]], names=schema.fieldNames())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
         tokens: list[list[str]] = []
         held = 0
+        # a task that runs again gives its shards the same numbers
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids.append(doc_id)
                 tokens.append(words(text))
                 held += len(tokens[-1]) + 8
                 if held >= shard_words:
-                    yield shard(ids, tokens)
-                    ids, tokens, held = [], [], 0
+                    yield shard(number, ids, tokens)
+                    ids, tokens, held, number = [], [], 0, number + 1
         if ids:
-            yield shard(ids, tokens)
+            yield shard(number, ids, tokens)
 
     return stored(small_batches(docs).select(id_col, text_col).mapInArrow(run, schema), "postings")
 
@@ -186,32 +191,42 @@ def shards(batch: pa.RecordBatch) -> Iterator[list]:
         yield [c[i].as_py() for c in batch.columns]
 
 
-def _hits(index: DataFrame, items: list[tuple], window: int, id_type: T.DataType) -> DataFrame:
-    """For each document row: id, n_words, the hit word positions as a bitmap, and the items with windows in it."""
+def live_windows(index: DataFrame, items: list[tuple], window: int) -> tuple[dict[str, int], list[np.ndarray], list[np.ndarray], list[str], dict[int, list[int]]]:
+    """Terms, windows with their terms from the rarest, owners, and the windows by their rarest term; those whose rarest term is nowhere can't occur and go."""
     vocabulary, windows, owners = item_windows(items, window)
     counts = term_counts(index, vocabulary) if windows else np.zeros(0)
     orders = [np.argsort(counts[w], kind="stable") for w in windows]
-    # windows whose rarest term is nowhere in the corpus can't occur
     live = [i for i, w in enumerate(windows) if counts[w[orders[i][0]]] > 0]
     windows, orders, owners = [windows[i] for i in live], [orders[i] for i in live], [owners[i] for i in live]
-    carried = index.sparkSession.sparkContext.broadcast((vocabulary, windows, orders, owners))
+    by_rarest: dict[int, list[int]] = {}
+    for i, (w, order) in enumerate(zip(windows, orders, strict=True)):
+        by_rarest.setdefault(int(w[order[0]]), []).append(i)
+    return vocabulary, windows, orders, owners, by_rarest
+
+
+def _hits(index: DataFrame, items: list[tuple], window: int, id_type: T.DataType) -> DataFrame:
+    """For each document row: shard, number in it, id, n_words, the hit word positions, and the items with windows in it.
+
+    A shard asks for the windows whose rarest term it has, so what a task does follows its own terms, not the benchmark's size.
+    """
+    carried = index.sparkSession.sparkContext.broadcast(live_windows(index, items, window))
     arrow_id = index.select("doc_ids").limit(0).toArrow().schema.field(0).type.value_type
-    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))])
+    schema = T.StructType([T.StructField("shard", T.LongType()), T.StructField("number", T.IntegerType()), T.StructField("doc_id", id_type), T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, windows, orders, owners = carried.value
+        vocabulary, windows, orders, owners, by_rarest = carried.value
         for batch in batches:
-            for terms, counts, positions, ids, starts, lengths in shards(batch):
+            for shard, terms, counts, positions, ids, starts, lengths in shards(batch):
                 postings = Postings(terms, counts, positions, vocabulary)
                 first, n = np.frombuffer(starts, np.int32), np.frombuffer(lengths, np.int32)
                 hits: dict[int, set[int]] = {}
                 found: dict[int, set[str]] = {}
-                for w, order, owner in zip(windows, orders, owners, strict=True):
-                    for p in postings.phrase(w, order).tolist():
+                for i in (i for term in postings.lists for i in by_rarest.get(term, ())):
+                    for p in postings.phrase(windows[i], orders[i]).tolist():
                         d = int(np.searchsorted(first, p, side="right")) - 1
-                        hits.setdefault(d, set()).update(range(p - int(first[d]), p - int(first[d]) + len(w)))
-                        found.setdefault(d, set()).add(owner)
-                columns = [pa.array(ids, arrow_id), pa.array(n, pa.int64()), pa.array([sorted(hits.get(i, ())) for i in range(len(ids))], pa.list_(pa.int32())), pa.array([sorted(found.get(i, ())) for i in range(len(ids))], pa.list_(pa.string()))]
+                        hits.setdefault(d, set()).update(range(p - int(first[d]), p - int(first[d]) + len(windows[i])))
+                        found.setdefault(d, set()).add(owners[i])
+                columns = [pa.array([shard] * len(ids), pa.int64()), pa.array(np.arange(len(ids)), pa.int32()), pa.array(ids, arrow_id), pa.array(n, pa.int64()), pa.array([sorted(hits.get(i, ())) for i in range(len(ids))], pa.list_(pa.int32())), pa.array([sorted(found.get(i, ())) for i in range(len(ids))], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
     return index.mapInArrow(run, schema)
@@ -220,17 +235,17 @@ def _hits(index: DataFrame, items: list[tuple], window: int, id_type: T.DataType
 def matches(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_col: str = "item_id", text_col: str = "text", block_words: int = ITEM_BLOCK_WORDS) -> DataFrame:
     """``doc_id, n_words, hits (word positions), items`` for each row that was indexed.
 
-    A benchmark of several blocks gives one pass over the index for each; their results meet by shard row number.
+    A benchmark of several blocks gives one pass over the index for each; their results meet by the shard and the row's number in it.
     """
     id_type = index.schema["doc_ids"].dataType.elementType
     blocks = list(item_blocks(benchmark, item_col, text_col, block_words))
+    out = ["doc_id", "n_words", "hits", "items"]
     if len(blocks) == 1:
-        return _hits(index, blocks[0], window, id_type)
-    keyed = [_hits(index, block, window, id_type).withColumn("__row", F.monotonically_increasing_id()) for block in blocks]
-    both = keyed[0]
-    for more in keyed[1:]:
-        both = both.unionByName(more)
-    merged = both.groupBy("__row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        return _hits(index, blocks[0], window, id_type).select(out)
+    both = _hits(index, blocks[0], window, id_type)
+    for block in blocks[1:]:
+        both = both.unionByName(_hits(index, block, window, id_type))
+    merged = both.groupBy("shard", "number").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     return merged.select("doc_id", "n_words", F.array_sort("hits").alias("hits"), F.array_sort("items").alias("items"))
 
 
@@ -239,21 +254,18 @@ def proximity(index: DataFrame, benchmark: DataFrame, span: int = 20, window: in
     id_type = index.schema["doc_ids"].dataType.elementType
     out = None
     for items in item_blocks(benchmark, item_col, text_col, ITEM_BLOCK_WORDS):
-        vocabulary, windows, owners = item_windows(items, window)
-        counts = term_counts(index, vocabulary) if windows else np.zeros(0)
-        orders = [np.argsort(counts[w], kind="stable") for w in windows]
-        carried = index.sparkSession.sparkContext.broadcast((vocabulary, windows, orders, owners))
+        carried = index.sparkSession.sparkContext.broadcast(live_windows(index, items, window))
         arrow_id = index.select("doc_ids").limit(0).toArrow().schema.field(0).type.value_type
         schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("item_id", T.StringType()), T.StructField("position", T.LongType())])
 
         def run(batches: Iterator[pa.RecordBatch], carried=carried, arrow_id=arrow_id, schema=schema) -> Iterator[pa.RecordBatch]:
-            vocabulary, windows, orders, owners = carried.value
+            vocabulary, windows, orders, owners, by_rarest = carried.value
             for batch in batches:
-                for terms, counts, positions, ids, starts, lengths in shards(batch):
+                for _, terms, counts, positions, ids, starts, lengths in shards(batch):
                     postings = Postings(terms, counts, positions, vocabulary)
                     first, n = np.frombuffer(starts, np.int32), np.frombuffer(lengths, np.int32)
                     rows = set()
-                    for w, order, owner in zip(windows, orders, owners, strict=True):
+                    for w, order, owner in ((windows[i], orders[i], owners[i]) for term in postings.lists for i in by_rarest.get(term, ())):
                         for p in postings.near(w, order, span).tolist():
                             d = int(np.searchsorted(first, p, side="right")) - 1
                             own = [postings.lists[int(k)] for k in w]

@@ -24,13 +24,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from operator import add
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,7 +46,7 @@ RARE = 32
 ROUNDS = 2
 SHARD_TOKENS = 2_000_000
 #: Positions of a step, at most; a shard takes 64 steps at least, of no fewer than LEAST_BATCH.
-BATCH = 4_096
+BATCH = 8_192
 LEAST_BATCH = 256
 RATE = 0.08
 TOKEN = re.compile(r"\w+|[^\w\s]")
@@ -62,6 +61,13 @@ LONGER = 0.9
 CHUNK_TOKENS = 1_000_000
 
 
+def spelled_out(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the words one after another, a line break (which is in no word) before each; lengths of the words."""
+    points = np.frombuffer("".join(f"\n{w}" for w in names).encode("utf-32-le", "surrogatepass"), np.uint32)
+    starts = np.flatnonzero(points == 10)
+    return points, np.diff(np.r_[starts, len(points)]) - 1
+
+
 @dataclass
 class Spelling:
     """A chain of characters: log probability of each after each (row and column ``CHARACTERS``: any other; row + 1: the start)."""
@@ -70,58 +76,73 @@ class Spelling:
     chain: np.ndarray
 
     def __post_init__(self) -> None:
-        self.places = {c: i for i, c in enumerate(self.alphabet)}
-        costs = (-self.chain).tolist()
-        self.first = dict(zip(self.alphabet, costs[CHARACTERS + 1], strict=False))
-        self.pairs = {a + b: x for a, row in zip(self.alphabet, costs, strict=False) for b, x in zip(self.alphabet, row, strict=False)}
+        self.places = alphabet_places(self.alphabet)
+
+    def costs(self, names: list[str]) -> np.ndarray:
+        """Negative log probability of each word among all of its length; lengths from ``RARE - 1`` on are geometric."""
+        if not names:
+            return np.zeros(0)
+        points, lengths = spelled_out(names)
+        at = self.places[points]
+        before, own = at[:-1], at[1:]
+        # a step to a line break ends a word and costs nothing; a character that isn't told apart is one of all others
+        step = np.where(own <= CHARACTERS, -self.chain[before, np.minimum(own, CHARACTERS)], 0.0)
+        step += (own == CHARACTERS) * math.log(CODE_POINTS - len(self.alphabet))
+        sums = np.r_[0.0, np.cumsum(step)]
+        ends = np.cumsum(lengths + 1) - 1
+        total = sums[ends] - sums[ends - lengths]
+        long = lengths >= RARE - 1
+        return total - np.where(long, math.log1p(-LONGER) + (lengths - RARE + 1) * math.log(LONGER), 0.0)
 
     def cost(self, word: str) -> float:
-        """Negative log probability of the word among all of its length; lengths from ``RARE - 1`` on are geometric."""
-        try:
-            total = self.first[word[0]] + sum(map(self.pairs.__getitem__, map(add, word, word[1:])))
-        except KeyError:
-            at = [self.places.get(c, CHARACTERS) for c in word]
-            total = -float(self.chain[[CHARACTERS + 1, *at[:-1]], at].sum()) + at.count(CHARACTERS) * float(np.log(CODE_POINTS - len(self.alphabet)))
-        return total - (math.log1p(-LONGER) + (len(word) - RARE + 1) * math.log(LONGER) if len(word) >= RARE - 1 else 0.0)
+        return float(self.costs([word])[0])
 
     @classmethod
     def of(cls, counted: DataFrame, words: list[str]) -> Spelling:
         """Counted over the words (``word, n``) that are not among ``words``, as often as they stand in the corpus."""
         carried = counted.sparkSession.sparkContext.broadcast(frozenset(words))
 
-        def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int]]:
-            for batch in batches:
-                for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    if word not in carried.value:
-                        yield word, n
+        def rare(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            names = batch.column(0).to_pylist()
+            n = batch.column(1).to_numpy() * np.fromiter((w not in carried.value for w in names), bool, len(names))
+            points, lengths = spelled_out(names)
+            return points, np.repeat(n, lengths + 1)
 
         def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: Counter = Counter()
-            for word, n in rare(batches):
-                for c in word:
-                    seen[c] += n
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["c", "n"])
+            seen = np.zeros(CODE_POINTS, np.int64)
+            for batch in batches:
+                points, n = rare(batch)
+                # counts are far below 2^53, so the sums are exact
+                seen += np.bincount(points, n, CODE_POINTS).astype(np.int64)
+            seen[10] = 0
+            at = np.flatnonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.array([chr(x) for x in at], pa.string()), pa.array(seen[at], pa.int64())], names=["c", "n"])
 
         top = counted.mapInArrow(letters, "c string, n long").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(CHARACTERS).collect()
         alphabet = "".join(r.c for r in top)
 
         def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            places = {c: i for i, c in enumerate(alphabet)}
-            sums = np.zeros((CHARACTERS + 2, CHARACTERS + 1), np.float64)
-            salt = 0
-            for word, n in rare(batches):
-                before = CHARACTERS + 1
-                for c in word:
-                    at = places.get(c, CHARACTERS)
-                    sums[before, at] += n
-                    before = at
-                salt = len(word) + n
-            yield block_rows(sums.astype(np.float32), 64, salt)
+            places = alphabet_places(alphabet)
+            width = CHARACTERS + 2
+            sums = np.zeros(width * width)
+            for batch in batches:
+                points, n = rare(batch)
+                at = places[points].astype(np.int64)
+                sums += np.bincount(at[:-1] * width + at[1:], n[1:], width * width)
+            yield block_rows(sums.reshape(width, width)[:, : CHARACTERS + 1].astype(np.float32), 64, TaskContext.get().partitionId())
 
         sums = summed_blocks(counted.mapInArrow(pairs, BLOCK), (CHARACTERS + 2, CHARACTERS + 1), 64) + 0.1
         return cls(alphabet, np.log(sums / sums.sum(1, keepdims=True)))
 
 
+def alphabet_places(alphabet: str) -> np.ndarray:
+    """Place of each code point: in the alphabet, ``CHARACTERS`` for others, one more for the line break."""
+    out = np.full(CODE_POINTS, CHARACTERS, np.int16)
+    out[[ord(c) for c in alphabet]] = np.arange(len(alphabet))
+    out[10] = CHARACTERS + 1
+    return out
+
+
 class LocalIds(dict):
     """Token as written -> number of its lower case in the chunk's dictionary ``words``."""
 
@@ -198,8 +219,8 @@ def vocabulary(chunks: DataFrame) -> tuple[list[str], np.ndarray, Spelling, int]
 
 def codes_of(names: list[str], known: dict[str, int], spelling: Spelling) -> tuple[np.ndarray, np.ndarray]:
     """Token id of each word, and the cost of its spelling."""
-    ids = [known.get(w) or min(len(w), RARE - 1) for w in names]
-    return np.array(ids, np.uint16), np.array([spelling.cost(w) if i < RARE else 0.0 for i, w in zip(ids, names, strict=True)], np.float64)
+    ids = np.array([known.get(w) or min(len(w), RARE - 1) for w in names], np.uint16)
+    return ids, np.where(ids < RARE, spelling.costs(names), 0.0)
 
 
 def token_table(chunks: DataFrame, words: list[str], spelling: Spelling) -> DataFrame:

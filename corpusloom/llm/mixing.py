@@ -4,7 +4,9 @@ Tokens of each source must meet a target. Among all document rates that do, entr
 relative entropy, weighted by size, to the corpus as it is: ``rate = exp(lambda of the source)``, an exponential tilt. The multipliers
 solve the convex dual ``sum_s S_s exp(lambda_s) - lambda_s T_s`` by Newton iterations. The constraints of different
 sources share no document, so the Hessian is diagonal: documents are pre-aggregated to one row for each source, and
-each source's iterations run where that row is. Nothing but one row of totals reaches the driver.
+each source's iterations run where that row is, and a row that hasn't converged stops the query. Nothing but one row of totals reaches
+the driver. ``balanced`` solves the same dual where constraints overlap (sources and languages, say): documents are summed to cells of
+equal values, each Newton step sums moments and cross moments of the cells over the cluster, and the driver solves for the multipliers.
 
 Targets share all words by weights 1, 2, 3, repeating over the sources by code point, null last; a target stops at 3
 times its source's size and the excess is shared again by weight until none is above. The rank of a source comes from a
@@ -23,6 +25,7 @@ have target 0 and nothing taken. Other columns are ignored by ``plan``.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,10 +83,63 @@ def targets(sources: DataFrame, most: int = MOST) -> DataFrame:
 
 
 def tilt(size: Column, target: Column) -> Column:
-    """Rate exp(lambda) of a source by Newton steps on its part of the dual; 0 where there is nothing to take."""
+    """Rate exp(lambda) of a source by Newton steps on its part of the dual; 0 where there is nothing to take; an error if the constraint isn't met."""
     step = lambda x, _: x + target / (size * F.exp(x)) - 1
-    solved = F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.lit(0.0), step)
-    return F.when((size > 0) & (target > 0), F.exp(solved)).otherwise(F.lit(0.0))
+    solved = F.exp(F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.lit(0.0), step))
+    met = F.abs(size * solved - target) <= 1e-9 * target
+    checked = F.when(met, solved).otherwise(F.raise_error(F.lit("a source's rate has not converged")).cast("double"))
+    return F.when((size > 0) & (target > 0), checked).otherwise(F.lit(0.0))
+
+
+#: Constraints that ``balanced`` takes, at most; their cross moments are a table of this many rows and columns.
+MOST_CONSTRAINTS = 1_000
+
+
+def balanced(docs: DataFrame, targets: dict[str, dict], size_col: str = "size", steps: int = 60, tolerance: float = 1e-8) -> DataFrame:
+    """``docs`` with ``rate``: of all rates by which every value of some columns gets its target of ``size_col``, those of least relative entropy.
+
+    ``targets`` has the target of each value of each column; rows of a value without one keep a factor of 1 for that column. The targets of the
+    columns must agree in their sums; a mix that can't be reached, or isn't within ``steps`` Newton steps, is an error.
+    """
+    names = [(c, v) for c, wanted in targets.items() for v in wanted]
+    if len(names) > MOST_CONSTRAINTS:
+        raise ValueError(f"more than {MOST_CONSTRAINTS} constraints")
+    columns = list(targets)
+    place = {n: i for i, n in enumerate(names)}
+    wanted = np.array([targets[c][v] for c, v in names], float)
+    cells = stored(docs.groupBy(*columns).agg(F.sum(F.col(size_col).cast("double")).alias("__size")), "cells")
+
+    def factor(x: np.ndarray) -> Column:
+        out = F.lit(0.0)
+        for c in columns:
+            known = [(v, float(x[place[c, v]])) for v in targets[c]]
+            table = F.create_map(*[F.lit(y) for pair in known if pair[0] is not None for y in pair]) if any(v is not None for v, _ in known) else None
+            own = F.coalesce(F.try_element_at(table, F.col(c)), F.lit(0.0)) if table is not None else F.lit(0.0)
+            null = next((y for v, y in known if v is None), 0.0)
+            out = out + F.when(F.col(c).isNull(), F.lit(null)).otherwise(own)
+        return F.exp(out)
+
+    def moments(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        weighted = cells.withColumn("__mass", F.col("__size") * factor(x))
+        first, second = np.zeros(len(names)), np.zeros((len(names), len(names)))
+        for i, a in enumerate(columns):
+            for b in columns[i:]:
+                for row in weighted.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.sum("__mass").alias("m")).collect():
+                    p, q = place.get((a, row.a)), place.get((b, row.b))
+                    if p is not None and a == b:
+                        first[p] = second[p, p] = row.m
+                    elif p is not None and q is not None:
+                        second[p, q] = second[q, p] = row.m
+        return first, second
+
+    x = np.zeros(len(names))
+    for _ in range(steps):
+        first, second = moments(x)
+        if np.abs(first - wanted).max(initial=0.0) <= tolerance * max(1.0, wanted.max(initial=0.0)):
+            return docs.withColumn("rate", factor(x))
+        move = np.linalg.lstsq(second + 1e-12 * np.trace(second) * np.eye(len(names)), wanted - first, rcond=None)[0]
+        x = x + move * min(1.0, 1.0 / max(1e-12, np.abs(move).max()))
+    raise ValueError("the targets can't be reached together")
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = MOST) -> DataFrame:

@@ -235,7 +235,8 @@ def candidate_texts(members: DataFrame, rows: DataFrame) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep.astype(bool)))
 
     likely = rows.select("print", "words", place.alias("place")).mapInArrow(passed, "print binary, words binary")
-    return stored(likely.join(wanted, "print", "left_semi").groupBy("print").agg(F.first("words").alias("words")), "texts")
+    # copies go before the shuffle: a task sends one row of each text
+    return stored(likely.groupBy("print").agg(F.first("words").alias("words")).join(wanted, "print", "left_semi"), "texts")
 
 
 def links(chunked: DataFrame, texts: DataFrame) -> DataFrame:

@@ -332,6 +332,24 @@ def test_mixing_meets_targets(spark):
     assert mixing.plan(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_overlapping_constraints_are_balanced_with_least_entropy(spark):
+    rng = random.Random(15)
+    rows = [(rng.choice(["a", "b", None]), rng.choice(["en", "de"]), rng.randint(1, 50)) for _ in range(500)]
+    docs = spark.createDataFrame(rows, "source string, lang string, size int")
+    total = sum(n for *_, n in rows)
+    targets = {"source": {"a": 0.5 * total, "b": 0.2 * total, None: 0.3 * total}, "lang": {"en": 0.75 * total, "de": 0.25 * total}}
+    got = mixing.balanced(docs, targets).collect()
+    for column, wanted in targets.items():
+        for value, target in wanted.items():
+            assert sum(r.size * r.rate for r in got if r[column] == value) == pytest.approx(target, rel=1e-6)
+    # least entropy: rates are products of a factor for the source and one for the language
+    rate = {(r.source, r.lang): r.rate for r in got}
+    for s in ("b", None):
+        assert rate["a", "en"] * rate[s, "de"] == pytest.approx(rate["a", "de"] * rate[s, "en"], rel=1e-9)
+    with pytest.raises(ValueError, match="reached"):
+        mixing.balanced(docs, {"source": {"a": 10.0, "b": 10.0, None: 10.0}, "lang": {"en": 100.0, "de": 100.0}}, steps=12)
+
+
 def test_mixing_in_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
     rng = random.Random(11)
