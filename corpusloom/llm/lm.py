@@ -26,6 +26,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -61,9 +62,9 @@ LONGER = 0.9
 CHUNK_TOKENS = 1_000_000
 
 
-def spelled_out(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the words one after another, a line break (which is in no word) before each; lengths of the words."""
-    points = np.frombuffer("".join(f"\n{w}" for w in names).encode("utf-32-le", "surrogatepass"), np.uint32)
+def spelled_out(joined: str) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of words that line breaks part, with one (they are in no word) before each; lengths of the words."""
+    points = np.frombuffer(f"\n{joined}".encode("utf-32-le", "surrogatepass"), np.uint32)
     starts = np.flatnonzero(points == 10)
     return points, np.diff(np.r_[starts, len(points)]) - 1
 
@@ -78,11 +79,11 @@ class Spelling:
     def __post_init__(self) -> None:
         self.places = alphabet_places(self.alphabet)
 
-    def costs(self, names: list[str]) -> np.ndarray:
-        """Negative log probability of each word among all of its length; lengths from ``RARE - 1`` on are geometric."""
-        if not names:
-            return np.zeros(0)
-        points, lengths = spelled_out(names)
+    def costs(self, joined: str) -> tuple[np.ndarray, np.ndarray]:
+        """Of each of the words that line breaks part: negative log probability among all of its length (from ``RARE - 1`` on lengths are geometric), and length."""
+        if not joined:
+            return np.zeros(0), np.zeros(0, np.int64)
+        points, lengths = spelled_out(joined)
         at = self.places[points]
         before, own = at[:-1], at[1:]
         # a step to a line break ends a word and costs nothing; a character that isn't told apart is one of all others
@@ -92,10 +93,10 @@ class Spelling:
         ends = np.cumsum(lengths + 1) - 1
         total = sums[ends] - sums[ends - lengths]
         long = lengths >= RARE - 1
-        return total - np.where(long, math.log1p(-LONGER) + (lengths - RARE + 1) * math.log(LONGER), 0.0)
+        return total - np.where(long, math.log1p(-LONGER) + (lengths - RARE + 1) * math.log(LONGER), 0.0), lengths
 
     def cost(self, word: str) -> float:
-        return float(self.costs([word])[0])
+        return float(self.costs(word)[0][0])
 
     @classmethod
     def of(cls, counted: DataFrame, words: list[str]) -> Spelling:
@@ -105,7 +106,7 @@ class Spelling:
         def rare(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
             names = batch.column(0).to_pylist()
             n = batch.column(1).to_numpy() * np.fromiter((w not in carried.value for w in names), bool, len(names))
-            points, lengths = spelled_out(names)
+            points, lengths = spelled_out("\n".join(names))
             return points, np.repeat(n, lengths + 1)
 
         def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,10 +218,11 @@ def vocabulary(chunks: DataFrame) -> tuple[list[str], np.ndarray, Spelling, int]
     return words, counts, Spelling.of(counted, words), total
 
 
-def codes_of(names: list[str], known: dict[str, int], spelling: Spelling) -> tuple[np.ndarray, np.ndarray]:
-    """Token id of each word, and the cost of its spelling."""
-    ids = np.array([known.get(w) or min(len(w), RARE - 1) for w in names], np.uint16)
-    return ids, np.where(ids < RARE, spelling.costs(names), 0.0)
+def codes_of(joined: str, known: dict[str, int], spelling: Spelling) -> tuple[np.ndarray, np.ndarray]:
+    """Token id of each of the words that line breaks part, and the cost of its spelling."""
+    costs, lengths = spelling.costs(joined)
+    ids = np.fromiter(map(known.get, joined.split("\n") if joined else [], repeat(0)), np.uint16, len(lengths))
+    return np.where(ids == 0, np.minimum(lengths, RARE - 1), ids).astype(np.uint16), np.where(ids == 0, costs, 0.0)
 
 
 def token_table(chunks: DataFrame, words: list[str], spelling: Spelling) -> DataFrame:
@@ -235,7 +237,7 @@ def token_table(chunks: DataFrame, words: list[str], spelling: Spelling) -> Data
         for batch in batches:
             for row in range(batch.num_rows):
                 own, local, lengths = (batch.column(len(keep) + i)[row].as_py() for i in range(3))
-                ids, costs = codes_of(own.split("\n") if own else [], known, spelling)
+                ids, costs = codes_of(own, known, spelling)
                 local, ends = np.frombuffer(local, np.int32), np.cumsum(np.frombuffer(lengths, np.int64))
                 tokens, sums = ids[local], np.r_[0.0, np.cumsum(costs[local])]
                 starts = np.r_[0, ends[:-1]]
@@ -283,6 +285,8 @@ class WindowNetwork:
     klass_bias: np.ndarray
     place: np.ndarray
     bias: np.ndarray
+    steps: int = 0
+    safe: bool = False
 
     @classmethod
     def initial(cls, counts: np.ndarray, seed: int = 7) -> WindowNetwork:
@@ -342,10 +346,13 @@ class WindowNetwork:
             total += np.multiply(inputs[WINDOW + d : WINDOW + d + n], w, out=room)
         h = np.tanh(total[real])
         grads = [None, np.zeros_like(self.word), np.zeros_like(self.word_bias), None, None, np.zeros_like(self.place), None]
-        safe = self.reach() < 60
+        # a step moves a weight by RATE at most, a logit by less than 3, so the reach is looked at every eighth step
+        if self.steps % 8 == 0:
+            self.safe = self.reach() < 60
+        self.steps += 1
         logits = h @ self.klass.T
         logits += self.klass_bias
-        error = _shares(logits, safe)
+        error = _shares(logits, self.safe)
         error[np.arange(m), klass] -= 1
         grads[3], grads[4] = error.T @ h, error.sum(0)
         back = error @ self.klass
@@ -353,7 +360,7 @@ class WindowNetwork:
             rows = slice(c * PER_CLASS, (c + 1) * PER_CLASS)
             logits = h[low:high] @ self.word[rows].T
             logits += self.word_bias[rows]
-            error = _shares(logits, safe)
+            error = _shares(logits, self.safe)
             error[np.arange(high - low), target[low:high] % PER_CLASS] -= 1
             grads[1][rows], grads[2][rows] = error.T @ h[low:high], error.sum(0)
             back[low:high] += error @ self.word[rows]
@@ -512,7 +519,7 @@ def averaged(source: DataFrame, flat: np.ndarray, shards: int) -> np.ndarray:
         done = sum(network.step(tokens[i : i + size + 2 * WINDOW], squares) for i in range(0, len(tokens) - 2 * WINDOW, size))
         return block_rows(np.concatenate([network.flat() * done, np.full((1, ROW), done, np.float32)]), 256, shard)
 
-    dealt = source.repartition(shards, "__shard").sortWithinPartitions("__shard", "__order", "__tokens").select("__shard", "__tokens")
+    dealt = source.repartition(shards, "__shard").sortWithinPartitions("__shard", "__order").select("__shard", "__tokens")
     total = summed_blocks(dealt.mapInArrow(run, BLOCK), (len(flat) + 1, ROW), 256)
     n = total[-1, 0]
     return (total[:-1] / n).astype(np.float32) if n else flat

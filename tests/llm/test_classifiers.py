@@ -205,7 +205,7 @@ def test_pseudo_likelihood_is_normalised_and_prefers_the_corpus(spark):
     text = lambda: " ".join(" ".join(random.Random(rng.randrange(40)).choices(GOOD, k=6)) for _ in range(20))
     docs = spark.createDataFrame([(i, text(), "en", "s", 0) for i in range(150)], DOCS)
     model, _ = lm.PseudoLikelihood.fit(docs, epochs=4)
-    ids, _ = lm.codes_of("the quiet river runs past".split(), {w: lm.RARE + i for i, w in enumerate(model.words)}, model.spelling)
+    ids, _ = lm.codes_of("the\nquiet\nriver\nruns\npast", {w: lm.RARE + i for i, w in enumerate(model.words)}, model.spelling)
     tokens, at, _ = lm.laid_out([ids])
     total = 0.0
     for w in range(lm.VOCABULARY):
@@ -295,3 +295,65 @@ def test_pseudo_likelihood_does_not_depend_on_partitions(spark):
         model, tokens = lm.PseudoLikelihood.fit(docs.repartition(parts), keep=["doc_id"], shard_tokens=2_000)
         scores.append([r.log_likelihood for r in model.score_tokens(tokens).orderBy("doc_id").collect()])
     assert np.allclose(*scores, rtol=1e-3)
+
+
+def test_pseudo_likelihood_scores_are_the_plain_ones(spark):
+    """Every conditional of every token by a softmax over the whole vocabulary, and each rare word letter by letter."""
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(GOOD, k=rng.randint(0, 25))) + (f" zq{i}x" if i % 3 else "")) for i in range(40)], "doc_id long, text string")
+    model, _ = lm.PseudoLikelihood.fit(docs, epochs=2)
+    known = {w: lm.RARE + i for i, w in enumerate(model.words)}
+    net = model.network
+
+    def spelled(word):
+        total, before = 0.0, lm.CHARACTERS + 1
+        for c in word:
+            at = model.spelling.alphabet.find(c)
+            at = lm.CHARACTERS if at < 0 else at
+            total += float(model.spelling.chain[before, at]) - (math.log(lm.CODE_POINTS - len(model.spelling.alphabet)) if at == lm.CHARACTERS else 0)
+            before = at
+        return total + (math.log(1 - lm.LONGER) + (len(word) - lm.RARE + 1) * math.log(lm.LONGER) if len(word) >= lm.RARE - 1 else 0)
+
+    def plain(text):
+        words = [w.lower() for w in lm.TOKEN.findall(text)]
+        ids = [0] * lm.WINDOW + [known.get(w, min(len(w), lm.RARE - 1)) for w in words] + [0] * lm.WINDOW
+        total = 0.0
+        for k, w in enumerate(words):
+            at = k + lm.WINDOW
+            h = np.tanh(net.bias + sum(net.embed[ids[at + d]] * net.place[j] for j, d in enumerate(lm.OFFSETS)))
+            c = ids[at] // lm.PER_CLASS
+            rows = slice(c * lm.PER_CLASS, (c + 1) * lm.PER_CLASS)
+            for logits, own in ((net.klass @ h + net.klass_bias, c), (net.word[rows] @ h + net.word_bias[rows], ids[at] % lm.PER_CLASS)):
+                total += float(logits[own] - np.log(np.exp(logits).sum()))
+            total += spelled(w) if w not in known else 0.0
+        return total
+
+    texts = [(1, "The quiet river, runs past"), (2, "zq1x unseen wörds " + "l" * 45), (3, ""), (4, "stone " * 40)]
+    rows = {r.doc_id: r for r in model.score(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for i, text in texts:
+        assert rows[i].log_likelihood == pytest.approx(plain(text), rel=1e-4, abs=1e-4)
+        assert rows[i].n_tokens == len(lm.TOKEN.findall(text))
+
+
+def test_quality_scores_are_the_plain_ones(frames):
+    docs, labels = frames
+    model = quality.QualityClassifier.fit(docs, labels)
+    net = model.network
+
+    def plain(text):
+        tokens = quality.TOKEN.findall(text or "")
+        words = ["0" if t[0].isdigit() else t.lower() for t in tokens]
+        n = max(1, len(words))
+        x = np.zeros(quality.DIM + quality.RATES)
+        buckets = [zlib.crc32(w.encode()) % quality.BUCKETS for w in words]
+        if words:
+            x[: quality.DIM] = np.mean([model.vectors[b] for b in buckets], axis=0)
+            caps = [len(t) > 1 and t.isupper() for t in tokens]
+            rates = [sum(t[0].isupper() and not c for t, c in zip(tokens, caps, strict=True)) / n, sum(caps) / n]
+            rates += [sum(buckets[i] == buckets[i - d] for i in range(d, len(buckets))) / n for d in (1, 2, 3)]
+            x[quality.DIM :] = [*rates, len(set(buckets)) / n, math.log1p(n) / 8]
+        logit = np.tanh((x - net.mean) / net.scale @ net.w1 + net.b1) @ net.w2 + net.b2
+        return 1 / (1 + math.exp(-max(-30, min(30, logit / net.temperature))))
+
+    for r in model.score(docs).collect()[::5]:
+        assert r.score == pytest.approx(plain(r.text), abs=1e-4)
