@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import runs, synthesis
-from corpusloom.sources.tables import CATEGORIES, PAIRS_SQL, chat_pairs, table
+from corpusloom.sources.tables import CATEGORIES, PAIRS_SQL, chat_pairs, shared_folder, table
 from corpusloom.streaming import progress
 
 
@@ -252,7 +251,7 @@ def log_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, fed through a stream of files into a table of states."""
-    folder = f"{_folder(spark)}/log-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
     _log_lines(spark, sf_dir).write.parquet(folder)
     stream = spark.readStream.schema("run string, n long, line string").parquet(folder)
     return _drained(spark, progress.latest(progress.events(stream), "run", "n"), "complete")
@@ -267,14 +266,9 @@ def events_window_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-def _folder(spark: SparkSession) -> str:
-    """Folder that driver and executors share; a local one only where none is named."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-")
-
-
 def _drained(spark: SparkSession, result: DataFrame, mode: str) -> DataFrame:
     """Run a stream over all there is and return the state it ends with, as a stored table."""
-    folder = f"{_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(frame: DataFrame, _: int) -> None:
         frame.write.mode("overwrite").parquet(f"{folder}/out")

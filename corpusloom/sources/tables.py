@@ -11,7 +11,9 @@ from corpusloom.operators.tuning import first_pairs
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of a scale directory; texts over all cores, since a file of them may be one split."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 def shared_folder(spark: SparkSession) -> str:
