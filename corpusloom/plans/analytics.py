@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import runs, synthesis
-from corpusloom.sources.tables import CATEGORIES, PAIRS_SQL, chat_pairs, shared_folder, table
+from corpusloom.sources.tables import CATEGORIES, PAIRS_SQL, chat_pairs, scratch, table
 from corpusloom.streaming import progress
 
 
@@ -251,7 +249,7 @@ def log_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, fed through a stream of files into a table of states."""
-    folder = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    folder = scratch(spark, "log")
     _log_lines(spark, sf_dir).write.parquet(folder)
     stream = spark.readStream.schema("run string, n long, line string").parquet(folder)
     return _drained(spark, progress.latest(progress.events(stream), "run", "n"), "complete")
@@ -268,7 +266,7 @@ def events_window_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _drained(spark: SparkSession, result: DataFrame, mode: str) -> DataFrame:
     """Run a stream over all there is and return the state it ends with, as a stored table."""
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = scratch(spark, "stream")
 
     def keep(frame: DataFrame, _: int) -> None:
         frame.write.mode("overwrite").parquet(f"{folder}/out")

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import bundles, corpus, imports, packing, packs, runs, splits, synthesis, tokenizers, tuning
 from corpusloom.plans.analytics import _FACTS, _SUMS, _facts, _log_lines, _permuted, _summaries
 from corpusloom.plans.corpus import QUALITY_SQL, _stats_sql
-from corpusloom.sources.tables import PAIRS_SQL, chat_pairs, shared_folder, table
+from corpusloom.sources.tables import PAIRS_SQL, chat_pairs, scratch, table
 from corpusloom.streaming import progress
 
 SIDES = ("train", "eval")
@@ -142,7 +140,7 @@ def _byte_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_shard_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards written with their manifest, read back and checked; two folds of the order, so one shard more may be short."""
-    path = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    path = scratch(spark, "shards")
     bundles.write_token_shards(_byte_docs(spark, sf_dir), "doc_id", path, 50_000, {"tokenizer": "byte"})
     shards, manifest = bundles.read_shards(spark, path, {"tokenizer": "byte", "per_shard": 50_000})
     row = shards.agg(F.sum("num_tokens").alias("num_tokens"), (F.max("num_tokens") <= 50_000).alias("within"), F.sum(F.aggregate("tokens", F.lit(0).cast("long"), lambda s, x: s + x)).alias("token_sum"))
@@ -151,7 +149,7 @@ def token_shard_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packed_shard_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed rows of both sides, written and read back: no token is made or lost but those that the manifest counts."""
-    path = f"{shared_folder(spark)}/packed-{uuid.uuid4().hex}"
+    path = scratch(spark, "packed")
     manifest = bundles.write_packed_shards(_byte_docs(spark, sf_dir), "doc_id", path, 128, 20_000)
     shards, _ = bundles.read_shards_rows(spark, path)
     rows = shards.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.min(F.size("ids")).alias("narrowest"), F.max(F.size("ids")).alias("widest"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import packing, tokenizers
-from corpusloom.sources.tables import PAIRS_SQL, chat_pairs, shared_folder, table
+from corpusloom.sources.tables import PAIRS_SQL, chat_pairs, scratch, table
 
 CONTEXT = 128
 PER_SHARD = 20_000
@@ -30,12 +30,12 @@ def piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return tokenizers.merge_table(docs, tokenizers.learn_pairs(docs, 512, folder=shared_folder(spark)))
+    return tokenizers.merge_table(docs, tokenizers.learn_pairs(docs, 512, folder=scratch(spark, "pairs")))
 
 
 def bpe_encode_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    ids = tokenizers.encoded(docs, tokenizers.learn_pairs(docs, 512, folder=shared_folder(spark)), keep=["lang", "text"]).withColumn("chars", F.length("text"))
+    ids = tokenizers.encoded(docs, tokenizers.learn_pairs(docs, 512, folder=scratch(spark, "pairs")), keep=["lang", "text"]).withColumn("chars", F.length("text"))
     return ids.groupBy("lang").agg(F.sum(F.size("ids") - 2).alias("tokens"), F.sum("chars").alias("chars"), F.sum(F.size(F.filter("ids", lambda i: i == tokenizers.UNK))).alias("unknown"))
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +26,33 @@ def shared_folder(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="corpusloom-")
+        folder = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="corpusloom-")
+        _LOCAL[spark.sparkContext.applicationId] = folder
     return folder
 
 
+#: The local folder of an application that names no shared one.
+_LOCAL: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder name under the shared one, for tables that a query writes on its way; all of an application's go when the driver ends."""
+    root = f"{shared_folder(spark)}/corpusloom/{spark.sparkContext.applicationId}"
+    if root not in _SCRATCH:
+        _SCRATCH.add(root)
+        atexit.register(_removed, spark, root)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
+
+
+_SCRATCH: set[str] = set()
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone; then the folder stays
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """``rows`` over as many tasks as there are cores, where a scan has fewer splits (a file of one row group); else as they are."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
