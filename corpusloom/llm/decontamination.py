@@ -13,7 +13,7 @@ words of an item; an item of fewer words, but not none, is one window. Defined r
 words and no hits; items without words, and items with a null id, occur nowhere; several rows of one item_id are one
 item with the windows of all; each document row is judged by itself, so repeated rows repeat their result. Texts of
 any length are indexed whole. Without items nothing is hit, and an empty corpus has no rows. Of terms of equal count the one that comes
-first in a window goes first, which changes no result. Columns other than id and text play no part.
+first in a window goes first, which changes no result. Columns other than id and text play no part, whatever their names.
 """
 
 from __future__ import annotations

@@ -14,7 +14,10 @@ branch of an article goes at half the importance at which another one goes, and
 tree has found it important on at least ``LEAST_PAGES`` pages.
 
 Defined results: null and empty html give the empty text, broken or unclosed markup is read as far as it goes, pages
-without any text give the empty text; repeated pages repeat their result; every page is read whole.
+without any text give the empty text; repeated pages repeat their result and count as pages of their host; every page is read whole, of
+any length; a null url is of the host without a name. An empty table gives an empty result. Branches of equal importance are judged
+alike, so there are no ties. Other columns pass through, but for one named like the text's, which is replaced; names that begin with
+two underscores are kept for the way there.
 """
 
 from __future__ import annotations

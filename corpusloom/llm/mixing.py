@@ -20,7 +20,7 @@ target. A hot source has many buckets, so no task holds all of it.
 
 Defined results: a null text has size 0; null is a source of its own, last; equal rows are told apart by place, and
 which of two rows alike in id and size gets a copy more is the same for the result's rows; an empty table gives no rows; sources of size 0
-have target 0 and nothing taken. Other columns are ignored by ``plan``.
+have target 0 and nothing taken; texts of any length are counted whole. Other columns are ignored by ``plan``.
 """
 
 from __future__ import annotations

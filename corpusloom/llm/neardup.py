@@ -17,7 +17,7 @@ pairs that can be alike are aligned. Nothing of this reaches the driver but coun
 
 Defined results: a text without words (null is the empty text) is a copy of equal raw texts only; texts of fewer than
 ``SHINGLE`` words have exact copies only; ``class_id`` is the least id of the class (null ids come last, so a class of null
-ids has class null); rows that share an id keep a row each; extra columns play no part; texts are read whole; an empty table has
+ids has class null); rows that share an id keep a row each; extra columns play no part; texts of any length are read whole; an empty table has
 no classes. ``deduplicated`` knows a row by its id and a hash of all its columns, so rows of one id or of none are told apart by
 their texts, and of rows alike in all columns one stays.
 """

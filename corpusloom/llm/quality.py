@@ -8,7 +8,8 @@ on a bounded sample of labelled rows, gives a logit, and a temperature fitted on
 
 Defined results: null and empty texts have no tokens and get the network's score of the zero vector; repeated rows
 are scored alike, one by one; texts of any length are read whole; without labels of both classes the score is the
-share of label 1 (0.5 without any). Extra columns pass through; a column named like the output is replaced.
+share of label 1 (0.5 without any). An empty table gives an empty result. Labelled rows come in order of id and vector, so equal
+ones change nothing. Extra columns pass through; a column named like the output is replaced.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ depends on that row only.
 
 Defined results: null and empty texts have no findings; each occurrence of a repeated secret is a finding; repeated
 rows repeat their findings; texts and runs of any length are scanned whole; a null path has no path words; an empty table has no
-findings. Splits of equal gain are decided by the first feature drawn. Added columns replace columns of the same name.
+findings. Splits of equal gain are decided by the first feature drawn. Extra columns play no part in a scan and pass through ``masked``;
+added columns replace columns of the same name.
 """
 
 from __future__ import annotations
