@@ -14,8 +14,8 @@ is one of equal URLs, which adaptive execution splits where a URL is hot. All ex
 Defined results: a null URL, or one without ``://``, has empty host and path, and fits no rule. A URL without a path has
 the empty path, which starts with no listed path but the empty one. A rule listed with both verdicts blocks. Repeated rows repeat
 their result; other columns pass through, and those that clash with the added ones are replaced; URLs of any length are asked for whole; empty
-rules leave every URL to ``otherwise``, and an empty table gives an empty result. Two rules that fit never have the same length, as both
-are ends of one host and beginnings of one path, unless they are one rule.
+rules leave every URL to ``otherwise``, and an empty table gives an empty result. Of two rules
+of one length that fit (a longer host, or a longer path), the one that is greater as text wins.
 """
 
 from __future__ import annotations

@@ -291,6 +291,9 @@ def test_bloom_filter_has_no_false_negatives_and_few_false_positives(spark):
 
 def test_long_rules_and_conflicts(spark):
     rules = spark.createDataFrame([("a.net/x", "allow"), ("a.net/x", "block"), ("a.net", "allow"), (None, "block"), ("b.net/", None), ("/x", "block")], "rule string, verdict string")
+    tied = spark.createDataFrame([("b.net/xy", "allow"), ("a.b.net/", "block")], "rule string, verdict string")
+    page = spark.createDataFrame([(1, "http://a.b.net/xyz")], "page_id long, url string")
+    assert [(r.rule, r.verdict) for r in urls.judged(page, tied).collect()] == [("b.net/xy", "allow")]
     pages = spark.createDataFrame([(1, "http://a.net/xyz"), (2, "http://a.net"), (3, "http://b.net/")], "page_id long, url string")
     got = {r.page_id: (r.rule, r.verdict) for r in urls.judged(pages, rules).collect()}
     assert got == {1: ("a.net/x", "block"), 2: ("a.net", "allow"), 3: (None, "allow")}
