@@ -101,3 +101,15 @@ def test_near_prompts_use_the_matching_ratio(spark):
 def test_running_total_over_ranges(spark):
     rows = corpus.running_total(spark.range(1000).repartition(7), "id", F.col("id") + 1).collect()
     assert all(r["__before"] == r.id * (r.id + 1) // 2 for r in rows)
+
+
+def test_duplicate_prompts_keep_letters_and_line_breaks_as_sql_does(spark, tmp_path):
+    import duckdb
+    from corpusloom.plans import audit
+
+    texts = ["Erß one", "erß two", "erss three", "A.\nB c", "a.\nb d", "A. b", "a. c", " x", " y", "Éa", "éa z", "", None, None]
+    path = str(tmp_path / "conversations.parquet")
+    spark.createDataFrame([(i, 1, "user", t) for i, t in enumerate(texts)], "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(path)
+    got = {tuple(r) for r in audit.duplicate_prompts(spark, str(tmp_path)).collect()}
+    want = set(duckdb.sql(audit.ORACLES["duplicate_prompts"].replace("FROM conversations", f"FROM '{path}/*.parquet'")).fetchall())
+    assert got == want and ("erß", 2) in got and ("a.\nb", 2) in got
