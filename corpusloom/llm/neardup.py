@@ -315,9 +315,12 @@ def compared(group: list) -> list[tuple[bytes, bytes]]:
 
 
 def spread_labels(edges: DataFrame) -> DataFrame:
-    """``node, label``: least node of each component, by spreading least labels and jumping to labels' labels."""
+    """``node, label``: least node of each component, by spreading least labels and jumping to labels' labels.
+
+    A link that several sketches or chunks found counts once, so a round's join makes two rows for each link between different texts.
+    """
     spark = edges.sparkSession
-    edges = stored(edges, "links")
+    edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y")))
     labels, path = stored_at(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("y")).select("node", F.least("node", "y").alias("label")), "labels")
     while True:
@@ -331,6 +334,15 @@ def spread_labels(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def joined_labels(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """``node, label`` after further links: only classes that these join are spread again, each as one node, its label."""
+    known = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
+    named = more.select("a", "b").distinct().join(known, "a", "left").join(known.toDF("b", "lb"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b")
+    over = spread_labels(named)
+    moved = labels.join(over.toDF("label", "least"), "label", "left").select("node", F.coalesce("least", "label").alias("label"))
+    return stored(moved.unionByName(over.join(labels.select("node"), "node", "left_anti")), "labels")
+
+
 def grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """``doc_id, row, print`` of the rows, and ``print, label`` of the texts that are like others; stored both."""
     rows = sketched(docs, id_col, text_col)
@@ -342,7 +354,7 @@ def grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     if pairs is not None:
         more = links(pairs.withColumn("first", F.lit(False)), texts)
         if more.limit(1).count():
-            labels = spread_labels(edges.unionByName(more).distinct())
+            labels = joined_labels(labels, more)
     return rows.select("doc_id", "row", "print"), labels.withColumnRenamed("node", "print")
 
 

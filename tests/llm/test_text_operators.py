@@ -485,3 +485,29 @@ def test_topk_is_the_brute_force(spark):
     got = topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5, block=7).collect()
     assert sorted(tuple(r) for r in got) == plain_top_k(rows)
     assert topk.top_k(vectors.where("false"), vectors.where("false")).count() == 0
+
+
+def test_links_found_again_make_no_rows_and_classes_join_by_label(spark):
+    kind = "a binary, b binary"
+    chain = [(bytes([i]), bytes([i + 1])) for i in range(1, 20)] + [(bytes([40]), bytes([41]))]
+    again = spark.createDataFrame((chain + [(b, a) for a, b in chain]) * 8, kind)
+    labels = neardup.spread_labels(again)
+    assert {(bytes(r.node), bytes(r.label)) for r in labels.collect()} == {(bytes([i]), bytes([1])) for i in range(1, 21)} | {(bytes([i]), bytes([40])) for i in (40, 41)}
+    counted = []
+    stored = neardup.stored
+
+    def counts(df, label):
+        out = stored(df, label)
+        counted.append((label, out.count()))
+        return out
+
+    neardup.stored = counts
+    try:
+        neardup.spread_labels(again)
+        more = spark.createDataFrame([(bytes([41]), bytes([7])), (bytes([50]), bytes([41])), (bytes([7]), bytes([1]))], kind)
+        joined = neardup.joined_labels(labels, more)
+    finally:
+        neardup.stored = stored
+    # 320 links, 20 of them different; then two between classes
+    assert [n for label, n in counted if label == "links"] == [20, 2]
+    assert {bytes(r.node): bytes(r.label) for r in joined.collect()} == {bytes([i]): bytes([1]) for i in [*range(1, 21), 40, 41, 50]}
