@@ -101,3 +101,18 @@ def test_pack_rows_meet_their_bucket_or_all(spark):
     schema = "id long, user string, assistant string, bucket string"
     got = {(r.kind, r.eval_id, r.train_id) for r in con.pack_contamination(spark.createDataFrame(evaluation, schema), spark.createDataFrame(train, schema)).collect()}
     assert got == {("near_prompt", 10, 1), ("near_prompt", 11, 1), ("answer_in_train", 13, 2), ("exact_prompt", 15, 1)}
+
+
+def test_nested_phrases_takes_any_number_of_short_ones(spark):
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("ab1") for _ in range(rng.randint(1, 5)))
+    texts = [" ".join(word() for _ in range(rng.choice([1, 1, 2, 2, 3, 6]))) for _ in range(1_500)]
+    phrases = con.records(spark.createDataFrame(list(enumerate(texts)), "i long, t string"), "i", "t")
+    found = spark.createDataFrame([(i,) for i in range(0, 1_500, 100)], "phrase_id long")
+    hit = [texts[i] for i in range(0, 1_500, 100)]
+    want = {i for i, t in enumerate(texts) if any(t in h for h in hit)}
+    assert {r.phrase_id for r in con.nested_phrases(found, phrases).collect()} == want and 100 < len(want) < 1_500
+    pairs = {(r.phrase_id, r.text_id) for r in con.within(phrases, phrases.where("id % 100 = 0")).collect()}
+    assert pairs == {(i, j) for i, t in enumerate(texts) for j in range(0, 1_500, 100) if t in texts[j]}
