@@ -71,11 +71,15 @@ def length_violations(reply: Column, least_words: Column, most_words: Column, le
 
 def repetition(reply: Column, n: int = 3) -> tuple[Column, Column]:
     """Share of repeated n-grams, share of distinct tokens."""
-    toks = tokens(reply)
-    size = F.size(toks)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), size - n + 1)), lambda i: F.array_join(F.slice(toks, i, n), " "))
-    count = size - n + 1
-    return F.when(size >= n, (count - F.size(F.array_distinct(grams))) / count).otherwise(F.lit(0.0)), safe_rate(F.size(F.array_distinct(toks)).cast("double"), size)
+    # the tokens are a variable of a lambda, so a text is cut once and not for each of its n-grams
+    once = lambda of: F.element_at(F.transform(F.array(tokens(reply)), of), 1)
+
+    def repeated(toks: Column) -> Column:
+        count = F.size(toks) - n + 1
+        grams = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), count - 1)), lambda i: F.concat_ws(" ", *[F.get(toks, i + k) for k in range(n)]))
+        return F.when(F.size(toks) >= n, (count - F.size(F.array_distinct(grams))) / count).otherwise(F.lit(0.0))
+
+    return once(repeated), once(lambda toks: safe_rate(F.size(F.array_distinct(toks)).cast("double"), F.size(toks)))
 
 
 def content_tokens(text: Column) -> Column:

@@ -124,3 +124,18 @@ def test_bootstrap_draws_the_law_of_the_plain_one(spark):
     row = sc.bootstrap_ci(spark.createDataFrame([("a", v) for v in values], "k string, passed boolean"), "k").first()
     low, high = sc.exact_bootstrap(values)
     assert abs(row.low - low) < 0.03 and abs(row.high - high) < 0.03
+
+
+def test_repetition_cuts_a_text_once_for_each_rate(spark):
+    import duckdb
+    from corpusloom.plans import evaluation
+
+    texts = ["", "a b", "a b c a b c", "A a a a a", "x y z " * 2_000, None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rate, unique = sc.repetition(F.col("text"))
+    out = frame.select("doc_id", rate.alias("r"), unique.alias("u"))
+    # one pattern for each rate, none of them within the walk over the n-grams
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 2
+    documents = frame.toPandas()  # noqa: F841
+    want = duckdb.sql(evaluation.ORACLES["repetition"]).fetchall()
+    assert sorted(map(tuple, out.collect())) == sorted(want)
