@@ -57,16 +57,20 @@ def delete(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    return stored_at(df, label)[0]
+#: For tables whose rows are megabytes: a row group of a few rows, since writers hold a group, and readers decode up to 4 096 rows of one at once.
+LARGE_ROWS = {"parquet.block.row.count.limit": "2", "parquet.page.row.count.limit": "1"}
 
 
-def stored_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+def stored(df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder (with ``options`` of the writer) and read it back: cuts lineage and survives lost executors."""
+    return stored_at(df, label, options)[0]
+
+
+def stored_at(df: DataFrame, label: str, options: dict[str, str] | None = None) -> tuple[DataFrame, str]:
     """The same with the path, for tables that are deleted before the end."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

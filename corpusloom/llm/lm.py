@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import BLOCK, block_rows, small_batches, stored, summed_blocks
+from corpusloom.llm.common import BLOCK, LARGE_ROWS, block_rows, small_batches, stored, summed_blocks
 
 WINDOW = 3
 WIDTH = 24
@@ -186,7 +186,7 @@ def token_chunks(docs: DataFrame, keep: list[str], text_col: str = "text") -> Da
         blobs = ["\n".join(codes.words), np.concatenate(parts).tobytes(), lengths.tobytes()]
         return pa.RecordBatch.from_arrays([*columns, pa.array([blobs[0]], pa.string()), pa.array([blobs[1]], pa.binary()), pa.array([blobs[2]], pa.binary())], names=schema.fieldNames())
 
-    return stored(small_batches(docs).select(*keep, text_col).mapInArrow(run, schema), "chunks")
+    return stored(small_batches(docs).select(*keep, text_col).mapInArrow(run, schema), "chunks", LARGE_ROWS)
 
 
 def vocabulary(chunks: DataFrame) -> tuple[list[str], np.ndarray, Spelling, int]:

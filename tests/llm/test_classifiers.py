@@ -3,9 +3,11 @@
 import itertools
 import math
 import random
+import urllib.parse
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from corpusloom.llm import lm, quality, toxicity
@@ -357,3 +359,14 @@ def test_quality_scores_are_the_plain_ones(frames):
 
     for r in model.score(docs).collect()[::5]:
         assert r.score == pytest.approx(plain(r.text), abs=1e-4)
+
+
+def test_a_chunk_table_has_small_row_groups(spark, monkeypatch):
+    # writers hold a row group, and readers decode a whole one: groups of a hundred chunks don't fit in an executor
+    monkeypatch.setattr(lm, "CHUNK_TOKENS", 100)
+    chunks = lm.token_chunks(spark.createDataFrame([(i, f"word{i} " * 50) for i in range(40)], "doc_id long, text string").repartition(1), ["doc_id"])
+    sizes = []
+    for path in chunks.inputFiles():
+        meta = pq.ParquetFile(urllib.parse.unquote(urllib.parse.urlparse(path).path)).metadata
+        sizes += [meta.row_group(i).num_rows for i in range(meta.num_row_groups)]
+    assert sum(sizes) == chunks.count() >= 20 and max(sizes) <= 2
