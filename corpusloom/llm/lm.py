@@ -339,12 +339,13 @@ class WindowNetwork:
         target = own[real]
         klass = target // PER_CLASS
         m = len(real)
-        inputs = self.embed[tokens]
+        ones = np.ones(n, np.float32)
+        inputs = self.embed.take(tokens, 0)
         total = np.broadcast_to(self.bias, (n, WIDTH)).copy()
         room = np.empty_like(total)
         for d, w in zip(OFFSETS, self.place, strict=True):
             total += np.multiply(inputs[WINDOW + d : WINDOW + d + n], w, out=room)
-        h = np.tanh(total[real])
+        h = np.tanh(total.take(real, 0))
         grads = [None, np.zeros_like(self.word), np.zeros_like(self.word_bias), None, None, np.zeros_like(self.place), None]
         # a step moves a weight by RATE at most, a logit by less than 3, so the reach is looked at every eighth step
         if self.steps % 8 == 0:
@@ -354,23 +355,27 @@ class WindowNetwork:
         logits += self.klass_bias
         error = _shares(logits, self.safe)
         error[np.arange(m), klass] -= 1
-        grads[3], grads[4] = error.T @ h, error.sum(0)
+        grads[3], grads[4] = error.T @ h, ones[:m] @ error
         back = error @ self.klass
-        for c, low, high in _runs(klass):
-            rows = slice(c * PER_CLASS, (c + 1) * PER_CLASS)
-            logits = h[low:high] @ self.word[rows].T
-            logits += self.word_bias[rows]
-            error = _shares(logits, self.safe)
-            error[np.arange(high - low), target[low:high] % PER_CLASS] -= 1
-            grads[1][rows], grads[2][rows] = error.T @ h[low:high], error.sum(0)
-            back[low:high] += error @ self.word[rows]
+        # products are by class, all else is over all classes at once
+        runs = [(slice(c * PER_CLASS, (c + 1) * PER_CLASS), slice(low, high)) for c, low, high in _runs(klass)]
+        logits = np.empty((m, PER_CLASS), np.float32)
+        for rows, own in runs:
+            part = np.matmul(h[own], self.word[rows].T, out=logits[own])
+            part += self.word_bias[rows]
+        error = _shares(logits, self.safe)
+        error[np.arange(m), target % PER_CLASS] -= 1
+        for rows, own in runs:
+            part = error[own]
+            grads[1][rows], grads[2][rows] = part.T @ h[own], ones[own] @ part
+            back[own] += part @ self.word[rows]
         spread = np.zeros((n, WIDTH), np.float32)
         spread[real] = back * (1 - h * h)
-        grads[6] = spread.sum(0)
+        grads[6] = ones @ spread
         to_inputs = np.zeros_like(inputs)
         for i, d in enumerate(OFFSETS):
             near = slice(WINDOW + d, WINDOW + d + n)
-            grads[5][i] = np.einsum("ij,ij->j", spread, inputs[near])
+            grads[5][i] = ones @ np.multiply(spread, inputs[near], out=room)
             to_inputs[near] += np.multiply(spread, self.place[i], out=room)
         order = np.argsort(tokens.astype(np.uint16), kind="stable")
         ordered = tokens[order]
@@ -382,7 +387,7 @@ class WindowNetwork:
             g /= np.sqrt(s)
             g *= RATE
             x -= g
-        g = np.add.reduceat(to_inputs[order], first, axis=0) / m
+        g = np.add.reduceat(to_inputs.take(order, 0), first, axis=0) / m
         s = squares[0][seen] + g * g
         squares[0][seen] = s
         self.embed[seen] -= RATE * g / np.sqrt(s)
@@ -400,10 +405,12 @@ class Scorer:
         self.safe = network.reach() < 60
 
     def log_sum(self, logits: np.ndarray) -> np.ndarray:
+        """Log of the summed exponentials of each row, which take the place of ``logits``."""
         if self.safe:
-            return np.log(np.exp(logits) @ np.ones(logits.shape[1], np.float32))
+            return np.log(np.exp(logits, out=logits) @ np.ones(logits.shape[1], np.float32))
         most = logits.max(1)
-        return most + np.log(np.exp(logits - most[:, None]).sum(1))
+        logits -= most[:, None]
+        return most + np.log(np.exp(logits, out=logits).sum(1))
 
     def log_probabilities(self, tokens: np.ndarray) -> np.ndarray:
         """Conditional log-probability of each token given both sides; 0 at edges and the ``WINDOW`` places at both ends."""
@@ -411,21 +418,26 @@ class Scorer:
         for start in range(WINDOW, len(tokens) - WINDOW, 8_192):
             n = min(8_192, len(tokens) - WINDOW - start)
             part = tokens[start - WINDOW : start + n + WINDOW]
-            inputs = self.network.embed[part]
+            inputs = self.network.embed.take(part, 0)
             h = np.broadcast_to(self.network.bias, (n, WIDTH)).copy()
+            room = np.empty_like(h)
             for d, w in zip(OFFSETS, self.network.place, strict=True):
-                h += inputs[WINDOW + d : WINDOW + d + n] * w
+                h += np.multiply(inputs[WINDOW + d : WINDOW + d + n], w, out=room)
             own = part[WINDOW : WINDOW + n]
             real = np.flatnonzero(own)
             real = real[np.argsort(own[real].astype(np.uint16), kind="stable")]
             target = own[real]
             klass = target // PER_CLASS
-            h = np.tanh(h[real])
-            logits = h @ self.classes + self.network.klass_bias
-            p = logits[np.arange(len(real)), klass] - self.log_sum(logits)
+            h = np.tanh(h.take(real, 0))
+            each = np.arange(len(real))
+            logits = h @ self.classes
+            logits += self.network.klass_bias
+            p = logits[each, klass] - self.log_sum(logits)
+            # products are by class, all else is over all classes at once
             for c, low, high in _runs(klass):
-                inner = h[low:high] @ self.words[c] + self.biases[c]
-                p[low:high] += inner[np.arange(high - low), target[low:high] % PER_CLASS] - self.log_sum(inner)
+                inner = np.matmul(h[low:high], self.words[c], out=logits[low:high])
+                inner += self.biases[c]
+            p += logits[each, target % PER_CLASS] - self.log_sum(logits)
             out[start + real] = p
         return out
 
