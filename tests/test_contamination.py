@@ -116,3 +116,36 @@ def test_nested_phrases_takes_any_number_of_short_ones(spark):
     assert {r.phrase_id for r in con.nested_phrases(found, phrases).collect()} == want and 100 < len(want) < 1_500
     pairs = {(r.phrase_id, r.text_id) for r in con.within(phrases, phrases.where("id % 100 = 0")).collect()}
     assert pairs == {(i, j) for i, t in enumerate(texts) for j in range(0, 1_500, 100) if t in texts[j]}
+
+
+def test_alike_pairs_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(con, "BLOCK_TEXTS", 15)
+    left, right = texts(11, 40, 1, 12), texts(12, 60, 1, 40)
+    right[:10] = [f"{x} more" for x in left[:10]]
+    got = sorted(tuple(r) for r in con.alike_pairs(frame(spark, list(enumerate(left))), frame(spark, list(enumerate(right)))).collect())
+    want = [(i, j) for i, a in enumerate(left) for j, b in enumerate(right) if jaccard(a, b) >= 0.35]
+    assert got == want and len(want) > 10
+    assert con.alike_pairs(frame(spark, [(0, "")]), frame(spark, [(0, "a b")])).count() == 0
+
+
+def test_best_matches_compare_few_texts(spark, monkeypatch):
+    # pairs that only share frequent words made rows on every word before, and each its matching ratio in Python
+    laid = []
+    ratio = con.sequence_ratio
+    monkeypatch.setattr(con, "sequence_ratio", lambda a, b: laid.append((a, b)) or ratio(a, b))
+    base = texts(13, 30, 20, 30)
+    chat, generated = frame(spark, list(enumerate(base))), frame(spark, [(i, f"{b} indeed") for i, b in enumerate(base[:10])])
+    found = con.record_matches(chat, generated, runs=False).where("exact or near").collect()
+    assert {(r.target_id, r.reference_id) for r in found if r.near} >= {(i, i) for i in range(10)}
+    a, b = laid[0]
+    assert "CASE WHEN" in str(a) and "CASE WHEN" in str(b)
+
+
+def test_a_target_without_ngrams_has_the_longest_run_of_all_references(spark):
+    shared = [f"w{i}" for i in range(60)]
+    references = [" ".join(["common", "phrase", *shared[i : i + 30]]) for i in range(0, 30, 10)] + ["other common words stand here", "a common phrase that ends here alone"]
+    target = "common phrase that " + " ".join(f"x{i}" for i in range(40))
+    rows = con.record_matches(frame(spark, list(enumerate(references))), frame(spark, [(0, target)]), 8).collect()
+    best = max((r.longest, r.similarity, r.reference_id) for r in rows)
+    want = max((longest(target, r), similarity(target, r), i) for i, r in enumerate(references))
+    assert best[0] == want[0] == 3 and best[2] == want[2] and abs(best[1] - want[1]) < 1e-9
